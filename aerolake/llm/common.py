@@ -3,41 +3,45 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: What ``[\x20\x09-\x0D]`` matches, the white space of every word and line rule here.
-SPACE = " \t\n\x0b\x0c\r"
-
 #: Rows of (id, small payload) that may be broadcast after they were counted; more rows are joined by shuffle.
-BROADCAST_ROWS = 400_000
+BROADCAST_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def held_out(doc_id: str = "doc_id") -> F.Column:
+def held_out(doc_id: str = "doc_id") -> Column:
     """True for the fifth of the documents that no model here may learn from."""
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """``df`` computed once and written to the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """``df`` computed once and written to the shared folder: lineage ends here, so a lost executor costs no recomputation."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def join_small(left: DataFrame, right: DataFrame, on: str | list[str], how: str, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join that broadcasts ``right`` if its counted rows stay within ``limit`` and else hashes it partition by partition."""
+    """Join that broadcasts ``right`` if its counted rows stay within ``limit``; else both sides are shuffled, and skewed partitions split at run time."""
     rows = right.count() if rows is None else rows
-    return left.join(F.broadcast(right) if rows <= limit else right.hint("shuffle_hash"), on, how)
+    return left.join(F.broadcast(right) if rows <= limit else right, on, how)
 
 
 def texts_as_bytes(column: pa.Array) -> list[bytes | None]:

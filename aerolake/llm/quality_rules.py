@@ -29,13 +29,15 @@ RULES: dict[str, tuple[str, str]] = {
     "length": ("n_words >= 50", "n_words < 20"),
     "word_length": ("word_chars between 3 * n_words and 10 * n_words", "word_chars < 2 * n_words or word_chars > 14 * n_words"),
     "symbols": ("50 * n_symbols <= n_words", "5 * n_symbols > n_words"),
+    "symbol_share": ("100 * n_symbols <= word_chars", "10 * n_symbols > word_chars"),
+    "letters": ("10 * n_letters >= 9 * word_chars", "5 * n_letters < 4 * word_chars"),
     "repeats": ("20 * n_repeat_words <= n_words", "5 * n_repeat_words > n_words"),
     "lines": ("n_lines >= 4 and 10 * n_dup_lines <= n_lines", "n_lines >= 4 and 3 * n_dup_lines > n_lines"),
     "capitals": ("4 * n_capitals <= word_chars", "2 * n_capitals > word_chars"),
     "shouts": ("20 * n_shouts <= n_words", "4 * n_shouts > n_words"),
 }
 #: Where the estimates of P(vote good | good text) and P(vote good | bad text) start, and the bounds they keep.
-START, GOOD_BOUNDS, BAD_BOUNDS = (0.85, 0.35), (0.6, 0.995), (0.005, 0.5)
+START, GOOD_BOUNDS, BAD_BOUNDS = (0.95, 0.6), (0.9, 0.999), (0.005, 0.9)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -85,6 +87,7 @@ def counts(documents: DataFrame) -> DataFrame:
         F.col("words.repeated").alias("n_repeat_words"),
         F.col("lines.n").alias("n_lines"),
         F.octet_length(F.regexp_replace("text", "[^A-Z]+", "")).cast("long").alias("n_capitals"),
+        F.length(F.regexp_replace("text", "[^\\p{L}]+", "")).cast("long").alias("n_letters"),
         without(F.col("text"), "!").cast("long").alias("n_shouts"),
     )
 

@@ -1,10 +1,61 @@
-"""The corpus pipeline: quality, repeated lines, near copies, benchmark contamination, packing."""
+"""The corpus pipeline: five stages, each over all that the one before it kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as Parquet and reads again for the next one.
+All but the last return the columns of ``documents``; the last returns the placed pieces. SQL can express neither the quality
+discriminant nor the tokenizer, so there is no ORACLE_SQL.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from aerolake.llm import decontaminate, line_dedup, packing, quality, simhash
+from aerolake.llm.common import join_small, materialize, table
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the quality classifier rejects."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """With repeated long lines in one document each, and n_chars of the text that stays."""
+    rewritten = line_dedup.dedupe_lines(docs)
+    return rewritten.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """With one document of each group of near copies, that with the smallest doc_id."""
+    return simhash.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that benchmark passages contaminate."""
+    judged = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    gone = materialize(judged.where("contaminated").select("doc_id").distinct())
+    return join_small(docs, gone, "doc_id", "left_anti")
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document that is left, with its place in the packed sequences."""
+    path = public_tokenizers.path
+    return packing.pack(docs, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("line_dedup", drop_repeated_lines),
+    ("simhash", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("packing", pack_sequences),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return docs

@@ -73,4 +73,53 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLES: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+NGRAM_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SPACE_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLES: dict[str, str] = {
+    "op2_decontamination": f"""
+        with item_words as (select item_id, {NGRAM_WORDS} as w from benchmark),
+        windows as (
+            select distinct item_id, list_slice(w, i, least(i + 12, len(w))) as win
+            from (select item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as i from item_words where len(w) > 0) x),
+        lengths as (select distinct len(win) as n from windows),
+        doc_words as (select doc_id, {NGRAM_WORDS} as w from documents),
+        doc_windows as (
+            select doc_id, n, i, list_slice(w, i, i + n - 1) as win
+            from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from doc_words cross join lengths where len(w) >= n) x),
+        hits as (select d.doc_id, d.i, d.n, b.item_id from doc_windows d join windows b on b.win = d.win),
+        hit_words as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hits) x group by doc_id),
+        hit_items as (
+            select doc_id, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as ids
+            from (select distinct doc_id, item_id from hits where item_id is not null) x group by doc_id)
+        select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+            sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(d.w) as contaminated
+        from doc_words d left join hit_words h on h.doc_id = d.doc_id left join hit_items t on t.doc_id = d.doc_id""",
+    "op8_line_dedup": f"""
+        with numbered as (
+            select doc_id, unnest(parts) as line, generate_subscripts(parts, 1) as k
+            from (select doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents) x),
+        keyed as (
+            select doc_id, k, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') as key from numbered),
+        common as (select key, max(doc_id) as keeper from keyed where length(key) >= 40 group by key having count(distinct doc_id) >= 5),
+        judged as (select a.doc_id, a.k, a.line, c.key is not null and a.doc_id <> c.keeper as gone from keyed a left join common c on c.key = a.key)
+        select doc_id, count(*)::bigint as n_lines, count(*) filter (where gone)::bigint as n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) order by k) filter (where not gone), '')) as kept_sha256
+        from judged group by doc_id""",
+    "op10_substring_dedup": f"""
+        with doc_words as (select doc_id, {SPACE_WORDS} as w from documents),
+        windows as (
+            select doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) as h
+            from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from doc_words where len(w) >= 50) x),
+        first_seen as (select h, min(doc_id) as first from windows group by h),
+        gone as (
+            select distinct doc_id, unnest(range(i, i + 50)) as k
+            from (select a.doc_id, a.i from windows a join first_seen f on f.h = a.h where f.first < a.doc_id) x),
+        words as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as k from doc_words where len(w) > 0),
+        kept as (
+            select a.doc_id, count(*) filter (where g.k is not null) as n_removed, string_agg(word, ' ' order by a.k) filter (where g.k is null) as text
+            from words a left join gone g on g.doc_id = a.doc_id and g.k = a.k group by a.doc_id)
+        select d.doc_id, len(d.w)::bigint as n_words, coalesce(k.n_removed, 0)::bigint as n_removed, sha256(coalesce(k.text, '')) as kept_sha256
+        from doc_words d left join kept k on k.doc_id = d.doc_id""",
+}

@@ -9,7 +9,7 @@ position on the cover, so two equal windows always share an aligned anchor that
 1. A scan hashes the anchors; grouping keeps hashes that two documents hold. They fill a Bloom filter of bounded size.
 2. A scan extends every anchor that the filter holds to all windows around it, and hands out (128-bit window hash, doc_id,
    position). Grouping finds each window's smallest document, a join brings it back to the others: exact, without pairs.
-3. A scan removes the words that those windows cover; positions join by doc_id, broadcast if a count allows it.
+3. Windows merge into word ranges, and a scan removes them; ranges join by doc_id, broadcast if their count allows it.
 
 Null and empty texts have no words; a text under WINDOW words is left as it is but for white space. Rows that repeat a
 doc_id with the same text are each treated as that document; windows of rows with the same id never remove each other.
@@ -35,8 +35,8 @@ PERIOD = 31
 #: A perfect difference cover: every residue mod 31 is a difference of two of its six members.
 COVER = (1, 5, 11, 24, 25, 27)
 ANCHOR = WINDOW - PERIOD + 1
-#: Positions (8 bytes each with their document) up to which the final join is broadcast.
-BROADCAST_POSITIONS = 2_000_000
+#: Word ranges, with a few for each document that has any, up to which the final join is broadcast (some tens of MB).
+BROADCAST_RANGES = 1_000_000
 
 
 class Words:
@@ -130,33 +130,49 @@ def repeated_windows(documents: DataFrame) -> DataFrame:
     return windows.join(first, ["h1", "h2"]).where("doc_id > first").select("doc_id", "position")
 
 
-def cover_mask(n: int, positions: np.ndarray) -> np.ndarray:
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, positions, 1)
-    np.add.at(edge, np.minimum(positions + WINDOW, n), -1)
-    return np.cumsum(edge)[:n] > 0
+def ranges_of(windows: DataFrame) -> DataFrame:
+    """doc_id, ranges (first word, past the last, first word, ...) that the windows of each document cover."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for positions in batch["positions"]:
+                at = np.unique(positions.values.to_numpy())
+                breaks = np.flatnonzero(np.diff(at) > WINDOW)
+                first, last = at[np.concatenate([[0], breaks + 1])], at[np.concatenate([breaks, [len(at) - 1]])]
+                out.append(np.stack([first, last + WINDOW], axis=1).ravel().tolist())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ranges"])
+
+    return windows.groupBy("doc_id").agg(F.collect_list("position").alias("positions")).mapInArrow(run, "doc_id long, ranges array<int>")
+
+
+def outside(words: list[bytes], ranges: list[int]) -> list[bytes]:
+    kept, done = [], 0
+    for first, past in zip(ranges[::2], ranges[1::2], strict=True):
+        kept += words[done:first]
+        done = past
+    return kept + words[done:]
 
 
-def remove_repeats(documents: DataFrame, digest: bool = True, broadcast_positions: int = BROADCAST_POSITIONS) -> DataFrame:
+def remove_repeats(documents: DataFrame, digest: bool = True, broadcast_ranges: int = BROADCAST_RANGES) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256, or with ``digest`` off kept_text, of every row."""
     documents = documents.select("doc_id", "text")
     copies = materialize(exact_copies(documents))
     n_copies = copies.count()
     originals = join_small(documents.where("doc_id is not null"), copies, "doc_id", "left_anti", rows=n_copies)
-    marks = repeated_windows(originals).groupBy("doc_id").agg(F.collect_list("position").alias("positions"))
-    marks = materialize(marks.unionByName(copies.select("doc_id", F.lit(None).cast("array<int>").alias("positions"))).withColumn("marked", F.lit(True)))
-    n_positions, n_docs = marks.agg(F.sum(F.coalesce(F.size("positions"), F.lit(0))), F.count("*")).first()
-    joined = join_small(documents, marks, "doc_id", "left", rows=(n_positions or 0) + 10 * n_docs, limit=broadcast_positions)
+    whole = copies.select("doc_id", F.lit(None).cast("array<int>").alias("ranges"))
+    marks = materialize(ranges_of(repeated_windows(originals)).unionByName(whole).withColumn("marked", F.lit(True)))
+    size = marks.agg(F.sum(2 + F.coalesce(F.size("ranges"), F.lit(0)))).first()[0] or 0
+    joined = join_small(documents, marks, "doc_id", "left", rows=size, limit=broadcast_ranges)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text, marked, positions in zip(batch["doc_id"].to_pylist(), texts_as_bytes(batch["text"]), batch["marked"].to_pylist(), batch["positions"], strict=True):
+            for doc_id, text, marked, ranges in zip(batch["doc_id"].to_pylist(), texts_as_bytes(batch["text"]), batch["marked"].to_pylist(), batch["ranges"].to_pylist(), strict=True):
                 words = text.split() if text else []
                 kept = words
                 if marked and len(words) >= WINDOW:
-                    whole = not positions.is_valid
-                    kept = [] if whole else [w for w, gone in zip(words, cover_mask(len(words), positions.values.to_numpy(zero_copy_only=False)).tolist(), strict=True) if not gone]
+                    kept = [] if ranges is None else outside(words, ranges)
                 text_kept = b" ".join(kept)
                 rows.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(text_kept).hexdigest() if digest else text_kept.decode()))
             if rows:

@@ -7,9 +7,11 @@ position on the cover, so two equal windows always share an aligned anchor that
 0. Exact copies are settled by a hash of their texts: the copy with the smallest id stands for all; others lose every word
    if they hold a window at all. Only the ones that stand for others go on.
 1. A scan hashes the anchors; grouping keeps hashes that two documents hold. They fill a Bloom filter of bounded size.
-2. A scan extends every anchor that the filter holds to all windows around it, and hands out (128-bit window hash, doc_id,
-   position). Grouping finds each window's smallest document, a join brings it back to the others: exact, without pairs.
-3. Windows merge into word ranges, and a scan removes them; ranges join by doc_id, broadcast if their count allows it.
+2. A scan extends every anchor that the filter holds to all windows around it, and hands out (128-bit window hash, doc_id).
+   Grouping finds the windows of two documents or more with the smallest of them, and these fill a second filter.
+3. A scan hands out the windows that both filters hold, with their positions, and a join with the grouped windows leaves those
+   that a smaller document holds: exact, and without pairs of documents.
+4. Windows merge into word ranges, and a scan removes them; ranges join by doc_id, broadcast if their count allows it.
 
 Null and empty texts have no words; a text under WINDOW words is left as it is but for white space. Rows that repeat a
 doc_id with the same text are each treated as that document; windows of rows with the same id never remove each other.
@@ -76,6 +78,10 @@ def cover_positions(n: int) -> np.ndarray:
 FIRST_POSITIONS = (np.arange(1000)[:, None] * PERIOD + np.array(COVER)).ravel()
 
 
+#: Rows that a task of Python holds before it hands them on.
+LOT = 50_000
+
+
 def exact_copies(documents: DataFrame) -> DataFrame:
     """Ids of documents whose whole text a smaller id has too."""
     texts = materialize(documents.where("doc_id is not null and text is not null").select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_hash")))
@@ -83,51 +89,65 @@ def exact_copies(documents: DataFrame) -> DataFrame:
     return join_small(texts, first, "text_hash", "inner").where("doc_id > first").select("doc_id").distinct()
 
 
-def shared_anchors(documents: DataFrame) -> tuple[np.ndarray, int]:
+def in_lots(batch: pa.RecordBatch, rows_of) -> Iterator[pa.RecordBatch]:
+    """Record batches of columns (name: array) that ``rows_of`` (doc_id, words) gives for each document with a window, some ``LOT`` rows at a time."""
+    kept: list[dict] = []
+    size = 0
+    for doc_id, text in zip(batch["doc_id"], batch["text"].cast(pa.binary()), strict=True):
+        words = Words(text.as_py())
+        if words.n >= WINDOW and (rows := rows_of(words)) is not None:
+            n = len(next(iter(rows.values())))
+            kept.append(rows | {"doc_id": np.full(n, doc_id.as_py(), np.int64)})
+            size += n
+        if size >= LOT:
+            yield pa.RecordBatch.from_pydict({c: np.concatenate([k[c] for k in kept]) for c in kept[0]})
+            kept, size = [], 0
+    if kept:
+        yield pa.RecordBatch.from_pydict({c: np.concatenate([k[c] for k in kept]) for c in kept[0]})
+
+
+def shared_anchors(documents: DataFrame) -> np.ndarray:
     """A filter of the anchors that two documents hold."""
 
     def hand_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found = [], []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), texts_as_bytes(batch["text"]), strict=True):
-                words = Words(text)
-                if words.n >= WINDOW:
-                    found.append(np.unique(words.anchors(FIRST_POSITIONS)[1]))
-                    ids.append(np.full(len(found[-1]), doc_id, np.int64))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(ids))], ["anchor", "doc_id"])
+            yield from in_lots(batch, lambda words: {"anchor": np.unique(words.anchors(FIRST_POSITIONS)[1]).view(np.int64)})
 
     anchors = documents.mapInArrow(hand_out, "anchor long, doc_id long")
     shared = materialize(anchors.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("anchor"))
-    n = shared.count()
-    return bloom.build(shared, lambda batch: batch["anchor"].to_numpy().view(np.uint64), bloom.bits_for(n), twice=False), n
+    return bloom.build(shared, lambda batch: batch["anchor"].to_numpy().view(np.uint64), bloom.bits_for(shared.count()), twice=False)
 
 
-def repeated_windows(documents: DataFrame) -> DataFrame:
-    """doc_id, position of each window that a document with a smaller id holds too; ``documents`` are no exact copies."""
-    anchors, n = shared_anchors(documents)
-    shared = documents.sparkSession.sparkContext.broadcast(anchors)
+def candidate_windows(documents: DataFrame, anchors, windows=None) -> DataFrame:
+    """h1, h2, position, doc_id of windows around shared anchors; with the filter ``windows`` only of those it holds by h1. Both are broadcast variables."""
+
+    def rows_of(words: Words) -> dict | None:
+        positions, hashes = words.anchors(FIRST_POSITIONS)
+        hit = positions[bloom.contains(anchors.value, hashes)]
+        if not len(hit):
+            return None
+        at = words.windows_around(hit)
+        halves = np.frombuffer(b"".join(words.hashes(xxhash.xxh3_128_digest, at, WINDOW)), "<i8").reshape(-1, 2)
+        if windows is not None:
+            held = bloom.contains(windows.value, np.ascontiguousarray(halves[:, 0]).view(np.uint64))
+            at, halves = at[held], halves[held]
+        return {"h1": halves[:, 0], "h2": halves[:, 1], "position": at.astype(np.int32)}
 
     def hand_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, at, found = [], [], []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), texts_as_bytes(batch["text"]), strict=True):
-                words = Words(text)
-                if words.n < WINDOW:
-                    continue
-                positions, hashes = words.anchors(FIRST_POSITIONS)
-                if len(hit := positions[bloom.contains(shared.value, hashes)]):
-                    windows = words.windows_around(hit)
-                    found += words.hashes(xxhash.xxh3_128_digest, windows, WINDOW)
-                    at.append(windows)
-                    ids.append(np.full(len(windows), doc_id, np.int64))
-            if found:
-                halves = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(halves[:, 0])), pa.array(np.ascontiguousarray(halves[:, 1])), pa.array(np.concatenate(ids)), pa.array(np.concatenate(at).astype(np.int32))], ["h1", "h2", "doc_id", "position"])
-
-    windows = materialize(documents.mapInArrow(hand_out, "h1 long, h2 long, doc_id long, position int"))
-    first = materialize(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"))
-    return windows.join(first, ["h1", "h2"]).where("doc_id > first").select("doc_id", "position")
+            yield from in_lots(batch, rows_of)
+
+    return documents.mapInArrow(hand_out, "h1 long, h2 long, position int, doc_id long")
+
+
+def repeated_windows(documents: DataFrame) -> DataFrame:
+    """doc_id, position of each window that a document with a smaller id holds too; ``documents`` are no exact copies."""
+    context = documents.sparkSession.sparkContext
+    anchors = context.broadcast(shared_anchors(documents))
+    first = candidate_windows(documents, anchors).groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    first = materialize(first.where("first < last").drop("last"))
+    windows = context.broadcast(bloom.build(first.select("h1"), lambda batch: batch["h1"].to_numpy().view(np.uint64), bloom.bits_for(first.count()), twice=False))
+    return candidate_windows(documents, anchors, windows).join(first, ["h1", "h2"]).where("doc_id > first").select("doc_id", "position")
 
 
 def ranges_of(windows: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@
 1. A scan hashes every long line and fills a once-seen and a twice-seen filter (``bloom``).
 2. A scan tests every long line against the twice-seen filter. What it holds goes on as (128-bit key, doc_id), once for each
    row; grouping confirms keys found in at least ``min_docs`` documents and picks the document that keeps them.
-3. A scan rewrites the documents with keys to drop; they join by doc_id, broadcast if a count allows it.
+3. A scan rewrites the documents. Confirmed keys, far fewer than the lines that have them, go to every task as sorted arrays of
+   24 bytes a key if a count finds at most ``broadcast_keys``, and no text is shuffled. If there are more, the keys to drop join
+   their documents by doc_id instead.
 
 A line's key is the line without white space at its ends, A-Z in lower case; keys under ``min_chars`` code points are never
 dropped. Null and empty texts are one empty line; a rewritten null text becomes an empty one. Rows that repeat a
@@ -22,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerolake.llm import bloom
-from aerolake.llm.common import BROADCAST_ROWS, join_small, materialize, texts_as_bytes
+from aerolake.llm.common import join_small, materialize, texts_as_bytes
 
 MIN_CHARS = 40
 MIN_DOCS = 5
 #: A line of text has about so many bytes; it only sizes the filters.
 LINE_BYTES = 200
+#: Confirmed keys up to which they are broadcast (24 MB).
+BROADCAST_KEYS = 1_000_000
 
 
 def key_of(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
@@ -46,8 +50,8 @@ def low_words(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(digests), "<u8")[::2]
 
 
-def find_drops(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc_id, keys: the keys of the lines that each document loses."""
+def find_common(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
+    """(key, doc_id) of suspected lines; (key, keeper) of confirmed ones."""
     documents = documents.select("doc_id", "text").where("doc_id is not null")
     size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
@@ -68,7 +72,47 @@ def find_drops(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
 
     suspected = materialize(documents.mapInArrow(suspects, "key binary, doc_id long"))
     confirmed = materialize(suspected.groupBy("key").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).select("key", "keeper"))
-    return join_small(suspected, confirmed, "key", "inner").where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    return suspected, confirmed
+
+
+class Keepers:
+    """Sorted arrays of confirmed keys, in halves, and the document that keeps each."""
+
+    def __init__(self, confirmed: DataFrame):
+        table = confirmed.select("key", F.col("keeper").cast("long").alias("keeper")).toArrow()
+        halves = np.frombuffer(b"".join(table["key"].to_pylist()), "<u8").reshape(-1, 2)
+        order = np.argsort(halves[:, 0])
+        self.low, self.high, self.keeper = halves[order, 0], halves[order, 1], table["keeper"].to_numpy()[order]
+        self.certain = len(np.unique(self.low)) == len(self.low)
+
+    def gone(self, digests: list[bytes], doc_ids: np.ndarray) -> np.ndarray:
+        """Whether the line with that key goes from that document."""
+        if not len(self.low) or not digests:
+            return np.zeros(len(digests), bool)
+        halves = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
+        at = np.minimum(np.searchsorted(self.low, halves[:, 0]), len(self.low) - 1)
+        return (self.low[at] == halves[:, 0]) & (self.high[at] == halves[:, 1]) & (self.keeper[at] != doc_ids)
+
+
+def without_common(texts: list[bytes | None], doc_ids: list[int | None], keepers: Keepers, min_chars: int) -> list[tuple[int, int, bytes]]:
+    """Lines, dropped lines and the text that stays, of each text of a batch."""
+    digests, ids, places, counts = [], [], [], []
+    for k, (text, doc_id) in enumerate(zip(texts, doc_ids, strict=True)):
+        lines = (text or b"").split(b"\n")
+        counts.append(len(lines))
+        if doc_id is not None:
+            for i, line in enumerate(lines):
+                if key := key_of(line, min_chars):
+                    digests.append(key)
+                    ids.append(doc_id)
+                    places.append((k, i))
+    drop: dict[int, set[int]] = {}
+    for at in np.flatnonzero(keepers.gone(digests, np.array(ids, np.int64))).tolist():
+        drop.setdefault(places[at][0], set()).add(places[at][1])
+    kept = [text or b"" for text in texts]
+    for k, lines_gone in drop.items():
+        kept[k] = b"\n".join(line for i, line in enumerate(kept[k].split(b"\n")) if i not in lines_gone)
+    return [(n, len(drop.get(k, ())), kept[k]) for k, n in enumerate(counts)]
 
 
 def without(text: bytes, keys: set[bytes], min_chars: int) -> tuple[int, int, bytes]:
@@ -78,26 +122,33 @@ def without(text: bytes, keys: set[bytes], min_chars: int) -> tuple[int, int, by
     return len(lines), len(lines) - len(kept), b"\n".join(kept) if keys else text
 
 
-def dedupe_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, digest: bool = False, broadcast_keys: int = BROADCAST_ROWS) -> DataFrame:
+def dedupe_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, digest: bool = False, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """``documents`` with their text rewritten, and n_lines, n_dropped. With ``digest``: doc_id, n_lines, n_dropped, kept_sha256 alone."""
-    counts = ["n_lines long", "n_dropped long"]
-    drops = materialize(find_drops(documents, min_chars, min_docs))
-    n_keys = drops.agg(F.sum(F.size("keys"))).first()[0] or 0
+    suspected, confirmed = find_common(documents, min_chars, min_docs)
+    n_keys = confirmed.count()
+    keepers = Keepers(confirmed) if n_keys <= broadcast_keys else None
     source = documents.select("doc_id", "text") if digest else documents
-    names = source.columns
-    joined = join_small(source.withColumnRenamed("keys", "_own_keys"), drops, "doc_id", "left", rows=n_keys, limit=broadcast_keys)
+    names = [c for c in source.columns if c not in ("n_lines", "n_dropped")]
     kinds = {f.name: f.dataType.simpleString() for f in source.schema.fields}
-    schema = ", ".join(["doc_id long", *counts, "kept_sha256 string"] if digest else [*(f"`{c}` {kinds[c]}" for c in names if c not in ("n_lines", "n_dropped")), *counts])
+    counts = ["n_lines long", "n_dropped long"]
+    schema = ", ".join(["doc_id long", *counts, "kept_sha256 string"] if digest else [*(f"`{c}` {kinds[c]}" for c in names), *counts])
+    if keepers is not None and keepers.certain:
+        shared = documents.sparkSession.sparkContext.broadcast(keepers)
+        joined = source.withColumnRenamed("keys", "_own_keys")
+        rewritten = lambda batch: without_common(texts_as_bytes(batch["text"]), batch["doc_id"].to_pylist(), shared.value, min_chars)
+    else:
+        drops = join_small(suspected, confirmed, "key", "inner", rows=n_keys).where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+        joined = source.withColumnRenamed("keys", "_own_keys").join(materialize(drops), "doc_id", "left")
+        rewritten = lambda batch: [without(text or b"", set(keys or ()), min_chars) for text, keys in zip(texts_as_bytes(batch["text"]), batch["keys"].to_pylist(), strict=True)]
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [without(text or b"", set(keys or ()), min_chars) for text, keys in zip(texts_as_bytes(batch["text"]), batch["keys"].to_pylist(), strict=True)]
+            done = rewritten(batch)
             added = [pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64())]
             if digest:
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], *added, pa.array([hashlib.sha256(d[2]).hexdigest() for d in done], pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
                 continue
             text = pa.array([d[2] for d in done], pa.binary()).cast(pa.string())
-            own = [c for c in names if c not in ("n_lines", "n_dropped")]
-            yield pa.RecordBatch.from_arrays([*(text if c == "text" else batch["_own_keys" if c == "keys" else c] for c in own), *added], [*own, "n_lines", "n_dropped"])
+            yield pa.RecordBatch.from_arrays([*(text if c == "text" else batch["_own_keys" if c == "keys" else c] for c in names), *added], [*names, "n_lines", "n_dropped"])
 
     return joined.mapInArrow(rewrite, schema)

@@ -40,11 +40,11 @@ def definitions(t: Tables) -> DataFrame:
 
 @query(f"""with {CATALOG},
     r as (
-        select pos, name, case when lower(name) = 'steel' then 0 when starts_with(lower(name), 'steel') then 1 when contains(lower(name), 'steel') then 2 when contains(lower(display_name), 'steel') then 3
-            when contains(lower(category), 'steel') or contains(lower(grp), 'steel') then 4 when contains(lower(description), 'steel') then 5 when list_bool_or(list_transform(labels, lambda l: contains(lower(l), 'steel'))) then 6 end as rank from catalog)
+        select pos, name, case when lower(name) = 'cold' then 0 when starts_with(lower(name), 'cold') then 1 when contains(lower(name), 'cold') then 2 when contains(lower(display_name), 'cold') then 3
+            when contains(lower(category), 'cold') or contains(lower(grp), 'cold') then 4 when contains(lower(description), 'cold') then 5 when list_bool_or(list_transform(labels, lambda l: contains(lower(l), 'cold'))) then 6 end as rank from catalog)
     select pos, name, rank from r where rank is not null""")
 def param_search_ranked(t: Tables) -> DataFrame:
-    return catalog.search(definitions(t), "steel").select("pos", "name", "rank")
+    return catalog.search(definitions(t), "cold").select("pos", "name", "rank")
 
 
 @query(f"""with {CATALOG}, k as (select *, row_number() over (partition by grp order by pos) as k from catalog)

@@ -31,10 +31,10 @@ MEASURED = f"""{WINDOWS},
         from crossed group by user_id, step, n, base, final, size),
     measured as (
         select user_id, step, n,
-            coalesce(case when n >= 5 and abs(span) >= 1e-6 then (p90 - p10) * 10.0 end, -1) as rise_time_ms,
+            coalesce(case when n >= 5 and abs(span) >= 1e-6 then ((p90 - p10) * 10)::double end, -1) as rise_time_ms,
             coalesce(case when n >= 5 and abs(span) >= 1e-6 then greatest(0, case when span >= 0 then top - final else (final - bottom) end / size * 100) end, -1) as overshoot_percent,
-            coalesce(case when n >= 5 and abs(span) >= 1e-6 and settled < n then settled * 10.0 end, -1) as settling_time_ms,
-            coalesce(case when n >= 5 and abs(span) >= 1e-6 then crossings // 2 end, -1) as oscillation_count,
+            coalesce(case when n >= 5 and abs(span) >= 1e-6 and settled < n then (settled * 10)::double end, -1) as settling_time_ms,
+            coalesce(case when n >= 5 and abs(span) >= 1e-6 then (crossings // 2)::double end, -1) as oscillation_count,
             coalesce(case when n >= 5 and abs(span) >= 1e-6 then abs(abs(span) - size) / size * 100 end, -1) as ss_error_percent
         from got),
     mean_metrics as (

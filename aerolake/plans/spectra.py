@@ -27,7 +27,7 @@ def twin(demean: bool) -> str:
         from tapered cross join range({SIZE // 2 + 1}) r(k) group by vec_id, k)"""
 
 
-DB = f"{twin(True)}, db as (select vec_id, bin, bin * {RATE / SIZE} as freq, case when rms < 1e-12 then -120 else 20 * log10(a / ({SIZE} * rms) + 1e-12) end as magnitude from bins)"
+DB = f"{twin(True)}, db as (select vec_id, bin, bin * {RATE / SIZE}::double as freq, case when rms < 1e-12 then -120 else 20 * log10(a / ({SIZE} * rms) + 1e-12) end as magnitude from bins)"
 PEAKS = f"""{DB},
     around as (
         select *, median(magnitude) over (partition by vec_id) as floor, lag(magnitude) over w as l, lead(magnitude) over w as r from db window w as (partition by vec_id order by bin)),
@@ -53,7 +53,7 @@ def peaks(t: Tables) -> DataFrame:
     return spectral.local_peaks(bins(t), KEY, 3.0, 30.0, 600.0, 5)
 
 
-@query(f"""with {twin(False)} select vec_id, bin, round(bin * {RATE / SIZE}, 4) as freq, round(a * {2 / HANN_SUM!r}, 6) as linear, round(a * a / {RATE * HANN_SQUARES!r}, 9) as psd from bins""")
+@query(f"""with {twin(False)} select vec_id, bin, round(bin * {RATE / SIZE}::double, 4) as freq, round(a * {2 / HANN_SUM!r}, 6) as linear, round(a * a / {RATE * HANN_SQUARES!r}, 9) as psd from bins""")
 def dft_spectrum(t: Tables) -> DataFrame:
     linear, psd = bins(t, "linear"), bins(t, "psd").select("vec_id", "bin", F.col("magnitude").alias("psd"))
     return linear.join(psd, ["vec_id", "bin"]).select("vec_id", "bin", F.round("freq", 4).alias("freq"), F.round("magnitude", 6).alias("linear"), F.round("psd", 9).alias("psd"))
@@ -98,7 +98,7 @@ def peak_source_bands(t: Tables) -> DataFrame:
 
 
 @query(f"""with {PEAKS}, p as (select vec_id, max_by(freq, (magnitude, -freq)) as freq, max_by(rise, (magnitude, -freq)) as rise, count(*) as n from peaks group by vec_id)
-    select vec_id, n as peaks, freq, case when n >= 5 then 0.8 * freq else 0.5 * freq end as bandwidth, case when rise > 40 then 60.0::double else 40.0::double end as attenuation,
+    select vec_id, n as peaks, freq, case when n >= 5 then 0.8::double * freq else 0.5::double * freq end as bandwidth, case when rise > 40 then 60.0::double else 40.0::double end as attenuation,
         (case when n >= 3 then 4 when n = 2 then 2 when {BAND} = 'motor' then 2 else 1 end)::bigint as mode from p""")
 def notch_recommend(t: Tables) -> DataFrame:
     floor = spectral.noise_floor(bins(t), KEY).select("vec_id", "floor")

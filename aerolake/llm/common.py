@@ -21,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> SparkSession:
+    """From now on Python workers of this session get texts in Arrow batches of about ``size`` bytes, which bounds their memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    return spark
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the fifth of the documents that no model here may learn from."""
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0

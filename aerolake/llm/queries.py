@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolake.llm import decontaminate, language_id, license_scan, line_dedup, packing, quality, quality_rules, simhash, substring_dedup, token_counts
-from aerolake.llm.common import table
+from aerolake.llm.common import small_batches, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -32,10 +32,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     documents = table(spark, sf_dir, "documents")
     return language_id.identify(documents, language_id.fit(documents))
 
@@ -53,6 +55,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_paragraphs", "n_license", F.array_join("licenses", ",").alias("licenses"), "score")
 

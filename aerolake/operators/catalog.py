@@ -92,33 +92,37 @@ def fold_numbered(names: DataFrame) -> DataFrame:
 
 def lint(catalog: DataFrame, many: int = 20) -> DataFrame:
     """name, check, severity: a row for each finding; table-wide findings have an empty name."""
-    c = catalog
     finding = lambda df, check, severity: df.select("name", F.lit(check).alias("check"), F.lit(severity).alias("severity"))
     empty = F.coalesce(F.trim("description"), F.lit("")) == ""
-    repeated = c.withColumn("_k", F.row_number().over(Window.partitionBy(F.upper("name")).orderBy("pos"))).where("_k > 1")
-    whole = c.agg(F.count("*").alias("n"), F.countDistinct(F.coalesce("default", F.lit("<none>"))).alias("defaults"), F.count_if(empty).alias("empty")).withColumn("name", F.lit(""))
-    mostly = whole.select((2 * F.col("empty") > F.col("n")).alias("_mostly"))
-    parts = c.select("name", F.split("name", "_").alias("p")).where(F.size("p") > 1)
-    suffixes = parts.select(F.explode(F.transform(F.sequence(F.lit(2), F.size("p")), lambda i: F.array_join(F.slice("p", i, F.size("p")), "_"))).alias("name")).distinct()
-    discrete = F.col("type").isin("enum", "bitmask")
     members = F.coalesce(F.map_keys("members"), F.array().cast("array<string>"))
+    digit = F.col("name").rlike("^[0-9]")
+    by_row = [
+        (~F.col("name").rlike(NAME_SHAPE) & ~digit, "name_shape", "error"),
+        (digit, "digit_leading_name", "warn"),
+        (F.col("description").rlike(PLACEHOLDER), "placeholder_leak", "error"),
+        (empty, "empty_description", "warn"),
+        (F.col("type").isin("enum", "bitmask") & (F.size(members) == 0), "discrete_without_members", "warn"),
+        (F.col("min") > F.col("max"), "range_inverted", "error"),
+        ((F.col("type") == "enum") & F.exists(members, lambda k: ~k.rlike("^-?[0-9]+$")), "enum_key_not_int", "error"),
+    ]
+    each = F.filter(F.array(*(F.when(found, F.struct(F.lit(check).alias("check"), F.lit(severity).alias("severity"))) for found, check, severity in by_row)), lambda x: x.isNotNull())
+    rows = catalog.select("name", F.explode(each).alias("f")).select("name", "f.check", "f.severity")
+    whole = catalog.agg(F.count("*").alias("n"), F.countDistinct(F.coalesce("default", F.lit("<none>"))).alias("defaults"), F.count_if(empty).alias("empty")).withColumn("name", F.lit(""))
+    mostly_empty = whole.where(2 * F.col("empty") > F.col("n"))
+    # Where most descriptions are empty, one finding for the table stands for those of its rows.
+    rows = rows.join(F.broadcast(mostly_empty.select(F.lit("empty_description").alias("check"))), "check", "left_anti").select("name", "check", "severity")
+    repeated = catalog.withColumn("_k", F.row_number().over(Window.partitionBy(F.upper("name")).orderBy("pos"))).where("_k > 1")
+    parts = catalog.select(F.split("name", "_").alias("p")).where(F.size("p") > 1)
+    suffixes = parts.select(F.explode(F.transform(F.sequence(F.lit(2), F.size("p")), lambda i: F.array_join(F.slice("p", i, F.size("p")), "_"))).alias("name")).distinct()
     found = [
         finding(repeated, "duplicate_name", "error"),
         finding(whole.where((F.col("n") > many) & (F.col("defaults") == 1)), "constant_default", "error"),
-        finding(c.where(~F.col("name").rlike(NAME_SHAPE) & ~F.col("name").rlike("^[0-9]")), "name_shape", "error"),
-        finding(c.where(F.col("name").rlike("^[0-9]")), "digit_leading_name", "warn"),
-        finding(c.join(suffixes, "name", "left_semi"), "suffix_collision", "warn"),
-        finding(c.where(F.col("description").rlike(PLACEHOLDER)), "placeholder_leak", "error"),
-        finding(whole.where(2 * F.col("empty") > F.col("n")), "empty_description", "warn"),
-        finding(c.where(empty).crossJoin(F.broadcast(mostly)).where("not _mostly"), "empty_description", "warn"),
-        finding(c.where(discrete & (F.size(members) == 0)), "discrete_without_members", "warn"),
-        finding(c.where("min > max"), "range_inverted", "error"),
-        finding(c.where((F.col("type") == "enum") & F.exists(members, lambda k: ~k.rlike("^-?[0-9]+$"))), "enum_key_not_int", "error"),
+        finding(catalog.join(suffixes, "name", "left_semi"), "suffix_collision", "warn"),
+        finding(mostly_empty, "empty_description", "warn"),
     ]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    for f in found:
+        rows = rows.unionByName(f)
+    return rows
 
 
 def page(rows: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:

@@ -39,9 +39,13 @@ def notch(center: Column, bandwidth: Column, attenuation_db: Column, rate: Colum
     return (1 + alpha * amp * amp, -2 * F.cos(w), 1 - alpha * amp * amp), (1 + alpha, -2 * F.cos(w), 1 - alpha)
 
 
-def lowpass_response(filters: DataFrame, frequencies: DataFrame) -> DataFrame:
-    """``filters`` (cutoff, rate) x ``frequencies`` (freq, a bounded grid): magnitude_db and phase_deg."""
-    rows = filters.crossJoin(F.broadcast(frequencies))
+def over_grid(rows: DataFrame, step: float, points: int) -> DataFrame:
+    """A row for each of ``points`` frequencies step, 2 step, ...: made in the row, without a join."""
+    return rows.withColumn("freq", F.explode(F.transform(F.sequence(F.lit(1), F.lit(points)), lambda k: k * step)))
+
+
+def lowpass_response(rows: DataFrame) -> DataFrame:
+    """``rows`` (cutoff, rate, freq) with magnitude_db and phase_deg."""
     gain, phase = biquad_gain(*lowpass(F.col("cutoff"), F.col("rate")), F.col("freq"), F.col("rate"))
     return rows.withColumns({"magnitude_db": 20 / math.log(10) * F.greatest(gain, F.lit(math.log(1e-12))), "phase_deg": F.degrees(phase)})
 
@@ -60,10 +64,10 @@ def harmonic_notches(filters: DataFrame) -> DataFrame:
     return rows.where((F.col("at") > F.col("wide") / 2) & (F.col("at") < F.col("rate") / 2))
 
 
-def chain_response(notches: DataFrame, keys: list[str], frequencies: DataFrame) -> DataFrame:
+def chain_response(notches: DataFrame, keys: list[str], step: float, points: int) -> DataFrame:
     """keys, freq, magnitude_db, phase_deg of all notches of a key together: their complex product is a sum of logarithms and of phases."""
     gain, phase = biquad_gain(*notch(F.col("at"), F.col("wide"), F.col("attenuation"), F.col("rate")), F.col("freq"), F.col("rate"))
-    rows = notches.crossJoin(F.broadcast(frequencies)).withColumns({"g": gain, "p": phase})
+    rows = over_grid(notches, step, points).withColumns({"g": gain, "p": phase})
     out = rows.groupBy(*keys, "freq").agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
     return out.select(*keys, "freq", (20 / math.log(10) * F.greatest("g", F.lit(math.log(1e-12)))).alias("magnitude_db"), F.degrees("p").alias("phase_deg"))
 

@@ -112,10 +112,8 @@ def filter_derive(t: Tables) -> DataFrame:
             1 + 2 * (w * w - 1) / c * cos(o) + (1 - 2 * cos(pi() / 4) * w + w * w) / c * cos(2 * o) as ar, -(2 * (w * w - 1) / c * sin(o) + (1 - 2 * cos(pi() / 4) * w + w * w) / c * sin(2 * o)) as ai from k)
     select vec_id, bin, round(magnitude, 4) as magnitude, round(magnitude + greatest(10 * log10(greatest(br * br + bi * bi, 1e-300) / (ar * ar + ai * ai)), -240), 4) as filtered from r""")
 def filtered_spectrum(t: Tables) -> DataFrame:
-    grid = t.spark.range(spectra.SIZE // 2).select(F.col("id").alias("bin"), (F.col("id") * (spectra.RATE / spectra.SIZE)).alias("freq"))
-    setting = t.spark.range(1).select(F.lit(80.0).alias("cutoff"), F.lit(spectra.RATE).alias("rate"))
-    response = filters.lowpass_response(setting, grid)
-    rows = diagnosis.filtered_spectrum(spectra.bins(t), F.broadcast(response.select("bin", "magnitude_db")), ["bin"])
+    rows = spectra.bins(t).where(F.col("freq") < spectra.RATE / 2).withColumns({"cutoff": F.lit(80.0), "rate": F.lit(spectra.RATE)})
+    rows = filters.lowpass_response(rows).withColumn("filtered", F.col("magnitude") + F.col("magnitude_db"))
     return rows.select("vec_id", "bin", F.round("magnitude", 4).alias("magnitude"), F.round("filtered", 4).alias("filtered"))
 
 

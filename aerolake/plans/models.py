@@ -12,6 +12,8 @@ from aerolake.plans.registry import SIGNALS, Tables, query
 USER = ["user_id"]
 NA, NB, DELAY = 2, 1, 1
 NAMES = ["y1", "y2", "u0"]
+#: Frequency grid (Hz) of the filter responses.
+STEP, POINTS = 5.0, 40
 LAGGED = f"""{SIGNALS},
     xy as (select user_id, idx, value as u, 0.6 * value + 0.4 * coalesce(lag(value) over (partition by user_id order by idx), 0) as y from signals),
     lagged as (
@@ -75,13 +77,9 @@ LOWPASS = """with f as (select p_partkey, 20.0::double + p_size * 2.0::double as
     bode as (select p_partkey, freq, 20 * log10(sqrt(greatest(br * br + bi * bi, 1e-300) / (ar * ar + ai * ai))) as db, degrees(atan2(bi, br) - atan2(ai, ar)) as deg from r)"""
 
 
-def grid(t: Tables, n: int = 40, step: float = 5.0) -> DataFrame:
-    return t.spark.range(1, n + 1).select((F.col("id") * step).alias("freq"))
-
-
 def lowpass(t: Tables) -> DataFrame:
     settings = t.part.select("p_partkey", (20.0 + F.col("p_size") * 2.0).alias("cutoff"), (400.0 + (F.col("p_partkey") % 5) * 200.0).alias("rate"))
-    return filters.lowpass_response(settings, grid(t)).where("freq < rate / 2")
+    return filters.lowpass_response(filters.over_grid(settings, STEP, POINTS)).where("freq < rate / 2")
 
 
 @query(f"{LOWPASS} select p_partkey, freq, round(db, 4) as magnitude_db, round(deg, 4) as phase_deg from bode")
@@ -110,7 +108,7 @@ def key_frequencies(t: Tables) -> DataFrame:
 def harmonic_notch_bode(t: Tables) -> DataFrame:
     key = F.col("p_partkey")
     settings = t.part.select("p_partkey", (40.0 + F.col("p_size")).alias("center"), (10.0 + F.col("p_size") / 2.0).alias("bandwidth"), F.lit(30.0).alias("attenuation"), (1 + key % 7).alias("harmonics"), (1 + key % 3).alias("notches"), F.lit(1000.0).alias("rate"))
-    rows = filters.chain_response(filters.harmonic_notches(settings), ["p_partkey"], grid(t))
+    rows = filters.chain_response(filters.harmonic_notches(settings), ["p_partkey"], STEP, POINTS)
     return rows.select("p_partkey", "freq", F.round("magnitude_db", 4).alias("magnitude_db"), F.round("phase_deg", 4).alias("phase_deg"))
 
 

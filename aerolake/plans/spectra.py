@@ -55,8 +55,8 @@ def peaks(t: Tables) -> DataFrame:
 
 @query(f"""with {twin(False)} select vec_id, bin, round(bin * {RATE / SIZE}::double, 4) as freq, round(a * {2 / HANN_SUM!r}, 6) as linear, round(a * a / {RATE * HANN_SQUARES!r}, 9) as psd from bins""")
 def dft_spectrum(t: Tables) -> DataFrame:
-    linear, psd = bins(t, "linear"), bins(t, "psd").select("vec_id", "bin", F.col("magnitude").alias("psd"))
-    return linear.join(psd, ["vec_id", "bin"]).select("vec_id", "bin", F.round("freq", 4).alias("freq"), F.round("magnitude", 6).alias("linear"), F.round("psd", 9).alias("psd"))
+    a = F.col("magnitude") * (HANN_SUM / 2)  # of the plain transform, from which both scalings follow
+    return bins(t, "linear").select("vec_id", "bin", F.round("freq", 4).alias("freq"), F.round("magnitude", 6).alias("linear"), F.round(a * a / (RATE * HANN_SQUARES), 9).alias("psd"))
 
 
 @query(f"with {DB} select vec_id, round(median(magnitude), 4) as floor, round(coalesce(median(magnitude) filter (where freq between 20 and 50), quantile_cont(magnitude, 0.25)), 4) as quiet_floor from db group by vec_id")

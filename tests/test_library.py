@@ -106,8 +106,8 @@ def test_quaternions_round_trip(spark):
 
 
 def test_lowpass_is_3_db_down_at_its_cutoff(spark):
-    grid = spark.createDataFrame([(f,) for f in (1.0, 50.0, 150.0)], "freq double")
-    got = {r["freq"]: r["magnitude_db"] for r in filters.lowpass_response(spark.createDataFrame([(50.0, 1000.0)], "cutoff double, rate double"), grid).collect()}
+    rows = spark.createDataFrame([(50.0, 1000.0, f) for f in (1.0, 50.0, 150.0)], "cutoff double, rate double, freq double")
+    got = {r["freq"]: r["magnitude_db"] for r in filters.lowpass_response(rows).collect()}
     assert abs(got[1.0]) < 0.01 and abs(got[50.0] + 3.0103) < 1e-3 and got[150.0] < -15
 
 

@@ -106,6 +106,48 @@ def poles_to_dynamics(fits: DataFrame, keys: Sequence[str], na: int, nb: int, ra
     return rows.withColumn("p_gain", F.least(F.greatest(2 * F.pi() * F.col("bandwidth_hz") / 10, F.lit(0.01)), F.lit(0.5)))
 
 
+def arx_response(theta: list[float], na: int, nb: int, delay: int, steps: int) -> np.ndarray:
+    """Output of an ARX model for a unit step, by its recursion, scaled by its steady gain where that is finite."""
+    a, b = theta[:na], theta[na : na + nb]
+    y = np.zeros(steps)
+    for k in range(steps):
+        y[k] = sum(b[j] for j in range(nb) if k - delay - j >= 0) - sum(a[i - 1] * y[k - i] for i in range(1, na + 1) if k - i >= 0)
+    total = 1 + sum(a)
+    gain = sum(b) / total if abs(total) > 1e-9 else 0.0
+    return np.clip(y / gain, -0.5, 2.0) if abs(gain) > 1e-9 and np.isfinite(y).all() else y
+
+
+def step_responses(fits: DataFrame, keys: Sequence[str], na: int, nb: int, delay: int, steps: int) -> DataFrame:
+    """keys, response (array of ``steps`` values) of each fitted model."""
+    schema = ", ".join([*(f"{c} {fits.schema[c].dataType.simpleString()}" for c in keys), "response array<double>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [arx_response(t, na, nb, delay, steps).tolist() for t in batch["theta"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keys), pa.array(found, pa.list_(pa.float64()))], [*keys, "response"])
+
+    return fits.select(*keys, "theta").mapInArrow(run, schema)
+
+
+def simulate(samples: DataFrame, fits: DataFrame, keys: Sequence[str], u: str, na: int, nb: int, delay: int, order: str = "idx") -> DataFrame:
+    """keys, order, simulated: a model's output for its input, each value from simulated ones before. A series is sequential, so it is one task's."""
+    kinds = ", ".join([*(f"{c} {samples.schema[c].dataType.simpleString()}" for c in keys), f"{order} long", "simulated double"])
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(order)
+        theta, x = rows["theta"][0].as_py(), rows[u].to_numpy().astype(float)
+        a, b, y = theta[:na], theta[na:], np.zeros(len(x))
+        for k in range(len(x)):
+            y[k] = sum(b[j] * x[k - delay - j] for j in range(nb) if k - delay - j >= 0) - sum(a[i - 1] * y[k - i] for i in range(1, na + 1) if k - i >= 0)
+            if not -1e12 < y[k] < 1e12:  # an unstable model
+                y[k:] = np.nan
+                break
+        return pa.table({**{c: rows[c] for c in keys}, order: rows[order].cast(pa.int64()), "simulated": y})
+
+    joined = samples.select(*keys, order, u).join(fits.select(*keys, "theta"), list(keys))
+    return joined.groupBy(*keys).applyInArrow(run, kinds)
+
+
 #: Unknowns of a magnetometer calibration: M11 M22 M33 M12 M13 M23 (soft iron), c = M * offset, then the motor terms.
 FIELD_UNKNOWNS = ("m11", "m22", "m33", "m12", "m13", "m23", "cx", "cy", "cz", "tx", "ty", "tz")
 

@@ -57,11 +57,24 @@ def frame_spectra(rows: DataFrame, keys: Sequence[str], samples: str, rate_hz: f
     return rows.select(*keys, samples).mapInArrow(run, schema)
 
 
+def framed(samples: DataFrame, keys: Sequence[str], size: int, overlap: float, value: str = "value") -> DataFrame:
+    """keys, frame, samples: complete overlapping frames of each series as arrays."""
+    hop = max(1, int(size * (1 - overlap)))
+    held = F.array_sort(F.collect_list(F.struct("place", F.col(value).alias("v"))))
+    return series.frames(samples, keys, size, hop).groupBy(*keys, "frame").agg(F.transform(held, lambda s: s["v"]).alias("samples"))
+
+
+def spectrogram(samples: DataFrame, keys: Sequence[str], size: int, overlap: float, rate_hz: float, value: str = "value") -> DataFrame:
+    """keys, frame, t (of its middle), bin, freq, magnitude_db: frames side by side, without padding at the ends."""
+    hop = max(1, int(size * (1 - overlap)))
+    spectra = frame_spectra(framed(samples, keys, size, overlap, value), [*keys, "frame"], "samples", rate_hz)
+    bins = spectra.select(*keys, "frame", F.posexplode("spectrum").alias("bin", "m"))
+    return bins.select(*keys, "frame", ((F.col("frame") * hop + size / 2) / rate_hz).alias("t"), F.col("bin").cast("long").alias("bin"), (F.col("bin") * rate_hz / size).alias("freq"), (20 * F.log10(F.col("m") + 1e-9)).alias("magnitude_db"))
+
+
 def averaged_spectrum(samples: DataFrame, keys: Sequence[str], size: int, overlap: float, rate_hz: float, value: str = "value", scaling: str = "linear") -> DataFrame:
     """keys, bin, freq, magnitude, frames: mean over the frames of a series. A frame, not a series, is the unit of work."""
-    hop = max(1, int(size * (1 - overlap)))
-    framed = series.frames(samples, keys, size, hop).groupBy(*keys, "frame").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.col(value).alias("v")))), lambda s: s["v"]).alias("samples"))
-    spectra = frame_spectra(framed, [*keys, "frame"], "samples", rate_hz, scaling)
+    spectra = frame_spectra(framed(samples, keys, size, overlap, value), [*keys, "frame"], "samples", rate_hz, scaling)
     bins = spectra.select(*keys, F.posexplode("spectrum").alias("bin", "m"))
     return bins.groupBy(*keys, "bin").agg(F.avg("m").alias("magnitude"), F.count("*").alias("frames")).withColumn("freq", F.col("bin") * rate_hz / size)
 

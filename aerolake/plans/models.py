@@ -50,6 +50,24 @@ def arx_fit(t: Tables) -> DataFrame:
     return fits.join(dynamics, "user_id").select("user_id", "n", F.transform("theta", lambda x: F.round(x, 6)).alias("theta"), "reliable", F.round("fit_percent", 4).alias("fit_percent"), *(F.round(c, 4).alias(c) for c in ("omega", "zeta", "gain", "bandwidth_hz", "p_gain")))
 
 
+@query(None)
+def arx_step(t: Tables) -> DataFrame:
+    fits = models.solve(arx(t), USER, NA + NB)
+    rows = models.step_responses(fits, USER, NA, NB, DELAY, 50)
+    return rows.select("user_id", F.posexplode("response").alias("k", "response")).withColumn("response", F.round("response", 4))
+
+
+@query(f"""with recursive {LAGGED}, sim as (
+        select user_id, idx, u, 0.0::double as s from xy where idx = 0
+        union all
+        select x.user_id, x.idx, x.u, 0.5::double * sim.u + 0.3::double * sim.s from sim join xy x on x.user_id = sim.user_id and x.idx = sim.idx + 1)
+    select user_id, idx, round(s, 6) as simulated from sim""")
+def arx_simulate(t: Tables) -> DataFrame:
+    rows = pairs(t)
+    model = rows.select("user_id").distinct().withColumn("theta", F.array(F.lit(-0.3), F.lit(0.5)))
+    return models.simulate(rows, model, USER, "u", 1, 1, 1).withColumn("simulated", F.round("simulated", 6))
+
+
 @query(f"""with {LAGGED}, l as (select user_id, y, {", ".join(f"lag(u, {k}) over w as u{k}" for k in range(6))} from xy window w as (partition by user_id order by idx)),
     s as (select user_id, k, c from (select user_id, {", ".join(f"coalesce(sum(y * u{k}), 0) as c{k}" for k in range(6))} from l group by user_id) x, lateral (values {", ".join(f"({k}, c{k})" for k in range(6))}) v(k, c)),
     r as (select *, row_number() over (partition by user_id order by c desc, k) as place from s)

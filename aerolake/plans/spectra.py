@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerolake.operators import series, spectral
-from aerolake.plans.registry import Tables, query
+from aerolake.plans.registry import SIGNALS, Tables, query
 
 #: Nominal rate of the frames; a frame of 64 samples then resolves 15.625 Hz.
 RATE, SIZE, KEY = 1000.0, 64, ["vec_id"]
@@ -129,7 +129,23 @@ def wiener_step(t: Tables) -> DataFrame:
     return spectral.wiener_step(rows.select("user_id", "idx", "desired", "actual"), ["user_id"], 100.0).select("user_id", "lag_s", F.round("response", 6).alias("response"), "windows")
 
 
-@query(None)
+FRAMES = f"""{SIGNALS}, counted as (select user_id, count(*) as n from signals group by user_id),
+    f as (select user_id, unnest(range(0, 1 + ((n - 16) // 8)::bigint)) as frame from counted where n >= 16),
+    tapered as (
+        select f.user_id, f.frame, s.idx - f.frame * 8 as i, s.value * (0.5 - 0.5 * cos(2 * pi() * (s.idx - f.frame * 8) / 15)) as h
+        from f join signals s on s.user_id = f.user_id and s.idx >= f.frame * 8 and s.idx < f.frame * 8 + 16),
+    bins as (
+        select user_id, frame, k as bin, sqrt(sum(h * cos(2 * pi() * k * i / 16)) ** 2 + sum(h * sin(2 * pi() * k * i / 16)) ** 2) * {2 / sum(0.5 - 0.5 * math.cos(2 * math.pi * i / 15) for i in range(16))!r} as m
+        from tapered cross join range(9) r(k) group by user_id, frame, k)"""
+
+
+@query(f"with {FRAMES} select user_id, bin, bin * 6.25::double as freq, round(avg(m), 4) as magnitude, count(*) as frames from bins group by user_id, bin")
 def averaged_spectrum(t: Tables) -> DataFrame:
     rows = spectral.averaged_spectrum(t.signals, ["user_id"], 16, 0.5, 100.0)
-    return rows.select("user_id", "bin", "freq", F.round("magnitude", 6).alias("magnitude"), "frames")
+    return rows.select("user_id", F.col("bin").cast("long").alias("bin"), "freq", F.round("magnitude", 4).alias("magnitude"), "frames")
+
+
+@query(f"with {FRAMES} select user_id, frame, (frame * 8 + 8) / 100 as t, bin, bin * 6.25::double as freq, round(20 * log10(m + 1e-9), 4) as magnitude_db from bins where m > 1e-6")
+def spectrogram(t: Tables) -> DataFrame:
+    rows = spectral.spectrogram(t.signals, ["user_id"], 16, 0.5, 100.0)
+    return rows.where(F.col("magnitude_db") > -119.99).withColumn("magnitude_db", F.round("magnitude_db", 4))

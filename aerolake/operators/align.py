@@ -16,11 +16,10 @@ def interpolate_at(left: DataFrame, right: DataFrame, keys: Sequence[str], time:
     """
     point = F.struct(F.col(time).alias("t"), *(F.col(v).alias(v) for v in values))
     own = left.select(*keys, time, tie, F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.select(point.alias("p")).schema["p"].dataType).alias("_p"))
-    other = right.select(*keys, time, F.lit(None).cast(left.schema[tie].dataType).alias(tie), F.lit(None).cast(own.schema["_row"].dataType).alias("_row"), point.alias("_p"))
     order = Window.partitionBy(*keys).orderBy(time)
     back, ahead = order.rangeBetween(Window.unboundedPreceding, 0), order.rangeBetween(0, Window.unboundedFollowing)
     # Of right rows at one time the one with the largest values stands for all, whatever their order.
-    other = other.groupBy(*keys, time).agg(F.max("_p").alias("_p")).select(*keys, time, F.lit(None).cast(left.schema[tie].dataType).alias(tie), F.lit(None).cast(own.schema["_row"].dataType).alias("_row"), "_p")
+    other = right.groupBy(*keys, time).agg(F.max(point).alias("_p")).select(*keys, time, F.lit(None).cast(left.schema[tie].dataType).alias(tie), F.lit(None).cast(own.schema["_row"].dataType).alias("_row"), "_p")
     met = own.unionByName(other).withColumns({"_b": F.last("_p", True).over(back), "_a": F.first("_p", True).over(ahead)}).where(F.col("_row").isNotNull())
     share = F.coalesce(F.try_divide(F.col(time) - F.col("_b.t"), F.col("_a.t") - F.col("_b.t")), F.lit(0.0))
     lerp = {v: F.when(F.col("_b").isNull(), F.col(f"_a.{v}")).when(F.col("_a").isNull(), F.col(f"_b.{v}")).otherwise(F.col(f"_b.{v}") + (F.col(f"_a.{v}") - F.col(f"_b.{v}")) * share) for v in values}

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,14 +54,3 @@ def join_small(left: DataFrame, right: DataFrame, on: str | list[str], how: str,
 
 def texts_as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
-
-
-def scan(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``per_batch`` over Arrow batches of ``df``; batches without a result are left out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := per_batch(batch)) is not None:
-                yield out
-
-    return df.mapInArrow(run, schema)

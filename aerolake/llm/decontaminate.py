@@ -12,7 +12,6 @@ suffices and together otherwise, which gives the same since equal rows have equa
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np

@@ -12,27 +12,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolake.llm import decontaminate, line_dedup, packing, quality, simhash
-from aerolake.llm.common import join_small, materialize, table
+from aerolake.llm.common import join_small, materialize, small_batches, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality classifier rejects."""
+    small_batches(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """With repeated long lines in one document each, and n_chars of the text that stays."""
+    small_batches(spark)
     rewritten = line_dedup.dedupe_lines(docs)
     return rewritten.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """With one document of each group of near copies, that with the smallest doc_id."""
+    small_batches(spark)
     return simhash.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that benchmark passages contaminate."""
+    small_batches(spark)
     judged = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     gone = materialize(judged.where("contaminated").select("doc_id").distinct())
     return join_small(docs, gone, "doc_id", "left_anti")
@@ -40,6 +44,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document that is left, with its place in the packed sequences."""
+    small_batches(spark)
     path = public_tokenizers.path
     return packing.pack(docs, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 

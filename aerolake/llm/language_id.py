@@ -56,39 +56,40 @@ class Model:
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.known = model, dict(model.words)
-        self.table = np.concatenate([model.table, np.zeros((CACHE_WORDS, len(model.langs)))])
-        self.used = len(model.table)
-
-    def backed_off(self, word: str) -> np.ndarray:
-        grams, table = self.model.grams, self.model.table
-        for n in range(LONGEST, 0, -1):
-            if found := [grams[g] for g in grams_of(word, n) if g in grams]:
-                return table[found].mean(axis=0)
-        return np.zeros(len(self.model.langs))
-
-    def place(self, word: str) -> int:
-        if self.used == len(self.table):
-            self.known, self.used = dict(self.model.words), len(self.model.table)
-        self.table[self.used] = self.backed_off(word)
-        self.known[word] = self.used
-        self.used += 1
-        return self.used - 1
+        self.model = model
+        self.backed: dict[str, list[float]] = {}
+        rows = model.table.tolist()
+        self.grams = {g: rows[i] for g, i in model.grams.items()}
+
+    def backed_off(self, word: str) -> list[float]:
+        """Mean log frequencies of the longest n-grams of a word of which any is known."""
+        get, marked = self.grams.get, f"<{word}>"
+        for n in range(LONGEST, 1, -1):
+            if found := [g for i in range(len(marked) - n + 1) if (g := get(marked[i : i + n]))]:
+                return [sum(c) / len(found) for c in zip(*found, strict=True)]
+        if found := [g for letter in word if (g := get(letter))]:
+            return [sum(c) / len(found) for c in zip(*found, strict=True)]
+        return [0.0] * len(self.model.langs)
+
+    def unseen(self, word: str) -> list[float]:
+        scores = self.backed_off(word)
+        if len(self.backed) >= CACHE_WORDS:
+            self.backed.clear()
+        self.backed[word] = scores
+        return scores
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         words = words_of(text)
         if not words or not self.model.langs:
             return "und", 0.0
+        rows = list(map(self.model.words.get, words))
         total = np.zeros(len(self.model.langs))
-        for at in range(0, len(words), CACHE_WORDS // 2):
-            part = words[at : at + CACHE_WORDS // 2]
-            rows = list(map(self.known.get, part))
-            if None in rows:
-                if self.used + len(part) > len(self.table):  # rows of this part must stay valid
-                    self.known, self.used = dict(self.model.words), len(self.model.table)
-                get = self.known.get
-                rows = [self.place(w) if (r := get(w)) is None else r for w in part]
-            total += self.table[rows].sum(axis=0)
+        if None in rows:
+            get = self.backed.get
+            total += np.array([get(w) or self.unseen(w) for w, r in zip(words, rows, strict=True) if r is None]).sum(axis=0)
+            rows = [r for r in rows if r is not None]
+        if rows:
+            total += self.model.table[rows].sum(axis=0)
         best = int(total.argmax())
         return self.model.langs[best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum())
 

@@ -133,9 +133,15 @@ def train(negatives: list[list[bytes]], steps: int = 150, rate: float = 1.0, dec
 
 
 def some_lines(documents: DataFrame, most: int = NEGATIVES) -> list[list[bytes]]:
-    """Words of at most ``most`` lines, one of each of the documents whose doc_id hashes lowest."""
+    """Words of at most ``most`` lines, each the last of a document whose doc_id hashes low. A threshold on the hash leaves about
+    four times as many, so that no task has to order more.
+    """
+    n = documents.count()
+    thinned = documents.where("text is not null").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
+    if n > 4 * most:
+        thinned = thinned.where(F.col("h") < int((1 << 40) * 4 * most / n))
     line = F.substring(F.element_at(F.split("text", "\n"), -1), 1, 400)
-    rows = documents.where("text is not null").select(F.xxhash64("doc_id").alias("h"), line.alias("line")).orderBy("h", "line").limit(most).collect()
+    rows = thinned.select("h", line.alias("line")).orderBy("h", "line").limit(most).collect()
     return [w for r in rows if (w := words_of(r["line"].encode()))]
 
 

@@ -1,19 +1,25 @@
-"""Operator 9: licence scan, a sparse word n-gram logistic regression over paragraphs.
+"""Operator 9: licence scan, a sparse word n-gram logistic regression over windows of words.
 
-Every non-empty line is a paragraph. Its features are word bigrams and trigrams (ASCII-lower-cased words of letters, digits and
-other alphabets) that occur in ``TEMPLATES``. The classifier is trained here: positives are the templates, whole and with words dropped
+Every non-empty line is a paragraph; lines up to one without words (also an empty comment line) form a block, in which notices may be
+wrapped. Features are word bigrams and trigrams (ASCII-lower-cased words of letters, digits and other alphabets, which leaves comment
+marks out) that occur in ``TEMPLATES``. The classifier is trained here: positives are the templates, whole and with words dropped
 or put around them (seeded); negatives are at most ``NEGATIVES`` lines of the corpus that look like no template, so the
-class ``unknown`` is learnt too. A temperature fitted on a fifth of the examples calibrates the probabilities; a paragraph whose
-best family stays under ``CONFIDENCE`` is unknown. A prediction counts once it is confirmed: of the bigrams of one template of that
-family the paragraph must hold ``CONFIRM``. One scan classifies every paragraph of every text, without a shuffle.
+class ``unknown`` is learnt too. A temperature fitted on a fifth of the examples calibrates the probabilities. A window starts at any
+bigram of a template, spans at most twice the template and ``SLACK`` words, and is confirmed if it holds ``CONFIRM`` of the template's bigrams and
+the classifier gives it the template's family with ``CONFIDENCE``. Of overlapping windows the one with the largest share counts, so a
+block may name several families. One scan reads every block of every text, without a shuffle.
 
 Null and empty texts have no paragraphs. Repeated rows are scanned alike; an empty table trains on templates alone. Extra columns
-are dropped. Families are listed once, in order of name.
+are dropped. Families are listed once, in order of name; a notice counts for the paragraph in which it begins.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 import re
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +30,7 @@ from pyspark.sql import functions as F
 
 CONFIDENCE = 0.5
 CONFIRM = 0.6
+SLACK = 8
 NEGATIVES = 1000
 UNKNOWN = "unknown"
 #: Sentences by which licences are stated in public texts: fixed values.
@@ -43,6 +50,8 @@ TEMPLATES: dict[str, list[str]] = {
     "unlicense": ["This is free and unencumbered software released into the public domain", "Released under the Unlicense"],
 }
 WORDS = re.compile(rb"[a-z0-9\x80-\xff]+")
+#: Comment marks that are words.
+MARKS = re.compile(rb"\s*(?:dnl|rem)\s", re.IGNORECASE)
 
 
 def words_of(paragraph: bytes) -> list[bytes]:
@@ -62,6 +71,13 @@ class Model:
     temperature: float
     templates: dict[str, list[frozenset]]
 
+    def __post_init__(self) -> None:
+        self.listed = [(family, len(t), math.ceil(CONFIRM * len(t) - 1e-9)) for family, ts in self.templates.items() for t in ts]
+        self.holders: dict[tuple[bytes, bytes], list[int]] = defaultdict(list)
+        for k, t in enumerate(t for ts in self.templates.values() for t in ts):
+            for g in t:
+                self.holders[g].append(k)
+
     def probabilities(self, rows: list[list[int]]) -> np.ndarray:
         logits = np.stack([self.weights[[*row, -1]].sum(axis=0) for row in rows]) / self.temperature
         return softmax(logits)
@@ -78,6 +94,89 @@ class Model:
         own = set(zip(words, words[1:], strict=False))
         return self.families[best], float(p[best]), max(len(own & t) / len(t) for t in self.templates[self.families[best]])
 
+    def notices(self, words: list[bytes], begins: list[int]) -> list[tuple[int, str, float]]:
+        """First word, family and probability of each confirmed window of a block, whose lines begin at the words ``begins``."""
+        pairs = list(zip(words, words[1:], strict=False))
+        places: dict[int, list[int]] = defaultdict(list)
+        for i, g in enumerate(pairs):
+            if g in self.starts:
+                for k in self.holders[g]:
+                    places[k].append(i)
+        judged: dict[tuple[bytes, ...], tuple[str, float, float]] = {}
+
+        def window(k: int, at: int, past: int) -> tuple | None:
+            """The shortest window from the place ``at`` on that holds most of the template before the bigram ``past``, if it is confirmed."""
+            family, size, least = self.listed[k]
+            own, first = places[k], places[k][at]
+            seen, end = set(), first
+            for j in range(at, len(own)):
+                i = own[j]
+                if i >= past or i > first + 2 * size + SLACK:
+                    break
+                if pairs[i] not in seen:
+                    seen.add(pairs[i])
+                    end = i
+            if len(seen) < least:
+                return None
+            held = tuple(words[first : end + 2])
+            if held not in judged:
+                judged[held] = self.classify(list(held))
+            if judged[held][0] != family:
+                return None
+            return -len(seen) / size, end + 1 >= line_end(first), end - first, first, k, at, end, judged[held][1]
+
+        line_end = lambda i: begins[x] if (x := bisect_right(begins, i)) < len(begins) else len(words)
+        inside, across = [], []
+        for k, own in places.items():
+            if len({pairs[i] for i in own}) >= self.listed[k][2]:
+                for at, i in enumerate(own):
+                    if (w := window(k, at, len(words))) is not None:
+                        (across if w[1] else inside).append(w)
+                    if (w is None or w[1]) and (w := window(k, at, line_end(i) - 1)) is not None:
+                        inside.append(w)
+        # Where a line alone names a family, a window that takes words of other lines adds nothing.
+        ends: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        for w in inside:
+            ends[self.listed[w[4]][0]].append((w[3], w[6]))
+        for spans in ends.values():
+            spans.sort()
+        heap = inside + [w for w in across if not holds(ends[self.listed[w[4]][0]], w[3], w[6])]
+        heapq.heapify(heap)
+        taken, found = bytearray(len(words)), []
+        while heap:
+            _, _, _, first, k, at, end, p = heapq.heappop(heap)
+            if taken[first]:
+                continue
+            clash = taken.find(1, first, end + 1)
+            if clash < 0:
+                taken[first : end + 1] = b"\1" * (end + 1 - first)
+                found.append((first, self.listed[k][0], p))
+            elif (w := window(k, at, clash)) is not None:
+                heapq.heappush(heap, w)
+        return sorted(found)
+
+
+def holds(spans: list[tuple[int, int]], first: int, end: int) -> bool:
+    """Whether one of the sorted spans lies within these bounds."""
+    return any(b <= end for _, b in spans[bisect_left(spans, (first, 0)) : bisect_left(spans, (end + 1, 0))])
+
+
+def blocks_of(lines: list[bytes]) -> Iterator[tuple[list[bytes], list[int], list[int]]]:
+    """Words of each block, where its lines begin in them, and the numbers of these lines among the non-empty ones."""
+    words, begins, numbers, k = [], [], [], 0
+    for line in lines:
+        own = words_of(line[m.end() :] if (m := MARKS.match(line)) else line)
+        if own:
+            begins.append(len(words))
+            numbers.append(k)
+            words += own
+        elif words:
+            yield words, begins, numbers
+            words, begins, numbers = [], [], []
+        k += bool(line.strip())
+    if words:
+        yield words, begins, numbers
+
 
 def softmax(logits: np.ndarray) -> np.ndarray:
     e = np.exp(logits - logits.max(axis=1, keepdims=True))
@@ -149,7 +248,7 @@ OUT = "doc_id long, n_paragraphs long, n_license long, licenses array<string>, s
 
 
 def scan_licenses(documents: DataFrame, model: Model | None = None) -> DataFrame:
-    """Of every row: doc_id, n_paragraphs, n_license (confirmed ones), licenses, score (of the surest, 0 without), paragraphs (their numbers)."""
+    """Of every row: doc_id, n_paragraphs, n_license (those in which a confirmed notice begins), licenses, score (of the surest, 0 without), paragraphs (their numbers)."""
     shared = documents.sparkSession.sparkContext.broadcast(model or train(some_lines(documents)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,15 +256,13 @@ def scan_licenses(documents: DataFrame, model: Model | None = None) -> DataFrame
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), strict=True):
-                lines = [x for x in (text or b"").split(b"\n") if x.strip()]
+                lines = (text or b"").split(b"\n")
                 found = []
-                for k, line in enumerate(lines):
-                    words = words_of(line)
+                for words, begins, numbers in blocks_of(lines):
                     if not model.starts.isdisjoint(zip(words, words[1:], strict=False)):
-                        family, p, held = model.classify(words)
-                        if family != UNKNOWN and held >= CONFIRM:
-                            found.append((k, family, p))
-                rows.append((doc_id, len(lines), len(found), sorted({f for _, f, _ in found}), max((p for _, _, p in found), default=0.0), [k for k, _, _ in found]))
+                        found += [(numbers[bisect_right(begins, i) - 1], family, p) for i, family, p in model.notices(words, begins)]
+                at = sorted({k for k, _, _ in found})
+                rows.append((doc_id, sum(1 for x in lines if x.strip()), len(at), sorted({f for _, f, _ in found}), max((p for _, _, p in found), default=0.0), at))
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.float64(), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_paragraphs", "n_license", "licenses", "score", "paragraphs"])

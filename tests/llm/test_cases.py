@@ -247,6 +247,21 @@ def test_licenses_are_found_and_confirmed(spark):
     assert {r["doc_id"]: (r["licenses"], r["n_paragraphs"]) for r in found.collect()} == {1: (["apache-2.0"], 2), 2: (["cc-by-nc", "mit"], 2), 3: ([], 1), 4: (["agpl-3.0"], 1), 5: ([], 0), 6: ([], 1)}
 
 
+def test_wrapped_and_joined_licenses_are_found(spark):
+    fsf = "This {} is free software; you can redistribute it and/or\nmodify it under the terms of the GNU{} General Public\nLicense as published by the Free Software Foundation; either\nversion 3 of the License, or (at your option) any later version."
+    texts = {
+        1: "/*\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:\n *\n * 1. Keep this.\n */",
+        2: "# Permission to use, copy, modify, and/or distribute this software for any\n# purpose with or without fee is hereby granted, provided that the above\n# copyright notice appears.",
+        3: fsf.format("library", " Lesser"), 4: fsf.format("program", ""), 5: fsf.format("program", " Affero"),
+        6: "Licensed under the MIT License or the Apache License, Version 2.0, at your option", 7: "Released under the BSD License. Parts: Licensed under the Apache License, Version 2.0. " + "More words. " * 500 + "Licensed under CC BY 4.0",
+        8: "Released under the\n\nMIT License", 9: "Released under the ISC License.\nReleased under the ISC License.",
+    }
+    found = license_scan.scan_licenses(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert {r["doc_id"]: (r["licenses"], r["paragraphs"]) for r in found.collect()} == {
+        1: (["bsd"], [1]), 2: (["isc"], [0]), 3: (["lgpl"], [0]), 4: (["gpl"], [0]), 5: (["agpl-3.0"], [0]), 6: (["apache-2.0", "mit"], [0]), 7: (["apache-2.0", "bsd", "cc-by"], [0]), 8: ([], []), 9: (["isc"], [0, 1]),
+    }
+
+
 def test_pipeline_by_hand(spark, data_dir):
     docs = spark.read.parquet(f"{data_dir}/documents.parquet")
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{data_dir}/benchmark.parquet").collect()]

@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolake.operators import series
@@ -168,13 +168,23 @@ def recommend_notch(peaks: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def step_response(setpoint: np.ndarray, measured: np.ndarray, rate_hz: float, cut_hz: float = 25.0, seconds: float = 0.5, lowest: float = 20.0, highest: float = float("inf")) -> tuple[np.ndarray, int]:
-    """Wiener-deconvolved step response averaged over overlapping windows, and the number of windows that counted."""
-    n = len(setpoint)
+def response_window(rate_hz: float) -> int:
+    """Samples of a window of ``step_response`` in a long series: the smallest power of two that holds a second."""
     size = 1
     while size < int(rate_hz):
         size *= 2
-    size = max(64, min(size, n // 2))
+    return size
+
+
+def step_response(
+    setpoint: np.ndarray, measured: np.ndarray, rate_hz: float, cut_hz: float = 25.0, seconds: float = 0.5, lowest: float = 20.0, highest: float = float("inf"),
+    whole: int | None = None, offset: int = 0, past: int | None = None,
+) -> tuple[np.ndarray, int]:
+    """Wiener-deconvolved step response averaged over overlapping windows, and the number of windows that counted. Of a part of a series:
+    ``whole`` is the count of all its samples, ``offset`` the place of the part's first; windows start on the hop grid of the series, before ``past`` in the part.
+    """
+    n = len(setpoint)
+    size = max(64, min(response_window(rate_hz), (n if whole is None else whole) // 2))
     steps = min(int(np.ceil(seconds * rate_hz)), size)
     if n < size:
         return np.zeros(steps), 0
@@ -193,7 +203,7 @@ def step_response(setpoint: np.ndarray, measured: np.ndarray, rate_hz: float, cu
     if size % 2 == 0:
         scale[-1] = 1 / size
     total, counted = np.zeros(steps), 0
-    for at in range(0, n - size + 1, hop):
+    for at in range(-offset % hop, n - size + 1 if past is None else min(n - size + 1, past), hop):
         target, actual = setpoint[at : at + size], measured[at : at + size]
         if not (np.isfinite(target).all() and np.isfinite(actual).all()):
             continue
@@ -210,16 +220,22 @@ def step_response(setpoint: np.ndarray, measured: np.ndarray, rate_hz: float, cu
 
 
 def wiener_step(samples: DataFrame, keys: Sequence[str], rate_hz: float, desired: str = "desired", actual: str = "actual", order: str = "idx", segment: int = 1 << 16, **gates: float) -> DataFrame:
-    """keys, lag_s, response, windows: of each series, in segments of at most ``segment`` samples that are averaged by their windows, so no task holds a whole flight."""
+    """keys, lag_s, response, windows of each series. A task holds ``segment`` samples, with those that windows starting in them need from
+    the next ones; window size and hop grid are the whole series', so segments change nothing and no kernel holds a whole flight.
+    """
     kinds = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys)
-    parts = samples.withColumn("_segment", F.floor(F.col(order) / segment))
+    n, at = F.count("*").over(Window.partitionBy(*keys)), F.row_number().over(series.along(keys, order)) - 1
+    size = F.greatest(F.lit(64), F.least(F.lit(response_window(rate_hz)), F.floor(F.col("_n") / 2)))
+    rows = samples.select(*keys, desired, actual, n.alias("_n"), at.cast("long").alias("_at"))
+    parts = rows.withColumn("_segment", F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("_at") - size + 1) / segment)), F.floor(F.col("_at") / segment))))
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by(order)
-        response, windows = step_response(table[desired].to_numpy().astype(float), table[actual].to_numpy().astype(float), rate_hz, **gates)
+        table = table.sort_by("_at")
+        offset = table["_segment"][0].as_py() * segment
+        response, windows = step_response(table[desired].to_numpy().astype(float), table[actual].to_numpy().astype(float), rate_hz, whole=table["_n"][0].as_py(), offset=offset, past=segment, **gates)
         n = len(response)
         return pa.table({**{k: pa.array([table[k][0].as_py()] * n, table.schema.field(k).type) for k in keys}, "lag": np.arange(n), "response": response, "windows": np.full(n, windows)})
 
-    found = parts.select(*keys, "_segment", order, desired, actual).groupBy(*keys, "_segment").applyInArrow(run, f"{kinds}, lag long, response double, windows long")
+    found = parts.groupBy(*keys, "_segment").applyInArrow(run, f"{kinds}, lag long, response double, windows long")
     weighted = F.try_divide(F.sum(F.col("response") * F.col("windows")), F.sum("windows"))
     return found.groupBy(*keys, "lag").agg(weighted.alias("response"), F.sum("windows").alias("windows")).withColumn("lag_s", F.col("lag") / rate_hz)

@@ -45,6 +45,19 @@ def test_weak_excitation_gives_no_window():
     assert spectral.step_response(u, u, 1000.0)[1] == 0
 
 
+@pytest.mark.parametrize("n", [3050, 3000, 2100, 130, 40])
+def test_segments_do_not_change_a_response(spark, n):
+    u = levels(n, 100, seed=5)
+    y = second_order(u, 100, omega=20.0)
+    df = spark.createDataFrame(pd.DataFrame({"k": "a", "idx": 7 + np.arange(n), "desired": u, "actual": y}))
+    whole, windows = spectral.step_response(u, y, 100.0)
+    assert windows > 0 or n < 64
+    for segment in (1000, 1 << 16):
+        got = spectral.wiener_step(df, ["k"], 100.0, segment=segment).orderBy("lag").collect()
+        assert len(got) == len(whole) and {r["windows"] for r in got} == {windows}
+        assert np.allclose([r["response"] or 0.0 for r in got], whole, atol=1e-12)
+
+
 def test_peak_at_a_known_frequency():
     t = np.arange(400) / 400
     s = spectral.amplitude_spectra((2 * np.sin(2 * np.pi * 80 * t) + np.random.default_rng(1).normal(0, 0.1, 400))[None], 400.0, "dbfs")[0]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,14 +42,68 @@ def step_candidates(samples: DataFrame, keys: Keys, value: str = "value", idx: s
     return jumps.where(F.abs("jump") >= step_threshold(F.col("largest"), share)).select(*keys, "step", "jump")
 
 
-def keep_spaced(candidates: DataFrame, keys: Keys, spacing: int, step: str = "step") -> DataFrame:
-    """Of the candidates in order, each that is at least ``spacing`` after the last kept one."""
-    kept = F.aggregate(
-        F.array_sort(F.collect_list(step)),
-        F.array().cast("array<bigint>"),
-        lambda out, i: F.when((F.size(out) == 0) | (i - F.coalesce(F.try_element_at(out, F.lit(-1)), i) >= spacing), F.array_append(out, i)).otherwise(out),
-    )
-    return candidates.groupBy(*keys).agg(kept.alias("steps")).select(*keys, F.explode("steps").alias(step))
+def keep_spaced(candidates: DataFrame, keys: Keys, spacing: int, step: str = "step", block: int = 1 << 13) -> DataFrame:
+    """Of the candidates in order, each that is at least ``spacing`` after the last kept one. What a block of ``block`` indexes keeps hangs only
+    on the first index that may be kept in it, one of ``spacing``: so blocks are mapped from it to the next one's apart, a scan of these maps
+    gives each block its own, and blocks are read again from there. A task holds a block, or a map of at most ``spacing`` numbers for each block of a series.
+    """
+    block = max(block, 64 * spacing)
+    kinds = ", ".join(f"{k} {candidates.schema[k].dataType.simpleString()}" for k in keys)
+    at = F.col(step).cast("long")
+    blocks = candidates.where(at.isNotNull()).groupBy(*keys, F.floor(at / block).alias("_block")).agg(F.array_sort(F.collect_set(at)).alias("_steps"))
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for number, steps in zip(batch["_block"].to_pylist(), batch["_steps"], strict=True):
+                steps = steps.values.to_numpy()
+                after = np.searchsorted(steps, steps + spacing)
+                end = np.append(steps + spacing, 0)
+                for i in range(len(steps) - 1, -1, -1):
+                    if after[i] < len(steps):
+                        end[i] = end[after[i]]
+                starts = number * block + np.arange(spacing)
+                found = np.searchsorted(steps, starts)
+                own = np.where(found < len(steps), end[found], starts)
+                out.append(own[:1] if (own == own[0]).all() else own)
+            yield pa.RecordBatch.from_arrays([*(batch[k] for k in keys), batch["_block"], pa.array(out, pa.list_(pa.int64()))], [*keys, "_block", "_ends"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, numbers, starts = [], [], []
+            for row, maps in enumerate(batch["_maps"].to_pylist()):
+                start = None
+                for m in maps:
+                    first = m["_block"] * block
+                    start = first if start is None else max(first, start)
+                    rows.append(row)
+                    numbers.append(m["_block"])
+                    starts.append(start)
+                    start = m["_ends"][min(start - first, len(m["_ends"]) - 1)]
+            yield pa.RecordBatch.from_arrays([*(batch[k].take(pa.array(rows, pa.int64())) for k in keys), pa.array(numbers, pa.int64()), pa.array(starts, pa.int64())], [*keys, "_block", "_start"])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, kept = [], []
+            for row, (start, steps) in enumerate(zip(batch["_start"].to_pylist(), batch["_steps"].to_pylist(), strict=True)):
+                for i in steps:
+                    if i >= start:
+                        rows.append(row)
+                        kept.append(i)
+                        start = i + spacing
+            yield pa.RecordBatch.from_arrays([*(batch[k].take(pa.array(rows, pa.int64())) for k in keys), pa.array(kept, pa.int64())], [*keys, step])
+
+    mapped = blocks.mapInArrow(ends, f"{kinds}, _block long, _ends array<long>")
+    maps = mapped.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_block", "_ends"))).alias("_maps"))
+    starts = maps.mapInArrow(scan, f"{kinds}, _block long, _start long")
+    return join_keys(blocks, starts, [*keys, "_block"]).mapInArrow(keep, f"{kinds}, {step} long")
+
+
+def join_keys(left: DataFrame, right: DataFrame, keys: Keys) -> DataFrame:
+    """Inner join in which null keys meet."""
+    right = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    both = [left[k].eqNullSafe(right[f"_right_{k}"]) for k in keys]
+    return left.join(right, both).drop(*(f"_right_{k}" for k in keys))
 
 
 def repair_outliers(samples: DataFrame, keys: Keys, limit: float, value: str = "value", idx: str = "idx") -> DataFrame:

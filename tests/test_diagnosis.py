@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import hypothesis.strategies as st
 from hypothesis import HealthCheck, given, settings
 from pyspark.sql import functions as F
@@ -57,6 +59,26 @@ def test_spacing_is_greedy(spark, steps, spacing):
     assert [r["step"] for r in series.keep_spaced(rows, ["k"], spacing).orderBy("step").collect()] == spaced(steps, spacing)
 
 
+def test_spacing_over_blocks_is_greedy(spark):
+    rng = random.Random(4)
+    spacing, n = 7, 20_000
+    found = {
+        "dense": list(range(n)), "thin": [i for i in range(n) if rng.random() < 0.1], "gaps": [i for i in range(n) if i // 1500 % 3 == 0 and rng.random() < 0.6], "edge": [447, 448, 449, 454, 455, 895, 896, 901, 902, 903],
+        None: [i for i in range(n) if rng.random() < 0.4] * 2,
+    }
+    rows = spark.createDataFrame([(k, s) for k, steps in found.items() for s in steps], "k string, step long").repartition(3)
+    got = {}
+    for r in series.keep_spaced(rows, ["k"], spacing, block=64).collect():
+        got.setdefault(r["k"], []).append(r["step"])
+    assert {k: sorted(v) for k, v in got.items()} == {k: spaced(set(v), spacing) for k, v in found.items()}
+
+
+def test_a_long_dense_series_is_spaced_in_time(spark):
+    n = 1_000_000
+    steps = series.keep_spaced(spark.range(n).select(F.lit("a").alias("k"), F.col("id").alias("step")), ["k"], 5)
+    assert steps.agg(F.count("*"), F.min("step"), F.max("step"), F.sum(F.col("step") % 5)).first() == (n // 5, 0, n - 5, 0)
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(times=st.lists(st.floats(0, 100), min_size=1, max_size=12, unique=True), at=st.lists(st.floats(-10, 110), min_size=1, max_size=12))
 def test_interpolation_is_numpys(spark, times, at):

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolake.operators import series
@@ -129,23 +130,72 @@ def step_responses(fits: DataFrame, keys: Sequence[str], na: int, nb: int, delay
     return fits.select(*keys, "theta").mapInArrow(run, schema)
 
 
-def simulate(samples: DataFrame, fits: DataFrame, keys: Sequence[str], u: str, na: int, nb: int, delay: int, order: str = "idx") -> DataFrame:
-    """keys, order, simulated: a model's output for its input, each value from simulated ones before. A series is sequential, so it is one task's."""
-    kinds = ", ".join([*(f"{c} {samples.schema[c].dataType.simpleString()}" for c in keys), f"{order} long", "simulated double"])
-
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by(order)
-        theta, x = rows["theta"][0].as_py(), rows[u].to_numpy().astype(float)
-        a, b, y = theta[:na], theta[na:], np.zeros(len(x))
-        for k in range(len(x)):
-            y[k] = sum(b[j] * x[k - delay - j] for j in range(nb) if k - delay - j >= 0) - sum(a[i - 1] * y[k - i] for i in range(1, na + 1) if k - i >= 0)
-            if not -1e12 < y[k] < 1e12:  # an unstable model
-                y[k:] = np.nan
-                break
-        return pa.table({**{c: rows[c] for c in keys}, order: rows[order].cast(pa.int64()), "simulated": y})
-
-    joined = samples.select(*keys, order, u).join(fits.select(*keys, "theta"), list(keys))
-    return joined.groupBy(*keys).applyInArrow(run, kinds)
+def recursion(a: list[float], forced: np.ndarray, before: list[float], most: float) -> tuple[np.ndarray, list[float]]:
+    """y[k] = forced[k] - a[0] y[k - 1] - ... after the values ``before`` (latest first), and the last of them; not a number from the first value beyond ``most`` on."""
+    y, last = np.zeros(len(forced)), list(before)
+    for k, f in enumerate(forced.tolist()):
+        v = f - sum(c * x for c, x in zip(a, last, strict=True))
+        if not -most < v < most:  # an unstable model
+            y[k:] = np.nan
+            return y, [np.nan] * len(a)
+        y[k] = v
+        last = [v, *last][: len(a)]
+    return y, last
+
+
+def transition(a: list[float], steps: int) -> np.ndarray:
+    """What ``steps`` of the recursion without force make of its last values; bounded, so that zeros stay zeros."""
+    base, out = np.eye(len(a), k=-1), np.eye(len(a))
+    base[:1] = [-c for c in a]
+    while steps:
+        if steps & 1:
+            out = np.clip(out @ base, -1e150, 1e150)
+        base, steps = np.clip(base @ base, -1e150, 1e150), steps >> 1
+    return out
+
+
+def simulate(samples: DataFrame, fits: DataFrame, keys: Sequence[str], u: str, na: int, nb: int, delay: int, order: str = "idx", block: int = 1 << 13) -> DataFrame:
+    """keys, order, simulated: a model's output for its input, each value from simulated ones before; not a number from the first value beyond 1e12 on.
+
+    The recursion is affine, so blocks of ``block`` samples run apart from zeros, a scan of their last values and of the model's transition gives
+    each its start, and they run again from there. A task holds a block, or ``na`` numbers for each block of a series.
+    """
+    along = series.along(keys, order)
+    kinds = ", ".join(f"{c} {samples.schema[c].dataType.simpleString()}" for c in keys)
+    inputs = [F.lag(F.col(u).cast("double"), delay + j, 0.0).over(along) for j in range(nb)]
+    placed = samples.select(*keys, F.col(order).cast("long").alias(order), (F.row_number().over(along) - 1).cast("long").alias("_at"), F.array(*inputs).alias("_x"))
+    known = placed.join(fits.select(*keys, "theta"), list(keys))
+    forced = reduce(lambda x, y: x + y, (F.col("theta")[na + j] * F.col("_x")[j] for j in range(nb)), F.lit(0.0))
+    rows = known.select(*keys, order, "_at", F.floor(F.col("_at") / block).alias("_block"), F.slice("theta", 1, na).alias("_a"), forced.alias("_f"))
+
+    def ends(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_at")
+        a = table["_a"][0].as_py()
+        _, last = recursion(a, table["_f"].to_numpy().astype(float), [0.0] * na, 1e150)
+        return pa.table({**{c: table[c][:1] for c in [*keys, "_block"]}, "_a": pa.array([a], pa.list_(pa.float64())), "_last": pa.array([last], pa.list_(pa.float64()))})
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, numbers, starts = [], [], []
+            for i, (a, parts) in enumerate(zip(batch["_a"].to_pylist(), batch["_parts"].to_pylist(), strict=True)):
+                over, state = transition(a, block), np.zeros(na)
+                for part in parts:
+                    at.append(i)
+                    numbers.append(part["_block"])
+                    starts.append(state.tolist())
+                    state = np.array(part["_last"], float) + over @ state
+            yield pa.RecordBatch.from_arrays([*(batch[c].take(pa.array(at, pa.int64())) for c in keys), pa.array(numbers, pa.int64()), pa.array(starts, pa.list_(pa.float64()))], [*keys, "_block", "_start"])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_at")
+        y, _ = recursion(table["_a"][0].as_py(), table["_f"].to_numpy().astype(float), table["_start"][0].as_py(), 1e12)
+        return pa.table({**{c: table[c] for c in keys}, order: table[order], "_at": table["_at"], "simulated": y})
+
+    parts = rows.groupBy(*keys, "_block").applyInArrow(ends, f"{kinds}, _block long, _a array<double>, _last array<double>")
+    scanned = parts.groupBy(*keys).agg(F.first("_a").alias("_a"), F.array_sort(F.collect_list(F.struct("_block", "_last"))).alias("_parts")).mapInArrow(scan, f"{kinds}, _block long, _start array<double>")
+    found = series.join_keys(rows, scanned, [*keys, "_block"]).groupBy(*keys, "_block").applyInArrow(run, f"{kinds}, {order} long, _at long, simulated double")
+    failed = F.max(F.isnan("simulated")).over(series.along(keys, "_at").rowsBetween(Window.unboundedPreceding, 0))
+    return found.withColumn("simulated", F.when(failed, float("nan")).otherwise(F.col("simulated"))).drop("_at")
 
 
 #: Unknowns of a magnetometer calibration: M11 M22 M33 M12 M13 M23 (soft iron), c = M * offset, then the motor terms.

@@ -79,6 +79,33 @@ def test_arx_recovers_a_plant(spark):
     assert 0.05 <= poles["zeta"] <= 2 and poles["omega"] > 1 and abs(poles["gain"] - 1.0) < 1e-6
 
 
+def test_simulation_over_blocks_is_the_recursion(spark):
+    rng = np.random.default_rng(2)
+    n, models_of = 1000, {"stable": [-1.5, 0.7, 0.2, 0.1], "slow": [-0.999, 0.0, 0.5, -0.2], "unstable": [-1.2, 0.1, 1.0, 0.0], "silent": [-3.0, 0.5, 1.0, 1.0], "odd": [-0.5, 0.1, 1.0, 0.5]}
+    rows, want = [], {}
+    for k, theta in models_of.items():
+        u = np.zeros(n) if k == "silent" else rng.normal(size=n)
+        if k == "odd":
+            u[[300, 301]] = 1e13, 0.0
+        y = np.zeros(n)
+        for i in range(n):
+            y[i] = sum(theta[2 + j] * u[i - 1 - j] for j in range(2) if i - 1 - j >= 0) - sum(theta[j - 1] * y[i - j] for j in (1, 2) if i - j >= 0)
+            if not -1e12 < y[i] < 1e12:
+                y[i:] = np.nan
+                break
+        want[k] = y
+        rows.append(pd.DataFrame({"k": k, "idx": 5 + 2 * np.arange(n), "u": u}))
+    fits = spark.createDataFrame(list(models_of.items()), "k string, theta array<double>")
+    samples = spark.createDataFrame(pd.concat(rows)).repartition(3)
+    for block in (64, 1 << 13):
+        got = models.simulate(samples, fits, ["k"], "u", 2, 2, 1, block=block).toPandas().sort_values(["k", "idx"])
+        for k, y in want.items():
+            own = got[got.k == k]
+            assert list(own.idx) == list(5 + 2 * np.arange(n))
+            assert np.allclose(own.simulated, y, rtol=1e-9, atol=1e-9, equal_nan=True), (k, block)
+    assert np.isnan(want["odd"][-1]) and not np.isnan(want["odd"][300])
+
+
 def test_calibration_recovers_a_distorted_sphere(spark):
     rng = np.random.default_rng(7)
     v = rng.normal(size=(500, 3))

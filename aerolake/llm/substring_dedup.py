@@ -11,10 +11,11 @@ position on the cover, so two equal windows always share an aligned anchor that
    Grouping finds the windows of two documents or more with the smallest of them, and these fill a second filter.
 3. A scan hands out the windows that both filters hold, with their positions, and a join with the grouped windows leaves those
    that a smaller document holds: exact, and without pairs of documents.
-4. Windows merge into word ranges, and a scan removes them; ranges join by doc_id, broadcast if their count allows it.
+4. Windows merge into word ranges, and a scan removes them; ranges join by doc_id and text, broadcast if their count allows it.
 
 Null and empty texts have no words; a text under WINDOW words is left as it is but for white space. Rows that repeat a
-doc_id with the same text are each treated as that document; windows of rows with the same id never remove each other.
+doc_id with the same text are each treated as that document; other texts under the same doc_id are documents of their own, told apart by a
+64-bit hash. Windows of rows with the same id never remove each other.
 Rows without a doc_id are left alone and remove nothing. Extra columns are dropped in the digest.
 """
 
@@ -83,21 +84,22 @@ LOT = 50_000
 
 
 def exact_copies(documents: DataFrame) -> DataFrame:
-    """Ids of documents whose whole text a smaller id has too."""
-    texts = materialize(documents.where("doc_id is not null and text is not null").select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_hash")))
+    """doc_id, text_key of documents whose whole text a smaller id has too."""
+    texts = materialize(documents.where("doc_id is not null and text is not null").select("doc_id", "text_key", F.md5(F.col("text").cast("binary")).alias("text_hash")))
     first = materialize(texts.groupBy("text_hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"))
-    return join_small(texts, first, "text_hash", "inner").where("doc_id > first").select("doc_id").distinct()
+    return join_small(texts, first, "text_hash", "inner").where("doc_id > first").select("doc_id", "text_key").distinct()
 
 
 def in_lots(batch: pa.RecordBatch, rows_of) -> Iterator[pa.RecordBatch]:
-    """Record batches of columns (name: array) that ``rows_of`` (doc_id, words) gives for each document with a window, some ``LOT`` rows at a time."""
+    """Record batches of columns (name: array) that ``rows_of`` (words) gives for each document with a window, with all columns but the text, some ``LOT`` rows at a time."""
     kept: list[dict] = []
     size = 0
-    for doc_id, text in zip(batch["doc_id"], batch["text"].cast(pa.binary()), strict=True):
+    names = [c for c in batch.schema.names if c != "text"]
+    for ids, text in zip(zip(*(batch[c].to_pylist() for c in names), strict=True), batch["text"].cast(pa.binary()), strict=True):
         words = Words(text.as_py())
         if words.n >= WINDOW and (rows := rows_of(words)) is not None:
             n = len(next(iter(rows.values())))
-            kept.append(rows | {"doc_id": np.full(n, doc_id.as_py(), np.int64)})
+            kept.append(rows | {c: np.full(n, i, np.int64) for c, i in zip(names, ids, strict=True)})
             size += n
         if size >= LOT:
             yield pa.RecordBatch.from_pydict({c: np.concatenate([k[c] for k in kept]) for c in kept[0]})
@@ -113,13 +115,13 @@ def shared_anchors(documents: DataFrame) -> np.ndarray:
         for batch in batches:
             yield from in_lots(batch, lambda words: {"anchor": np.unique(words.anchors(FIRST_POSITIONS)[1]).view(np.int64)})
 
-    anchors = documents.mapInArrow(hand_out, "anchor long, doc_id long")
+    anchors = documents.select("doc_id", "text").mapInArrow(hand_out, "anchor long, doc_id long")
     shared = materialize(anchors.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("anchor"))
     return bloom.build(shared, lambda batch: batch["anchor"].to_numpy().view(np.uint64), bloom.bits_for(shared.count()), twice=False)
 
 
 def candidate_windows(documents: DataFrame, anchors, windows=None) -> DataFrame:
-    """h1, h2, position, doc_id of windows around shared anchors; with the filter ``windows`` only of those it holds by h1. Both are broadcast variables."""
+    """h1, h2, position, doc_id of windows around shared anchors; with the filter ``windows`` only of those it holds by h1, with their text_key. Both are broadcast variables."""
 
     def rows_of(words: Words) -> dict | None:
         positions, hashes = words.anchors(FIRST_POSITIONS)
@@ -137,21 +139,23 @@ def candidate_windows(documents: DataFrame, anchors, windows=None) -> DataFrame:
         for batch in batches:
             yield from in_lots(batch, rows_of)
 
-    return documents.mapInArrow(hand_out, "h1 long, h2 long, position int, doc_id long")
+    if windows is None:
+        return documents.select("doc_id", "text").mapInArrow(hand_out, "h1 long, h2 long, position int, doc_id long")
+    return documents.select("doc_id", "text_key", "text").mapInArrow(hand_out, "h1 long, h2 long, position int, doc_id long, text_key long")
 
 
 def repeated_windows(documents: DataFrame) -> DataFrame:
-    """doc_id, position of each window that a document with a smaller id holds too; ``documents`` are no exact copies."""
+    """doc_id, text_key, position of each window that a document with a smaller id holds too; ``documents`` are no exact copies."""
     context = documents.sparkSession.sparkContext
     anchors = context.broadcast(shared_anchors(documents))
     first = candidate_windows(documents, anchors).groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     first = materialize(first.where("first < last").drop("last"))
     windows = context.broadcast(bloom.build(first.select("h1"), lambda batch: batch["h1"].to_numpy().view(np.uint64), bloom.bits_for(first.count()), twice=False))
-    return candidate_windows(documents, anchors, windows).join(first, ["h1", "h2"]).where("doc_id > first").select("doc_id", "position")
+    return candidate_windows(documents, anchors, windows).join(first, ["h1", "h2"]).where("doc_id > first").select("doc_id", "text_key", "position")
 
 
 def ranges_of(windows: DataFrame) -> DataFrame:
-    """doc_id, ranges (first word, past the last, first word, ...) that the windows of each document cover."""
+    """doc_id, text_key, ranges (first word, past the last, first word, ...) that the windows of each document cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,9 +165,9 @@ def ranges_of(windows: DataFrame) -> DataFrame:
                 breaks = np.flatnonzero(np.diff(at) > WINDOW)
                 first, last = at[np.concatenate([[0], breaks + 1])], at[np.concatenate([breaks, [len(at) - 1]])]
                 out.append(np.stack([first, last + WINDOW], axis=1).ravel().tolist())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ranges"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_key"], pa.array(out, pa.list_(pa.int32()))], ["doc_id", "text_key", "ranges"])
 
-    return windows.groupBy("doc_id").agg(F.collect_list("position").alias("positions")).mapInArrow(run, "doc_id long, ranges array<int>")
+    return windows.groupBy("doc_id", "text_key").agg(F.collect_list("position").alias("positions")).mapInArrow(run, "doc_id long, text_key long, ranges array<int>")
 
 
 def outside(words: list[bytes], ranges: list[int]) -> list[bytes]:
@@ -176,14 +180,15 @@ def outside(words: list[bytes], ranges: list[int]) -> list[bytes]:
 
 def remove_repeats(documents: DataFrame, digest: bool = True, broadcast_ranges: int = BROADCAST_RANGES) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256, or with ``digest`` off kept_text, of every row."""
-    documents = documents.select("doc_id", "text")
+    documents = documents.select("doc_id", "text", F.xxhash64(F.col("text").cast("binary")).alias("text_key"))
+    key = ["doc_id", "text_key"]
     copies = materialize(exact_copies(documents))
     n_copies = copies.count()
-    originals = join_small(documents.where("doc_id is not null"), copies, "doc_id", "left_anti", rows=n_copies)
-    whole = copies.select("doc_id", F.lit(None).cast("array<int>").alias("ranges"))
+    originals = join_small(documents.where("doc_id is not null"), copies, key, "left_anti", rows=n_copies)
+    whole = copies.select(*key, F.lit(None).cast("array<int>").alias("ranges"))
     marks = materialize(ranges_of(repeated_windows(originals)).unionByName(whole).withColumn("marked", F.lit(True)))
-    size = marks.agg(F.sum(2 + F.coalesce(F.size("ranges"), F.lit(0)))).first()[0] or 0
-    joined = join_small(documents, marks, "doc_id", "left", rows=size, limit=broadcast_ranges)
+    size = marks.agg(F.sum(3 + F.coalesce(F.size("ranges"), F.lit(0)))).first()[0] or 0
+    joined = join_small(documents, marks, key, "left", rows=size, limit=broadcast_ranges)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -119,6 +119,15 @@ def test_passages_are_exact(odd, limit):
     assert by_id(substring_dedup.remove_repeats(odd, digest=False, broadcast_ranges=limit), "n_words", "n_removed", "kept_text") == want
 
 
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_texts_under_one_id_are_documents_of_their_own(spark, limit):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (3, a), (3, b), (3, f"tail {a}"), (3, f"{c} {a[3:]}"), (9, b), (9, c), (9, f"one {c}")]
+    found = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), digest=False, broadcast_ranges=limit)
+    got = sorted((r["doc_id"], r["n_removed"], r["kept_text"]) for r in found.collect())
+    assert got == sorted([(1, 0, a), (3, 60, ""), (3, 0, b), (3, 60, "tail"), (3, 59, c), (9, 60, ""), (9, 60, ""), (9, 60, "one")])
+
+
 def test_cover_shares_an_anchor_at_every_offset():
     cover = set(substring_dedup.COVER)
     for i in range(substring_dedup.PERIOD):

@@ -32,10 +32,13 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; on one machine alone, where it is unset, one of our own."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -43,7 +46,23 @@ def materialize(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the shared folder: lineage ends here, so a lost executor costs no recomputation."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written.written_to = path
+    return written
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete materialized tables that no later job reads."""
+    for df in tables:
+        if path := getattr(df, "written_to", None):
+            jvm = df.sparkSession.sparkContext._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def text_key(text: str = "text") -> Column:
+    """128-bit hash of a text, null for null: with the doc_id it tells rows apart that differ."""
+    return F.md5(F.col(text).cast("binary"))
 
 
 def join_small(left: DataFrame, right: DataFrame, on: str | list[str], how: str, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:

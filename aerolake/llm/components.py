@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolake.llm.common import materialize
+from aerolake.llm.common import materialize, release
 
 
 def smallest_neighbour(edges: DataFrame) -> DataFrame:
@@ -28,11 +28,14 @@ def stars(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     state = None
     for _ in range(most_rounds):
         around = materialize(both_ways(edges))
-        large = around.join(smallest_neighbour(around), "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v")
-        edges = materialize(large.distinct())
-        low = smallest_neighbour(edges)
-        small = edges.join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        lowest = smallest_neighbour(around)
+        large = around.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v")
+        spread = materialize(large.distinct())
+        release(edges, around, lowest)
+        low = smallest_neighbour(spread)
+        small = spread.join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
         edges = materialize(small.unionByName(low.select("u", F.col("low").alias("v"))).where("u <> v").distinct())
+        release(spread, low)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

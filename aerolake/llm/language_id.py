@@ -1,9 +1,10 @@
 """Operator 4: word-first language identification with backoff to ever shorter character n-grams.
 
-Learning: documents with a lang outside the held-out fifth, thinned by a hash of doc_id to about ``SAMPLE_DOCS`` of them. Spark counts
-words by language (tasks count their own first), and from those counts the n-grams of one to five letters, word edges
-marked. The ``MOST_WORDS`` most frequent words and ``MOST_GRAMS`` n-grams, bounds that hold whatever the corpus, go to the
-executors with the logarithm of their smoothed frequency in each language.
+Learning: of the documents with a lang and a text outside the held-out fifth, a sample of about ``SAMPLE_BYTES`` of text, shared evenly
+by the languages and taken by a hash of doc_id; a language always keeps its lowest hash. Spark counts words by language
+(tasks count their own first), and from those counts the n-grams of one to five letters, word edges marked. All words and
+n-grams of the sample, whose bytes bound them, go to the executors with the logarithm of their smoothed frequency in
+each language.
 
 Scoring, one scan: a known word adds its log frequencies. An unseen word backs off: of its five-grams those that are known
 are averaged; if none is, its four-grams are tried, and so on. The language with the largest sum wins; the score is its share
@@ -19,20 +20,20 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerolake.llm.common import held_out, materialize
+from aerolake.llm.common import held_out, materialize, release
 
-SAMPLE_DOCS = 20_000
-MOST_WORDS = 40_000
-MOST_GRAMS = 40_000
+#: The bound on what the classifier learns from: bytes of text, of all languages together.
+SAMPLE_BYTES = 8 << 20
 LONGEST = 5
-#: Unseen words whose backed-off scores a worker keeps.
-CACHE_WORDS = 200_000
+#: Unseen words whose backed-off scores a worker keeps at a time.
+CACHE_WORDS = 100_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -41,11 +42,6 @@ def words_of(text: str | None) -> list[str]:
     return words if text and text.isascii() else [w for w in words if any(map(str.isalpha, w))]
 
 
-def grams_of(word: str, n: int) -> list[str]:
-    marked = f"<{word}>" if n > 1 else word
-    return [marked[i : i + n] for i in range(len(marked) - n + 1)]
-
-
 @dataclass
 class Model:
     langs: list[str]
@@ -57,39 +53,55 @@ class Model:
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
-        self.backed: dict[str, list[float]] = {}
-        rows = model.table.tolist()
-        self.grams = {g: rows[i] for g, i in model.grams.items()}
+        self.forget()
 
-    def backed_off(self, word: str) -> list[float]:
-        """Mean log frequencies of the longest n-grams of a word of which any is known."""
-        get, marked = self.grams.get, f"<{word}>"
+    def forget(self) -> None:
+        """Row 0 stands for a word of which no letter is known; rows of unseen words follow those of known ones."""
+        self.known = {w: i + 1 for w, i in self.model.words.items()}
+        self.rows = np.zeros((len(self.known) + CACHE_WORDS + 1, len(self.model.langs)))
+        self.rows[1 : len(self.known) + 1] = self.model.table[: len(self.known)]
+
+    def longest_grams(self, word: str) -> list[int]:
+        """Table rows of the longest n-grams of a word of which any is known."""
+        get, marked = self.model.grams.get, f"<{word}>"
         for n in range(LONGEST, 1, -1):
-            if found := [g for i in range(len(marked) - n + 1) if (g := get(marked[i : i + n]))]:
-                return [sum(c) / len(found) for c in zip(*found, strict=True)]
-        if found := [g for letter in word if (g := get(letter))]:
-            return [sum(c) / len(found) for c in zip(*found, strict=True)]
-        return [0.0] * len(self.model.langs)
-
-    def unseen(self, word: str) -> list[float]:
-        scores = self.backed_off(word)
-        if len(self.backed) >= CACHE_WORDS:
-            self.backed.clear()
-        self.backed[word] = scores
-        return scores
+            if found := [g for i in range(len(marked) - n + 1) if (g := get(marked[i : i + n])) is not None]:
+                return found
+        return [g for letter in word if (g := get(letter)) is not None]
+
+    def rows_of(self, words: list[str]) -> np.ndarray | None:
+        """A row for each word, none if there is no room for those not met before: unseen ones get the mean of their n-grams' rows."""
+        known = self.known
+        if unseen := {w for w in words if w not in known}:
+            first = len(known) + 1
+            if first + len(unseen) > len(self.rows):
+                return None
+            backed = {w: g for w in unseen if (g := self.longest_grams(w))}
+            if backed:
+                sizes = np.fromiter(map(len, backed.values()), np.int64, len(backed))
+                flat = np.fromiter(chain.from_iterable(backed.values()), np.int64, sizes.sum())
+                self.rows[first : first + len(backed)] = np.add.reduceat(self.model.table[flat], np.cumsum(sizes) - sizes) / sizes[:, None]
+            known.update(zip(backed, range(first, first + len(backed)), strict=True))
+            known.update(dict.fromkeys(unseen - backed.keys(), 0))
+            self.rows[first + len(backed) : len(known) + 1] = 0
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+    def sums(self, words: list[str]) -> np.ndarray:
+        """Summed log frequencies of words, a bounded number at a time."""
+        total = np.zeros(len(self.model.langs))
+        for at in range(0, len(words), CACHE_WORDS // 2):
+            some = words[at : at + CACHE_WORDS // 2]
+            if (rows := self.rows_of(some)) is None:
+                self.forget()
+                rows = self.rows_of(some)
+            total += self.rows[rows].sum(axis=0)
+        return total
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         words = words_of(text)
         if not words or not self.model.langs:
             return "und", 0.0
-        rows = list(map(self.model.words.get, words))
-        total = np.zeros(len(self.model.langs))
-        if None in rows:
-            get = self.backed.get
-            total += np.array([get(w) or self.unseen(w) for w, r in zip(words, rows, strict=True) if r is None]).sum(axis=0)
-            rows = [r for r in rows if r is not None]
-        if rows:
-            total += self.model.table[rows].sum(axis=0)
+        total = self.sums(words)
         best = int(total.argmax())
         return self.model.langs[best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum())
 
@@ -109,45 +121,57 @@ def count_words(learn: DataFrame) -> DataFrame:
     return learn.select("text", "lang").mapInArrow(run, "word string, lang string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
 
 
+def by_language(counts: DataFrame, langs: list[str]) -> DataFrame:
+    """word, n0, n1, ... (its counts in each language)."""
+    of = lambda lang: F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0))
+    return counts.groupBy("word").agg(*(of(lang).alias(f"n{k}") for k, lang in enumerate(langs)))
+
+
 def count_grams(words: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts: Counter = Counter()
-            for word, lang, n in zip(*(batch[c].to_pylist() for c in ("word", "lang", "n")), strict=True):
-                for size in range(1, LONGEST + 1):
-                    for gram in grams_of(word, size):
-                        counts[gram, lang] += n
-            if counts:
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in counts]), pa.array([x for _, x in counts]), pa.array(list(counts.values()), pa.int64())], ["gram", "lang", "n"])
+    """gram, n0, n1, ... of all n-grams of up to ``LONGEST`` letters, edges marked but in single letters."""
+
+    def cut(word: Column, n: int) -> Column:
+        last = F.length(word) - (n - 1)
+        return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(word, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    marked = F.concat(F.lit("<"), F.col("word"), F.lit(">"))
+    grams = F.flatten(F.array(cut(F.col("word"), 1), *(cut(marked, n) for n in range(2, LONGEST + 1))))
+    counts = [c for c in words.columns if c != "word"]
+    return words.select(F.explode(grams).alias("gram"), *counts).groupBy("gram").agg(*(F.sum(c).alias(c) for c in counts))
+
 
-    return words.mapInArrow(run, "gram string, lang string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+def collected(counts: DataFrame, key: str) -> tuple[list[str], np.ndarray]:
+    """All keys, in order, and their counts in each language."""
+    found = counts.orderBy(key).toArrow()
+    return found[key].to_pylist(), np.array([found[c].to_numpy() for c in found.column_names if c != key], float).T
 
 
-def most_frequent(counts: DataFrame, key: str, most: int) -> list:
-    """(key, {lang: n}) of the most frequent keys."""
-    by_key = counts.groupBy(key).agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
-    return [(r[0], r[2]) for r in by_key.orderBy(F.desc("total"), key).limit(most).collect()]
+def sample(learn: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """text, lang of about ``sample_bytes`` of text, as much of every language, and of each at least the row with the lowest hash."""
+    hashed = learn.select("text", "lang", F.xxhash64("doc_id").alias("h"))
+    sizes = hashed.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("size"), F.min("h").alias("low")).collect()
+    span, start = 1 << 64, -(1 << 63)
+    most = [(r["lang"], max(r["low"], start + min(span - 1, span * sample_bytes // (len(sizes) * max(1, r["size"]))))) for r in sizes]
+    limits = learn.sparkSession.createDataFrame(most, "lang string, most long")
+    return hashed.join(F.broadcast(limits), "lang").where("h <= most").select("text", "lang")
 
 
-def fit(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS) -> Model:
+def fit(documents: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> Model:
     learn = documents.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    n = learn.count()
-    if n > sample_docs:
-        learn = learn.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * sample_docs / n))
-    words = materialize(count_words(learn))
-    totals = {r[0]: r[1] for r in words.groupBy("lang").agg(F.sum("n")).collect()}
+    counted = materialize(count_words(sample(learn, sample_bytes)))
+    totals = {r[0]: r[1] for r in counted.groupBy("lang").agg(F.sum("n")).collect()}
     langs = sorted(totals)
     if not langs:
         return Model([], {}, {}, np.zeros((0, 0)))
-    top_words, top_grams = most_frequent(words, "word", most_words), most_frequent(count_grams(words), "gram", most_grams)
+    words = materialize(by_language(counted, langs))
+    known, word_counts = collected(words, "word")
+    grams, gram_counts = collected(count_grams(words), "gram")
+    release(counted, words)
+    sizes = np.array([len(g) for g in grams], int)
     by_size = np.ones((LONGEST + 1, len(langs)))
-    for gram, by_lang in top_grams:
-        by_size[len(gram)] += [by_lang.get(x, 0) for x in langs]
-    word_counts = np.array([[by_lang.get(x, 0) for x in langs] for _, by_lang in top_words], float).reshape(-1, len(langs))
-    gram_counts = np.array([[by_lang.get(x, 0) for x in langs] for _, by_lang in top_grams], float).reshape(-1, len(langs))
-    sizes = np.array([len(g) for g, _ in top_grams], int)
-    table = np.concatenate([np.log((word_counts + 0.5) / (np.array([totals[x] for x in langs]) + 0.5 * len(word_counts))), np.log((gram_counts + 0.5) / by_size[sizes])])
-    return Model(langs, {w: i for i, (w, _) in enumerate(top_words)}, {g: len(top_words) + i for i, (g, _) in enumerate(top_grams)}, table)
+    np.add.at(by_size, sizes, gram_counts)
+    table = np.concatenate([np.log((word_counts + 0.5) / (np.array([totals[x] for x in langs]) + 0.5 * len(known))), np.log((gram_counts + 0.5) / by_size[sizes])])
+    return Model(langs, {w: i for i, w in enumerate(known)}, {g: len(known) + i for i, g in enumerate(grams)}, table)
 
 
 def identify(documents: DataFrame, model: Model) -> DataFrame:

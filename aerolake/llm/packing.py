@@ -2,12 +2,13 @@
 
 1. One scan tokenizes every document (its ids, then the end id), cuts only those longer than a sequence, and keeps a
    short row for each piece: no ids, only their CRC-32. The rows are written once to the shared folder.
-2. The histogram of (length, salt) counts, at most ``max_len`` x ``SALTS`` rows whatever the corpus, goes to the driver.
-   Best-fit decreasing runs over its counts: a step places a whole run of pieces of one length into a whole group
-   of equally filled sequences. The plan is a list of runs (length, ranks from, to, first sequence, pieces a
-   sequence, offset of the first), whose number follows the number of lengths, not of documents.
-3. Every piece finds its rank within its length (a window within its salt, plus the counts of the salts before) and
-   joins the run that holds that rank, which names its sequence and offset.
+2. The histogram of lengths, at most ``max_len`` rows whatever the corpus, goes to the driver. Best-fit decreasing runs over
+   its counts: a step places a whole run of pieces of one length into a whole group of equally filled sequences. The plan is
+   a list of runs (length, ranks from, to, first sequence, pieces a sequence, offset of the first), whose number follows the
+   number of lengths, not of documents.
+3. Every piece finds its rank within its length and joins the run that holds that rank, which names its sequence and offset.
+   The pieces of a length are dealt over one salt for every ``SALT_ROWS`` counted pieces; a window ranks them within their
+   salt, and the counts of the salts before (a row for each salt) are added, so no task ranks more, however many pieces are full.
 
 Null and empty texts become one piece that holds only the end id. Rows that repeat a doc_id are packed as documents of
 their own. Extra columns are dropped. Ties of length are ranked by doc_id and piece. An empty table gives no rows.
@@ -19,24 +20,29 @@ import base64
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aerolake.llm.common import materialize
+from aerolake.llm.common import join_small, materialize
 from aerolake.llm.token_counts import load_tokenizer
 
 MAX_LEN = 2048
-SALTS = 64
+#: Pieces of one length that a task ranks, about.
+SALT_ROWS = 500_000
 #: Letters, digits, punctuation and white space that every Unicode version treats alike, so that both libraries split them alike.
 PLAIN = re.compile("[^\\t\\n\\r\\x20-\\x7eÀ-ÖØ-öø-ſΑ-ΡΣ-Ωα-ωА-я]")
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
+#: White space that long takes the rank-file library a time that grows with its square, and at last all its stack.
+LONG_SPACE = re.compile(r"\s{500}")
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, deal long"
 
 
 class Encoder:
-    """Token ids of a text as the JSON tokenizer gives them; texts of plain characters take the faster rank-file library."""
+    """Token ids of a text as the JSON tokenizer gives them; texts of plain characters, without special strings or long white space, take the faster rank-file library."""
 
     def __init__(self, json_path: str, ranks_path: str | None, pattern: str | None):
         self.exact = load_tokenizer(json_path)
@@ -50,7 +56,7 @@ class Encoder:
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> np.ndarray:
-        if self.fast and not PLAIN.search(text) and not any(s in text for s in self.special):
+        if self.fast and not PLAIN.search(text) and not any(s in text for s in self.special) and not LONG_SPACE.search(text):
             return self.fast.encode_to_numpy(text, disallowed_special=())
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -61,21 +67,21 @@ def cut(n: int, max_len: int) -> list[tuple[int, int]]:
     return [(0, min(n, first)), *((at, max_len) for at in range(first, n, max_len))]
 
 
-def tokenize_pieces(documents: DataFrame, json_path: str, ranks_path: str | None, pattern: str | None, end_id: int = 0, max_len: int = MAX_LEN, salts: int = SALTS) -> DataFrame:
-    """A row for each piece: doc_id, piece, start, length, ids_crc32, salt."""
+def tokenize_pieces(documents: DataFrame, json_path: str, ranks_path: str | None, pattern: str | None, end_id: int = 0, max_len: int = MAX_LEN) -> DataFrame:
+    """A row for each piece: doc_id, piece, start, length, ids_crc32, deal (a number by which rows, also equal ones, are spread)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, tail = Encoder(json_path, ranks_path, pattern), np.array([end_id], "<u4")
+        deal = count(TaskContext.get().partitionId())
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
                 ids = np.concatenate([encode(text.as_py() or ""), tail]).astype("<u4", copy=False)
                 for k, (start, length) in enumerate(cut(len(ids), max_len)):
-                    crc = zlib.crc32(ids[start : start + length].tobytes())
-                    rows.append((doc_id, k, start, length, crc, (crc ^ k ^ (doc_id or 0)) % salts))
+                    rows.append((doc_id, k, start, length, zlib.crc32(ids[start : start + length].tobytes()), next(deal)))
             if rows:
                 columns = zip(*rows, strict=True)
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [c.split()[0] for c in PIECES.split(", ")])
 
     return documents.select("doc_id", "text").mapInArrow(run, PIECES)
@@ -125,19 +131,18 @@ def plan_best_fit(counts: dict[int, int], max_len: int = MAX_LEN) -> list[tuple[
     return runs
 
 
-def place(pieces: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
-    """``pieces`` (kept, with length and salt) with the sequence_id and offset that the plan gives them."""
+def place(pieces: DataFrame, max_len: int = MAX_LEN, salt_rows: int = SALT_ROWS) -> DataFrame:
+    """``pieces`` (kept, with their length) with the sequence_id and offset that the plan gives them."""
     spark = pieces.sparkSession
-    histogram = sorted(tuple(r) for r in pieces.groupBy("length", "salt").count().collect())
-    counts: dict[int, int] = {}
-    before = []
-    for length, salt, n in histogram:
-        before.append((length, salt, counts.get(length, 0)))
-        counts[length] = counts.get(length, 0) + n
-    starts = spark.createDataFrame(before, "length long, salt int, before long")
+    counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
+    salts = spark.createDataFrame([(length, -(-n // salt_rows)) for length, n in counts.items()], "length long, salts long")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.col("deal") % F.col("salts"))
+    # One row for each salt: at most max_len and one for every salt_rows pieces.
+    sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("size"))
+    starts = materialize(sizes.withColumn("before", F.sum("size").over(Window.partitionBy("length").orderBy("salt")) - F.col("size")).drop("size"))
     runs = spark.createDataFrame(plan_best_fit(counts, max_len), "run_length long, rank_from long, rank_to long, first long, each long, base long")
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = pieces.withColumn("n", F.row_number().over(within)).join(F.broadcast(starts), ["length", "salt"]).withColumn("rank", F.col("n") + F.col("before") - 1)
+    ranked = join_small(salted.withColumn("n", F.row_number().over(within)), starts, ["length", "salt"], "inner").withColumn("rank", F.col("n") + F.col("before") - 1)
     inside = (F.col("length") == F.col("run_length")) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to"))
     place_in_run = F.col("rank") - F.col("rank_from")
     return ranked.join(F.broadcast(runs), inside).select(

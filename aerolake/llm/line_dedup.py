@@ -1,21 +1,25 @@
 """Operator 8: line dedup with two Bloom filters, so that only suspected repeats are shuffled.
 
-1. A scan hashes every long line and fills a once-seen and a twice-seen filter (``bloom``).
-2. A scan tests every long line against the twice-seen filter. What it holds goes on as (128-bit key, doc_id), once for each
-   row; grouping confirms keys found in at least ``min_docs`` documents and picks the document that keeps them.
-3. A scan rewrites the documents. Confirmed keys, far fewer than the lines that have them, go to every task as sorted arrays of
+1. A scan hashes every long line once and writes (128-bit key, doc_id) in order of the hash, 24 bytes a line and no shuffle.
+2. Keys are counted, and their hashes cut into as many ranges as filters of a bounded size are needed (one, up to
+   some thirty million lines). For each range its keys fill a once-seen and a twice-seen filter (``bloom``), and those
+   that the twice-seen filter holds go on; the order of the files lets a range read its own pages only.
+3. Grouping confirms keys found in at least ``min_docs`` documents and picks the document that keeps them.
+4. A scan rewrites the documents. Confirmed keys, far fewer than the lines that have them, go to every task as sorted arrays of
    24 bytes a key if a count finds at most ``broadcast_keys``, and no text is shuffled. If there are more, the keys to drop join
    their documents by doc_id instead.
 
 A line's key is the line without white space at its ends, A-Z in lower case; keys under ``min_chars`` code points are never
 dropped. Null and empty texts are one empty line; a rewritten null text becomes an empty one. Rows that repeat a
-doc_id count as one document. Rows without a doc_id are neither counted nor changed. Other columns are kept.
+doc_id count as one document. Rows without a doc_id are neither counted nor changed. Other columns are kept, but for
+columns named n_lines and n_dropped, which the counts replace.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerolake.llm import bloom
-from aerolake.llm.common import join_small, materialize, texts_as_bytes
+from aerolake.llm.common import join_small, materialize, release, texts_as_bytes
 
 MIN_CHARS = 40
 MIN_DOCS = 5
-#: A line of text has about so many bytes; it only sizes the filters.
-LINE_BYTES = 200
 #: Confirmed keys up to which they are broadcast (24 MB).
 BROADCAST_KEYS = 1_000_000
 
@@ -46,33 +48,48 @@ def keys_in(text: bytes | None, min_chars: int) -> set[bytes]:
     return {k for line in text.split(b"\n") if (k := key_of(line, min_chars))} if text else set()
 
 
-def low_words(digests: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(digests), "<u8")[::2]
+def long_lines(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """low (first half of the key, signed), key, doc_id of every long line, once for each row."""
 
-
-def find_common(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
-    """(key, doc_id) of suspected lines; (key, keeper) of confirmed ones."""
-    documents = documents.select("doc_id", "text").where("doc_id is not null")
-    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-
-    def hashes_of(batch: pa.RecordBatch) -> np.ndarray:
-        return low_words([k for text in texts_as_bytes(batch["text"]) for k in keys_in(text, min_chars)])
-
-    twice = documents.sparkSession.sparkContext.broadcast(bloom.build(documents.select("text"), hashes_of, bloom.bits_for(size / LINE_BYTES), twice=True))
-
-    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, ids = [], []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), texts_as_bytes(batch["text"]), strict=True):
                 found = keys_in(text, min_chars)
                 keys += found
                 ids += [doc_id] * len(found)
-            at = np.flatnonzero(bloom.contains(twice.value, low_words(keys)))
-            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in at], pa.binary()), pa.array(np.array(ids, np.int64)[at])], ["key", "doc_id"])
+            low = np.frombuffer(b"".join(keys), "<i8")[::2]
+            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], ["low", "key", "doc_id"])
+
+    return documents.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "low long, key binary, doc_id long").sortWithinPartitions("low")
 
-    suspected = materialize(documents.mapInArrow(suspects, "key binary, doc_id long"))
-    confirmed = materialize(suspected.groupBy("key").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).select("key", "keeper"))
-    return suspected, confirmed
+
+def suspects(lines: DataFrame, most_bits: int = bloom.MOST_BITS) -> list[DataFrame]:
+    """(key, doc_id) of the lines whose key a twice-seen filter holds, a written table for each range of hashes."""
+    context, found = lines.sparkSession.sparkContext, []
+    n = lines.count()
+    parts = bloom.ranges(n, most_bits)
+    for first, last in parts:
+        own = lines.where(F.col("low").between(first, last)) if len(parts) > 1 else lines
+        hashes_of = lambda batch: batch["low"].to_numpy().view(np.uint64)
+        twice = context.broadcast(bloom.build(own.select("low"), hashes_of, bloom.bits_for(n / len(parts), most_bits), twice=True))
+
+        def run(batches: Iterator[pa.RecordBatch], twice=twice) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(bloom.contains(twice.value, hashes_of(batch)))).select(["key", "doc_id"])
+
+        found.append(materialize(own.mapInArrow(run, "key binary, doc_id long")))
+        twice.unpersist()
+    return found
+
+
+def find_common(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, most_bits: int = bloom.MOST_BITS) -> tuple[DataFrame, DataFrame]:
+    """(key, doc_id) of suspected lines; (key, keeper) of confirmed ones."""
+    lines = materialize(long_lines(documents, min_chars))
+    suspected = reduce(DataFrame.unionAll, suspects(lines, most_bits))
+    release(lines)
+    confirmed = suspected.groupBy("key").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
+    return suspected, materialize(confirmed.select("key", "keeper"))
 
 
 class Keepers:

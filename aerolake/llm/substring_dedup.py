@@ -6,10 +6,11 @@ position on the cover, so two equal windows always share an aligned anchor that
 
 0. Exact copies are settled by a hash of their texts: the copy with the smallest id stands for all; others lose every word
    if they hold a window at all. Only the ones that stand for others go on.
-1. A scan hashes the anchors; grouping keeps hashes that two documents hold. They fill a Bloom filter of bounded size.
-2. A scan extends every anchor that the filter holds to all windows around it, and hands out (128-bit window hash, doc_id).
-   Grouping finds the windows of two documents or more with the smallest of them, and these fill a second filter.
-3. A scan hands out the windows that both filters hold, with their positions, and a join with the grouped windows leaves those
+1. A scan hashes the anchors; grouping keeps hashes that two documents hold. If a filter of bounded size takes them all, they fill
+   it and it goes to every task. If there are more, anchors join them by hash, and every document its own hits.
+2. A scan extends every shared anchor to all windows around it, and hands out (128-bit window hash, doc_id).
+   Grouping finds the windows of two documents or more with the smallest of them; these fill a second filter, if one takes them.
+3. A scan hands out the windows that the filters hold, with their positions, and a join with the grouped windows leaves those
    that a smaller document holds: exact, and without pairs of documents.
 4. Windows merge into word ranges, and a scan removes them; ranges join by doc_id and text, broadcast if their count allows it.
 
@@ -40,6 +41,8 @@ COVER = (1, 5, 11, 24, 25, 27)
 ANCHOR = WINDOW - PERIOD + 1
 #: Word ranges, with a few for each document that has any, up to which the final join is broadcast (some tens of MB).
 BROADCAST_RANGES = 1_000_000
+#: Shared anchors, and repeated windows, up to which a filter of 32 MB holds them at eight bits a key.
+FILTER_KEYS = bloom.MOST_BITS // bloom.BITS_A_KEY
 
 
 class Words:
@@ -91,13 +94,14 @@ def exact_copies(documents: DataFrame) -> DataFrame:
 
 
 def in_lots(batch: pa.RecordBatch, rows_of) -> Iterator[pa.RecordBatch]:
-    """Record batches of columns (name: array) that ``rows_of`` (words) gives for each document with a window, with all columns but the text, some ``LOT`` rows at a time."""
+    """Record batches of columns (name: array) that ``rows_of`` (words, hits) gives for each document with a window, with its ids, some ``LOT`` rows at a time."""
     kept: list[dict] = []
     size = 0
-    names = [c for c in batch.schema.names if c != "text"]
-    for ids, text in zip(zip(*(batch[c].to_pylist() for c in names), strict=True), batch["text"].cast(pa.binary()), strict=True):
+    names = [c for c in batch.schema.names if c not in ("text", "hits")]
+    hits_of = batch["hits"].to_pylist() if "hits" in batch.schema.names else [None] * batch.num_rows
+    for ids, text, hits in zip(zip(*(batch[c].to_pylist() for c in names), strict=True), batch["text"].cast(pa.binary()), hits_of, strict=True):
         words = Words(text.as_py())
-        if words.n >= WINDOW and (rows := rows_of(words)) is not None:
+        if words.n >= WINDOW and (rows := rows_of(words, hits)) is not None:
             n = len(next(iter(rows.values())))
             kept.append(rows | {c: np.full(n, i, np.int64) for c, i in zip(names, ids, strict=True)})
             size += n
@@ -108,24 +112,43 @@ def in_lots(batch: pa.RecordBatch, rows_of) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({c: np.concatenate([k[c] for k in kept]) for c in kept[0]})
 
 
-def shared_anchors(documents: DataFrame) -> np.ndarray:
-    """A filter of the anchors that two documents hold."""
+def anchors_of(documents: DataFrame) -> DataFrame:
+    """anchor, doc_id of every document, once for each."""
 
     def hand_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield from in_lots(batch, lambda words: {"anchor": np.unique(words.anchors(FIRST_POSITIONS)[1]).view(np.int64)})
+            yield from in_lots(batch, lambda words, _: {"anchor": np.unique(words.anchors(FIRST_POSITIONS)[1]).view(np.int64)})
 
-    anchors = documents.select("doc_id", "text").mapInArrow(hand_out, "anchor long, doc_id long")
-    shared = materialize(anchors.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("anchor"))
-    return bloom.build(shared, lambda batch: batch["anchor"].to_numpy().view(np.uint64), bloom.bits_for(shared.count()), twice=False)
+    return documents.select("doc_id", "text").mapInArrow(hand_out, "anchor long, doc_id long")
 
 
-def candidate_windows(documents: DataFrame, anchors, windows=None) -> DataFrame:
-    """h1, h2, position, doc_id of windows around shared anchors; with the filter ``windows`` only of those it holds by h1, with their text_key. Both are broadcast variables."""
+def with_hits(documents: DataFrame, shared: DataFrame) -> DataFrame:
+    """doc_id, text_key, text, hits (positions of shared anchors) of the documents that have any, by joins alone."""
 
-    def rows_of(words: Words) -> dict | None:
+    def placed_anchors(words: Words, _) -> dict:
         positions, hashes = words.anchors(FIRST_POSITIONS)
-        hit = positions[bloom.contains(anchors.value, hashes)]
+        return {"position": positions.astype(np.int64), "anchor": hashes.view(np.int64)}
+
+    def hand_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from in_lots(batch, placed_anchors)
+
+    placed = documents.select("doc_id", "text_key", "text").mapInArrow(hand_out, "position long, anchor long, doc_id long, text_key long")
+    hits = placed.join(shared, "anchor", "left_semi").groupBy("doc_id", "text_key").agg(F.collect_set("position").alias("hits"))
+    return documents.select("doc_id", "text_key", "text").join(materialize(hits), ["doc_id", "text_key"])
+
+
+def candidate_windows(documents: DataFrame, anchors=None, windows=None) -> DataFrame:
+    """h1, h2, position, doc_id, text_key of windows around shared anchors: those in the filter ``anchors``, else the column hits; with the
+    filter ``windows`` only of those that it holds by h1. Both are broadcast variables.
+    """
+
+    def rows_of(words: Words, hits: list[int] | None) -> dict | None:
+        if anchors is None:
+            hit = np.array(sorted(hits), np.int64)
+        else:
+            positions, hashes = words.anchors(FIRST_POSITIONS)
+            hit = positions[bloom.contains(anchors.value, hashes)]
         if not len(hit):
             return None
         at = words.windows_around(hit)
@@ -139,18 +162,26 @@ def candidate_windows(documents: DataFrame, anchors, windows=None) -> DataFrame:
         for batch in batches:
             yield from in_lots(batch, rows_of)
 
-    if windows is None:
-        return documents.select("doc_id", "text").mapInArrow(hand_out, "h1 long, h2 long, position int, doc_id long")
-    return documents.select("doc_id", "text_key", "text").mapInArrow(hand_out, "h1 long, h2 long, position int, doc_id long, text_key long")
+    columns = ["doc_id", "text_key", "text"] + ["hits"] * (anchors is None)
+    return documents.select(*columns).mapInArrow(hand_out, "h1 long, h2 long, position int, doc_id long, text_key long")
 
 
-def repeated_windows(documents: DataFrame) -> DataFrame:
+def repeated_windows(documents: DataFrame, most_keys: int = FILTER_KEYS) -> DataFrame:
     """doc_id, text_key, position of each window that a document with a smaller id holds too; ``documents`` are no exact copies."""
     context = documents.sparkSession.sparkContext
-    anchors = context.broadcast(shared_anchors(documents))
+
+    def filter_of(keys: DataFrame, column: str, n: int):
+        if n > most_keys:
+            return None
+        return context.broadcast(bloom.build(keys.select(column), lambda batch: batch[column].to_numpy().view(np.uint64), bloom.bits_for(n), twice=False))
+
+    shared = materialize(anchors_of(documents).groupBy("anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("anchor"))
+    anchors = filter_of(shared, "anchor", shared.count())
+    if anchors is None:
+        documents = with_hits(documents, shared)
     first = candidate_windows(documents, anchors).groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     first = materialize(first.where("first < last").drop("last"))
-    windows = context.broadcast(bloom.build(first.select("h1"), lambda batch: batch["h1"].to_numpy().view(np.uint64), bloom.bits_for(first.count()), twice=False))
+    windows = filter_of(first, "h1", first.count())
     return candidate_windows(documents, anchors, windows).join(first, ["h1", "h2"]).where("doc_id > first").select("doc_id", "text_key", "position")
 
 
@@ -167,7 +198,7 @@ def ranges_of(windows: DataFrame) -> DataFrame:
                 out.append(np.stack([first, last + WINDOW], axis=1).ravel().tolist())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_key"], pa.array(out, pa.list_(pa.int32()))], ["doc_id", "text_key", "ranges"])
 
-    return windows.groupBy("doc_id", "text_key").agg(F.collect_list("position").alias("positions")).mapInArrow(run, "doc_id long, text_key long, ranges array<int>")
+    return windows.groupBy("doc_id", "text_key").agg(F.collect_set("position").alias("positions")).mapInArrow(run, "doc_id long, text_key long, ranges array<int>")
 
 
 def outside(words: list[bytes], ranges: list[int]) -> list[bytes]:
@@ -178,7 +209,7 @@ def outside(words: list[bytes], ranges: list[int]) -> list[bytes]:
     return kept + words[done:]
 
 
-def remove_repeats(documents: DataFrame, digest: bool = True, broadcast_ranges: int = BROADCAST_RANGES) -> DataFrame:
+def remove_repeats(documents: DataFrame, digest: bool = True, broadcast_ranges: int = BROADCAST_RANGES, filter_keys: int = FILTER_KEYS) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256, or with ``digest`` off kept_text, of every row."""
     documents = documents.select("doc_id", "text", F.xxhash64(F.col("text").cast("binary")).alias("text_key"))
     key = ["doc_id", "text_key"]
@@ -186,7 +217,7 @@ def remove_repeats(documents: DataFrame, digest: bool = True, broadcast_ranges:
     n_copies = copies.count()
     originals = join_small(documents.where("doc_id is not null"), copies, key, "left_anti", rows=n_copies)
     whole = copies.select(*key, F.lit(None).cast("array<int>").alias("ranges"))
-    marks = materialize(ranges_of(repeated_windows(originals)).unionByName(whole).withColumn("marked", F.lit(True)))
+    marks = materialize(ranges_of(repeated_windows(originals, filter_keys)).unionByName(whole).withColumn("marked", F.lit(True)))
     size = marks.agg(F.sum(3 + F.coalesce(F.size("ranges"), F.lit(0)))).first()[0] or 0
     joined = join_small(documents, marks, key, "left", rows=size, limit=broadcast_ranges)
 

@@ -1,12 +1,14 @@
 """Operator 6: token counts of whole texts, with overlap resynchronisation for huge documents.
 
-A text of more than ``huge_chars`` code points is never given to the tokenizer at once. It is encoded in chunks
-of ``chunk_chars`` with ``overlap_chars`` shared by neighbours. Two neighbours are spliced at a stable boundary: a
-position in their overlap after an ASCII space or line feed and before an ASCII character, at which both encodings start
-a token. The tokenizer drops white space, its word pattern only looks forward and special strings hold no white
-space, so from such a position on the right chunk yields what the whole text yields, and up to it the left chunk
-does. If an overlap holds no such position, the right chunk is encoded again with twice the overlap, at last from the
-start of the left chunk with a chunk that is as much longer, until one is found or the text ends.
+A text of more than ``huge_chars`` code points is encoded in chunks that overlap by twice ``overlap_chars``. Two neighbours are
+spliced at a stable boundary in the middle of their overlap, at which both encodings must start a token. Stable are the
+positions of ``BOUNDARY``: before a letter, digit or mark that follows white space, between a letter and a mark, and on either side
+of a digit. There the tokenizer's word pattern, which only looks forward, ends one word and starts the next whatever stands
+before or after; the characters named never compose with what precedes them; and special strings and elisions, which could span the
+place, are kept out by their first signs. So from there on the right chunk yields what the whole text yields, and up to it the
+left chunk does. If a chunk's end holds no such place, the overlap is widened backwards, at last to the chunk's start; then the
+chunk grows forward to the next place. Only text without any, one single word, is encoded at once. Where two encodings do not
+start a token at the same place, the next place before it is tried.
 
 Shorter texts are cut at single ASCII spaces and line feeds, where the same argument holds, and every distinct
 piece is encoded once per worker (a bounded cache keeps the counts of frequent pieces).
@@ -16,6 +18,7 @@ Null and empty texts have no tokens. Extra columns are dropped; repeated rows ar
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +30,11 @@ HUGE_CHARS = 50_000
 CHUNK_CHARS = 16_384
 OVERLAP_CHARS = 256
 CACHE_WORDS = 300_000
+#: Letters and marks whose kind no Unicode version disputes and that compose with nothing before them.
+LETTER = "a-zA-ZÀ-ÖØ-öø-ÿА-яァ-ヺぁ-ゖ一-龥가-힣"
+MARK = "!\"#$%&()*+,\\-./:;=?@\\[\\]^_{}~、。〈-】！（），：；？"
+#: A character after which a boundary lies, looking at the next one; '<', '|' and apostrophes end or start none.
+BOUNDARY = re.compile(f"[ \n](?=[{LETTER}0-9{MARK}])|[{LETTER}](?=[{MARK}0-9])|[{MARK}](?=[{LETTER}0-9])|[0-9](?=[{LETTER}0-9{MARK}])")
 
 
 def load_tokenizer(path: str):
@@ -46,42 +54,51 @@ def token_starts(tokenizer, text: str) -> np.ndarray:
     return np.fromiter((a for a, _ in tokenizer.encode(text, add_special_tokens=False).offsets), np.int64)
 
 
-def stable_cut(text: str, low: int, high: int, left: np.ndarray, right: np.ndarray) -> int | None:
-    """The last position in (low, high) at which both encodings (token starts in the text) begin a token after white space."""
-    shared = np.intersect1d(left[(left > low) & (left < high)], right[(right > low) & (right < high)])
-    for at in shared[::-1].tolist():
-        if text[at - 1] in " \n" and text[at].isascii() and not text[at].isspace():
-            return at
-    return None
+def boundary_after(text: str, low: int, high: int) -> int | None:
+    """The first stable boundary in (low, high]."""
+    found = BOUNDARY.search(text, max(low, 0), min(len(text), high + 1))
+    return found.start() + 1 if found else None
+
+
+def boundaries_before(text: str, low: int, high: int, overlap: int) -> Iterator[int]:
+    """Stable boundaries in (low, high), from the last on, looked for in ever longer stretches."""
+    past = high
+    while past > low:
+        at = max(low, past - overlap)
+        places = [m.start() + 1 for m in BOUNDARY.finditer(text, max(at - 1, 0), min(len(text), past + 1))]
+        yield from (p for p in reversed(places) if at < p <= past and low < p < high)
+        past, overlap = at, 2 * overlap
 
 
 def count_huge(tokenizer, text: str, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> int:
-    """Tokens of ``text``, of which at most some chunks are encoded at a time."""
+    """Tokens of ``text``, of which at most a chunk and its overlaps are encoded at a time."""
     if chunk_chars <= overlap_chars:
         raise ValueError("a chunk must be longer than the overlap")
     total, begin = 0, 0
-    end = min(len(text), chunk_chars)
-    left = token_starts(tokenizer, text[begin:end]) + begin
-    while end < len(text):
-        overlap, cut, size = overlap_chars, None, chunk_chars
+    while len(text) - begin > chunk_chars + overlap_chars:
+        cut, wanted = None, begin + chunk_chars
+        for place in boundaries_before(text, begin, wanted, overlap_chars):
+            if (tokens := agreed(tokenizer, text, begin, place, overlap_chars)) is not None:
+                cut = place
+                break
         while cut is None:
-            at = max(begin, end - overlap)
-            to = min(len(text), at + size)
-            right = token_starts(tokenizer, text[at:to]) + at
-            cut = stable_cut(text, at, end, left, right)
-            if cut is None and at == begin:
-                if to == len(text):
-                    return total + len(right)
-                if to > end:  # the whole left chunk aligned nowhere: it grows to take in the right one
-                    left, end = right, to
-                size *= 2
-                overlap = overlap_chars
-            elif cut is None:
-                overlap *= 2
-                size = max(size, overlap + chunk_chars)
-        total += int((left < cut).sum())
-        begin, end, left = cut, to, right[right >= cut]
-    return total + len(left)
+            if (place := boundary_after(text, wanted - 1, len(text))) is None or place >= len(text):
+                break
+            if (tokens := agreed(tokenizer, text, begin, place, overlap_chars)) is not None:
+                cut = place
+            wanted = place + 1
+        if cut is None:
+            break
+        total, begin = total + tokens, cut
+    return total + len(token_starts(tokenizer, text[begin:]))
+
+
+def agreed(tokenizer, text: str, begin: int, cut: int, overlap: int) -> int | None:
+    """Tokens from one boundary to the next, if the chunk around them and a chunk around the cut both start a token at the cut."""
+    left = token_starts(tokenizer, text[begin : cut + overlap]) + begin
+    at = max(begin, cut - overlap)
+    right = token_starts(tokenizer, text[at : cut + overlap]) + at
+    return int((left < cut).sum()) if cut in left and cut in right else None
 
 
 class WordCounter:

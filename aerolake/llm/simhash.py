@@ -2,7 +2,7 @@
 
 1. A scan computes the 64-bit fingerprint of every text: words of the ASCII-lower-cased text, shingles of ``SHINGLE`` words,
    XXH64 with seed 42; a bit is set if over half of the shingles set it. A text without words has fingerprint zero.
-2. Equal fingerprints become one node, named by its smallest doc_id, so groups of copies shrink before any search.
+2. Equal fingerprints become one node, named by the fingerprint, so groups of copies shrink before any search.
 3. Candidates meet by key. Two fingerprints with at most two differing bits agree on at least two of four 16-bit quarters,
    so each goes to six keys of 32 fixed bits. A key with more than ``LEAF_GROUP`` nodes is split: the bits it leaves
    free are cut into three, of which the pair again agrees on one. After three splits at most ten bits are free,
@@ -14,8 +14,8 @@
 5. Stars of all groups meet in ``components``; a component is named by its smallest doc_id.
 
 Null texts count as texts without words. Rows that repeat a doc_id with other texts link what both texts link. Rows without a
-doc_id get their fingerprint, belong to a component only through its other members (null if it has none), and
-link those. Extra columns are dropped.
+doc_id get their fingerprint and link others; their component_id is that of the other members (null if none has an id).
+Extra columns are dropped by ``near_duplicates`` and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolake.llm.common import join_small, materialize, texts_as_bytes
+from aerolake.llm.common import BROADCAST_ROWS, materialize, text_key, texts_as_bytes
 from aerolake.llm.components import stars
 
 SHINGLE = 3
@@ -62,14 +62,16 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """doc_id, fp (long) of every row."""
+    """doc_id, fp (long) and the other columns but the text of every row."""
+    others = [c for c in documents.columns if c not in ("doc_id", "text")]
+    kinds = {f.name: f.dataType.simpleString() for f in documents.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(shingle_hashes(text or b"")) for text in texts_as_bytes(batch["text"])]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.int64()), *(batch[c] for c in others)], ["doc_id", "fp", *others])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return documents.select("doc_id", "text", *others).mapInArrow(run, ", ".join(["doc_id long", "fp long", *(f"{c} {kinds[c]}" for c in others)]))
 
 
 def gray_rank(fps: np.ndarray) -> np.ndarray:
@@ -198,19 +200,41 @@ def link_groups(most: int):
     return run
 
 
+def roots_of(prints: DataFrame, most: int = MAX_BITS) -> DataFrame:
+    """fp, root of every fingerprint: one root for all that are linked, also by a doc_id that two of them share."""
+    nodes = materialize(prints.select("fp", F.col("fp").alias("name")).distinct())
+    several = prints.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("v"), F.max("fp").alias("high")).where("v <> high")
+    repeated = prints.join(several, "doc_id").where("fp <> v").select(F.col("fp").alias("u"), "v")
+    roots = stars(links(nodes, most).unionByName(repeated))
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(documents: DataFrame, most: int = MAX_BITS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row."""
-    prints = materialize(fingerprints(documents))
-    nodes = materialize(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("name")))
-    named = lambda to: nodes.select("fp", F.col("name").alias(to))
-    several = prints.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high")
-    repeated = prints.join(several, "doc_id").where("fp <> low").select("fp", "low").join(named("u"), "fp").drop("fp").withColumnRenamed("low", "fp").join(named("v"), "fp").select("u", "v")
-    roots = stars(links(nodes, most).unionByName(repeated))
-    label = materialize(nodes.join(roots, nodes["name"] == roots["node"], "left").select("fp", F.coalesce("root", "name").alias("component_id")))
+    prints = materialize(fingerprints(documents.select("doc_id", "text")))
+    rooted = materialize(roots_of(prints, most))
+    lowest = prints.groupBy("fp").agg(F.min("doc_id").alias("low")).join(rooted, "fp").groupBy("root").agg(F.min("low").alias("component_id"))
+    label = materialize(rooted.join(lowest, "root").select("fp", "component_id"))
     return prints.join(label, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(documents: DataFrame, most: int = MAX_BITS) -> DataFrame:
-    """The rows of ``documents`` that are the smallest doc_id of their component, and those without a doc_id."""
-    gone = near_duplicates(documents, most).where("doc_id <> component_id").select("doc_id").distinct()
-    return join_small(documents, materialize(gone), "doc_id", "left_anti")
+    """One row of ``documents`` for each component: that with the smallest doc_id (one with an id before those without), then with the
+    smallest hash of its text; of rows that agree in both any one.
+    """
+    keyed = fingerprints(documents.select("doc_id", "text", text_key().alias("hash")))
+    prints = materialize(keyed.groupBy("doc_id", "hash", "fp").agg(F.count("*").alias("rows")))
+    rooted = materialize(roots_of(prints, most))
+    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash")
+    members = prints.join(rooted, "fp").withColumn("key", key)
+    several = members.groupBy("root").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first")
+    gone = materialize(members.join(several, "root").where("not (key <=> first)").select(F.col("doc_id").alias("_gone_id"), F.col("hash").alias("_gone_hash")))
+    repeated = materialize(prints.where("rows > 1").select(F.col("doc_id").alias("_gone_id"), F.col("hash").alias("_gone_hash")))
+    same = F.col("doc_id").eqNullSafe(F.col("_gone_id")) & text_key().eqNullSafe(F.col("_gone_hash"))
+    few = lambda keys: F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+    kept = documents.join(few(gone), same, "left_anti")
+    if repeated.isEmpty():
+        return kept
+    repeated = few(repeated)
+    own = kept.join(repeated, same, "left_semi").withColumn("_hash", text_key())
+    return kept.join(repeated, same, "left_anti").unionByName(own.dropDuplicates(["doc_id", "_hash"]).drop("_hash"))

@@ -1,16 +1,23 @@
 """Operator 9: licence scan, a sparse word n-gram logistic regression over windows of words.
 
 Every non-empty line is a paragraph; lines up to one without words (also an empty comment line) form a block, in which notices may be
-wrapped. Features are word bigrams and trigrams (ASCII-lower-cased words of letters, digits and other alphabets, which leaves comment
-marks out) that occur in ``TEMPLATES``. The classifier is trained here: positives are the templates, whole and with words dropped
-or put around them (seeded); negatives are at most ``NEGATIVES`` lines of the corpus that look like no template, so the
-class ``unknown`` is learnt too. A temperature fitted on a fifth of the examples calibrates the probabilities. A window starts at any
-bigram of a template, spans at most twice the template and ``SLACK`` words, and is confirmed if it holds ``CONFIRM`` of the template's bigrams and
-the classifier gives it the template's family with ``CONFIDENCE``. Of overlapping windows the one with the largest share counts, so a
-block may name several families. One scan reads every block of every text, without a shuffle.
+wrapped. Templates are ``NOTICES`` and all statements that ``FRAMES`` make of ``NAMES``; their word bigrams and trigrams (of
+ASCII-lower-cased words of letters, digits and other alphabets, which leaves comment marks out) are the features. The classifier is
+trained here: positives are templates, whole, among other words, and for notices with words dropped (seeded); the class ``unknown``
+learns from at most ``NEGATIVES`` windows of the corpus, from statements about invented licences, from prose that only
+mentions a licence, and from single bigrams. A temperature calibrates the probabilities: it is fitted on whole variants of names and
+notices that a first training did not see, and on other negatives.
+
+A window begins at any bigram of a template, spans at most twice the template and ``SLACK`` words, and is confirmed if it holds
+``CONFIRM`` of the template's bigrams, as large a share of those that occur in templates of no other family (of a statement
+instead: its verb and its whole name), and the classifier gives it the family with ``CONFIDENCE``. Of overlapping windows the one with the largest share counts, so a block may name several families; names that 'or' and 'and' add
+to a statement are classified and confirmed like it. Identifiers of an
+``SPDX-License-Identifier`` expression are taken one by one; each is classified as a statement and confirmed by the table of identifiers.
+One scan reads every block of every text, without a shuffle.
 
 Null and empty texts have no paragraphs. Repeated rows are scanned alike; an empty table trains on templates alone. Extra columns
-are dropped. Families are listed once, in order of name; a notice counts for the paragraph in which it begins.
+are dropped. Families are listed once, in order of name; a notice counts for the paragraph in which it begins. Two windows with
+the same share: the shorter one counts, then the first, then that of the first template.
 """
 
 from __future__ import annotations
@@ -31,24 +38,91 @@ from pyspark.sql import functions as F
 CONFIDENCE = 0.5
 CONFIRM = 0.6
 SLACK = 8
-NEGATIVES = 1000
+#: The bound on what the class unknown learns from the corpus: windows, and words in each.
+NEGATIVES, NEGATIVE_WORDS = 1000, 60
 UNKNOWN = "unknown"
-#: Sentences by which licences are stated in public texts: fixed values.
-TEMPLATES: dict[str, list[str]] = {
-    "agpl-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License", "Licensed under the GNU Affero General Public License, version 3"],
-    "apache-2.0": ["Licensed under the Apache License, Version 2.0", "You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: Apache-2.0"],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the BSD License", "Use of this source code is governed by a BSD-style license", "SPDX-License-Identifier: BSD-3-Clause"],
-    "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License", "Licensed under CC BY 4.0"],
-    "cc-by-nc": ["This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "Licensed under CC BY-NC 4.0"],
-    "cc-by-sa": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Licensed under CC BY-SA 4.0"],
-    "cc0": ["To the extent possible under law, the author has waived all copyright and related rights to this work", "Released under CC0 1.0 Universal public domain dedication"],
-    "gpl": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License, version 2", "SPDX-License-Identifier: GPL-3.0-or-later"],
-    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Released under the ISC License"],
-    "lgpl": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "Licensed under the GNU Lesser General Public License, version 3"],
-    "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "Released under the MIT License", "Licensed under the MIT License", "SPDX-License-Identifier: MIT"],
-    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License, Version 2.0"],
-    "unlicense": ["This is free and unencumbered software released into the public domain", "Released under the Unlicense"],
+VERBS = ("licensed", "released", "distributed", "available", "published")
+#: How a text states its licence.
+FRAMES = tuple(f"{verb} under {link}" for verb in VERBS for link in ("", "the ", "a ", "the terms of the "))
+#: Names by which licences are stated in public texts: fixed values.
+NAMES: dict[str, list[str]] = {
+    "agpl-3.0": ["GNU Affero General Public License", "GNU Affero General Public License, version 3", "GNU AGPL", "AGPL", "AGPLv3"],
+    "apache-1.1": ["Apache License, Version 1.1", "Apache Software License, Version 1.1"],
+    "apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache 2 License", "Apache License v2.0", "Apache License, Version 2"],
+    "artistic": ["Artistic License", "Artistic License 2.0"],
+    "boost": ["Boost Software License", "Boost Software License, Version 1.0"],
+    "bsd": ["BSD License", "BSD 2-Clause License", "BSD 3-Clause License", "2-Clause BSD License", "3-Clause BSD License", "New BSD License", "Simplified BSD License", "Modified BSD License", "BSD-style license"],
+    "cc0": ["CC0", "CC0 1.0", "CC0 1.0 Universal", "CC0 1.0 Universal public domain dedication", "Creative Commons Zero"],
+    "cddl": ["Common Development and Distribution License", "CDDL"],
+    "epl": ["Eclipse Public License", "Eclipse Public License 2.0", "Eclipse Public License, Version 1.0"],
+    "eupl": ["European Union Public Licence", "European Union Public License", "EUPL"],
+    "gfdl": ["GNU Free Documentation License", "GFDL"],
+    "gpl": ["GNU General Public License", "GNU General Public License, version 2", "GNU General Public License, version 3", "GNU GPL", "GNU GPL version 2", "GNU GPL version 3", "GPL", "GPLv2", "GPLv3", "GPL version 2", "GPL version 3"],
+    "isc": ["ISC License"],
+    "lgpl": ["GNU Lesser General Public License", "GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License, version 3", "GNU Library General Public License", "GNU LGPL", "LGPL", "LGPLv3"],
+    "mit": ["MIT License", "MIT licence", "MIT/X11 License", "Expat License", "MIT-style license"],
+    "mpl-1.1": ["Mozilla Public License 1.1", "Mozilla Public License, Version 1.1"],
+    "mpl-2.0": ["Mozilla Public License 2.0", "Mozilla Public License, Version 2.0", "Mozilla Public License, v. 2.0", "MPL 2.0"],
+    "odbl": ["Open Database License", "ODbL"],
+    "ofl": ["SIL Open Font License", "SIL Open Font License, Version 1.1"],
+    "psf": ["Python Software Foundation License", "PSF License"],
+    "unlicense": ["Unlicense"],
+    "wtfpl": ["WTFPL"],
+    "zlib": ["zlib License", "zlib/libpng License"],
 }
+#: Families of the Creative Commons licences with attribution, by the conditions that their names add.
+CONDITIONS = {"cc-by": "", "cc-by-nc": "NonCommercial", "cc-by-nc-nd": "NonCommercial-NoDerivatives", "cc-by-nc-sa": "NonCommercial-ShareAlike", "cc-by-nd": "NoDerivatives", "cc-by-sa": "ShareAlike"}
+for _family, _conditions in CONDITIONS.items():
+    _long, _short = "-".join(["Creative Commons Attribution", *_conditions.split()]), _family.upper().replace("CC-", "CC ")
+    NAMES[_family] = [f"{_long} License", f"{_long} 4.0", *(f"{_long} {v} License" for v in ("4.0 International", "3.0 Unported")), f"{_short} 4.0", f"{_short} 3.0", f"{_short} license"]
+#: Sentences of licences and of the notices that name them: fixed values.
+NOTICES: dict[str, list[str]] = {
+    "agpl-3.0": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "You should have received a copy of the GNU Affero General Public License along with this program"],
+    "apache-2.0": ["You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"],
+    "boost": ["Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use, reproduce, display, distribute, execute, and transmit the Software"],
+    "bsd": ["Redistribution and use in source and binary forms, with or without modification", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Use of this source code is governed by a BSD-style license", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"],
+    "cc0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"],
+    "gpl": ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "You should have received a copy of the GNU General Public License along with this program"],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS"],
+    "lgpl": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "You should have received a copy of the GNU Lesser General Public License along with this library"],
+    "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT"],
+    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
+    "ofl": ["This Font Software is licensed under the SIL Open Font License, Version 1.1"],
+    "unlicense": ["This is free and unencumbered software released into the public domain", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary"],
+    "wtfpl": ["Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed"],
+    "zlib": ["This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"],
+}
+#: Identifiers of public licence lists, by family: fixed values.
+SPDX: dict[str, list[str]] = {
+    "agpl-3.0": ["AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later"],
+    "apache-1.1": ["Apache-1.1"],
+    "apache-2.0": ["Apache-2.0"],
+    "artistic": ["Artistic-1.0", "Artistic-2.0"],
+    "boost": ["BSL-1.0"],
+    "bsd": ["0BSD", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause"],
+    "cc0": ["CC0-1.0"],
+    "cddl": ["CDDL-1.0", "CDDL-1.1"],
+    "epl": ["EPL-1.0", "EPL-2.0"],
+    "eupl": ["EUPL-1.1", "EUPL-1.2"],
+    "gfdl": ["GFDL-1.2-or-later", "GFDL-1.3-or-later"],
+    "gpl": ["GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-2.0+", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "GPL-3.0+"],
+    "isc": ["ISC"],
+    "lgpl": ["LGPL-2.0-only", "LGPL-2.0-or-later", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only", "LGPL-3.0-or-later"],
+    "mit": ["MIT", "MIT-0", "X11"],
+    "mpl-1.1": ["MPL-1.1"],
+    "mpl-2.0": ["MPL-2.0"],
+    "odbl": ["ODbL-1.0"],
+    "ofl": ["OFL-1.1"],
+    "psf": ["PSF-2.0", "Python-2.0"],
+    "unlicense": ["Unlicense"],
+    "wtfpl": ["WTFPL"],
+    "zlib": ["Zlib"],
+} | {family: [f"{family.upper()}-{v}" for v in ("3.0", "4.0")] for family in CONDITIONS}
+FAMILY_OF = {i.lower(): family for family, ids in SPDX.items() for i in ids}
+TAG = re.compile(rb"spdx-license-identifier:[ \t]*([^\n]*)", re.IGNORECASE)
+IDENTIFIER = re.compile(rb"[a-z0-9.+-]+", re.IGNORECASE)
+#: Prose that names a licence without stating it; seeds of the class unknown.
+MENTIONS = ("the {} is one of many that courts have read", "a talk about the {} and its history", "why we left the {} behind", "{} compliance training for managers", "compare the {} with others")
 WORDS = re.compile(rb"[a-z0-9\x80-\xff]+")
 #: Comment marks that are words.
 MARKS = re.compile(rb"\s*(?:dnl|rem)\s", re.IGNORECASE)
@@ -58,56 +132,130 @@ def words_of(paragraph: bytes) -> list[bytes]:
     return WORDS.findall(paragraph.lower())
 
 
+def pairs_of(words: list[bytes]) -> list[tuple[bytes, bytes]]:
+    return list(zip(words, words[1:], strict=False))
+
+
 def grams_of(words: list[bytes]) -> list[tuple[bytes, ...]]:
-    return [*zip(words, words[1:], strict=False), *zip(words, words[1:], words[2:], strict=False)]
+    return [*pairs_of(words), *zip(words, words[1:], words[2:], strict=False)]
+
+
+@dataclass
+class Template:
+    family: str
+    variant: tuple[str, str]  # name or notice that it comes from
+    words: list[bytes]
+    frame: int  # of a statement, the words before the name; else 0
+
+    def __post_init__(self) -> None:
+        pairs = pairs_of(self.words)
+        self.pairs = frozenset(pairs)
+        self.least = math.ceil(CONFIRM * len(self.pairs) - 1e-9)
+        self.needed = frozenset([pairs[0], *pairs[self.frame - 1 :]]) if self.frame else self.pairs
+
+    def tell(self, families: dict[tuple[bytes, bytes], set[str]]) -> None:
+        """Which bigrams, and how many of them, a window must hold: of a statement its verb and its name, of a notice those of its family alone."""
+        if not self.frame:
+            self.needed = frozenset(p for p in self.pairs if len(families[p]) == 1)
+        rarest = min(len(families[p]) for p in self.needed)
+        self.rare = frozenset(p for p in self.needed if len(families[p]) == rarest)
+        self.fewest = len(self.needed) if self.frame else math.ceil(CONFIRM * len(self.needed) - 1e-9)
+
+    def held_by(self, seen: set) -> bool:
+        return len(seen) >= self.least and len(self.needed & seen) >= self.fewest
+
+
+def templates() -> list[Template]:
+    found = [Template(family, (family, name), words_of((frame + name).encode()), len(frame.split())) for family, names in NAMES.items() for name in names for frame in FRAMES]
+    found += [Template(family, (family, text), words_of(text.encode()), 0) for family, texts in NOTICES.items() for text in texts]
+    families: dict[tuple[bytes, bytes], set[str]] = defaultdict(set)
+    for t in found:
+        for p in t.pairs:
+            families[p].add(t.family)
+    for t in found:
+        t.tell(families)
+    return found
 
 
 @dataclass
 class Model:
     families: list[str]
     grams: dict[tuple[bytes, ...], int]
-    starts: frozenset[tuple[bytes, bytes]]
     weights: np.ndarray  # (grams + 1, families); the last row is the bias
     temperature: float
-    templates: dict[str, list[frozenset]]
 
     def __post_init__(self) -> None:
-        self.listed = [(family, len(t), math.ceil(CONFIRM * len(t) - 1e-9)) for family, ts in self.templates.items() for t in ts]
+        self.templates = templates()
+        self.names: dict[bytes, list[tuple[list[bytes], str]]] = defaultdict(list)
+        for family, names in NAMES.items():
+            for words in map(words_of, map(str.encode, names)):
+                self.names[words[0]].append((words, family))
         self.holders: dict[tuple[bytes, bytes], list[int]] = defaultdict(list)
-        for k, t in enumerate(t for ts in self.templates.values() for t in ts):
-            for g in t:
-                self.holders[g].append(k)
-
-    def probabilities(self, rows: list[list[int]]) -> np.ndarray:
-        logits = np.stack([self.weights[[*row, -1]].sum(axis=0) for row in rows]) / self.temperature
-        return softmax(logits)
-
-    def classify(self, words: list[bytes]) -> tuple[str, float, float]:
-        """Family, its probability, and the share of a template's bigrams that the paragraph holds."""
+        self.rare: dict[tuple[bytes, bytes], list[int]] = defaultdict(list)
+        for k, t in enumerate(self.templates):
+            for p in t.pairs:
+                self.holders[p].append(k)
+            for p in t.rare:
+                self.rare[p].append(k)
+
+    def classify(self, words: list[bytes]) -> tuple[str, float]:
+        """Family and its probability."""
         found = sorted({self.grams[g] for g in grams_of(words) if g in self.grams})
-        if not found:
-            return UNKNOWN, 1.0, 0.0
-        p = self.probabilities([found])[0]
+        logits = self.weights[[*found, -1]].sum(axis=0) / self.temperature
+        p = softmax(logits[None])[0]
         best = int(p.argmax())
-        if self.families[best] == UNKNOWN or p[best] < CONFIDENCE:
-            return UNKNOWN, float(p[self.families.index(UNKNOWN)]), 0.0
-        own = set(zip(words, words[1:], strict=False))
-        return self.families[best], float(p[best]), max(len(own & t) / len(t) for t in self.templates[self.families[best]])
+        return (self.families[best], float(p[best])) if p[best] >= CONFIDENCE else (UNKNOWN, float(p[self.families.index(UNKNOWN)]))
+
+    def identifiers(self, tag: bytes) -> list[tuple[str, float]]:
+        """Family and probability of each confirmed identifier of an expression."""
+        found = []
+        for name in dict.fromkeys(i.lower().rstrip(b".") for i in IDENTIFIER.findall(tag)):
+            family = FAMILY_OF.get(name.decode())
+            if family and (judged := self.classify(words_of(b"spdx license identifier " + name)))[0] == family:
+                found.append(judged)
+        return found
+
+    def alternatives(self, words: list[bytes], at: int) -> list[tuple[int, str, float]]:
+        """First word, family and probability of each name that goes on a statement which ends before the word ``at``: 'or the MIT License'."""
+        found = []
+        while words[at : at + 1] and words[at] in (b"or", b"and"):
+            first = at + 1
+            while words[first : first + 1] and words[first] in (b"or", b"the", b"a"):
+                first += 1
+            names = [(len(n), n, family) for n, family in self.names.get(words[first] if first < len(words) else b"", ()) if words[first : first + len(n)] == n]
+            if not names:
+                break
+            size, name, family = max(names)
+            judged = self.classify([*words_of(FRAMES[1].encode()), *name])
+            if judged[0] != family:
+                break
+            found.append((first, *judged))
+            at = first + size
+        return found
+
+    def candidates(self, pairs: list[tuple[bytes, bytes]]) -> dict[int, list[int]]:
+        """Templates of which a block holds enough, and where in it their bigrams are."""
+        present = set(pairs)
+        own = {k for p in present & self.rare.keys() for k in self.rare[p]}
+        own = {k for k in own if self.templates[k].held_by(self.templates[k].pairs & present)}
+        places: dict[int, list[int]] = {k: [] for k in own}
+        if own:
+            for i, p in enumerate(pairs):
+                for k in self.holders.get(p, ()):
+                    if k in own:
+                        places[k].append(i)
+        return places
 
     def notices(self, words: list[bytes], begins: list[int]) -> list[tuple[int, str, float]]:
         """First word, family and probability of each confirmed window of a block, whose lines begin at the words ``begins``."""
-        pairs = list(zip(words, words[1:], strict=False))
-        places: dict[int, list[int]] = defaultdict(list)
-        for i, g in enumerate(pairs):
-            if g in self.starts:
-                for k in self.holders[g]:
-                    places[k].append(i)
-        judged: dict[tuple[bytes, ...], tuple[str, float, float]] = {}
+        pairs = pairs_of(words)
+        places = self.candidates(pairs)
+        judged: dict[tuple[bytes, ...], tuple[str, float]] = {}
 
         def window(k: int, at: int, past: int) -> tuple | None:
             """The shortest window from the place ``at`` on that holds most of the template before the bigram ``past``, if it is confirmed."""
-            family, size, least = self.listed[k]
-            own, first = places[k], places[k][at]
+            template, own, first = self.templates[k], places[k], places[k][at]
+            size = len(template.pairs)
             seen, end = set(), first
             for j in range(at, len(own)):
                 i = own[j]
@@ -116,31 +264,30 @@ class Model:
                 if pairs[i] not in seen:
                     seen.add(pairs[i])
                     end = i
-            if len(seen) < least:
+            if not template.held_by(seen):
                 return None
             held = tuple(words[first : end + 2])
             if held not in judged:
                 judged[held] = self.classify(list(held))
-            if judged[held][0] != family:
+            if judged[held][0] != template.family:
                 return None
             return -len(seen) / size, end + 1 >= line_end(first), end - first, first, k, at, end, judged[held][1]
 
         line_end = lambda i: begins[x] if (x := bisect_right(begins, i)) < len(begins) else len(words)
         inside, across = [], []
         for k, own in places.items():
-            if len({pairs[i] for i in own}) >= self.listed[k][2]:
-                for at, i in enumerate(own):
-                    if (w := window(k, at, len(words))) is not None:
-                        (across if w[1] else inside).append(w)
-                    if (w is None or w[1]) and (w := window(k, at, line_end(i) - 1)) is not None:
-                        inside.append(w)
+            for at, i in enumerate(own):
+                if (w := window(k, at, len(words))) is not None:
+                    (across if w[1] else inside).append(w)
+                if (w is None or w[1]) and (w := window(k, at, line_end(i) - 1)) is not None:
+                    inside.append(w)
         # Where a line alone names a family, a window that takes words of other lines adds nothing.
         ends: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for w in inside:
-            ends[self.listed[w[4]][0]].append((w[3], w[6]))
+            ends[self.templates[w[4]].family].append((w[3], w[6]))
         for spans in ends.values():
             spans.sort()
-        heap = inside + [w for w in across if not holds(ends[self.listed[w[4]][0]], w[3], w[6])]
+        heap = inside + [w for w in across if not holds(ends[self.templates[w[4]].family], w[3], w[6])]
         heapq.heapify(heap)
         taken, found = bytearray(len(words)), []
         while heap:
@@ -150,7 +297,7 @@ class Model:
             clash = taken.find(1, first, end + 1)
             if clash < 0:
                 taken[first : end + 1] = b"\1" * (end + 1 - first)
-                found.append((first, self.listed[k][0], p))
+                found += [(first, self.templates[k].family, p), *self.alternatives(words, end + 2)]
             elif (w := window(k, at, clash)) is not None:
                 heapq.heappush(heap, w)
         return sorted(found)
@@ -183,86 +330,138 @@ def softmax(logits: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def examples(filler: list[list[bytes]], seed: int = 7, copies: int = 12) -> list[tuple[list[bytes], str]]:
-    """Paragraphs for each family: templates whole, shortened, with a few words dropped, with other words around."""
+def examples(listed: list[Template], negatives: list[list[bytes]], seed: int = 7, copies: int = 12) -> list[tuple[list[bytes], str, tuple[str, str] | None]]:
+    """(words, family, variant) to learn from: templates, identifiers, negatives."""
     rng, out = np.random.default_rng(seed), []
-    around = lambda: filler[rng.integers(len(filler))][: rng.integers(0, 12)] if filler else []
-    for family, texts in TEMPLATES.items():
-        for text in texts:
-            words = words_of(text.encode())
-            out.append((words, family))
-            for _ in range(copies):
-                kept = [w for w in words if rng.random() > 0.06]
-                out.append(([*around(), *kept, *around()], family))
-    return out
-
-
-def train(negatives: list[list[bytes]], steps: int = 150, rate: float = 1.0, decay: float = 1e-4) -> Model:
-    families = [*sorted(TEMPLATES), UNKNOWN]
-    grams: dict[tuple[bytes, ...], int] = {}
-    templates = {f: [words_of(t.encode()) for t in texts] for f, texts in TEMPLATES.items()}
-    for texts in templates.values():
-        for words in texts:
-            for g in grams_of(words):
-                grams.setdefault(g, len(grams))
-    held = {f: [frozenset(zip(w, w[1:], strict=False)) for w in texts] for f, texts in templates.items()}
-    every = set().union(*(t for ts in held.values() for t in ts))
-    clean = [w for w in negatives if len(set(zip(w, w[1:], strict=False)) & every) < 2]
-    data = examples(clean) + [(w, UNKNOWN) for w in clean] + [([], UNKNOWN)]
-    # Fragments of a template name no family: single grams are unknown.
-    data += [(list(g), UNKNOWN) for g in grams if len(g) == 2]
-    x = np.zeros((len(data), len(grams) + 1))
-    x[:, -1] = 1
-    for i, (words, _) in enumerate(data):
-        x[i, [grams[g] for g in grams_of(words) if g in grams]] = 1
-    y = np.eye(len(families))[[families.index(f) for _, f in data]]
-    held_back = np.arange(len(data)) % 5 == 0
-    weights, speed = np.zeros((x.shape[1], len(families))), np.zeros((x.shape[1], len(families)))
-    xt, yt = x[~held_back], y[~held_back]
-    balance = 1 / yt.sum(axis=0).clip(1)
-    per_row = (yt @ balance)[:, None] / len(families)
+    around = lambda: negatives[rng.integers(len(negatives))][: rng.integers(0, 12)] if negatives else []
+    for k, t in enumerate(listed):
+        if t.frame and k // len(FRAMES) % 5 != k % 5:
+            continue  # a name is learnt in a fifth of the frames
+        out.append((t.words, t.family, t.variant))
+        for _ in range(1 if t.frame else copies):
+            kept = t.words if t.frame else [w for w in t.words if rng.random() > 0.06]
+            out.append(([*around(), *kept, *around()], t.family, t.variant))
+    for family, ids in SPDX.items():
+        out += [(words_of(f"spdx license identifier {i}".encode()), family, None) for i in ids for _ in range(copies)]
+    unknown = [*negatives, []]
+    syllables = [a + b for a in "bdfgklmnprstvz" for b in "aeiou"]
+    for k in range(300):
+        name = "".join(syllables[i] for i in rng.integers(len(syllables), size=rng.integers(2, 4)))
+        kind = ("{} License", "{} Public License", "{} License, Version 2.0", "{} General Public License", "{} Software License 1.0", "{}")[k % 6].format(name)
+        unknown.append(words_of((FRAMES[k % len(FRAMES)] + kind).encode()))
+    unknown += [words_of(f"spdx license identifier {a}{b}-2.0".encode()) for a in syllables[:10] for b in syllables[:3]]
+    unknown += [words_of(m.format(name).encode()) for names in NAMES.values() for name in names for m in MENTIONS]
+    # Fragments of a template name no family: single bigrams are unknown.
+    unknown += [list(p) for p in sorted({p for t in listed for p in t.pairs})]
+    return out + [(w, UNKNOWN, (UNKNOWN, str(k))) for k, w in enumerate(unknown)]
+
+
+class Sparse:
+    """Rows of feature numbers, the last of each that of the bias."""
+
+    def __init__(self, rows: list[list[int]], n: int):
+        self.flat = np.concatenate([np.array(r, np.int64) for r in rows])
+        self.starts = np.cumsum([0, *map(len, rows[:-1])])
+        row = np.repeat(np.arange(len(rows)), list(map(len, rows)))
+        self.order = np.argsort(self.flat, kind="stable")
+        self.columns, self.firsts = np.unique(self.flat[self.order], return_index=True)
+        self.row, self.n = row[self.order], n
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(weights[self.flat], self.starts)
+
+    def transposed_times(self, y: np.ndarray) -> np.ndarray:
+        out = np.zeros((self.n, y.shape[1]))
+        out[self.columns] = np.add.reduceat(y[self.row], self.firsts)
+        return out
+
+
+def regress(rows: list[list[int]], y: np.ndarray, n: int, steps: int = 100, rate: float = 5.0, decay: float = 1e-4) -> np.ndarray:
+    """Weights of a softmax regression with classes of equal weight."""
+    x = Sparse(rows, n)
+    weights, speed = np.zeros((n, y.shape[1])), np.zeros((n, y.shape[1]))
+    per_row = (y @ (1 / y.sum(axis=0).clip(1)))[:, None] / y.shape[1]
     for _ in range(steps):
-        slope = xt.T @ (per_row * (softmax(xt @ weights) - yt)) + decay * weights
+        slope = x.transposed_times(per_row * (softmax(x.times(weights)) - y)) + decay * weights
         speed = 0.9 * speed + slope
-        weights -= rate * 5 * speed / (1 + np.abs(speed).max())
-    logits = x[held_back] @ weights
-    loss = lambda t: -np.log(softmax(logits / t)[y[held_back] == 1] + 1e-12).mean()
+        weights -= rate * speed / (1 + np.abs(speed).max())
+    return weights
+
+
+def train(negatives: list[list[bytes]]) -> Model:
+    listed = templates()
+    clean = [w for w in negatives if not any(t.held_by(t.pairs & set(pairs_of(w))) for t in listed)] if negatives else []
+    families = [*sorted(NAMES), UNKNOWN]
+    grams = {g: k for k, g in enumerate(sorted({g for t in listed for g in grams_of(t.words)} | {g for ids in SPDX.values() for i in ids for g in grams_of(words_of(f"spdx license identifier {i}".encode()))}))}
+    data = examples(listed, clean)
+    rows = [[*sorted({grams[g] for g in grams_of(words) if g in grams}), len(grams)] for words, _, _ in data]
+    y = np.eye(len(families))[[families.index(f) for _, f, _ in data]]
+    variants = sorted({v for _, _, v in data if v})
+    left_out = {v for k, v in enumerate(variants) if k % 5 == 0}
+    aside = np.array([v in left_out for _, _, v in data])
+    first = regress([r for r, a in zip(rows, aside, strict=True) if not a], y[~aside], len(grams) + 1)
+    logits = Sparse([r for r, a in zip(rows, aside, strict=True) if a], len(grams) + 1).times(first)
+    loss = lambda t: -np.log(softmax(logits / t)[y[aside] == 1] + 1e-12).mean()
     temperature = min((0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss)
-    return Model(families, grams, frozenset(g for g in grams if len(g) == 2), weights, temperature, held)
+    return Model(families, grams, regress(rows, y, len(grams) + 1), temperature)
 
 
-def some_lines(documents: DataFrame, most: int = NEGATIVES) -> list[list[bytes]]:
-    """Words of at most ``most`` lines, each the last of a document whose doc_id hashes low. A threshold on the hash leaves about
-    four times as many, so that no task has to order more.
+def some_windows(documents: DataFrame, most: int = NEGATIVES, words: int = NEGATIVE_WORDS) -> list[list[bytes]]:
+    """At most ``most`` windows of ``words`` words, each from a document whose doc_id hashes low: around a bigram of a template if its text has any,
+    else at a place that a hash of the text gives. A threshold on the hash leaves about four times as many, so that no task has to order more.
     """
     n = documents.count()
     thinned = documents.where("text is not null").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
     if n > 4 * most:
         thinned = thinned.where(F.col("h") < int((1 << 40) * 4 * most / n))
-    line = F.substring(F.element_at(F.split("text", "\n"), -1), 1, 400)
-    rows = thinned.select("h", line.alias("line")).orderBy("h", "line").limit(most).collect()
-    return [w for r in rows if (w := words_of(r["line"].encode()))]
+    rare = frozenset(p for t in templates() for p in t.rare)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for h, text in zip(batch["h"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), strict=True):
+                own = words_of(text)
+                at = next((i for i, p in enumerate(pairs_of(own)) if p in rare), h % max(1, len(own)))
+                first = max(0, at - words // 2)
+                out.append(b" ".join(own[first : first + words]))
+            yield pa.RecordBatch.from_arrays([batch["h"], pa.array(out, pa.binary())], ["h", "window"])
+
+    rows = thinned.select("h", "text").mapInArrow(run, "h long, window binary").orderBy("h", "window").limit(most).collect()
+    return [w for r in rows if (w := bytes(r["window"]).split())]
 
 
 OUT = "doc_id long, n_paragraphs long, n_license long, licenses array<string>, score double, paragraphs array<int>"
 
 
+def notices_of(model: Model, text: bytes) -> tuple[int, list[tuple[int, str, float]]]:
+    """Paragraphs of a text, and of each confirmed notice its paragraph, family and probability."""
+    lines, found = text.split(b"\n"), []
+    if b"spdx" in text.lower():
+        number = 0
+        for k, line in enumerate(lines):
+            if tag := TAG.search(line):
+                found += [(number, *judged) for judged in model.identifiers(tag[1])]
+                # A space ends no block, and neither do the words before the tag.
+                lines[k] = line[: tag.start()] + b" tag"
+            number += bool(line.strip())
+    for words, begins, numbers in blocks_of(lines):
+        if not model.rare.keys().isdisjoint(zip(words, words[1:], strict=False)):
+            found += [(numbers[bisect_right(begins, i) - 1], family, p) for i, family, p in model.notices(words, begins)]
+    return sum(1 for x in lines if x.strip()), found
+
+
 def scan_licenses(documents: DataFrame, model: Model | None = None) -> DataFrame:
     """Of every row: doc_id, n_paragraphs, n_license (those in which a confirmed notice begins), licenses, score (of the surest, 0 without), paragraphs (their numbers)."""
-    shared = documents.sparkSession.sparkContext.broadcast(model or train(some_lines(documents)))
+    shared = documents.sparkSession.sparkContext.broadcast(model or train(some_windows(documents)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), strict=True):
-                lines = (text or b"").split(b"\n")
-                found = []
-                for words, begins, numbers in blocks_of(lines):
-                    if not model.starts.isdisjoint(zip(words, words[1:], strict=False)):
-                        found += [(numbers[bisect_right(begins, i) - 1], family, p) for i, family, p in model.notices(words, begins)]
+                n, found = notices_of(model, text or b"")
                 at = sorted({k for k, _, _ in found})
-                rows.append((doc_id, sum(1 for x in lines if x.strip()), len(at), sorted({f for _, f, _ in found}), max((p for _, _, p in found), default=0.0), at))
+                rows.append((doc_id, n, len(at), sorted({f for _, f, _ in found}), max((p for _, _, p in found), default=0.0), at))
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.float64(), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_paragraphs", "n_license", "licenses", "score", "paragraphs"])

@@ -17,52 +17,53 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def documents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, whose texts Python workers get in small batches, whatever query ran before."""
+    return table(small_batches(spark), sf_dir, "documents")
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack(documents_of(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-
-
-def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return decontaminate.decontaminate(documents_of(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
-    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.score_quality(documents_of(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
-    documents = table(spark, sf_dir, "documents")
+    documents = documents_of(spark, sf_dir)
     return language_id.identify(documents, language_id.fit(documents))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(documents_of(spark, sf_dir))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents_of(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
+    return quality_rules.apply_rules(documents_of(spark, sf_dir))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedupe_lines(table(spark, sf_dir, "documents"), digest=True)
+    return line_dedup.dedupe_lines(documents_of(spark, sf_dir), digest=True)
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
-    found = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+    found = license_scan.scan_licenses(documents_of(spark, sf_dir))
     return found.select("doc_id", "n_paragraphs", "n_license", F.array_join("licenses", ",").alias("licenses"), "score")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
-    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return substring_dedup.remove_repeats(documents_of(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -94,7 +94,7 @@ def test_decontamination_is_exact(odd, benchmark):
     columns = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     want = brute.contamination(with_ids(), items)
     assert by_id(decontaminate.decontaminate(odd, benchmark), *columns) == want
-    blocks = decontaminate.judge(decontaminate.find_spans(odd, benchmark, block_windows=2))
+    blocks = decontaminate.decontaminate(odd, benchmark, block_bytes=1500)
     assert by_id(blocks, *columns) == want
     assert blocks.count() == len(texts())
 

@@ -1,8 +1,8 @@
 """The corpus pipeline: five stages, each over all that the one before it kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as Parquet and reads again for the next one.
-All but the last return the columns of ``documents``; the last returns the placed pieces. SQL can express neither the quality
-discriminant nor the tokenizer, so there is no ORACLE_SQL.
+All but the last return the columns of ``docs``, whatever others it has; the last returns the placed pieces. SQL can express
+neither the quality discriminant nor the tokenizer, so there is no ORACLE_SQL. An empty table passes every stage as one.
 """
 
 from __future__ import annotations
@@ -12,38 +12,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolake.llm import decontaminate, line_dedup, packing, quality, simhash
-from aerolake.llm.common import join_small, materialize, small_batches, table
+from aerolake.llm.common import materialize, small_batches, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the quality classifier rejects."""
+    """Without the documents that the quality classifier rejects.
+
+    Every row is judged by its own text, also where ids are null or repeat; null and empty texts are scored like others.
+    """
     small_batches(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """With repeated long lines in one document each, and n_chars of the text that stays."""
+    """With repeated long lines in one document each, and n_chars of the text that stays.
+
+    The largest id keeps a line, in all rows that repeat this id. Rows without an id stay as they are; null texts become empty ones.
+    """
     small_batches(spark)
     rewritten = line_dedup.dedupe_lines(docs)
     return rewritten.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """With one document of each group of near copies, that with the smallest doc_id."""
+    """With one row of each group of near copies: of the smallest doc_id, rows without an id last, then of the smallest text hash.
+
+    Repeated rows and copies without an id are members like others. Texts without words, null ones too, are copies of each other.
+    """
     small_batches(spark)
     return simhash.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that benchmark passages contaminate."""
+    """Without the documents that benchmark passages contaminate.
+
+    Every row is judged by its own text, also where ids are null or repeat; null and empty texts stay.
+    """
     small_batches(spark)
-    judged = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    gone = materialize(judged.where("contaminated").select("doc_id").distinct())
-    return join_small(docs, gone, "doc_id", "left_anti")
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document that is left, with its place in the packed sequences."""
+    """Every piece of every document that is left, with its place in the packed sequences.
+
+    Null and empty texts are one piece of the end id; rows with null or repeated ids are packed as documents of their own.
+    """
     small_batches(spark)
     path = public_tokenizers.path
     return packing.pack(docs, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

@@ -116,3 +116,83 @@ def rules_base(text):
         if often[w] > 1:
             covered |= set(range(i, i + 8))
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(own) - len(set(own)), len(covered)
+
+
+def rule_votes(text):
+    """Votes of the quality rules, in their order: 1 good, 0 bad, None abstains."""
+    n, chars, symbols, same, repeated = rules_base(text)
+    text = text or ""
+    rows = sum(bool(WORD.search(x)) for x in text.split("\n"))
+    capitals, letters, shouts = sum("A" <= c <= "Z" for c in text), sum(c.isalpha() for c in text), text.count("!")
+    vote = lambda good, bad: 0 if bad else 1 if good else None
+    return (
+        vote(n >= 50, n < 20),
+        vote(3 * n <= chars <= 10 * n, chars < 2 * n or chars > 14 * n),
+        vote(50 * symbols <= n, 5 * symbols > n),
+        vote(10 * letters >= 9 * chars, 5 * letters < 4 * chars),
+        vote(20 * repeated <= n, 5 * repeated > n),
+        vote(rows >= 4 and 10 * same <= rows, rows >= 4 and 3 * same > rows),
+        vote(4 * capitals <= chars, 2 * capitals > chars),
+        vote(20 * shouts <= n, 4 * shouts > n),
+    )
+
+
+def kept_by_rules(docs, keep=0.5, edge=0.001, rounds=300):
+    """[(base_failed, kept)] of texts: votes, EM text by text with NumPy, posterior of good."""
+    import numpy as np
+
+    votes = np.array([[np.nan if v is None else v for v in rule_votes(t)] for _, t in docs])
+    start = np.array([[0.95] * 8, [0.6, 0.6, 0.2, 0.2, 0.6, 0.6, 0.6, 0.6], [0.6, 0.6, 0.6, 0.6, 0.2, 0.2, 0.2, 0.2]])
+    shares, rates, said = np.array([0.8, 0.1, 0.1]), start, ~np.isnan(votes)
+    good, bad = np.where(said, votes, 0), np.where(said, 1 - votes, 0)
+
+    def posterior():
+        p = np.exp(good @ np.log(rates).T + bad @ np.log(1 - rates).T) * shares
+        return p / p.sum(axis=1, keepdims=True)
+
+    for _ in range(rounds):
+        p, before = posterior(), shares
+        shares = np.clip((p.sum(axis=0) + 1) / (len(docs) + 3), edge, 1 - edge)
+        rates = np.clip((p.T @ good + 10 * start) / (p.T @ said + 10), edge, 1 - edge)
+        if abs(before - shares).max() < 1e-9:
+            break
+    out = []
+    for (_, text), good_share in zip(docs, posterior()[:, 0], strict=True):
+        n, *_, repeated = rules_base(text)
+        failed = n < 20 or 100 * repeated > 30 * n
+        out.append((failed, not failed and bool(good_share >= keep)))
+    return out
+
+
+def language(docs, learnt):
+    """{doc_id: lang} by plain word-first backoff; ``learnt``: (text, lang) of every document to learn from."""
+    import math
+
+    letters = re.compile(r"[^\W\d_]+")
+    split = lambda text: [w for w in letters.findall((text or "").lower()) if any(map(str.isalpha, w))]
+    cut = lambda w, n: [w] if n == 1 == len(w) else [(w if n == 1 else f"<{w}>")[i : i + n] for i in range(len(w if n == 1 else f"<{w}>") - n + 1)]
+    langs = sorted({lang for text, lang in learnt if split(text)})
+    words, grams = defaultdict(Counter), defaultdict(Counter)
+    for text, lang in learnt:
+        for w in split(text):
+            words[w][lang] += 1
+            for n in range(1, 6):
+                for g in cut(w, n):
+                    grams[g][lang] += 1
+    total = {x: sum(c[x] for c in words.values()) for x in langs}
+    by_size = {(n, x): 1 + sum(c[x] for g, c in grams.items() if len(g) == n) for n in range(1, 6) for x in langs}
+
+    def scores(w):
+        if w in words:
+            return [math.log((words[w][x] + 0.5) / (total[x] + 0.5 * len(words))) for x in langs]
+        for n in range(5, 0, -1):
+            if known := [g for g in cut(w, n) if g in grams]:
+                return [sum(math.log((grams[g][x] + 0.5) / by_size[n, x]) for g in known) / len(known) for x in langs]
+        return [0.0] * len(langs)
+
+    out = {}
+    for doc, text in docs:
+        own = [scores(w) for w in split(text)]
+        sums = [sum(c) for c in zip(*own, strict=True)]
+        out[doc] = langs[max(range(len(langs)), key=lambda k: sums[k])] if own and langs else "und"
+    return out

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from aerolake.operators import series
+
 
 def normalized(q: Sequence[Column]) -> list[Column]:
     size = F.sqrt(sum((c * c for c in q), F.lit(0.0)))
@@ -108,3 +110,17 @@ def decode_device(device_id: Column) -> dict[str, Column]:
     for code, label in BUSES.items():
         name = F.when(kind == code, label).otherwise(name)
     return {"bus_type": kind, "bus": part(3, 31), "address": part(8, 255), "device": part(16, 255), "bus_name": name}
+
+
+#: Samples and ranges in degrees that a calibration flight needs, and what makes it good; fixed values.
+COVERAGE = {"samples": 100, "yaw": 180.0, "pitch": 10.0, "roll": 10.0, "good_samples": 500, "good_yaw": 300.0}
+
+
+def flight_coverage(rows: DataFrame, keys: Sequence[str], limits: dict[str, float] = COVERAGE, order: str = "idx") -> DataFrame:
+    """keys, samples, yaw_range (unwrapped), pitch_range, roll_range, coverage_ok, quality (good, acceptable, poor) of a flight's attitudes in degrees."""
+    turned = series.unwrap_degrees(rows, keys, "yaw", order)
+    span = lambda c: F.max(c) - F.min(c)
+    out = turned.groupBy(*keys).agg(F.count("*").alias("samples"), span("unwrapped").alias("yaw_range"), span("pitch").alias("pitch_range"), span("roll").alias("roll_range"))
+    ok = (F.col("samples") >= limits["samples"]) & (F.col("yaw_range") >= limits["yaw"]) & (F.col("pitch_range") >= limits["pitch"]) & (F.col("roll_range") >= limits["roll"])
+    good = (F.col("samples") >= limits["good_samples"]) & (F.col("yaw_range") >= limits["good_yaw"])
+    return out.withColumns({"coverage_ok": ok, "quality": F.when(good, "good").when(ok, "acceptable").otherwise("poor")})

@@ -125,8 +125,37 @@ def lint(catalog: DataFrame, many: int = 20) -> DataFrame:
     return rows
 
 
+def lint_counts(findings: DataFrame) -> DataFrame:
+    """check, severity, n."""
+    return findings.groupBy("check", "severity").agg(F.count("*").alias("n"))
+
+
+def slim(catalog: DataFrame, summary_chars: int = 120, *keep: str) -> DataFrame:
+    """What a listing shows of each parameter: name, type, group, category, range, counts of members or bits in place of them, the beginning of its description. Empty: null."""
+    size = lambda kind: F.when((F.col("type") == kind) & (F.size("members") > 0), F.size("members").cast("long"))
+    both = F.col("min").isNotNull() & F.col("max").isNotNull()
+    return catalog.select(
+        *keep, "name", "type", F.nullif("group", F.lit("")).alias("group"), "category",
+        F.when(both, F.concat(F.lit("["), F.col("min").cast("string"), F.lit(", "), F.col("max").cast("string"), F.lit("]"))).alias("range"),
+        size("enum").alias("enum_count"), size("bitmask").alias("bit_count"), F.nullif(F.substring("description", 1, summary_chars), F.lit("")).alias("summary"),
+    )
+
+
+def full(catalog: DataFrame) -> DataFrame:
+    """name, definition: all that is known of a parameter as JSON, empty fields left out."""
+    return catalog.select("name", F.to_json(F.struct(*(c for c in catalog.columns if c != "pos")), {"ignoreNullFields": "true"}).alias("definition"))
+
+
 def page(rows: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
     """Rows offset .. offset + limit in order, with ``total`` and ``next_offset`` (null on the last page)."""
     total = rows.agg(F.count("*").alias("total"))
     cut = rows.orderBy(*order).offset(offset).limit(limit)
     return cut.crossJoin(F.broadcast(total)).withColumn("next_offset", F.when(F.col("total") > offset + limit, F.lit(offset + limit).cast("long")))
+
+
+def listing(catalog: DataFrame, group: str | None = None, category: str | None = None) -> DataFrame:
+    """Slim entries of a group or a category; a whole catalog is never listed."""
+    if group is None and category is None:
+        raise ValueError(f"name a group or a category: there are {groups(catalog).count()} groups")
+    found = catalog if group is None else in_group(catalog, group)
+    return slim(found if category is None else found.where(F.lower("category") == category.lower()))

@@ -152,3 +152,25 @@ def telemetry_notes(has_rates: Column, rate_hz: Column, gaps: Column, dropped_pe
     """Codes that say how far a log recorded over a radio link can be trusted."""
     return codes((~has_rates, "no_desired_rates"), (rate_hz < 10, "slow"), (rate_hz.between(10, 50), "telemetry_rate"), (gaps > 0, "link_gaps"), (dropped_percent > 5, "dropped_frames"), (systems > 1, "several_systems"))
 
+
+
+def current_vector(raw: DataFrame, params: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """keys, names: the median that a log recorded of each, else the parameter, else 0; a row for each key of ``params``."""
+    middle = raw.groupBy(*keys).agg(*(F.median(n).alias(f"_{n}") for n in names))
+    rows = params.join(middle, list(keys), "left")
+    return rows.select(*keys, *(F.coalesce(f"_{n}", n, F.lit(0.0)).alias(n) for n in names))
+
+
+def by_severity(rows: DataFrame, keys: Sequence[str], severity: str, *order: str) -> DataFrame:
+    """``place`` of each row of a key: severe ones first, in the given order among equals."""
+    level = F.when(F.col(severity) == "high", 0).when(F.col(severity) == "medium", 1).otherwise(2)
+    return rows.withColumn("_s", level).withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("_s", *order)).cast("long")).drop("_s")
+
+
+def log_issues(axes: Sequence[Column], has_pid: Column, gyro: Column, accel: Column | None, least: int = 100) -> Column:
+    """Codes of what a log lacks, from its sample counts: no_pid, pid_short (an axis that is there has too few), gyro_short, accel_short."""
+    short = F.lit(False)
+    for n in axes:
+        short = short | ((n > 0) & (n < least))
+    found = [(~has_pid, "no_pid"), (short, "pid_short"), (F.coalesce(gyro, F.lit(0)) < least, "gyro_short")]
+    return codes(*found, *([] if accel is None else [(F.coalesce(accel, F.lit(0)) < least, "accel_short")]))

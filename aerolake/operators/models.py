@@ -62,12 +62,16 @@ def solve(grams: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
     return grams.select(*keys, "n", "xx", "xy", "yy", "y_sum").mapInArrow(run, schema)
 
 
-def delay_by_correlation(samples: DataFrame, keys: Sequence[str], y: str, u: str, longest: int, order: str = "idx") -> DataFrame:
-    """keys, lag, correlation: the lag of 0..longest at which y follows u best; the smallest of equals."""
+def delay_by_correlation(samples: DataFrame, keys: Sequence[str], y: str, u: str, longest: int = 20, order: str = "idx") -> DataFrame:
+    """keys, lag, correlation: the lag of 0..longest at which y follows u best, both less their means; the smallest of equals."""
     w = series.along(keys, order)
-    rows = samples.select(*keys, F.col(y).alias("y"), *((F.lag(u, k).over(w) if k else F.col(u)).alias(f"u{k}") for k in range(longest + 1)))
-    sums = rows.groupBy(*keys).agg(*(F.coalesce(F.sum(F.col("y") * F.col(f"u{k}")), F.lit(0.0)).alias(f"c{k}") for k in range(longest + 1)))
-    best = F.array_max(F.array(*(F.struct(F.col(f"c{k}").alias("c"), F.lit(-k).cast("long").alias("k")) for k in range(longest + 1))))
+    lags = range(longest + 1)
+    rows = samples.select(*keys, F.col(y).alias("y"), F.col(u).alias("u"), *((F.lag(u, k).over(w) if k else F.col(u)).alias(f"u{k}") for k in lags))
+    both = lambda k: F.col("y").isNotNull() & F.col(f"u{k}").isNotNull()
+    parts = [c for k in lags for c in (F.sum(F.col("y") * F.col(f"u{k}")).alias(f"yu{k}"), F.sum(F.when(both(k), F.col("y"))).alias(f"y{k}"), F.sum(F.when(both(k), F.col(f"u{k}"))).alias(f"u{k}"), F.count_if(both(k)).alias(f"n{k}"))]
+    sums = rows.groupBy(*keys).agg(F.avg("y").alias("y_mean"), F.avg("u").alias("u_mean"), *parts)
+    centred = lambda k: F.coalesce(F.col(f"yu{k}") - F.col("y_mean") * F.col(f"u{k}") - F.col("u_mean") * F.col(f"y{k}") + F.col(f"n{k}") * F.col("y_mean") * F.col("u_mean"), F.lit(0.0))
+    best = F.array_max(F.array(*(F.struct(centred(k).alias("c"), F.lit(-k).cast("long").alias("k")) for k in lags)))
     return sums.select(*keys, (-best["k"]).alias("lag"), best["c"].alias("correlation"))
 
 

@@ -122,3 +122,47 @@ def recommend(found: DataFrame, gains: DataFrame, keys: Sequence[str], platform:
     factor = F.least(F.greatest("factor", F.lit(0.75)), F.lit(1.25))
     rows = rows.withColumn("suggested", F.round(F.least(F.greatest(F.col("current") * factor, "lowest"), "highest"), 6))
     return rows.select(*keys, "symptom", "severity", "gain", "current", "suggested", ((F.col("suggested") - F.col("current")) / F.col("current") * 100).alias("change_percent"))
+
+
+def padded(values: Column, size: int) -> Column:
+    """``values`` cut to ``size``, or filled up to it with the last one."""
+    cut = F.slice(values, 1, size)
+    return F.when(F.size(cut) > 0, F.concat(cut, F.array_repeat(F.element_at(cut, -1), F.lit(size) - F.size(cut)))).otherwise(cut)
+
+
+def first_reason(rules: Sequence[tuple[Column, str]], otherwise: str = "ok") -> Column:
+    """The name of the first rule that holds."""
+    out = F.lit(otherwise)
+    for found, name in reversed(rules):
+        out = F.when(F.coalesce(found, F.lit(False)), name).otherwise(out)
+    return out
+
+
+def step_window_reasons(rows: DataFrame, keys: Sequence[str], before: int = 5) -> DataFrame:
+    """``rows`` (desired, actual, idx, step) of step windows with ``reason``: why a window is rejected, or ok. The seven gates hold in this order; the one
+    on overshoot looks upwards alone.
+    """
+    whole = Window.partitionBy(*keys)
+    desired, actual, late = F.col("desired"), F.col("actual"), F.col("idx") >= F.col("step")
+    when = lambda where, x: F.when(where, x)
+    jump = F.abs(desired - F.lag("desired").over(whole.orderBy("idx")))
+    rows = rows.withColumn("_jump", jump).withColumns({
+        "_n": F.count("*").over(whole), "_bad": F.count_if(actual.isNull() | F.isnan(actual) | (F.abs(actual) == float("inf"))).over(whole), "_top": F.max(F.abs(actual)).over(whole), "_asked": F.max(F.abs(desired)).over(whole),
+        "_amp": F.abs(F.avg(when(late & (F.col("idx") < F.col("step") + 30), desired)).over(whole) - F.avg(when(~late, desired)).over(whole)),
+        "_base": F.avg(when(~late, actual)).over(whole), "_rough": F.stddev_pop(when(~late, actual)).over(whole), "_early": F.count_if(~late).over(whole),
+        "_post": F.count_if(F.col("idx") >= F.col("step") + 2).over(whole), "_last": F.max("idx").over(whole), "_peak": F.max(when(F.col("idx") >= F.col("step") + 2, actual)).over(whole),
+    })
+    tail = F.greatest(F.lit(5), F.floor(F.col("_post") / 4))
+    rows = rows.withColumns({"_final": F.avg(when(F.col("idx") > F.col("_last") - tail, actual)).over(whole), "_steps": F.count_if(F.col("_jump") >= 0.4 * F.col("_amp")).over(whole)})
+    span = F.abs(F.col("_final") - F.col("_base"))
+    reason = first_reason([
+        (F.col("_n") < 20, "window_too_short"), (F.col("_bad") > 0, "not_finite"), (F.col("_top") > 2000, "extreme_value"), ((F.col("_asked") > 1e-3) & (F.col("_top") > 5 * F.col("_asked")), "ratio"),
+        ((F.col("_amp") > 0.5) & (F.col("_post") > 5) & (span > 0.1) & ((F.col("_peak") - F.col("_final")) / span > 3), "overshoot"),
+        ((F.col("_amp") > 0.3) & (F.lit(before) >= 3) & (F.col("_early") >= 3) & (F.col("_rough") > 0.5 * F.col("_amp")), "baseline_unstable"), ((F.col("_amp") > 0.3) & (F.col("_steps") >= 2), "several_steps"),
+    ])
+    return rows.withColumn("reason", reason).drop(*(c for c in rows.columns if c.startswith("_")))
+
+
+def time_domain_reason(n: Column, expected: int, holes: Column, top: Column, spread: Column, amplitude: Column) -> Column:
+    """Why a window is left out of a mean step response, or ok."""
+    return first_reason([(n < expected, "length"), (holes, "not_finite"), (top > 1500, "extreme_value"), (spread < 3, "flat"), (F.abs(amplitude) < 5, "small_step")])

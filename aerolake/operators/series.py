@@ -177,3 +177,35 @@ def primary_instance(rows: DataFrame, keys: Keys, instance: str, primary: int, l
     """Rows of the primary instance where it has at least ``least`` of them; all rows of other keys."""
     n = F.count_if(F.col(instance) == primary).over(Window.partitionBy(*keys))
     return rows.withColumn("_n", n).where((F.col("_n") < least) | (F.col(instance) == primary)).drop("_n")
+
+
+def only_axes(rows: DataFrame, axes: Sequence[str], axis: str = "axis") -> DataFrame:
+    """Rows of the named axes, whatever their case; ``all`` keeps every axis, names that do not occur keep nothing."""
+    wanted = [a.lower() for a in axes]
+    lowered = rows.withColumn(axis, F.lower(axis))
+    return lowered if "all" in wanted else lowered.where(F.col(axis).isin(*wanted))
+
+
+def long_enough(rows: DataFrame, keys: Keys, least: int = 10) -> DataFrame:
+    """Rows of the keys that have at least ``least`` of them."""
+    return rows.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).where(F.col("_n") >= least).drop("_n")
+
+
+def rate_limited(rows: DataFrame, headers: DataFrame, keys: Keys, rate: str, otherwise: float = 2000.0, margin: float = 1.1) -> DataFrame:
+    """``rate`` held within the header's ``limit`` and a margin, or within ``otherwise`` where a key has no header."""
+    top = F.coalesce(F.col("limit") * margin, F.lit(otherwise))
+    joined = rows.join(headers.select(*keys, "limit"), list(keys), "left")
+    return joined.withColumn(rate, F.least(F.greatest(rate, -top), top)).drop("limit")
+
+
+def wrapped_together(rows: DataFrame, keys: Keys, phases: Sequence[str], idx: str = "idx") -> DataFrame:
+    """Phases of a key with a turn taken off, or put on, wherever the first of them leaves (-180, 180]; the first row stays as it is."""
+    lead = F.col(phases[0])
+    first = F.min(idx).over(Window.partitionBy(*keys))
+    shift = F.when(F.col(idx) == first, 0.0).when(lead > 180, -360.0).when(lead < -180, 360.0).otherwise(0.0)
+    return rows.withColumn("_shift", shift).withColumns({p: F.col(p) + F.col("_shift") for p in phases}).drop("_shift")
+
+
+def kind_counts(rows: DataFrame, keys: Keys, kind: str, names: dict[str, str]) -> DataFrame:
+    """keys and, for each kind, how many rows are of it."""
+    return rows.groupBy(*keys).agg(*(F.count_if(F.col(kind) == k).alias(n) for k, n in names.items()))

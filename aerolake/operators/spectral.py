@@ -57,31 +57,48 @@ def frame_spectra(rows: DataFrame, keys: Sequence[str], samples: str, rate_hz: f
     return rows.select(*keys, samples).mapInArrow(run, schema)
 
 
-def framed(samples: DataFrame, keys: Sequence[str], size: int, overlap: float, value: str = "value") -> DataFrame:
-    """keys, frame, samples: complete overlapping frames of each series as arrays."""
+def series_spectra(samples: DataFrame, keys: Sequence[str], size: int, overlap: float, rate_hz: float, value: str = "value", scaling: str = "linear", order: str = "idx", segment: int = 1 << 16) -> DataFrame:
+    """keys, frame, spectrum: of the complete overlapping frames of each series. A task holds ``segment`` samples and those that frames starting
+    in them need from the next ones, and cuts its frames there: samples move about once, however much the frames overlap.
+    """
     hop = max(1, int(size * (1 - overlap)))
-    held = F.array_sort(F.collect_list(F.struct("place", F.col(value).alias("v"))))
-    return series.frames(samples, keys, size, hop).groupBy(*keys, "frame").agg(F.transform(held, lambda s: s["v"]).alias("samples"))
+    segment = max(1, segment // hop) * hop
+    kinds = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys)
+    at = F.col("_at")
+    rows = samples.select(*keys, F.col(order).cast("long").alias("_at"), F.col(value).cast("double").alias("_v"))
+    parts = rows.withColumn("_segment", F.explode(F.sequence(F.greatest(F.lit(0), F.floor((at - size + 1) / segment)), F.floor(at / segment))))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_at")
+        at, values = table["_at"].to_numpy(), np.nan_to_num(table["_v"].to_numpy(zero_copy_only=False).astype(float))
+        first = table["_segment"][0].as_py() * segment
+        starts = np.arange(first, min(first + segment, int(at[-1]) - size + 2), hop)
+        places = np.searchsorted(at, starts)
+        whole = (places + size <= len(at)) & (at[np.minimum(places, len(at) - 1)] == starts) & (at[np.minimum(places + size, len(at)) - 1] == starts + size - 1)
+        starts, places = starts[whole], places[whole]
+        spectra = amplitude_spectra(values[places[:, None] + np.arange(size)], rate_hz, scaling) if len(starts) else np.zeros((0, size // 2 + 1))
+        bins = pa.ListArray.from_arrays(pa.array(np.arange(0, spectra.size + 1, size // 2 + 1), pa.int32()), pa.array(spectra.ravel()))
+        return pa.table({**{k: pa.array([table[k][0].as_py()] * len(starts), table.schema.field(k).type) for k in keys}, "frame": pa.array(starts // hop, pa.int64()), "spectrum": bins})
+
+    return parts.groupBy(*keys, "_segment").applyInArrow(run, f"{kinds}, frame long, spectrum array<double>")
 
 
 def spectrogram(samples: DataFrame, keys: Sequence[str], size: int, overlap: float, rate_hz: float, value: str = "value") -> DataFrame:
     """keys, frame, t (of its middle), bin, freq, magnitude_db: frames side by side, without padding at the ends."""
     hop = max(1, int(size * (1 - overlap)))
-    spectra = frame_spectra(framed(samples, keys, size, overlap, value), [*keys, "frame"], "samples", rate_hz)
-    bins = spectra.select(*keys, "frame", F.posexplode("spectrum").alias("bin", "m"))
+    bins = series_spectra(samples, keys, size, overlap, rate_hz, value).select(*keys, "frame", F.posexplode("spectrum").alias("bin", "m"))
     return bins.select(*keys, "frame", ((F.col("frame") * hop + size / 2) / rate_hz).alias("t"), F.col("bin").cast("long").alias("bin"), (F.col("bin") * rate_hz / size).alias("freq"), (20 * F.log10(F.col("m") + 1e-9)).alias("magnitude_db"))
 
 
 def averaged_spectrum(samples: DataFrame, keys: Sequence[str], size: int, overlap: float, rate_hz: float, value: str = "value", scaling: str = "linear") -> DataFrame:
-    """keys, bin, freq, magnitude, frames: mean over the frames of a series. A frame, not a series, is the unit of work."""
-    spectra = frame_spectra(framed(samples, keys, size, overlap, value), [*keys, "frame"], "samples", rate_hz, scaling)
-    bins = spectra.select(*keys, F.posexplode("spectrum").alias("bin", "m"))
+    """keys, bin, freq, magnitude, frames: mean over the frames of a series."""
+    bins = series_spectra(samples, keys, size, overlap, rate_hz, value, scaling).select(*keys, F.posexplode("spectrum").alias("bin", "m"))
     return bins.groupBy(*keys, "bin").agg(F.avg("m").alias("magnitude"), F.count("*").alias("frames")).withColumn("freq", F.col("bin") * rate_hz / size)
 
 
-def explode_bins(spectra: DataFrame, keys: Sequence[str], rate_hz: float, size: int) -> DataFrame:
+def explode_bins(spectra: DataFrame, keys: Sequence[str], rate_hz: float, size: int | Column) -> DataFrame:
     """keys, bin, freq, magnitude."""
-    return spectra.select(*keys, F.posexplode("spectrum").alias("bin", "magnitude")).withColumn("bin", F.col("bin").cast("long")).withColumn("freq", F.col("bin") * (rate_hz / size))
+    return spectra.select(*keys, F.posexplode("spectrum").alias("bin", "magnitude")).withColumn("bin", F.col("bin").cast("long")).withColumn("freq", F.col("bin") * (F.lit(rate_hz) / size))
 
 
 def noise_floor(bins: DataFrame, keys: Sequence[str], low: float = 20.0, high: float = 50.0) -> DataFrame:
@@ -90,6 +107,12 @@ def noise_floor(bins: DataFrame, keys: Sequence[str], low: float = 20.0, high: f
     return bins.groupBy(*keys).agg(F.median("magnitude").alias("floor"), F.coalesce(quiet, F.percentile("magnitude", 0.25)).alias("quiet_floor"))
 
 
+def residual_noise(bins: DataFrame, keys: Sequence[str], rate_hz: float, low: float = 100.0, margin: float = 10.0) -> DataFrame:
+    """residual: root of the mean power from ``low`` to ``margin`` under half the rate."""
+    power = F.when(F.col("freq").between(low, rate_hz / 2 - margin), F.col("magnitude") * F.col("magnitude"))
+    return bins.groupBy(*keys).agg(F.sqrt(F.avg(power)).alias("residual"))
+
+
 def local_peaks(bins: DataFrame, keys: Sequence[str], over: float, low: float, high: float, top: int) -> DataFrame:
     """keys, bin, freq, magnitude, rank: up to ``top`` bins of low..high Hz above both neighbours and ``over`` above the median."""
     from pyspark.sql import Window
@@ -144,16 +167,19 @@ def source_band(freq: Column) -> Column:
     return out
 
 
-def with_harmonics(freqs: Column) -> Column:
-    """Structs (freq, source) of an ascending array of peak frequencies; near twice the peak before, or three times the one before that, a peak takes its motor or blade source."""
+def with_harmonics(peaks: Column) -> Column:
+    """Structs (freq, magnitude, source, harmonic) of an array of (freq, magnitude), by frequency; near twice the peak before, or three times the
+    one before that, a peak is a harmonic and takes its motor or blade source.
+    """
 
-    def add(out: Column, f: Column) -> Column:
-        last, before = F.try_element_at(out, F.lit(-1)), F.try_element_at(out, F.lit(-2))
-        named = lambda p: p["source"].isin("motor", "blade")
-        source = F.when(named(last) & (f / last["freq"]).between(1.9, 2.1), last["source"]).when(named(before) & (f / before["freq"]).between(2.9, 3.1), before["source"]).otherwise(source_band(f))
-        return F.array_append(out, F.struct(f.alias("freq"), source.alias("source")))
+    def add(out: Column, p: Column) -> Column:
+        f, last, before = p["freq"], F.try_element_at(out, F.lit(-1)), F.try_element_at(out, F.lit(-2))
+        named = lambda q: q["source"].isin("motor", "blade")
+        second, third = F.coalesce(named(last) & (f / last["freq"]).between(1.9, 2.1), F.lit(False)), F.coalesce(named(before) & (f / before["freq"]).between(2.9, 3.1), F.lit(False))
+        source = F.when(second, last["source"]).when(third, before["source"]).otherwise(source_band(f))
+        return F.array_append(out, F.struct(f.alias("freq"), p["magnitude"].alias("magnitude"), source.alias("source"), (second | third).alias("harmonic")))
 
-    return F.aggregate(F.array_sort(freqs), F.array().cast("array<struct<freq:double,source:string>>"), add)
+    return F.aggregate(F.array_sort(peaks), F.array().cast("array<struct<freq:double,magnitude:double,source:string,harmonic:boolean>>"), add)
 
 
 def recommend_notch(peaks: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -29,7 +29,7 @@ def ff_assessment(t: Tables) -> DataFrame:
 
 
 @query(f"""with {spectra.PEAKS.replace("floor + 3 and freq between 30 and 600", "floor + 10 and freq between 80 and 400")},
-    m as (select e.vec_id, e.label % 2 = 0 as rpm, max(rise) as above from embeddings e left join peaks p on p.vec_id = e.vec_id where len(e.embedding) = 64 group by e.vec_id, e.label)
+    m as (select e.vec_id, e.label % 2 = 0 as rpm, max(rise) as above from embeddings e left join peaks p on p.vec_id = e.vec_id where len(e.embedding) >= 2 group by e.vec_id, e.label)
     select vec_id, rpm, round(above, 4) as above_floor, case when above is null then 'EXCELLENT' when rpm then case when above < 15 then 'EXCELLENT' when above < 25 then 'GOOD' else 'MARGINAL' end when above > 20 then 'MARGINAL' else 'GOOD' end as assessment,
         case when rpm and above >= 25 then greatest(100.0::double, 200.0::double - 50) when not rpm and above > 20 then greatest(80.0::double, 200.0::double * 0.7) end as lowpass from m""")
 def rpm_filter_assessment(t: Tables) -> DataFrame:
@@ -40,15 +40,16 @@ def rpm_filter_assessment(t: Tables) -> DataFrame:
     return rows.select("vec_id", "rpm", F.round("above", 4).alias("above_floor"), diagnosis.motor_noise(F.col("above"), F.col("rpm")).alias("assessment"), diagnosis.gyro_lowpass(F.col("above"), F.col("rpm"), F.lit(200.0)).alias("lowpass"))
 
 
-@query(f"""with {spectra.twin(False)}, h as (select vec_id, sum(a * a) filter (where bin * {spectra.RATE / spectra.SIZE} >= {spectra.RATE / 8}) / sum(a * a) as high from bins group by vec_id),
-    r as (select vec_id, sqrt(avg(x * x) filter (where i < 32)) / sqrt(avg(x * x) filter (where i >= 32)) - 0.6 as dp from samples group by vec_id)
+@query(f"""with {spectra.twin(False)}, h as (select vec_id, sum(a * a) filter (where freq >= {spectra.RATE / 8}) / sum(a * a) as high from bins group by vec_id),
+    r as (select vec_id, sqrt(avg(x * x) filter (where i < n // 2)) / sqrt(avg(x * x) filter (where i >= n // 2)) - 0.6 as dp from samples group by vec_id)
     select h.vec_id, round(dp, 6) as d_to_p, round(high, 6) as high_share, case when dp > 0.5 then 'POOR' when dp > 0.3 or high > 0.3 then 'MARGINAL' else 'GOOD' end as assessment,
         (case when dp > 0.5 then 0.7 when dp > 0.3 then 0.8 when high > 0.3 then 0.85 end)::double as factor from h join r on r.vec_id = h.vec_id""")
 def dterm_assessment(t: Tables) -> DataFrame:
     power = F.col("magnitude") * F.col("magnitude")
     high = spectra.bins(t, "linear").groupBy("vec_id").agg((F.sum(F.when(F.col("freq") >= spectra.RATE / 8, power)) / F.sum(power)).alias("high"))
     square = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x)
-    rows = spectra.frames(t).select("vec_id", (F.sqrt(square(F.slice("embedding", 1, 32))) / F.sqrt(square(F.slice("embedding", 33, 32))) - 0.6).alias("dp")).join(high, "vec_id")
+    half = F.floor(F.col("size") / 2).cast("int")
+    rows = spectra.frames(t).select("vec_id", (F.sqrt(square(F.slice("embedding", F.lit(1), half)) / half) / F.sqrt(square(F.slice("embedding", half + 1, F.col("size") - half)) / (F.col("size") - half)) - 0.6).alias("dp")).join(high, "vec_id")
     level, factor = diagnosis.d_term(F.col("dp"), F.col("high"))
     return rows.select("vec_id", F.round("dp", 6).alias("d_to_p"), F.round("high", 6).alias("high_share"), level.alias("assessment"), factor.alias("factor"))
 

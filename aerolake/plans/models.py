@@ -68,12 +68,13 @@ def arx_simulate(t: Tables) -> DataFrame:
     return models.simulate(rows, model, USER, "u", 1, 1, 1).withColumn("simulated", F.round("simulated", 6))
 
 
-@query(f"""with {LAGGED}, l as (select user_id, y, {", ".join(f"lag(u, {k}) over w as u{k}" for k in range(6))} from xy window w as (partition by user_id order by idx)),
-    s as (select user_id, k, c from (select user_id, {", ".join(f"coalesce(sum(y * u{k}), 0) as c{k}" for k in range(6))} from l group by user_id) x, lateral (values {", ".join(f"({k}, c{k})" for k in range(6))}) v(k, c)),
+@query(f"""with {LAGGED}, m as (select user_id, idx, y - avg(y) over (partition by user_id) as y, u - avg(u) over (partition by user_id) as u from xy),
+    l as (select user_id, y, {", ".join(f"lag(u, {k}) over w as u{k}" for k in range(21))} from m window w as (partition by user_id order by idx)),
+    s as (select user_id, k, c from (select user_id, {", ".join(f"coalesce(sum(y * u{k}), 0) as c{k}" for k in range(21))} from l group by user_id) x, lateral (values {", ".join(f"({k}, c{k})" for k in range(21))}) v(k, c)),
     r as (select *, row_number() over (partition by user_id order by c desc, k) as place from s)
-    select user_id, k::bigint as lag, round(c, 4) as correlation from r where place = 1""")
+    select user_id, k::bigint as lag, round(c, 2) as correlation from r where place = 1""")
 def xcorr_delay(t: Tables) -> DataFrame:
-    return models.delay_by_correlation(pairs(t), USER, "y", "u", 5).withColumn("correlation", F.round("correlation", 4))
+    return models.delay_by_correlation(pairs(t), USER, "y", "u").withColumn("correlation", F.round("correlation", 2))
 
 
 @query(f"""with {LAGGED}, e as (select user_id, y0 as y, y0 - (0.5 * u0 - 0.2 * y1) as e from lagged)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("series", "responses", "spectra", "models", "catalog", "relational", "diagnosis")
+MODULES = ("series", "responses", "spectra", "models", "catalog", "relational", "diagnosis", "settings")
 
 
 def query(sql: str | None = None) -> Callable:

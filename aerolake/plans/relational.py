@@ -13,19 +13,21 @@ from aerolake.plans.registry import Tables, query
 def name_map_left(t: Tables) -> DataFrame:
     names = t.region.where("r_regionkey < 3").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("region"))
     rows = relational.translate(t.nation, names, "n_regionkey", "region")
-    return t.customer.join(F.broadcast(rows), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", "region")
+    return t.customer.join(rows, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name", "region")
 
 
 @query("""with l as (
         select n_name as path, n_regionkey::double as value, 0 as layer from nation
         union all select n_name, max(s_acctbal), 1 from supplier join nation on n_nationkey = s_nationkey group by n_name
-        union all select n_name, max(c_acctbal), 2 from customer join nation on n_nationkey = c_nationkey where c_custkey % 3 = 0 group by n_name)
+        union all select n_name, max(c_acctbal), 2 from customer join nation on n_nationkey = c_nationkey group by n_name having max(c_acctbal) filter (where c_mktsegment = 'BUILDING') > 5000)
     select path, max_by(value, layer) as value, max(layer)::bigint as layer from l group by path""")
 def layer_merge(t: Tables) -> DataFrame:
     nation = t.nation
     most = lambda df, key, value: df.groupBy(key).agg(F.max(value).alias("value")).join(nation, F.col(key) == F.col("n_nationkey")).select(F.col("n_name").alias("path"), "value")
     base = nation.select(F.col("n_name").alias("path"), F.col("n_regionkey").cast("double").alias("value"))
-    return relational.merge_layers([base, most(t.supplier, "s_nationkey", "s_acctbal"), most(t.customer.where("c_custkey % 3 = 0"), "c_nationkey", "c_acctbal")])
+    # The third layer is sparse: nations with a rich customer of one segment.
+    rich = t.customer.groupBy("c_nationkey").agg(F.max("c_acctbal").alias("c_acctbal"), F.max(F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_acctbal"))).alias("own")).where("own > 5000")
+    return relational.merge_layers([base, most(t.supplier, "s_nationkey", "s_acctbal"), most(rich, "c_nationkey", "c_acctbal")])
 
 
 @query("""select d.lang, l.doc_id is not null as member, count(*) as n, sum(d.n_chars)::bigint as chars from documents d left join (select distinct doc_id from labels) l on l.doc_id = d.doc_id group by 1, 2""")

@@ -10,24 +10,22 @@ from pyspark.sql import functions as F
 from aerolake.operators import series, spectral
 from aerolake.plans.registry import SIGNALS, Tables, query
 
-#: Nominal rate of the frames; a frame of 64 samples then resolves 15.625 Hz.
-RATE, SIZE, KEY = 1000.0, 64, ["vec_id"]
-HANN_SUM = sum(0.5 - 0.5 * math.cos(2 * math.pi * i / (SIZE - 1)) for i in range(SIZE))
-HANN_SQUARES = sum((0.5 - 0.5 * math.cos(2 * math.pi * i / (SIZE - 1))) ** 2 for i in range(SIZE))
+#: Nominal rate of the frames; one of 64 samples resolves 15.625 Hz. A frame may have any length from two samples on.
+RATE, KEY = 1000.0, ["vec_id"]
 
 
 def twin(demean: bool) -> str:
-    """bins (vec_id, bin, a = |rfft|, rms) by a plain discrete transform."""
+    """bins (vec_id, n, bin, freq, a = |rfft|, rms) by a plain discrete transform; a Hann window of n samples sums to (n - 1) / 2, its squares to 3 (n - 1) / 8."""
     return f"""samples as (
-        select vec_id, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as i from embeddings where len(embedding) = {SIZE}),
-    centred as (select vec_id, i, x - {"avg(x) over (partition by vec_id)" if demean else "0"} as x from samples),
-    tapered as (select vec_id, i, x, x * (0.5 - 0.5 * cos(2 * pi() * i / {SIZE - 1})) as h from centred),
+        select vec_id, len(embedding) as n, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as i from embeddings where len(embedding) >= 2),
+    centred as (select vec_id, n, i, x - {"avg(x) over (partition by vec_id)" if demean else "0"} as x from samples),
+    tapered as (select vec_id, n, i, x, x * (0.5 - 0.5 * cos(2 * pi() * i / (n - 1))) as h from centred),
     bins as (
-        select vec_id, k as bin, sqrt(sum(h * cos(2 * pi() * k * i / {SIZE})) ** 2 + sum(h * sin(2 * pi() * k * i / {SIZE})) ** 2) as a, sqrt(avg(x * x)) as rms
-        from tapered cross join range({SIZE // 2 + 1}) r(k) group by vec_id, k)"""
+        select vec_id, n, k as bin, k * ({RATE}::double / n) as freq, sqrt(sum(h * cos(2 * pi() * k * i / n)) ** 2 + sum(h * sin(2 * pi() * k * i / n)) ** 2) as a, sqrt(avg(x * x)) as rms
+        from (select *, unnest(range(n // 2 + 1)) as k from tapered) x group by vec_id, n, k)"""
 
 
-DB = f"{twin(True)}, db as (select vec_id, bin, bin * {RATE / SIZE}::double as freq, case when rms < 1e-12 then -120 else 20 * log10(a / ({SIZE} * rms) + 1e-12) end as magnitude from bins)"
+DB = f"{twin(True)}, db as (select vec_id, bin, freq, case when rms < 1e-12 then -120 else 20 * log10(a / (n * rms) + 1e-12) end as magnitude from bins)"
 PEAKS = f"""{DB},
     around as (
         select *, median(magnitude) over (partition by vec_id) as floor, lag(magnitude) over w as l, lead(magnitude) over w as r from db window w as (partition by vec_id order by bin)),
@@ -38,25 +36,26 @@ PEAKS = f"""{DB},
 
 
 def frames(t: Tables) -> DataFrame:
-    return t.embeddings.where(F.size("embedding") == SIZE)
+    return t.embeddings.where(F.size("embedding") >= 2).withColumn("size", F.size("embedding"))
 
 
-def spectra(t: Tables, scaling: str) -> DataFrame:
-    return spectral.frame_spectra(frames(t), KEY, "embedding", RATE, scaling)
+def spectra(t: Tables, scaling: str, keys: list[str] = KEY) -> DataFrame:
+    return spectral.frame_spectra(frames(t), [*keys, "size"], "embedding", RATE, scaling)
 
 
-def bins(t: Tables, scaling: str = "dbfs") -> DataFrame:
-    return spectral.explode_bins(spectra(t, scaling), KEY, RATE, SIZE)
+def bins(t: Tables, scaling: str = "dbfs", keys: list[str] = KEY) -> DataFrame:
+    return spectral.explode_bins(spectra(t, scaling, keys), [*keys, "size"], RATE, F.col("size"))
 
 
 def peaks(t: Tables) -> DataFrame:
     return spectral.local_peaks(bins(t), KEY, 3.0, 30.0, 600.0, 5)
 
 
-@query(f"""with {twin(False)} select vec_id, bin, round(bin * {RATE / SIZE}::double, 4) as freq, round(a * {2 / HANN_SUM!r}, 6) as linear, round(a * a / {RATE * HANN_SQUARES!r}, 9) as psd from bins""")
+@query(f"""with {twin(False)} select vec_id, bin, round(freq, 4) as freq, round(a * 4 / (n - 1), 6) as linear, round(a * a / ({RATE} * 3 * (n - 1) / 8), 9) as psd from bins""")
 def dft_spectrum(t: Tables) -> DataFrame:
-    a = F.col("magnitude") * (HANN_SUM / 2)  # of the plain transform, from which both scalings follow
-    return bins(t, "linear").select("vec_id", "bin", F.round("freq", 4).alias("freq"), F.round("magnitude", 6).alias("linear"), F.round(a * a / (RATE * HANN_SQUARES), 9).alias("psd"))
+    width = F.col("size") - 1
+    a = F.col("magnitude") * width / 4  # of the plain transform, from which both scalings follow
+    return bins(t, "linear").select("vec_id", "bin", F.round("freq", 4).alias("freq"), F.round("magnitude", 6).alias("linear"), F.round(a * a / (RATE * 3 * width / 8), 9).alias("psd"))
 
 
 @query(f"with {DB} select vec_id, round(median(magnitude), 4) as floor, round(coalesce(median(magnitude) filter (where freq between 20 and 50), quantile_cont(magnitude, 0.25)), 4) as quiet_floor from db group by vec_id")
@@ -69,12 +68,27 @@ def local_peaks(t: Tables) -> DataFrame:
     return peaks(t).withColumn("magnitude", F.round("magnitude", 4))
 
 
-@query(None)
+@query(f"""with recursive {DB},
+    around as (select *, median(magnitude) over (partition by vec_id) as floor, lag(magnitude) over w as l, lead(magnitude) over w as r from db window w as (partition by vec_id order by bin)),
+    tops as (select vec_id, bin, magnitude, row_number() over (partition by vec_id order by magnitude desc, bin) as k from around where magnitude > l and magnitude > r and magnitude >= floor + 3),
+    thinned as (
+        select vec_id, k, [bin] as kept from tops where k = 1
+        union all
+        select t.vec_id, t.k, case when list_bool_or(list_transform(h.kept, lambda b: abs(b - t.bin) < 3)) then h.kept else list_append(h.kept, t.bin) end from thinned h join tops t on t.vec_id = h.vec_id and t.k = h.k + 1),
+    chosen as (select vec_id, unnest(arg_max(kept, k)) as bin from thinned group by vec_id),
+    p as (select c.vec_id, c.bin, t.magnitude from chosen c join tops t on t.vec_id = c.vec_id and t.bin = c.bin),
+    walls as (
+        select p.vec_id, p.bin, p.magnitude, max(d.bin) filter (where d.bin < p.bin and d.magnitude > p.magnitude) as lo, min(d.bin) filter (where d.bin > p.bin and d.magnitude > p.magnitude) as hi
+        from p join db d on d.vec_id = p.vec_id group by p.vec_id, p.bin, p.magnitude),
+    rises as (
+        select w.vec_id, w.bin, w.magnitude - greatest(min(d.magnitude) filter (where d.bin <= w.bin and d.bin > coalesce(lo, -1)), min(d.magnitude) filter (where d.bin >= w.bin and d.bin < coalesce(hi, 1000000000))) as rise
+        from walls w join db d on d.vec_id = w.vec_id group by w.vec_id, w.bin, w.magnitude)
+    select vec_id, bin::bigint as bin, round(rise, 4) as prominence from rises where rise >= 6""")
 def peak_prominence(t: Tables) -> DataFrame:
     return spectral.prominent_peaks(spectra(t, "dbfs"), KEY, 3.0, 6.0).withColumn("prominence", F.round("prominence", 4))
 
 
-@query(f"with {twin(False)} select vec_id, round(sum(a * a) filter (where bin * {RATE / SIZE} >= {RATE / 8}) / sum(a * a), 6) as high_share from bins group by vec_id")
+@query(f"with {twin(False)} select vec_id, round(sum(a * a) filter (where freq >= {RATE / 8}) / sum(a * a), 6) as high_share from bins group by vec_id")
 def band_energy_ratio(t: Tables) -> DataFrame:
     power = F.col("magnitude") * F.col("magnitude")
     return bins(t, "linear").groupBy("vec_id").agg(F.round(F.sum(F.when(F.col("freq") >= RATE / 8, power)) / F.sum(power), 6).alias("high_share"))
@@ -83,18 +97,26 @@ def band_energy_ratio(t: Tables) -> DataFrame:
 BAND = "case when freq >= 30 and freq <= 60 then 'motor' when freq >= 60 and freq <= 250 then 'motor' when freq >= 251 and freq <= 400 then 'blade' when freq >= 401 and freq <= 500 then 'structural' when freq > 500 then 'high' else 'unknown' end"
 
 
-@query(f"""with recursive {PEAKS},
-    ordered as (select vec_id, freq, {BAND} as band, row_number() over (partition by vec_id order by freq) as k from peaks),
+#: Needs a recursive with. ``named``: peaks with their source and whether they are harmonics.
+NAMED = f"""{PEAKS},
+    ordered as (select vec_id, freq, magnitude, {BAND} as band, row_number() over (partition by vec_id order by freq) as k from peaks),
     named as (
-        select vec_id, k, freq, band as source, null::double as f1, null::varchar as s1 from ordered where k = 1
+        select vec_id, k, freq, magnitude, band as source, false as harmonic, null::double as f1, null::varchar as s1 from ordered where k = 1
         union all
-        select o.vec_id, o.k, o.freq,
-            case when n.source in ('motor', 'blade') and o.freq / n.freq between 1.9 and 2.1 then n.source when n.s1 in ('motor', 'blade') and o.freq / n.f1 between 2.9 and 3.1 then n.s1 else o.band end, n.freq, n.source
-        from named n join ordered o on o.vec_id = n.vec_id and o.k = n.k + 1)
-    select vec_id, freq, source from named""")
+        select o.vec_id, o.k, o.freq, o.magnitude,
+            case when n.source in ('motor', 'blade') and o.freq / n.freq between 1.9 and 2.1 then n.source when n.s1 in ('motor', 'blade') and o.freq / n.f1 between 2.9 and 3.1 then n.s1 else o.band end,
+            coalesce((n.source in ('motor', 'blade') and o.freq / n.freq between 1.9 and 2.1) or (n.s1 in ('motor', 'blade') and o.freq / n.f1 between 2.9 and 3.1), false), n.freq, n.source
+        from named n join ordered o on o.vec_id = n.vec_id and o.k = n.k + 1)"""
+
+
+def named_peaks(t: Tables) -> DataFrame:
+    """vec_id, peaks (freq, magnitude, source, harmonic) of the vectors that have any."""
+    return peaks(t).groupBy("vec_id").agg(spectral.with_harmonics(F.collect_list(F.struct("freq", "magnitude"))).alias("peaks"))
+
+
+@query(f"with recursive {NAMED} select vec_id, freq, source, harmonic from named")
 def peak_source_bands(t: Tables) -> DataFrame:
-    named = peaks(t).groupBy("vec_id").agg(spectral.with_harmonics(F.collect_list("freq")).alias("p"))
-    return named.select("vec_id", F.explode("p").alias("p")).select("vec_id", "p.freq", "p.source")
+    return named_peaks(t).select("vec_id", F.explode("peaks").alias("p")).select("vec_id", "p.freq", "p.source", "p.harmonic")
 
 
 @query(f"""with {PEAKS}, p as (select vec_id, max_by(freq, (magnitude, -freq)) as freq, max_by(rise, (magnitude, -freq)) as rise, count(*) as n from peaks group by vec_id)
@@ -106,10 +128,9 @@ def notch_recommend(t: Tables) -> DataFrame:
     return spectral.recommend_notch(rows, KEY)
 
 
-@query(f"with {twin(False)} select e.label, bin, round(max(a) * {2 / HANN_SUM!r}, 6) as envelope from bins b join embeddings e on e.vec_id = b.vec_id group by e.label, bin")
+@query(f"with {twin(False)} select e.label, bin, round(max(a * 4 / (n - 1)), 6) as envelope from bins b join embeddings e on e.vec_id = b.vec_id group by e.label, bin")
 def axis_max_envelope(t: Tables) -> DataFrame:
-    rows = spectral.explode_bins(spectral.frame_spectra(frames(t), ["vec_id", "label"], "embedding", RATE), ["label"], RATE, SIZE)
-    return rows.groupBy("label", "bin").agg(F.round(F.max("magnitude"), 6).alias("envelope"))
+    return bins(t, "linear", ["vec_id", "label"]).groupBy("label", "bin").agg(F.round(F.max("magnitude"), 6).alias("envelope"))
 
 
 @query("""with x as (select vec_id, len(embedding) as n, list_transform(embedding, lambda v: v::double) as e from embeddings)
@@ -145,7 +166,7 @@ def averaged_spectrum(t: Tables) -> DataFrame:
     return rows.select("user_id", F.col("bin").cast("long").alias("bin"), "freq", F.round("magnitude", 4).alias("magnitude"), "frames")
 
 
-@query(f"with {FRAMES} select user_id, frame, (frame * 8 + 8) / 100 as t, bin, bin * 6.25::double as freq, round(20 * log10(m + 1e-9), 4) as magnitude_db from bins where m > 1e-6")
+@query(f"with {FRAMES} select user_id, frame, (frame * 8 + 8) / 100 as t, bin, bin * 6.25::double as freq, round(greatest(20 * log10(m + 1e-9), -120), 4) as magnitude_db from bins")
 def spectrogram(t: Tables) -> DataFrame:
-    rows = spectral.spectrogram(t.signals, ["user_id"], 16, 0.5, 100.0)
-    return rows.where(F.col("magnitude_db") > -119.99).withColumn("magnitude_db", F.round("magnitude_db", 4))
+    # Bins that hold rounding errors alone are as low as the floor.
+    return spectral.spectrogram(t.signals, ["user_id"], 16, 0.5, 100.0).withColumn("magnitude_db", F.round(F.greatest("magnitude_db", F.lit(-120.0)), 4))

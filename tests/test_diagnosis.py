@@ -39,9 +39,10 @@ def test_levels_and_severity(spark):
 
 
 def test_harmonics_inherit(spark):
-    found = spark.range(1).select(spectral.with_harmonics(F.array(*map(F.lit, (500.5, 100.0, 200.0, 300.0)))).alias("p")).first()["p"]
-    assert [(p["freq"], p["source"]) for p in found] == [(100.0, "motor"), (200.0, "motor"), (300.0, "motor"), (500.5, "high")]
-    assert spark.range(1).select(spectral.with_harmonics(F.array().cast("array<double>")).alias("p")).first()["p"] == []
+    peak = lambda f: F.struct(F.lit(f).alias("freq"), F.lit(1.0).alias("magnitude"))
+    found = spark.range(1).select(spectral.with_harmonics(F.array(*map(peak, (500.5, 100.0, 200.0, 300.0)))).alias("p")).first()["p"]
+    assert [(p["freq"], p["source"], p["harmonic"]) for p in found] == [(100.0, "motor", False), (200.0, "motor", True), (300.0, "motor", True), (500.5, "high", False)]
+    assert spark.range(1).select(spectral.with_harmonics(F.array().cast("array<struct<freq:double,magnitude:double>>")).alias("p")).first()["p"] == []
 
 
 def spaced(steps, spacing):

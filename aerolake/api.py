@@ -8,23 +8,37 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolake.operators import attitude, bands, catalog, models, responses, series, spectral
+from aerolake.operators import attitude, bands, catalog, diagnosis, filters, ingest, models, responses, series, spectral, tables, vibration
 
 #: Modules that a platform's logs can support; fixed values.
 CAPABILITIES = {
     "ardupilot": ("quality", "pid", "fft", "filter", "magfit", "sysid", "hardware"),
     "betaflight": ("quality", "pid", "fft", "filter", "hardware"),
-    "px4": ("quality", "pid", "fft", "sysid"),
+    "px4": ("quality", "pid", "fft", "filter", "sysid"),
 }
 KEYS = ["flight_id", "axis"]
 
 
+#: Codes of failing modules; fixed values.
+FAILURES = {"pid": "E5010", "fft": "E5020", "filter": "E5051", "magfit": "E5030", "sysid": "E5040", "hardware": "E5060", "quality": "E5070"}
+NOTHING_RAN, ALL_FAILED = "E5098", "E5099"
+
+
+class AnalysisError(ValueError):
+    """No module could run: ``code`` and a ``hint`` at what is missing."""
+
+    def __init__(self, code: str, message: str, hint: str = ""):
+        super().__init__(f"{code}: {message}" + (f" ({hint})" if hint else ""))
+        self.code, self.hint = code, hint
+
+
 @dataclass
 class Flights:
     """Tables of a fleet, keyed by flight_id; those that logs do not have are None.
 
     pid: flight_id, axis, idx, t, desired, actual. imu: flight_id, idx, t, gx, gy, gz, ax, ay, az. mag: flight_id, idx, t, mx, my, mz
-    and the field bx, by, bz and throttle aligned to it. params: flight_id, name, value.
+    and the field bx, by, bz and throttle aligned to it. attitude: flight_id, idx, t, roll, pitch, yaw. battery: flight_id, idx, t, volt, curr.
+    params: flight_id, name, value. The others are as ``operators.tables`` gives them.
     """
 
     platform: str
@@ -32,8 +46,23 @@ class Flights:
     imu: DataFrame | None = None
     mag: DataFrame | None = None
     params: DataFrame | None = None
+    attitude: DataFrame | None = None
+    battery: DataFrame | None = None
+    motors: DataFrame | None = None
+    modes: DataFrame | None = None
+    position: DataFrame | None = None
     extra: dict[str, Callable[[Flights], DataFrame]] = field(default_factory=dict)
 
+    @classmethod
+    def from_messages(cls, messages: DataFrame, kind: str) -> Flights:
+        """All tables that messages of dataflash, ulog or telemetry logs hold."""
+        own = lambda name: getattr(tables, f"{kind}_{name}", None) or getattr(ingest, f"{kind}_{name}", None)
+        found = {name: make(messages) for name in ("pid", "imu", "mag", "params", "attitude", "battery", "motors", "modes", "position") if (make := own(name))}
+        platform = "px4" if kind == "ulog" else "ardupilot"
+        if "params" in found:
+            found["params"] = tables.mirrored(found["params"], platform, overwrite=platform == "px4")
+        return cls(platform, **found)
+
 
 def with_gaps(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
     return samples.withColumn("dt", F.col("t") - F.lag("t").over(series.along(keys, "t", "idx")))
@@ -49,22 +78,33 @@ def quality(flights: Flights) -> DataFrame:
     return out.withColumn("rating", bands.level_from(F.col("score"), bands.RATINGS))
 
 
+def rates(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, rate_hz: of the median gap between samples."""
+    return series.sample_rate(with_gaps(samples, keys), keys).select(*keys, "rate_hz")
+
+
 def step_windows(flights: Flights, spacing: int = 50) -> DataFrame:
-    signals = flights.pid.withColumn("value", F.col("desired"))
+    """Samples around each step that passes all seven gates, with the rate of their series."""
+    signals = series.long_enough(flights.pid, KEYS).withColumn("value", F.col("desired"))
     steps = series.keep_spaced(series.step_candidates(signals, KEYS), KEYS, spacing)
-    return series.windows_around(flights.pid, steps, KEYS)
+    windows = responses.step_window_reasons(series.windows_around(signals, steps, KEYS), [*KEYS, "step"])
+    return windows.where("reason = 'ok'").drop("reason", "value").join(rates(flights.pid, KEYS), KEYS)
 
 
-def pid(flights: Flights, gains: DataFrame | None = None, dt_ms: float = 4.0) -> DataFrame:
-    """flight_id, axis, windows, the mean step metrics, score, assessment; and with ``gains`` (flight_id, axis, gain, current) the recommendations as an array."""
-    windows = responses.window_metrics(step_windows(flights), [*KEYS, "step"], F.col("idx") > F.col("step"), "actual", dt_ms=dt_ms)
+def pid(flights: Flights, gains: DataFrame | None = None, most: int = 20) -> DataFrame:
+    """flight_id, axis, windows, the mean step metrics, score, assessment; and with ``gains`` (flight_id, axis, gain, current) the recommendations as an array, the
+    most severe first and at most ``most`` a flight. Times are measured by each series' own rate.
+    """
+    timed = step_windows(flights).withColumn("dt_ms", 1000 / F.col("rate_hz"))
+    windows = responses.window_metrics(timed, [*KEYS, "step", "dt_ms"], F.col("idx") > F.col("step"), "actual", dt_ms=F.col("dt_ms"))
     metrics = responses.mean_metrics(windows, KEYS)
     out = metrics.withColumn("score", responses.score(F.col("axis"))).withColumn("assessment", bands.level_from(F.col("score"), responses.CUTS))
     if gains is None:
         return out
     found = responses.recommend(responses.symptoms(metrics, KEYS), gains, KEYS, flights.platform)
-    each = F.struct(*(c for c in found.columns if c not in KEYS))
-    return out.join(found.groupBy(*KEYS).agg(F.collect_list(each).alias("recommendations")), KEYS, "left")
+    placed = diagnosis.by_severity(found, ["flight_id"], "severity", "axis", "symptom", "gain").where(F.col("place") <= most)
+    each = F.struct("place", *(c for c in found.columns if c not in KEYS))
+    return out.join(placed.groupBy(*KEYS).agg(F.array_sort(F.collect_list(each)).alias("recommendations")), KEYS, "left")
 
 
 def step_response(flights: Flights, rate_hz: float) -> DataFrame:
@@ -73,15 +113,49 @@ def step_response(flights: Flights, rate_hz: float) -> DataFrame:
     return spectral.wiener_step(flights.pid, KEYS, rate_hz, **gates)
 
 
+def gyro_spectrum(flights: Flights, rate_hz: float) -> DataFrame:
+    """flight_id, bin, freq, magnitude (dB): the largest of the three axes in every bin."""
+    each = F.explode(F.array(*(F.struct(F.lit(a).alias("gyro"), F.col(a).alias("value")) for a in ("gx", "gy", "gz"))))
+    axes = flights.imu.select("flight_id", "idx", each.alias("s")).select("flight_id", "idx", "s.*")
+    spectrum = spectral.averaged_spectrum(axes, ["flight_id", "gyro"], spectral.window_size(rate_hz, 1 << 30), 0.5, rate_hz, scaling="dbfs")
+    return spectrum.groupBy("flight_id", F.col("bin").cast("long").alias("bin"), "freq").agg(F.max("magnitude").alias("magnitude"))
+
+
 def fft(flights: Flights, rate_hz: float, over: float = 30.0) -> DataFrame:
-    """flight_id, rms, level, and the peaks (bin, freq, magnitude, source) of the gyro's x axis."""
+    """flight_id, rms, level; peaks (freq, magnitude, source, harmonic) of the three gyro axes together; settings that follow, their native form, warnings, checks."""
     rms = F.sqrt(F.var_pop("ax") + F.var_pop("ay") + F.var_pop("az"))
     level = flights.imu.groupBy("flight_id").agg(rms.alias("rms")).withColumn("level", bands.level_below(F.col("rms"), bands.VIBRATION.get(flights.platform, bands.VIBRATION["other"])))
-    size = spectral.window_size(rate_hz, 1 << 30)
-    spectrum = spectral.averaged_spectrum(flights.imu.withColumn("value", F.col("gx")), ["flight_id"], size, 0.5, rate_hz, scaling="dbfs")
-    peaks = spectral.local_peaks(spectrum.select("flight_id", F.col("bin").cast("long").alias("bin"), "freq", "magnitude"), ["flight_id"], over, 5.0, rate_hz / 2, 20)
-    each = F.struct("freq", "magnitude", spectral.source_band(F.col("freq")).alias("source"))
-    return level.join(peaks.groupBy("flight_id").agg(F.array_sort(F.collect_list(each)).alias("peaks")), "flight_id", "left")
+    found = spectral.local_peaks(gyro_spectrum(flights, rate_hz), ["flight_id"], over, 5.0, rate_hz / 2, 20)
+    peaks = found.groupBy("flight_id").agg(spectral.with_harmonics(F.collect_list(F.struct("freq", "magnitude"))).alias("peaks"))
+    rows = level.join(peaks, "flight_id", "left").withColumn("settings", vibration.notch_settings(F.col("peaks"), F.col("level")))
+    native = vibration.native(F.col("settings"), flights.platform)
+    told = vibration.warnings(F.col("settings"), F.col("peaks"), F.col("level"), flights.platform)
+    rows = rows.withColumns({"native": native, "warnings": told, "checks": vibration.checks(F.col("level"))})
+    return rows.withColumn("settings", vibration.static_notches(F.col("settings"), F.col("peaks"))) if flights.platform == "px4" else rows
+
+
+def filter(flights: Flights, rate_hz: float = 400.0, gyro_filter_hz: float | None = None, notch_hz: float | None = None, points: int = 500) -> DataFrame:  # noqa: A001
+    """flight_id, mode (auto: the chain of the parameters; manual: what is given), cutoff_3db_hz, key_points, chain (its parts as text), curve, on ``points`` frequencies from 1 Hz to half the rate."""
+    wide = diagnosis.parameters_wide(flights.params, ["flight_id"], diagnosis.FILTER_PARAMS[flights.platform])
+    rows = diagnosis.fallback_cutoff(wide, flights.platform)
+    manual = gyro_filter_hz is not None or notch_hz is not None
+    if manual:
+        kind = rows.schema["notches"].dataType
+        one = F.array(F.struct(F.lit(float(notch_hz or 0)).alias("center"), F.col("notch_width").alias("bandwidth"), F.lit(30.0).alias("attenuation"), F.lit(3).cast("bigint").alias("harmonics")))
+        given = F.col("cutoff") if gyro_filter_hz is None else F.lit(float(gyro_filter_hz))
+        rows = rows.withColumns({"cutoff": given, "notches": (one if notch_hz else F.array()).cast(kind)})
+    rate = F.lit(rate_hz)
+    spread = F.flatten(F.transform("notches", lambda n: filters.spread_notches(n["center"], n["bandwidth"], n["attenuation"], n["harmonics"], F.lit(1), rate)))
+    step = (rate_hz / 2 - 1) / (points - 1)
+    # The last point lies on half the rate, where a low-pass has no defined gain; it takes that of a little below.
+    freqs = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: F.least(1 + k * F.lit(step), F.lit(rate_hz / 2 - 1e-6)))
+    curve = filters.unwrapped(filters.chain_curve(freqs, rate, F.when((F.col("cutoff") > 0) & (F.col("cutoff") < rate_hz / 2), F.col("cutoff")), F.col("spread")))
+    rows = rows.withColumn("spread", spread).withColumn("curve", curve)
+    point = lambda hz: F.struct(F.lit(hz).alias("hz"), F.round(filters.at_hz(F.col("curve"), hz)["magnitude_db"], 1).alias("magnitude_db"), F.round(filters.at_hz(F.col("curve"), hz)["phase_deg"], 1).alias("phase_deg"))
+    return rows.select(
+        "flight_id", F.lit("manual" if manual else "auto").alias("mode"), F.round(filters.cut_hz(F.col("curve")), 1).alias("cutoff_3db_hz"), F.array(*(point(hz) for hz in filters.KEY_HZ if hz < rate_hz / 2)).alias("key_points"),
+        diagnosis.chain_text(F.col("cutoff"), F.col("notches")).alias("chain"), "curve",
+    )
 
 
 def sysid(flights: Flights, rate_hz: float, na: int = 2, nb: int = 2, delay: int = 1) -> DataFrame:
@@ -112,15 +186,77 @@ def validated(recommendations: DataFrame, definitions: DataFrame, name: str = "p
     return catalog.validate(entries, definitions)
 
 
-def analyze(flights: Flights, rate_hz: float, modules: Sequence[str] | None = None) -> dict[str, DataFrame]:
-    """A lazy DataFrame for each module that is asked for, that the platform supports and that has its tables; extra analyses by their names."""
-    needs = {"quality": flights.pid, "pid": flights.pid, "fft": flights.imu, "sysid": flights.pid, "magfit": flights.mag, "hardware": flights.params}
-    run = {"quality": quality, "pid": pid, "fft": lambda f: fft(f, rate_hz), "sysid": lambda f: sysid(f, rate_hz), "magfit": magfit, "hardware": hardware}
-    unknown = set(modules or ()) - set(run) - {"filter"} - set(flights.extra)
+def validation(flights: Flights, least: int = 100) -> DataFrame:
+    """flight_id, issues: codes of what the tables of a flight lack; flights without any rows do not occur."""
+    count = lambda df, name: df.groupBy("flight_id").agg(F.count("*").alias(name))
+    parts = []
+    if flights.pid is not None:
+        by_axis = flights.pid.groupBy("flight_id", "axis").agg(F.count("*").alias("n"))
+        parts.append(by_axis.groupBy("flight_id").agg(F.min("n").alias("pid")))
+    if flights.imu is not None:
+        parts.append(count(flights.imu, "imu"))
+    if not parts:
+        raise AnalysisError(NOTHING_RAN, "there are no tables")
+    rows = parts[0]
+    for other in parts[1:]:
+        rows = rows.join(other, "flight_id", "full")
+    for name in {"pid", "imu"} - set(rows.columns):
+        rows = rows.withColumn(name, F.lit(None).cast("long"))
+    return rows.select("flight_id", diagnosis.log_issues([F.coalesce("pid", F.lit(0))], F.col("pid").isNotNull(), F.col("imu"), F.col("imu"), least).alias("issues"))
+
+
+@dataclass
+class Analysis:
+    """results: a lazy DataFrame for each module that could be planned. failures: (module, code, error) of those that could not."""
+
+    results: dict[str, DataFrame]
+    failures: list[tuple[str, str, str]]
+
+    def written(self, folder: str) -> Analysis:
+        """Every result written under ``folder`` and read back; a module that fails in its run joins the failures, the others go on."""
+        results, failures = {}, list(self.failures)
+        for name, df in self.results.items():
+            try:
+                df.write.mode("overwrite").parquet(f"{folder}/{name}")
+                results[name] = df.sparkSession.read.parquet(f"{folder}/{name}")
+            except Exception as e:  # whatever ends a module's job must not end the others'
+                failures.append((name, FAILURES.get(name, "E5000"), f"{type(e).__name__}: {e}"))
+        if not results:
+            raise AnalysisError(ALL_FAILED, "every module failed", "; ".join(f"{m}: {e[:200]}" for m, _, e in failures))
+        return Analysis(results, failures)
+
+
+def analyze(flights: Flights, rate_hz: float, modules: Sequence[str] | None = None) -> Analysis:
+    """All modules that are asked for, that the platform supports and that have their tables, and extra analyses by their names. One that fails is
+    recorded; if none is left, AnalysisError says why.
+    """
+    needs = {"quality": flights.pid, "pid": flights.pid, "fft": flights.imu, "filter": flights.params, "sysid": flights.pid, "magfit": flights.mag, "hardware": flights.params}
+    run = {"quality": quality, "pid": pid, "fft": lambda f: fft(f, rate_hz), "filter": lambda f: filter(f, rate_hz), "sysid": lambda f: sysid(f, rate_hz), "magfit": magfit, "hardware": hardware}
+    unknown = set(modules or ()) - set(run) - set(flights.extra)
     if unknown:
         raise ValueError(f"no such modules: {', '.join(sorted(unknown))}")
-    wanted = [m for m in CAPABILITIES[flights.platform] if m in run and (modules is None or m in modules) and needs[m] is not None]
-    out = {m: run[m](flights) for m in wanted} | {n: f(flights) for n, f in flights.extra.items() if modules is None or n in modules}
-    if not out:
-        raise ValueError("no module has both the platform's support and its tables")
-    return out
+    wanted = {m: run[m] for m in CAPABILITIES[flights.platform] if (modules is None or m in modules) and needs[m] is not None}
+    wanted |= {n: f for n, f in flights.extra.items() if modules is None or n in modules}
+    results, failures = {}, []
+    for name, make in wanted.items():
+        try:
+            results[name] = make(flights)
+        except Exception as e:  # a module that cannot be planned, for want of a column say
+            failures.append((name, FAILURES.get(name, "E5000"), f"{type(e).__name__}: {e}"))
+    if not results:
+        hint = "; ".join(f"{m}: {e[:200]}" for m, _, e in failures) or "the tables that these modules need are missing"
+        raise AnalysisError(ALL_FAILED if failures else NOTHING_RAN, "no module could run", hint)
+    return Analysis(results, failures)
+
+
+def recommendations(analysis: Analysis) -> DataFrame:
+    """flight_id, module, param, current, suggested, action: what all modules of an analysis suggest, one under the other."""
+    found = {}
+    if "pid" in analysis.results and "recommendations" in analysis.results["pid"].columns:
+        rows = analysis.results["pid"].select("flight_id", "axis", F.explode("recommendations").alias("r"))
+        found["pid"] = rows.select("flight_id", F.concat_ws(".", F.lit("pid"), "axis", "r.gain").alias("param"), "r.current", "r.suggested")
+    if "fft" in analysis.results:
+        found["fft"] = analysis.results["fft"].select("flight_id", F.explode("native").alias("r")).select("flight_id", "r.param", F.col("r.value").alias("suggested"))
+    if not found:
+        raise AnalysisError(NOTHING_RAN, "no module with recommendations ran")
+    return vibration.all_recommendations(found, ["flight_id"])

@@ -156,6 +156,6 @@ def page(rows: DataFrame, order: list[str], offset: int, limit: int) -> DataFram
 def listing(catalog: DataFrame, group: str | None = None, category: str | None = None) -> DataFrame:
     """Slim entries of a group or a category; a whole catalog is never listed."""
     if group is None and category is None:
-        raise ValueError(f"name a group or a category: there are {groups(catalog).count()} groups")
+        raise ValueError(f"name a group or a category: there are {catalog.select('group').distinct().count()} groups")
     found = catalog if group is None else in_group(catalog, group)
     return slim(found if category is None else found.where(F.lower("category") == category.lower()))

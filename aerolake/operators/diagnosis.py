@@ -121,8 +121,8 @@ def parameters_wide(params: DataFrame, keys: Sequence[str], defaults: dict[str,
 #: Parameters, with their defaults, from which each platform's filter chain follows; fixed values.
 FILTER_PARAMS = {
     "ardupilot": {"INS_GYRO_FILTER": 20, **{f"INS_{p}_{k}": v for p in ("HNTCH", "HNTC2") for k, v in {"ENABLE": 0, "FREQ": 80, "BW": 40, "ATT": 40, "HMNCS": 3}.items()}},
-    "betaflight": {"gyro_lpf1_static_hz": 250, "gyro_lpf2_static_hz": 500, "gyro_notch1_hz": 0, "gyro_notch1_cutoff": 0},
-    "px4": {"IMU_GYRO_CUTOFF": 30},
+    "betaflight": {"gyro_lpf1_static_hz": 250, "gyro_lpf2_static_hz": 500, "gyro_lpf1_dyn_min_hz": 0, "gyro_notch1_hz": 0, "gyro_notch1_cutoff": 0},
+    "px4": {"IMU_GYRO_CUTOFF": 30, "IMU_GYRO_NF0_FRQ": 0, "IMU_GYRO_NF0_BW": 20, "IMU_GYRO_NF1_FRQ": 0, "IMU_GYRO_NF1_BW": 20},
 }
 
 
@@ -130,9 +130,12 @@ def filter_chain(wide: DataFrame, platform: str) -> DataFrame:
     """``cutoff`` of the low-pass and ``notches`` (center, bandwidth, attenuation, harmonics) from wide parameters."""
     kind = "array<struct<center:double,bandwidth:double,attenuation:double,harmonics:bigint>>"
     if platform == "px4":
-        return wide.withColumns({"cutoff": F.col("IMU_GYRO_CUTOFF"), "notches": F.array().cast(kind)})
+        two = [F.when(F.col(f"{p}FRQ") > 0, F.struct(F.col(f"{p}FRQ").alias("center"), F.col(f"{p}BW").alias("bandwidth"), F.lit(40.0).alias("attenuation"), F.lit(1).cast("bigint").alias("harmonics"))) for p in ("IMU_GYRO_NF0_", "IMU_GYRO_NF1_")]
+        return wide.withColumns({"cutoff": F.col("IMU_GYRO_CUTOFF"), "notches": F.filter(F.array(*two), lambda n: n.isNotNull())})
     if platform == "betaflight":
-        low = [F.when(F.col(c) > 0, F.col(c)) for c in ("gyro_lpf1_static_hz", "gyro_lpf2_static_hz")]
+        # A dynamic low-pass is at its lowest with the throttle down.
+        first = F.when(F.col("gyro_lpf1_dyn_min_hz") > 0, F.col("gyro_lpf1_dyn_min_hz")).otherwise(F.col("gyro_lpf1_static_hz"))
+        low = [F.when(c > 0, c) for c in (first, F.col("gyro_lpf2_static_hz"))]
         f, cut = F.col("gyro_notch1_hz"), F.col("gyro_notch1_cutoff")
         one = F.struct(f.alias("center"), (2 * F.abs(f - cut)).alias("bandwidth"), F.lit(40.0).alias("attenuation"), F.lit(1).cast("bigint").alias("harmonics"))
         return wide.withColumns({"cutoff": F.least(*low), "notches": F.when((f > 0) & (cut > 0), F.array(one)).otherwise(F.array().cast(kind)).cast(kind)})
@@ -143,6 +146,19 @@ def filter_chain(wide: DataFrame, platform: str) -> DataFrame:
     return wide.withColumns({"cutoff": F.col("INS_GYRO_FILTER"), "notches": F.filter(F.array(*each), lambda n: n.isNotNull())})
 
 
+def fallback_cutoff(wide: DataFrame, platform: str) -> DataFrame:
+    """``cutoff`` and ``notch_width`` that a manual filter analysis takes where it is given none, from wide parameters."""
+    chain = filter_chain(wide, platform)
+    return chain.withColumn("notch_width", F.coalesce(F.get("notches", F.lit(0))["bandwidth"], F.lit(40.0)))
+
+
+def chain_text(cutoff: Column, notches: Column) -> Column:
+    """Lines that name the parts of a filter chain."""
+    low = F.when(cutoff > 0, F.format_string("low-pass %.0f Hz", cutoff))
+    each = F.transform(notches, lambda n: F.format_string("notch %.1f Hz, width %.1f Hz, %.0f dB, harmonics %d", n["center"], n["bandwidth"], n["attenuation"], n["harmonics"]))
+    return F.concat(F.filter(F.array(low), lambda x: x.isNotNull()), each)
+
+
 def filtered_spectrum(spectrum: DataFrame, response: DataFrame, on: Sequence[str]) -> DataFrame:
     """The spectrum after a filter, on one frequency grid: decibels add."""
     return spectrum.join(response.select(*on, "magnitude_db"), list(on)).withColumn("filtered", F.col("magnitude") + F.col("magnitude_db"))

@@ -39,9 +39,56 @@ def notch(center: Column, bandwidth: Column, attenuation_db: Column, rate: Colum
     return (1 + alpha * amp * amp, -2 * F.cos(w), 1 - alpha * amp * amp), (1 + alpha, -2 * F.cos(w), 1 - alpha)
 
 
-def over_grid(rows: DataFrame, step: float, points: int) -> DataFrame:
-    """A row for each of ``points`` frequencies step, 2 step, ...: made in the row, without a join."""
-    return rows.withColumn("freq", F.explode(F.transform(F.sequence(F.lit(1), F.lit(points)), lambda k: k * step)))
+def grid(step: float, points: int) -> Column:
+    """Frequencies step, 2 step, ... as an array."""
+    return F.transform(F.sequence(F.lit(1), F.lit(points)), lambda k: k * F.lit(step))
+
+
+def spread_notches(center: Column, bandwidth: Column, attenuation: Column, harmonics: Column, count: Column, rate: Column) -> Column:
+    """Array of (at, wide, attenuation): the notches of each harmonic under half the rate. Bit n of ``harmonics`` stands for harmonic n + 1; two or
+    three notches of a harmonic (``count``) are spread to either side of it.
+    """
+    spread = bandwidth / (32 * center)
+    places = F.when(count == 3, F.array(F.lit(-1.0), F.lit(0.0), F.lit(1.0))).when(count == 2, F.array(F.lit(-1.0), F.lit(1.0))).otherwise(F.array(F.lit(0.0)))
+    chosen = F.filter(F.sequence(F.lit(1), F.lit(16)), lambda h: F.getbit(harmonics.cast("long"), h - 1) == 1)
+    each = F.flatten(F.transform(chosen, lambda h: F.transform(places, lambda p: F.struct((center * h * (1 + p * spread)).alias("at"), (bandwidth * h / count).alias("wide"), attenuation.alias("attenuation")))))
+    return F.filter(each, lambda n: (n["at"] > n["wide"] / 2) & (n["at"] < rate / 2))
+
+
+def chain_curve(freqs: Column, rate: Column, cutoff: Column | None, notches: Column | None) -> Column:
+    """Array of (freq, magnitude_db, phase_deg) of a low-pass (none where the cutoff is null) and all notches of a row together. Their complex product
+    is a sum of logarithms and of phases, taken inside the row: nothing is exploded or shuffled.
+    """
+
+    def at(freq: Column) -> Column:
+        log_size, phase = F.lit(0.0), F.lit(0.0)
+        if cutoff is not None:
+            low_size, low_phase = biquad_gain(*lowpass(cutoff, rate), freq, rate)
+            log_size, phase = F.coalesce(low_size, log_size), F.coalesce(low_phase, phase)
+        if notches is not None:
+
+            def add(sums: Column, n: Column) -> Column:
+                size, turn = biquad_gain(*notch(n["at"], n["wide"], n["attenuation"], rate), freq, rate)
+                return F.struct((sums["g"] + size).alias("g"), (sums["p"] + turn).alias("p"))
+
+            sums = F.aggregate(notches, F.struct(F.lit(0.0).alias("g"), F.lit(0.0).alias("p")), add)
+            log_size, phase = log_size + sums["g"], phase + sums["p"]
+        return F.struct(freq.alias("freq"), (20 / math.log(10) * F.greatest(log_size, F.lit(math.log(1e-12)))).alias("magnitude_db"), F.degrees(phase).alias("phase_deg"))
+
+    return F.transform(freqs, at)
+
+
+def unwrapped(curve: Column) -> Column:
+    """The curve with its phase unwrapped from one frequency to the next: 360 off after jumps of 315 up, 360 on after 45 down."""
+
+    def add(out: Column, x: Column) -> Column:
+        last = F.try_element_at(out, F.lit(-1))
+        jump = x["phase_deg"] - last["raw"]
+        turned = F.when(jump >= 315, jump - 360).when(jump <= -45, jump + 360).otherwise(jump)
+        return F.array_append(out, F.struct(x["freq"].alias("freq"), x["magnitude_db"].alias("magnitude_db"), F.coalesce(last["phase_deg"] + turned, x["phase_deg"]).alias("phase_deg"), x["phase_deg"].alias("raw")))
+
+    found = F.aggregate(curve, F.array().cast("array<struct<freq:double,magnitude_db:double,phase_deg:double,raw:double>>"), add)
+    return F.transform(found, lambda x: F.struct(x["freq"].alias("freq"), x["magnitude_db"].alias("magnitude_db"), x["phase_deg"].alias("phase_deg")))
 
 
 def lowpass_response(rows: DataFrame) -> DataFrame:
@@ -50,29 +97,11 @@ def lowpass_response(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"magnitude_db": 20 / math.log(10) * F.greatest(gain, F.lit(math.log(1e-12))), "phase_deg": F.degrees(phase)})
 
 
-def harmonic_notches(filters: DataFrame) -> DataFrame:
-    """A row for each notch of ``filters`` (center, bandwidth, attenuation, harmonics mask, notches, rate): its place and width.
+def cut_hz(curve: Column) -> Column:
+    """The first frequency under -3 dB."""
+    return F.array_min(F.transform(F.filter(curve, lambda x: x["magnitude_db"] < -3), lambda x: x["freq"]))
 
-    Bit n of the mask stands for harmonic n + 1; two or three notches of a harmonic are spread to either side of it.
-    """
-    harmonic = F.filter(F.transform(F.sequence(F.lit(1), F.lit(16)), lambda h: F.when(F.getbit(F.col("harmonics").cast("long"), h - 1) == 1, h)), lambda h: h.isNotNull())
-    rows = filters.withColumn("h", F.explode(harmonic))
-    spread = F.col("bandwidth") / (32 * F.col("center"))
-    places = F.when(F.col("notches") == 3, F.array(F.lit(-1.0), F.lit(0.0), F.lit(1.0))).when(F.col("notches") == 2, F.array(F.lit(-1.0), F.lit(1.0))).otherwise(F.array(F.lit(0.0)))
-    rows = rows.withColumn("place", F.explode(places))
-    rows = rows.withColumns({"at": F.col("center") * F.col("h") * (1 + F.col("place") * spread), "wide": F.col("bandwidth") * F.col("h") / F.col("notches")})
-    return rows.where((F.col("at") > F.col("wide") / 2) & (F.col("at") < F.col("rate") / 2))
-
-
-def chain_response(notches: DataFrame, keys: list[str], step: float, points: int) -> DataFrame:
-    """keys, freq, magnitude_db, phase_deg of all notches of a key together: their complex product is a sum of logarithms and of phases."""
-    gain, phase = biquad_gain(*notch(F.col("at"), F.col("wide"), F.col("attenuation"), F.col("rate")), F.col("freq"), F.col("rate"))
-    rows = over_grid(notches, step, points).withColumns({"g": gain, "p": phase})
-    out = rows.groupBy(*keys, "freq").agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
-    return out.select(*keys, "freq", (20 / math.log(10) * F.greatest("g", F.lit(math.log(1e-12)))).alias("magnitude_db"), F.degrees("p").alias("phase_deg"))
-
-
-def key_points(response: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, cut_hz (first frequency under -3 dB), and the magnitude nearest to each of KEY_HZ."""
-    near = [F.min_by("magnitude_db", F.struct(F.abs(F.col("freq") - k), F.col("freq"))).alias(f"db_at_{int(k)}") for k in KEY_HZ]
-    return response.groupBy(*keys).agg(F.min(F.when(F.col("magnitude_db") < -3, F.col("freq"))).alias("cut_hz"), *near)
+
+def at_hz(curve: Column, hz: float) -> Column:
+    """The point of the curve nearest to a frequency, the lower of two."""
+    return F.array_min(F.transform(curve, lambda x: F.struct(F.abs(x["freq"] - hz).alias("away"), x["freq"].alias("freq"), x["magnitude_db"].alias("magnitude_db"), x["phase_deg"].alias("phase_deg"))))

@@ -19,10 +19,8 @@ def value(*names: str) -> Column:
 
 
 def seconds(rows: DataFrame) -> DataFrame:
-    """``t``: seconds since the first message of the flight."""
-    from pyspark.sql import Window
-
-    return rows.withColumn("t", (F.col("time_us") - F.min("time_us").over(Window.partitionBy("path"))) / 1e6)
+    """``t``: seconds on the log's own clock, which all tables of a flight share."""
+    return rows.withColumn("t", F.col("time_us") / 1e6)
 
 
 def dataflash_pid(messages: DataFrame) -> DataFrame:
@@ -81,15 +79,18 @@ def ulog_pid(messages: DataFrame) -> DataFrame:
 
 
 def blackbox_pid(frames: DataFrame, headers: DataFrame) -> DataFrame:
-    """pid_samples of a decoded blackbox log: clock from the headers' loop time, high-resolution fields in tenths, segments kept apart."""
+    """pid_samples of a decoded blackbox log: clock from the headers' loop time, high-resolution fields in tenths. Every segment of a file is a flight
+    of its own, 'path#segment': its clock and numbers begin anew.
+    """
     number = lambda name, default: F.coalesce(F.try_element_at("properties", F.lit(name)).cast("double"), F.lit(float(default)))
     interval = F.coalesce(F.try_element_at("properties", F.lit("P interval")), F.lit("1/1"))
     numerator, denominator = F.split_part(interval, F.lit("/"), F.lit(1)).cast("double"), F.greatest(F.coalesce(F.try_element_at(F.split(interval, "/"), F.lit(2)).cast("double"), F.lit(1.0)), F.lit(1.0))
     every = F.when(F.contains(interval, F.lit("/")), denominator / F.greatest(numerator, F.lit(1.0))).otherwise(numerator)
     head = headers.select("path", "segment", (1e6 / (number("looptime", 250) * every)).alias("rate_hz"), (number("blackbox_high_resolution", 0) > 0).alias("fine"))
-    rows = frames.where("kind in ('I', 'P')").join(F.broadcast(head), ["path", "segment"])  # a header a segment, ten at most a file
+    rows = frames.where("kind in ('I', 'P')").join(head, ["path", "segment"])
     of = lambda name: F.try_element_at("values", F.lit(name)).cast("double")
     axes = ("roll", "pitch", "yaw")
     each = F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), units.tenths("setpoint", of(f"setpoint[{k}]"), F.col("fine")).alias("desired"), units.tenths("gyroADC", of(f"gyroADC[{k}]"), F.col("fine")).alias("actual"), of(f"axisP[{k}]").alias("p"), of(f"axisI[{k}]").alias("i"), of(f"axisD[{k}]").alias("d"), of(f"axisF[{k}]").alias("ff")) for k, a in enumerate(axes))))
-    out = rows.select(flight(), "segment", "idx", (F.col("idx") / F.col("rate_hz")).alias("t"), each.alias("r")).select("flight_id", "segment", "r.axis", "idx", "t", *(f"r.{c}" for c in ("desired", "actual", "p", "i", "d", "ff")))
+    own = F.concat(F.col("path"), F.lit("#"), F.col("segment").cast("string")).alias("flight_id")
+    out = rows.select(own, "segment", "idx", (F.col("idx") / F.col("rate_hz")).alias("t"), each.alias("r")).select("flight_id", "segment", "r.axis", "idx", "t", *(f"r.{c}" for c in ("desired", "actual", "p", "i", "d", "ff")))
     return out.where("actual is not null")

@@ -35,8 +35,8 @@ BOUNDS = {
 }
 
 
-def window_metrics(rows: DataFrame, keys: Sequence[str], after_step: Column, value: str = "value", order: str = "idx", dt_ms: float = 10.0) -> DataFrame:
-    """METRICS of each window (the rows of a key); -1 where unknown. ``after_step`` marks rows past the step."""
+def window_metrics(rows: DataFrame, keys: Sequence[str], after_step: Column, value: str = "value", order: str = "idx", dt_ms: float | Column = 10.0) -> DataFrame:
+    """METRICS of each window (the rows of a key); -1 where unknown. ``after_step`` marks rows past the step; ``dt_ms``, the gap of samples, may be one of the keys."""
     w, whole = Window.partitionBy(*keys).orderBy(order), Window.partitionBy(*keys)
     x = F.col(value)
     numbered = rows.withColumns({"pos": F.row_number().over(w).cast("long") - 1, "n": F.count("*").over(whole), "late": after_step})

@@ -50,8 +50,17 @@ def is_safe(path: Column, length: Column, roots: Sequence[str], extensions: Sequ
     return extension(path).isin(*extensions) & ~F.concat(plain, F.lit("/")).contains("/../") & under & (length <= most_bytes)
 
 
-def detect(spark: SparkSession, pattern: str, roots: Sequence[str], most_bytes: int = MOST_BYTES) -> DataFrame:
-    """path, length, format of the files that may be read; others are left out."""
-    files = spark.read.format("binaryFile").load(pattern)
-    files = files.where(is_safe(F.col("path"), F.col("length"), roots, most_bytes=most_bytes))
-    return files.select("path", "length", log_format(F.col("path"), F.col("content")).alias("format"))
+def detect(spark: SparkSession, pattern: str, roots: Sequence[str], most_bytes: int = MOST_BYTES, head_bytes: int = 1024) -> DataFrame:
+    """path, length, format of the files that may be read; others are left out. Only the head of a file on a disk is read; of other file systems Spark brings the content."""
+    from aerolake.sources import files
+
+    rows = files.listed(spark, pattern, roots, most_bytes=most_bytes).where("problem is null")
+    on_disk = F.col("path").startswith("file:") | F.col("path").startswith("/")
+
+    def head(path: str) -> bytes:
+        with open(files.local_path(path), "rb") as file:
+            return file.read(head_bytes)
+
+    read = F.udf(head, "binary")  # a row a file
+    disk = rows.where(on_disk).select("path", "length", log_format(F.col("path"), read("path")).alias("format"))
+    return disk.unionByName(rows.where(~on_disk).select("path", "length", log_format(F.col("path"), F.col("content")).alias("format")))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from aerolake.sources.detect import DATAFLASH_MAGIC, ULOG_MAGIC
+from aerolake.sources.detect import DATAFLASH_MAGIC, MOST_BYTES, ULOG_MAGIC
 
 SCHEMA = "path string, idx bigint, mtype string, instance int, time_us bigint, wall_us bigint, sysid int, compid int, seq int, fields map<string,double>, text string"
 Row = tuple  # (mtype, instance, time_us, wall_us, sysid, compid, seq, fields, text)
@@ -198,7 +198,7 @@ class File(InputPartition):
 
 class Reader(DataSourceReader):
     def __init__(self, options: dict[str, str], decode):
-        self.pattern, self.most_bytes, self.decode = options.get("path", ""), int(options.get("maxBytes", 300 * 1024 * 1024)), decode
+        self.pattern, self.most_bytes, self.decode = options.get("path", ""), int(options.get("maxBytes", MOST_BYTES)), decode
 
     def partitions(self) -> list[File]:
         return [File(p) for p in sorted(globbing.glob(self.pattern))]
@@ -242,6 +242,21 @@ class TelemetrySource(DataFlashSource):
         return "telemetry"
 
 
+#: Decoders by the format that ``detect`` names.
+DECODERS = {"dataflash": read_dataflash, "ulog": read_ulog, "telemetry": read_telemetry}
+
+
+def read_logs(spark, pattern, kind: str, roots=None, most_bytes: int = MOST_BYTES):
+    """Messages of the logs of a pattern on any file system Spark reads, with ``error``: unsafe, too large and unreadable files give a row with nothing else."""
+    from pyspark.sql.types import StructType
+
+    from aerolake.sources import files
+
+    fields = StructType.fromDDL(SCHEMA.split(", ", 1)[1])
+    decode = DECODERS[kind]
+    return files.decoded(files.listed(spark, pattern, roots, most_bytes=most_bytes), lambda data: ((idx, *row) for idx, row in enumerate(decode(data))), fields)
+
+
 def register(spark) -> None:
     for source in (DataFlashSource, ULogSource, TelemetrySource):
         spark.dataSource.register(source)

@@ -77,7 +77,7 @@ def test_dataflash(spark, tmp_path):
     assert rows.count() == 92
     pid = ingest.dataflash_pid(rows).collect()
     assert {(r["axis"], round(r["desired"], 3)) for r in pid} == {("roll", round(math.degrees(1.0), 3)), ("pitch", 20.0), ("yaw", 30.0)}
-    assert len(pid) == 90 and max(r["t"] for r in pid) == 0.29
+    assert len(pid) == 90 and max(r["t"] for r in pid) == 1.29
     imu = ingest.dataflash_imu(rows)
     assert imu.count() == 15 and round(imu.first()["gx"], 4) == round(math.degrees(0.1), 4)
     assert [(r["name"], round(r["value"], 3)) for r in ingest.dataflash_params(rows).collect()] == [("ATC_P", 0.2)]
@@ -90,7 +90,7 @@ def test_ulog(spark, tmp_path):
     pid = ingest.ulog_pid(rows)
     assert pid.count() == 60
     roll = {round(r["t"], 4): r for r in pid.where("axis = 'roll'").collect()}
-    assert all(abs(r["desired"] - r["actual"]) < 1e-4 for t, r in roll.items() if t <= 0.016) and abs(roll[0.019]["desired"] - math.degrees(1.6)) < 1e-4
+    assert all(abs(r["desired"] - r["actual"]) < 1e-4 for t, r in roll.items() if t <= 0.017) and abs(roll[0.02]["desired"] - math.degrees(1.6)) < 1e-4
 
 
 def test_telemetry(spark, tmp_path):

@@ -191,8 +191,8 @@ def test_analysis_of_a_fleet(spark):
         rows.append(pd.DataFrame({"flight_id": flight, "axis": "roll", "idx": range(n), "t": np.arange(n) / rate, "desired": u, "actual": y}))
     pid = spark.createDataFrame(pd.concat(rows))
     t = np.arange(4000) / 1000
-    imu = spark.createDataFrame(pd.DataFrame({"flight_id": "a", "idx": range(4000), "t": t, "gx": 2 * np.sin(2 * np.pi * 80 * t), "ax": np.sin(2 * np.pi * 80 * t), "ay": 0.0, "az": 9.81}))
-    found = api.analyze(api.Flights("ardupilot", pid=pid, imu=imu, extra={"rows": lambda f: f.pid.groupBy("flight_id").count()}), 1000.0)
+    imu = spark.createDataFrame(pd.DataFrame({"flight_id": "a", "idx": range(4000), "t": t, "gx": 2 * np.sin(2 * np.pi * 80 * t), "gy": 0.0, "gz": 0.0, "ax": np.sin(2 * np.pi * 80 * t), "ay": 0.0, "az": 9.81}))
+    found = api.analyze(api.Flights("ardupilot", pid=pid, imu=imu, extra={"rows": lambda f: f.pid.groupBy("flight_id").count()}), 1000.0).results
     assert set(found) == {"quality", "pid", "fft", "sysid", "rows"}
     by = {r["flight_id"]: r for r in found["pid"].collect()}
     assert by["a"]["windows"] == 4 and by["b"]["overshoot_percent"] > by["a"]["overshoot_percent"]

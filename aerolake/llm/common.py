@@ -71,5 +71,17 @@ def join_small(left: DataFrame, right: DataFrame, on: str | list[str], how: str,
     return left.join(F.broadcast(right) if rows <= limit else right, on, how)
 
 
+def row_keys(rows: DataFrame, key: str) -> DataFrame:
+    """doc_id and ``key`` (the text's hash) of rows, written out, as ``by_row`` takes them."""
+    return materialize(rows.select(F.col("doc_id").alias("_row_id"), F.col(key).alias("_row_key")))
+
+
+def by_row(documents: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join of documents to ``row_keys``: rows with one id, or none, are told apart by their texts."""
+    right = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+    same = documents["doc_id"].eqNullSafe(right["_row_id"]) & F.md5(documents["text"].cast("binary")).eqNullSafe(right["_row_key"])
+    return documents.join(right, same, how)
+
+
 def texts_as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()

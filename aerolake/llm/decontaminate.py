@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolake.llm.common import BROADCAST_ROWS, materialize, release, text_key, texts_as_bytes
+from aerolake.llm.common import by_row, materialize, release, row_keys, text_key, texts_as_bytes
 
 WORDS = 13
 #: Memory that the set of one block may take.
@@ -179,6 +179,5 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = WORDS, bl
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, n: int = WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``documents`` whose own text is not contaminated, unchanged."""
-    judged = materialize(judge(find_spans(documents, benchmark, n, block_bytes)).where("contaminated").select(F.col("doc_id").alias("_gone_id"), F.col("text_key").alias("_gone_key")).distinct())
-    gone = F.broadcast(judged) if judged.count() <= BROADCAST_ROWS else judged
-    return documents.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (text_key() == F.col("_gone_key")), "left_anti")
+    judged = judge(find_spans(documents, benchmark, n, block_bytes)).where("contaminated").select("doc_id", "text_key").distinct()
+    return by_row(documents, row_keys(judged, "text_key"), "left_anti")

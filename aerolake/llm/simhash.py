@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolake.llm.common import BROADCAST_ROWS, materialize, text_key, texts_as_bytes
+from aerolake.llm.common import by_row, materialize, row_keys, text_key, texts_as_bytes
 from aerolake.llm.components import stars
 
 SHINGLE = 3
@@ -228,13 +228,10 @@ def keep_one(documents: DataFrame, most: int = MAX_BITS) -> DataFrame:
     key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash")
     members = prints.join(rooted, "fp").withColumn("key", key)
     several = members.groupBy("root").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("root", "first")
-    gone = materialize(members.join(several, "root").where("not (key <=> first)").select(F.col("doc_id").alias("_gone_id"), F.col("hash").alias("_gone_hash")))
-    repeated = materialize(prints.where("rows > 1").select(F.col("doc_id").alias("_gone_id"), F.col("hash").alias("_gone_hash")))
-    same = F.col("doc_id").eqNullSafe(F.col("_gone_id")) & text_key().eqNullSafe(F.col("_gone_hash"))
-    few = lambda keys: F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
-    kept = documents.join(few(gone), same, "left_anti")
+    gone = members.join(several, "root").where("not (key <=> first)")
+    kept = by_row(documents, row_keys(gone, "hash"), "left_anti")
+    repeated = row_keys(prints.where("rows > 1"), "hash")
     if repeated.isEmpty():
         return kept
-    repeated = few(repeated)
-    own = kept.join(repeated, same, "left_semi").withColumn("_hash", text_key())
-    return kept.join(repeated, same, "left_anti").unionByName(own.dropDuplicates(["doc_id", "_hash"]).drop("_hash"))
+    own = by_row(kept, repeated, "left_semi").withColumn("_same_text", text_key())
+    return by_row(kept, repeated, "left_anti").unionByName(own.dropDuplicates(["doc_id", "_same_text"]).drop("_same_text"))

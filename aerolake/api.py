@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolake.operators import attitude, bands, catalog, diagnosis, filters, ingest, models, responses, series, spectral, tables, vibration
+from aerolake.sources.rules import Rules
 
 #: Modules that a platform's logs can support; fixed values.
 CAPABILITIES = {
@@ -91,17 +92,18 @@ def step_windows(flights: Flights, spacing: int = 50) -> DataFrame:
     return windows.where("reason = 'ok'").drop("reason", "value").join(rates(flights.pid, KEYS), KEYS)
 
 
-def pid(flights: Flights, gains: DataFrame | None = None, most: int = 20) -> DataFrame:
+def pid(flights: Flights, gains: DataFrame | None = None, most: int = 20, rules: Rules | None = None) -> DataFrame:
     """flight_id, axis, windows, the mean step metrics, score, assessment; and with ``gains`` (flight_id, axis, gain, current) the recommendations as an array, the
-    most severe first and at most ``most`` a flight. Times are measured by each series' own rate.
+    most severe first and at most ``most`` a flight. Times are measured by each series' own rate. ``rules`` (``sources.rules.load``) puts a user's layers over the limits.
     """
+    rules = rules or Rules()
     timed = step_windows(flights).withColumn("dt_ms", 1000 / F.col("rate_hz"))
     windows = responses.window_metrics(timed, [*KEYS, "step", "dt_ms"], F.col("idx") > F.col("step"), "actual", dt_ms=F.col("dt_ms"))
     metrics = responses.mean_metrics(windows, KEYS)
-    out = metrics.withColumn("score", responses.score(F.col("axis"))).withColumn("assessment", bands.level_from(F.col("score"), responses.CUTS))
+    out = metrics.withColumn("score", responses.score(F.col("axis"), rules.limits)).withColumn("assessment", bands.level_from(F.col("score"), responses.CUTS))
     if gains is None:
         return out
-    found = responses.recommend(responses.symptoms(metrics, KEYS), gains, KEYS, flights.platform)
+    found = responses.recommend(responses.symptoms(metrics, KEYS, limits_of=rules.limits, rules=rules.rules), gains, KEYS, flights.platform, rules.rules, rules.bounds)
     placed = diagnosis.by_severity(found, ["flight_id"], "severity", "axis", "symptom", "gain").where(F.col("place") <= most)
     each = F.struct("place", *(c for c in found.columns if c not in KEYS))
     return out.join(placed.groupBy(*KEYS).agg(F.array_sort(F.collect_list(each)).alias("recommendations")), KEYS, "left")
@@ -160,7 +162,10 @@ def filter(flights: Flights, rate_hz: float = 400.0, gyro_filter_hz: float | Non
 
 def sysid(flights: Flights, rate_hz: float, na: int = 2, nb: int = 2, delay: int = 1) -> DataFrame:
     """flight_id, axis, theta, fit_percent, reliable, omega, zeta, gain, bandwidth_hz, p_gain."""
-    rows, names = models.lagged(flights.pid, KEYS, "actual", "desired", na, nb, delay)
+    first = F.when(F.row_number().over(series.along(KEYS, "idx")) <= 10, 1)
+    level = lambda c: F.avg(F.when(F.col("_first") == 1, F.col(c))).over(Window.partitionBy(*KEYS))
+    rested = flights.pid.withColumn("_first", first).withColumns({c: F.col(c) - level(c) for c in ("desired", "actual")})  # less the mean of the first ten samples
+    rows, names = models.lagged(rested, KEYS, "actual", "desired", na, nb, delay)
     fits = models.solve(models.gram(rows, KEYS, names, "y0"), KEYS, na + nb)
     return fits.join(models.poles_to_dynamics(fits, KEYS, na, nb, rate_hz), KEYS)
 
@@ -170,6 +175,7 @@ def magfit(flights: Flights) -> DataFrame:
     binned = flights.mag.withColumn("bin", attitude.nearest_bin([F.col(c) for c in ("bx", "by", "bz")]))
     weighted = attitude.coverage(binned, ["flight_id"])
     fit = models.calibrate(models.field_gram(weighted, ["flight_id"], ("mx", "my", "mz"), ("bx", "by", "bz"), "throttle", F.col("weight")), ["flight_id"])
+    fit = fit.withColumn("fitness", bands.level_below(F.col("rmse"), bands.FITNESS))
     return fit.join(weighted.groupBy("flight_id").agg(F.max("coverage").alias("coverage")), "flight_id")
 
 

@@ -90,7 +90,8 @@ def field_at(places: DataFrame, grid: DataFrame, step: int = 10) -> DataFrame:
     for at in ((0, 1), (1, 0), (1, 1)):
         cells = cells.join(corner(*at), ["c_lat", "c_lon"])
     rows = places.withColumns({"c_lat": F.least(F.floor(F.col("lat") / step) * step, F.lit(90 - step)).cast("int"), "c_lon": F.least(F.floor(F.col("lon") / step) * step, F.lit(180 - step)).cast("int")})
-    rows = rows.join(F.broadcast(cells), ["c_lat", "c_lon"])  # at most one cell for each grid point
+    # A grid of whole degrees has 65,160 cells; a finer one is shuffled.
+    rows = rows.join(F.broadcast(cells) if grid.count() <= 100_000 else cells, ["c_lat", "c_lon"])
     x, y = (F.col("lat") - F.col("c_lat")) / step, (F.col("lon") - F.col("c_lon")) / step
     mixed = {n: (1 - x) * ((1 - y) * F.col(f"{n}00") + y * F.col(f"{n}01")) + x * ((1 - y) * F.col(f"{n}10") + y * F.col(f"{n}11")) for n in names}
     out = rows.select(*places.columns, *(c.alias(n) for n, c in mixed.items()))
@@ -98,6 +99,16 @@ def field_at(places: DataFrame, grid: DataFrame, step: int = 10) -> DataFrame:
     return out.withColumns({"north": flat * F.cos(F.radians("declination")), "east": flat * F.sin(F.radians("declination")), "down": F.col("intensity") * F.sin(F.radians("inclination"))})
 
 
+def expected_field(places: DataFrame, grid: DataFrame, step: int = 10) -> DataFrame:
+    """``places`` (lat, lon, alt; lat null: no position) with north, east, down in mGauss: of the grid, without a position by the dip rule at the equator's latitude 0."""
+    from aerolake.operators import diagnosis
+
+    known = field_at(places.where("lat is not null and lon is not null"), grid, step).drop("declination", "inclination", "intensity")
+    parts = diagnosis.dip_field(F.lit(0.0), F.coalesce(F.col("alt"), F.lit(0.0)))
+    rest = places.where("lat is null or lon is null").select(*places.columns, *((10 * c).alias(n) for n, c in zip(("north", "east", "down"), parts, strict=True)))
+    return known.unionByName(rest)
+
+
 #: Bus types of packed device ids; fixed values.
 BUSES = {0: "unknown", 1: "i2c", 2: "spi", 3: "uavcan", 4: "sitl", 5: "msp", 6: "serial"}
 
@@ -113,7 +124,7 @@ def decode_device(device_id: Column) -> dict[str, Column]:
 
 
 #: Samples and ranges in degrees that a calibration flight needs, and what makes it good; fixed values.
-COVERAGE = {"samples": 100, "yaw": 180.0, "pitch": 10.0, "roll": 10.0, "good_samples": 500, "good_yaw": 300.0}
+COVERAGE = {"samples": 500, "yaw": 300.0, "pitch": 40.0, "roll": 40.0, "good_samples": 1000, "good_yaw": 360.0}
 
 
 def flight_coverage(rows: DataFrame, keys: Sequence[str], limits: dict[str, float] = COVERAGE, order: str = "idx") -> DataFrame:

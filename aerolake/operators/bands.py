@@ -15,6 +15,8 @@ VIBRATION = {
 }
 #: (lower bound, label) of a quality score; fixed values.
 RATINGS = [(90.0, "EXCELLENT"), (75.0, "GOOD"), (55.0, "MARGINAL"), (float("-inf"), "POOR")]
+#: (upper bound, label) of the residual of a magnetometer calibration in mGauss; fixed values.
+FITNESS = [(5.0, "EXCELLENT"), (15.0, "GOOD"), (30.0, "ACCEPTABLE"), (50.0, "MARGINAL"), (100.0, "POOR"), (float("inf"), "BAD")]
 #: From worst to best; fixed values.
 ASSESSMENTS = ["UNUSABLE", "POOR", "MARGINAL", "GOOD", "EXCELLENT"]
 

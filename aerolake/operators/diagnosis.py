@@ -164,11 +164,26 @@ def filtered_spectrum(spectrum: DataFrame, response: DataFrame, on: Sequence[str
     return spectrum.join(response.select(*on, "magnitude_db"), list(on)).withColumn("filtered", F.col("magnitude") + F.col("magnitude_db"))
 
 
-def telemetry_notes(has_rates: Column, rate_hz: Column, gaps: Column, dropped_percent: Column, systems: Column) -> Column:
-    """Codes that say how far a log recorded over a radio link can be trusted."""
-    return codes((~has_rates, "no_desired_rates"), (rate_hz < 10, "slow"), (rate_hz.between(10, 50), "telemetry_rate"), (gaps > 0, "link_gaps"), (dropped_percent > 5, "dropped_frames"), (systems > 1, "several_systems"))
+#: Vehicle types that the limits of this library are meant for; fixed values.
+MULTIROTORS = (2, 3, 4, 13, 14, 15, 29)
 
 
+def telemetry_notes(
+    clocked: Column, attitudes: Column, targets: Column, rate_hz: Column, raw_imu: Column, gyro_hz: Column, accel: Column, params: Column, gaps: Column, dropped_percent: Column, systems: Column, vehicle: Column,
+) -> Column:
+    """Codes that say how far a log recorded over a radio link can be trusted, from counts of its messages, rates and losses."""
+    rates = (attitudes >= 10) & (targets >= 10)
+    return codes(
+        (~clocked, "receive_clock"), (rates, "terms_missing"), (rates & (rate_hz < 50), "telemetry_rate"), ((attitudes >= 10) & (targets < 10), "no_desired_rates"), (attitudes < 10, "no_attitude"),
+        (raw_imu == 0, "gyro_from_attitude"), (gyro_hz.between(1e-9, 240), "fft_limited"), (accel == 0, "no_accelerometer"), (params == 0, "no_parameters"), (gaps > 0, "link_gaps"), (dropped_percent >= 5, "dropped_frames"),
+        (systems > 1, "other_vehicles"), (~vehicle.isin(*MULTIROTORS), "no_multirotor"),
+    )
+
+
+def telemetry_penalty(targets: Column) -> Column:
+    """What such a log loses of its quality score."""
+    return F.when(targets > 0, 15).otherwise(30)
+
 
 def current_vector(raw: DataFrame, params: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
     """keys, names: the median that a log recorded of each, else the parameter, else 0; a row for each key of ``params``."""

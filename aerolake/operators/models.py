@@ -220,8 +220,54 @@ def field_gram(rows: DataFrame, keys: Sequence[str], raw: Sequence[str], truth:
     return gram(long, keys, FIELD_UNKNOWNS, "b", F.col("w"))
 
 
+#: Bounds of a calibration: offset, diagonal, off-diagonal and motor terms; fixed values.
+FIELD_BOUNDS = np.array([(-2000.0, 2000.0)] * 3 + [(0.3, 2.0)] * 3 + [(-1.0, 1.0)] * 3 + [(-200.0, 200.0)] * 3)
+
+
+def field_theta(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The linear unknowns (M, c = M * offset, motor) of offset, diagonal, off-diagonal and motor terms, and their derivatives."""
+    offset, d, o = p[:3], p[3:6], p[6:9]
+    m = np.array([[d[0], o[0], o[1]], [o[0], d[1], o[2]], [o[1], o[2], d[2]]])
+    slope = np.zeros((12, 12))
+    slope[0:6, 3:9] = np.eye(6)
+    slope[6:9, 0:3] = m
+    for k, (i, j) in enumerate([(0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2)]):
+        slope[6 + i, 3 + k] += offset[j]
+        if i != j:
+            slope[6 + j, 3 + k] += offset[i]
+    slope[9:12, 9:12] = np.eye(3)
+    return np.concatenate([d, o, m @ offset, p[9:]]), slope
+
+
+def bounded_field(a: np.ndarray, b: np.ndarray, start: np.ndarray, used: int, rounds: int = 60) -> np.ndarray:
+    """Projected Gauss-Newton on the Gram matrix from ``start``, brought within FIELD_BOUNDS: terms at a bound that pull outwards are held there. No pass over the data."""
+    low, high = FIELD_BOUNDS.T
+    p = np.clip(start, low, high)
+    cost = lambda q: (lambda t: t @ a @ t - 2 * t @ b)(field_theta(q)[0])
+    for _ in range(rounds):
+        theta, slope = field_theta(p)
+        gradient = slope.T @ (a @ theta - b)
+        free = ~((p <= low) & (gradient > 0) | (p >= high) & (gradient < 0))
+        free[used:] = False
+        if not free.any():
+            break
+        s = slope[:, free]
+        move = np.zeros(12)
+        move[free] = np.linalg.lstsq(s.T @ a @ s, -gradient[free], rcond=1e-14)[0]
+        scale, before = 1.0, cost(p)
+        while scale > 1e-6 and cost(np.clip(p + scale * move, low, high)) > before:
+            scale /= 2
+        after = np.clip(p + scale * move, low, high)
+        if scale <= 1e-6 or np.abs(after - p).max() < 1e-10:
+            break
+        p = after
+    return p
+
+
 def calibrate(grams: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, n, offset, diagonal, off_diagonal, motor, rmse of ``field_gram``; without throttle the motor terms are zero. Bounds are flagged, not forced."""
+    """keys, n, offset, diagonal, off_diagonal, motor, rmse of ``field_gram``; without throttle the motor terms are zero.
+    ``in_bounds`` says whether the unbounded solution keeps FIELD_BOUNDS; one that does not is replaced by the best that does.
+    """
     schema = ", ".join([*(f"{c} {grams.schema[c].dataType.simpleString()}" for c in keys), "n long, offset array<double>, diagonal array<double>, off_diagonal array<double>, motor array<double>, rmse double, in_bounds boolean"])
     upper = np.triu_indices(12)
 
@@ -234,10 +280,14 @@ def calibrate(grams: DataFrame, keys: Sequence[str]) -> DataFrame:
         theta[:used] = np.linalg.lstsq(a[:used, :used], b[:used], rcond=1e-14)[0]
         m = np.array([[theta[0], theta[3], theta[4]], [theta[3], theta[1], theta[5]], [theta[4], theta[5], theta[2]]])
         offset = np.linalg.lstsq(m, theta[6:9], rcond=None)[0]
+        p = np.concatenate([offset, theta[:6], theta[9:]])
+        inside = bool(((p >= FIELD_BOUNDS[:, 0]) & (p <= FIELD_BOUNDS[:, 1])).all())
+        if not inside:
+            p = bounded_field(a, b, np.nan_to_num(p), used)
+            theta = field_theta(p)[0]
         rmse = float(np.sqrt(max(0.0, yy - 2 * theta @ b + theta @ a @ theta) / max(1, n)))
-        diagonal, off, motor = theta[:3], theta[3:6], theta[9:]
-        inside = np.abs(offset).max() <= 2000 and diagonal.min() >= 0.3 and diagonal.max() <= 2 and np.abs(off).max() <= 1 and np.abs(motor).max() <= 200
-        return n // 3, offset.tolist(), diagonal.tolist(), off.tolist(), motor.tolist(), rmse, bool(inside)
+        offset, diagonal, off, motor = p[:3], p[3:6], p[6:9], p[9:]
+        return n // 3, offset.tolist(), diagonal.tolist(), off.tolist(), motor.tolist(), rmse, inside
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), *([pa.list_(pa.float64())] * 4), pa.float64(), pa.bool_())

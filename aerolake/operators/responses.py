@@ -71,10 +71,10 @@ def mean_metrics(windows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return windows.groupBy(*keys).agg(F.count("*").alias("windows"), *(F.coalesce(F.avg(F.when(F.col(m) >= 0, F.col(m))), F.lit(-1.0)).alias(m) for m in METRICS))
 
 
-def by_axis(axis: Column, pick) -> Column:
-    """An expression that depends on the axis through LIMITS."""
+def by_axis(axis: Column, pick, limits_of: dict[str, list[tuple]] = LIMITS) -> Column:
+    """An expression that depends on the axis through its limits."""
     out = F.lit(None).cast("double")
-    for name, limits in LIMITS.items():
+    for name, limits in limits_of.items():
         out = F.when(axis == name, pick(limits)).otherwise(out)
     return out
 
@@ -91,9 +91,9 @@ def points(value: Column, low: float, high: float, ideal: float) -> Column:
     return F.when(value < 0, 1.0).when(value < low, below).when(value > high, above).otherwise(2 - F.abs(value - ideal) / width)
 
 
-def score(axis: Column) -> Column:
+def score(axis: Column, limits_of: dict[str, list[tuple]] = LIMITS) -> Column:
     """Share of the possible points that the METRICS columns reach."""
-    return by_axis(axis, lambda limits: sum((points(F.col(m), *map(float, lim)) for m, lim in zip(METRICS, limits, strict=True)), F.lit(0.0)) / (2 * len(METRICS)))
+    return by_axis(axis, lambda limits: sum((points(F.col(m), *map(float, lim)) for m, lim in zip(METRICS, limits, strict=True)), F.lit(0.0)) / (2 * len(METRICS)), limits_of)
 
 
 def severity(value: Column, limit: Column, mild: bool) -> Column:
@@ -102,22 +102,22 @@ def severity(value: Column, limit: Column, mild: bool) -> Column:
     return found.when(F.lit(mild) & (value > 0.8 * limit), "low")
 
 
-def symptoms(metrics: DataFrame, keys: Sequence[str], axis: str = "axis") -> DataFrame:
+def symptoms(metrics: DataFrame, keys: Sequence[str], axis: str = "axis", limits_of: dict[str, list[tuple]] = LIMITS, rules: Sequence[tuple] = RULES) -> DataFrame:
     """keys, symptom, value, severity: one row for each symptom that a series shows."""
-    named = dict.fromkeys((s, m) for s, m, _, _ in RULES)
-    upper = lambda k: by_axis(F.col(axis), lambda limits: F.lit(float(limits[k][1])))
+    named = dict.fromkeys((s, m) for s, m, _, _ in rules)
+    upper = lambda k: by_axis(F.col(axis), lambda limits: F.lit(float(limits[k][1])), limits_of)
     each = [F.struct(F.lit(s).alias("symptom"), F.col(m).alias("value"), severity(F.col(m), upper(METRICS.index(m)), s == "overshoot").alias("severity")) for s, m in named]
     return metrics.select(*keys, F.explode(F.array(*each)).alias("s")).select(*keys, "s.*").where("severity is not null")
 
 
-def recommend(found: DataFrame, gains: DataFrame, keys: Sequence[str], platform: str = "ardupilot") -> DataFrame:
+def recommend(found: DataFrame, gains: DataFrame, keys: Sequence[str], platform: str = "ardupilot", rules: Sequence[tuple] = RULES, bounds_of: dict[str, dict[str, tuple]] = BOUNDS) -> DataFrame:
     """A row for each rule that a symptom triggers on a gain in use: current, suggested (within a quarter and the platform's bounds), change_percent.
 
     The rules are a handful of rows, so the join to them is an array lookup by symptom.
     """
     spark = found.sparkSession
-    rules = spark.createDataFrame([(s, g, float(f)) for s, _, g, f in RULES], "symptom string, gain string, factor double")
-    bounds = spark.createDataFrame([(g, *b) for g, b in BOUNDS[platform].items()], "gain string, lowest double, highest double")
+    rules = spark.createDataFrame([(s, g, float(f)) for s, _, g, f in rules], "symptom string, gain string, factor double")
+    bounds = spark.createDataFrame([(g, *b) for g, b in bounds_of[platform].items()], "gain string, lowest double, highest double")
     rows = found.join(F.broadcast(rules.join(bounds, "gain")), "symptom").join(gains.where("current > 0"), [*keys, "gain"])
     factor = F.least(F.greatest("factor", F.lit(0.75)), F.lit(1.25))
     rows = rows.withColumn("suggested", F.round(F.least(F.greatest(F.col("current") * factor, "lowest"), "highest"), 6))

@@ -35,11 +35,11 @@ def step_threshold(largest: Column, share: float = 0.3, floor: float = 0.5) -> C
     return F.when(largest < 1e-9, F.lit(floor)).otherwise(share * largest)
 
 
-def step_candidates(samples: DataFrame, keys: Keys, value: str = "value", idx: str = "idx", share: float = 0.3) -> DataFrame:
+def step_candidates(samples: DataFrame, keys: Keys, value: str = "value", idx: str = "idx", share: float = 0.3, floor: float = 0.5) -> DataFrame:
     """keys, step (index of the sample before the jump), jump."""
     w = along(keys, idx)
     jumps = samples.select(*keys, (F.col(idx) - 1).alias("step"), (F.col(value) - F.lag(value).over(w)).alias("jump"), F.max(F.abs(value)).over(Window.partitionBy(*keys)).alias("largest"))
-    return jumps.where(F.abs("jump") >= step_threshold(F.col("largest"), share)).select(*keys, "step", "jump")
+    return jumps.where(F.abs("jump") >= step_threshold(F.col("largest"), share, floor)).select(*keys, "step", "jump")
 
 
 def keep_spaced(candidates: DataFrame, keys: Keys, spacing: int, step: str = "step", block: int = 1 << 13) -> DataFrame:
@@ -99,6 +99,11 @@ def keep_spaced(candidates: DataFrame, keys: Keys, spacing: int, step: str = "st
     return join_keys(blocks, starts, [*keys, "_block"]).mapInArrow(keep, f"{kinds}, {step} long")
 
 
+def time_domain_steps(samples: DataFrame, keys: Keys, rate_hz: float, value: str = "value", idx: str = "idx") -> DataFrame:
+    """Steps of a mean step response: at least half a second apart, and jumps of 5 or more where a signal is flat."""
+    return keep_spaced(step_candidates(samples, keys, value, idx, floor=5.0), keys, max(1, int(0.5 * rate_hz)))
+
+
 def join_keys(left: DataFrame, right: DataFrame, keys: Keys) -> DataFrame:
     """Inner join in which null keys meet."""
     right = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})

@@ -127,12 +127,21 @@ def radians_auto(t: Tables) -> DataFrame:
     return found.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.round(F.sum("desired"), 4).alias("desired"), F.round(F.sum("actual"), 4).alias("actual"))
 
 
-@query(f"""with {SIGNALS}, m as (select user_id, 1 / median(dt) as rate, count(*) filter (where dt > 10800) as gaps, bool_or(channel = 'purchase') as rates, count(distinct channel) as systems from signals group by user_id)
-    select user_id, array_to_string(list_filter([case when not rates then 'no_desired_rates' end, case when rate < 10 then 'slow' end, case when rate between 10 and 50 then 'telemetry_rate' end, case when gaps > 0 then 'link_gaps' end, case when gaps > 20 then 'dropped_frames' end, case when systems > 1 then 'several_systems' end], lambda x: x is not null), ',') as notes from m""")
+@query(f"""with {SIGNALS},
+    m as (
+        select user_id, 3600 / median(dt) as rate, count(*) filter (where dt > 10800) as gaps, count(*) filter (where channel = 'click') as att, count(*) filter (where channel = 'view') as tgt, count(*) filter (where channel = 'purchase') as imu,
+            count(*) filter (where channel = 'signup') as par, bool_or(channel = 'error') as clocked, count(distinct channel) as systems, user_id % 16 as kind from signals group by user_id)
+    select user_id, case when tgt > 0 then 15 else 30 end as penalty, array_to_string(list_filter([
+        case when not clocked then 'receive_clock' end, case when att >= 10 and tgt >= 10 then 'terms_missing' end, case when att >= 10 and tgt >= 10 and rate < 50 then 'telemetry_rate' end, case when att >= 10 and tgt < 10 then 'no_desired_rates' end, case when att < 10 then 'no_attitude' end,
+        case when imu = 0 then 'gyro_from_attitude' end, case when rate between 1e-9 and 240 then 'fft_limited' end, case when imu = 0 then 'no_accelerometer' end, case when par = 0 then 'no_parameters' end, case when gaps > 0 then 'link_gaps' end,
+        case when gaps / 4 >= 5 then 'dropped_frames' end, case when systems > 1 then 'other_vehicles' end, case when kind not in (2, 3, 4, 13, 14, 15, 29) then 'no_multirotor' end], lambda x: x is not null), ',') as notes from m""")
 def telemetry_notes(t: Tables) -> DataFrame:
-    rows = t.signals.groupBy("user_id").agg((1 / F.median("dt")).alias("rate"), F.count_if(F.col("dt") > 10800).alias("gaps"), F.bool_or(F.col("channel") == "purchase").alias("rates"), F.countDistinct("channel").alias("systems"))
-    notes = diagnosis.telemetry_notes(F.col("rates"), F.col("rate"), F.col("gaps"), F.col("gaps") / 4, F.col("systems"))
-    return rows.select("user_id", F.array_join(notes, ",").alias("notes"))
+    of = lambda channel: F.count_if(F.col("channel") == channel)
+    facts = {"rate": 3600 / F.median("dt"), "gaps": F.count_if(F.col("dt") > 10800), "att": of("click"), "tgt": of("view"), "imu": of("purchase"), "par": of("signup"), "clocked": F.bool_or(F.col("channel") == "error"), "systems": F.countDistinct("channel")}
+    rows = t.signals.groupBy("user_id").agg(*(c.alias(n) for n, c in facts.items()))
+    c = {n: F.col(n) for n in facts}
+    notes = diagnosis.telemetry_notes(c["clocked"], c["att"], c["tgt"], c["rate"], c["imu"], c["rate"], c["imu"], c["par"], c["gaps"], c["gaps"] / 4, c["systems"], F.col("user_id") % 16)
+    return rows.select("user_id", diagnosis.telemetry_penalty(c["tgt"]).alias("penalty"), F.array_join(notes, ",").alias("notes"))
 
 
 @query("""with p as (select l_suppkey, l_linenumber, max(l_quantity) as top, count(*) as n from lineitem group by 1, 2) select l_suppkey, l_linenumber, n, round(top, 4) as top from p where top > 49""")

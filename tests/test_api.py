@@ -11,8 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from aerolake import api
-from aerolake.operators import catalog, ingest, responses, tables, vibration
-from aerolake.sources import blackbox, files, flightlog
+from aerolake.operators import catalog, ingest, models, responses, tables, vibration
+from aerolake.sources import blackbox, files, flightlog, rules
 from tests.test_flightlogs import dataflash, telemetry
 from tests.test_library import second_order
 from tests.test_sources import segment
@@ -204,3 +204,38 @@ def test_listing_is_guarded(spark):
     got = catalog.listing(rows, category="MISC").first()
     assert (got["name"], got["enum_count"], got["range"], got["summary"]) == ("LOG", 1, None, None)
     assert "enum" in catalog.full(rows).where("name = 'LOG'").first()["definition"]
+
+
+def test_user_layers_over_the_rules(spark, tmp_path):
+    low, high = tmp_path / "common", tmp_path / "own"
+    low.mkdir(), high.mkdir()
+    (low / "a.json").write_text('{"thresholds": {"roll": {"overshoot_percent": {"max": 40}}}, "tuning_rules": {"not": "a list"}}')
+    (low / "broken.json").write_text("{")
+    (high / "b.json").write_text('{"thresholds": {"roll": {"overshoot_percent": {"max": 60}}}, "tuning_rules": [{"symptom": "overshoot", "gain": "p", "factor": 0.8}, {"symptom": "unheard", "gain": "p", "factor": 2}], "pid_bounds": {"ardupilot": {"p": [0.02, 0.3]}}}')
+    found = rules.load([str(low), str(high)])
+    assert found.limits["roll"][1] == (0, 60, 5) and found.limits["pitch"] == responses.LIMITS["pitch"] and found.rules == [("overshoot", "overshoot_percent", "p", 0.8)]
+    assert found.bounds["ardupilot"]["p"] == (0.02, 0.3) and found.bounds["ardupilot"]["i"] == responses.BOUNDS["ardupilot"]["i"] and len(found.skipped) == 1
+    (high / "c.json").write_text('{"thresholds": {"overshoot_percent": {"roll": 3}}}')
+    assert not rules.by_axis({"overshoot_percent": {"roll": 3}}) and rules.load([str(high)]).limits["roll"][1] == (0, 60, 5)
+    log = flight(spark, 250.0, zeta=0.3)
+    gains = spark.createDataFrame([("a", "roll", "p", 0.2)], "flight_id string, axis string, gain string, current double")
+    own, default = (api.pid(api.Flights("ardupilot", pid=log), gains, rules=r).first() for r in (found, None))
+    assert default["score"] < own["score"]
+
+
+def test_a_calibration_keeps_its_bounds(spark):
+    rng = np.random.default_rng(5)
+    b = rng.normal(size=(400, 3)) * 300
+    raw = b / np.array([0.1, 1.0, 1.0]) - np.array([50.0, -20.0, 10.0])  # a diagonal term far under its bound
+    rows = spark.createDataFrame(pd.DataFrame({"k": 1, "rx": raw[:, 0], "ry": raw[:, 1], "rz": raw[:, 2], "bx": b[:, 0], "by": b[:, 1], "bz": b[:, 2], "th": 0.0}))
+    fit = models.calibrate(models.field_gram(rows, ["k"], ("rx", "ry", "rz"), ("bx", "by", "bz"), "th"), ["k"]).first()
+    assert not fit["in_bounds"] and abs(fit["diagonal"][0] - 0.3) < 1e-9 and abs(fit["diagonal"][1] - 1) < 0.05 and max(map(abs, fit["offset"])) <= 2000
+    best = minimum(raw, b)
+    assert fit["rmse"] <= best * 1.02
+
+
+def minimum(raw, b):
+    """Root of the mean square of the residuals of the best offset for a diagonal (0.3, 1, 1)."""
+    m = np.diag([0.3, 1.0, 1.0])
+    left = b - raw @ m
+    return float(np.sqrt(((left - left.mean(axis=0)) ** 2).sum() / left.size))

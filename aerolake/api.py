@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,14 +70,36 @@ def with_gaps(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
     return samples.withColumn("dt", F.col("t") - F.lag("t").over(series.along(keys, "t", "idx")))
 
 
-def quality(flights: Flights) -> DataFrame:
-    """flight_id, axis, n, duration, rate_hz, jitter_pct, drop_rate, rating."""
+#: Points that a quality score loses; fixed values.
+PENALTY = {"required": 20, "optional": 5, "very_short": 30, "short": 10, "no_steps": 25, "few_steps": 8, "drops": 8, "jitter": 5}
+
+
+def quality(flights: Flights, spacing: int = 50) -> DataFrame:
+    """flight_id, duration, n_steps, fewest_steps (of an axis), rate_hz, jitter_pct, drop_rate (of the first axis), missing (tables), issues (codes), score, rating."""
     rows = with_gaps(flights.pid, KEYS)
-    clock = series.rate_consistency(rows, KEYS).withColumn("rate_hz", 1 / F.col("median_dt"))
-    whole = rows.groupBy(*KEYS).agg(F.count("*").alias("n"), (F.max("t") - F.min("t")).alias("duration"))
-    penalty = F.when(F.col("duration") < 30, 30).when(F.col("duration") < 120, 10).otherwise(0) + F.when(F.col("drop_rate") > 0.05, 8).otherwise(0) + F.when(F.col("jitter_pct") > 20, 5).otherwise(0)
-    out = whole.join(clock.drop("n_dt", "drops", "median_dt"), KEYS, "left").withColumn("score", (100 - penalty).cast("double"))
-    return out.withColumn("rating", bands.level_from(F.col("score"), bands.RATINGS))
+    axes = rows.groupBy(*KEYS).agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    steps = series.keep_spaced(series.step_candidates(rows.withColumn("value", F.col("desired")), KEYS), KEYS, spacing).groupBy(*KEYS).agg(F.count("*").alias("steps"))
+    clock = series.rate_consistency(rows.where("dt < 1"), KEYS).withColumn("rate_hz", 1 / F.col("median_dt"))
+    order = F.when(F.col("axis") == "roll", 0).when(F.col("axis") == "pitch", 1).otherwise(2)
+    first = lambda c: F.min_by(c, order)
+    whole = axes.join(steps, KEYS, "left").join(clock, KEYS, "left").groupBy("flight_id").agg(
+        (F.max("last") - F.min("first")).alias("duration"), F.sum(F.coalesce("steps", F.lit(0))).alias("n_steps"), F.min(F.coalesce("steps", F.lit(0))).alias("fewest_steps"), *(first(c).alias(c) for c in ("rate_hz", "jitter_pct", "drop_rate")),
+    )
+    parts = {"imu": "required", "mag": "optional", "motors": "optional", "battery": "optional"}
+    for name in parts:
+        table = getattr(flights, name)
+        known = whole.select("flight_id").limit(0) if table is None else table.select("flight_id").distinct()
+        whole = whole.join(known.withColumn(f"_{name}", F.lit(True)), "flight_id", "left")
+    gone = {name: F.col(f"_{name}").isNull() for name in parts}
+    found = [
+        *((gone[name], f"{name}_missing", PENALTY[kind]) for name, kind in parts.items()),
+        (F.col("duration") < 30, "very_short", PENALTY["very_short"]), (F.col("duration").between(30, 120) & (F.col("duration") < 120), "short", PENALTY["short"]), (F.col("duration").between(120, 300) & (F.col("duration") < 300), "adequate", 0),
+        (F.col("n_steps") < 3, "no_steps", PENALTY["no_steps"]), ((F.col("n_steps") >= 3) & (F.col("fewest_steps") < 3), "few_steps", PENALTY["few_steps"]),
+        (F.col("drop_rate") > 0.05, "drops", PENALTY["drops"]), (F.col("jitter_pct") > 20, "jitter", PENALTY["jitter"]),
+    ]
+    lost = sum((F.when(holds, points).otherwise(0) for holds, _, points in found), F.lit(0))
+    out = whole.withColumns({"issues": diagnosis.codes(*((holds, code) for holds, code, _ in found)), "score": F.greatest(F.lit(0), F.least(F.lit(100), 100 - lost)).cast("double")})
+    return out.drop(*(f"_{name}" for name in parts)).withColumn("rating", bands.level_from(F.col("score"), bands.RATINGS))
 
 
 def rates(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -180,10 +203,26 @@ def magfit(flights: Flights) -> DataFrame:
 
 
 def hardware(flights: Flights) -> DataFrame:
-    """flight_id, devices: the packed device ids among a flight's parameters, decoded."""
+    """flight_id; devices (the packed ids among the parameters, decoded); imus and compasses in use with their offsets; gains by axis; the filter chain as text; voltage and current."""
     ids = flights.params.where(F.col("name").rlike("_ID[0-9]*$|DEV_ID") & (F.col("value") > 0)).withColumn("id", F.col("value").cast("long"))
     decoded = ids.select("flight_id", "name", *(c.alias(n) for n, c in attitude.decode_device(F.col("id")).items()))
-    return decoded.groupBy("flight_id").agg(F.array_sort(F.collect_list(F.struct(*(c for c in decoded.columns if c != "flight_id")))).alias("devices"))
+    devices = decoded.groupBy("flight_id").agg(F.array_sort(F.collect_list(F.struct(*(c for c in decoded.columns if c != "flight_id")))).alias("devices"))
+    last = flights.params.groupBy("flight_id", "name").agg(F.max("value").alias("value"))
+    named = last.groupBy("flight_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("p"))
+    get = lambda name: F.coalesce(F.try_element_at("p", F.lit(name)), F.lit(0.0))
+    used = lambda each, *ids: F.filter(F.array(*each), lambda x: reduce(lambda a, b: a | b, (x[i] > 0 for i in ids)))
+    three = lambda name: F.array(*(get(f"{name}_{a}") for a in "XYZ"))
+    tail = lambda k: "" if k == 0 else str(k + 1)
+    imus = [F.struct(F.lit(k).alias("index"), get(f"INS_GYR{tail(k)}_ID").alias("gyro_id"), get(f"INS_ACC{tail(k)}_ID").alias("accel_id"), three(f"INS_GYR{tail(k)}OFFS").alias("gyro_offset"), three(f"INS_ACC{tail(k)}OFFS").alias("accel_offset")) for k in range(5)]
+    compasses = [F.struct(F.lit(k).alias("index"), get(f"COMPASS_DEV_ID{tail(k)}").alias("dev_id"), three(f"COMPASS_OFS{tail(k)}").alias("offset"), three(f"COMPASS_DIA{tail(k)}").alias("diagonal"), get(f"COMPASS_USE{tail(k)}").alias("use")) for k in range(3)]
+    gains = [F.struct(F.lit(axis).alias("axis"), *(get(f"pid.{axis}.{g}").alias(g) for g in ("p", "i", "d", "ff"))) for axis in ("roll", "pitch", "yaw")]
+    report = named.select("flight_id", used(imus, "gyro_id", "accel_id").alias("imus"), used(compasses, "dev_id").alias("compasses"), F.array(*gains).alias("gains"))
+    wide = diagnosis.filter_chain(diagnosis.parameters_wide(flights.params, ["flight_id"], diagnosis.FILTER_PARAMS[flights.platform]), flights.platform)
+    report = report.join(wide.select("flight_id", diagnosis.chain_text(F.col("cutoff"), F.col("notches")).alias("filters")), "flight_id").join(devices, "flight_id", "left")
+    if flights.battery is None:
+        return report
+    power = flights.battery.groupBy("flight_id").agg(F.min("volt").alias("volt_min"), F.max("volt").alias("volt_max"), F.avg("volt").alias("volt_mean"), F.max("curr").alias("curr_max"))
+    return report.join(power, "flight_id", "left")
 
 
 def validated(recommendations: DataFrame, definitions: DataFrame, name: str = "param", value: str = "suggested") -> DataFrame:

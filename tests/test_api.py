@@ -239,3 +239,14 @@ def minimum(raw, b):
     m = np.diag([0.3, 1.0, 1.0])
     left = b - raw @ m
     return float(np.sqrt(((left - left.mean(axis=0)) ** 2).sum() / left.size))
+
+
+def test_quality_and_hardware_of_a_flight(spark):
+    log, imu = flight(spark, 250.0, axes=("roll", "pitch")), imu_of(spark, {"gx": 80.0})
+    params = spark.createDataFrame([("a", "INS_GYR_ID", 2752259.0), ("a", "INS_GYROFFS_X", 0.01), ("a", "COMPASS_DEV_ID", 97539.0), ("a", "COMPASS_OFS_Y", 12.0), ("a", "ATC_RAT_RLL_P", 0.135), ("a", "INS_GYRO_FILTER", 40.0)], "flight_id string, name string, value double")
+    flights = api.Flights("ardupilot", pid=log, imu=imu, params=tables.mirrored(params, "ardupilot"))
+    row = api.quality(flights).first()
+    assert row["issues"] == ["mag_missing", "motors_missing", "battery_missing", "very_short"] and row["score"] == 55 and row["rating"] == "MARGINAL" and row["n_steps"] == 8 and round(row["rate_hz"]) == 250
+    report = api.hardware(flights).first()
+    assert [i["gyro_id"] for i in report["imus"]] == [2752259.0] and [c["offset"] for c in report["compasses"]] == [[0.0, 12.0, 0.0]]
+    assert report["gains"][0]["p"] == 0.135 and report["filters"] == ["low-pass 40 Hz"] and len(report["devices"]) == 2

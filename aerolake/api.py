@@ -133,9 +133,16 @@ def pid(flights: Flights, gains: DataFrame | None = None, most: int = 20, rules:
 
 
 def step_response(flights: Flights, rate_hz: float) -> DataFrame:
-    """flight_id, axis, lag, response, windows, lag_s by Wiener deconvolution."""
+    """flight_id, axis, lag, response, windows, lag_s by Wiener deconvolution; steady_state, its mean from 0.2 s on, and steady_ok, whether that is within 0.5 and 3."""
     gates = {"lowest": 20.0, "highest": 500.0} if flights.platform == "betaflight" else {}
-    return spectral.wiener_step(flights.pid, KEYS, rate_hz, **gates)
+    found = spectral.wiener_step(flights.pid, KEYS, rate_hz, **gates)
+    steady = F.avg(F.when(F.col("lag_s") >= 0.2, F.col("response"))).over(Window.partitionBy(*KEYS))
+    return found.withColumn("steady_state", steady).withColumn("steady_ok", (F.col("steady_state") > 0.5) & (F.col("steady_state") < 3))
+
+
+def coverage(flights: Flights) -> DataFrame:
+    """flight_id, samples, ranges of the attitude, coverage_ok, quality: whether a flight turned enough for a calibration, without one."""
+    return attitude.flight_coverage(flights.attitude, ["flight_id"])
 
 
 def gyro_spectrum(flights: Flights, rate_hz: float) -> DataFrame:

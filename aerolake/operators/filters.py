@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,9 +30,8 @@ def lowpass(cutoff: Column, rate: Column) -> tuple[tuple[Column, Column, Column]
     return (b0, 2 * b0, b0), (F.lit(1.0), 2 * (w * w - 1) / c, (1 - lean + w * w) / c)
 
 
-def notch(center: Column, bandwidth: Column, attenuation_db: Column, rate: Column) -> tuple[tuple[Column, Column, Column], tuple[Column, Column, Column]]:
-    """Coefficients of a notch of limited depth."""
-    amp = F.pow(F.lit(10.0), -attenuation_db / 40)
+def notch(center: Column, bandwidth: Column, amp: Column, rate: Column) -> tuple[tuple[Column, Column, Column], tuple[Column, Column, Column]]:
+    """Coefficients of a notch whose depth is the square of ``amp``."""
     octaves = 2 * F.log2(center / (center - bandwidth / 2))
     q = F.when(octaves > 0, F.sqrt(F.pow(F.lit(2.0), octaves)) / (F.pow(F.lit(2.0), octaves) - 1)).otherwise(10.0)
     w = 2 * math.pi * center / rate
@@ -44,38 +44,62 @@ def grid(step: float, points: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(points)), lambda k: k * F.lit(step))
 
 
-def spread_notches(center: Column, bandwidth: Column, attenuation: Column, harmonics: Column, count: Column, rate: Column) -> Column:
-    """Array of (at, wide, attenuation): the notches of each harmonic under half the rate. Bit n of ``harmonics`` stands for harmonic n + 1; two or
-    three notches of a harmonic (``count``) are spread to either side of it.
+def spread_notches(center: Column, bandwidth: Column, attenuation: Column, harmonics: Column, count: Column, rate: Column, least: Column | None = None) -> Column:
+    """Array of (at, wide, amp): the notches of each harmonic under half the rate. Bit n of ``harmonics`` stands for harmonic n + 1; two or three notches of
+    a harmonic (``count``) are spread to either side of it. Under ``least`` Hz a notch stays there and fades, and is gone at a quarter of it.
     """
     spread = bandwidth / (32 * center)
+    least = F.lit(0.0) if least is None else least
     places = F.when(count == 3, F.array(F.lit(-1.0), F.lit(0.0), F.lit(1.0))).when(count == 2, F.array(F.lit(-1.0), F.lit(1.0))).otherwise(F.array(F.lit(0.0)))
     chosen = F.filter(F.sequence(F.lit(1), F.lit(16)), lambda h: F.getbit(harmonics.cast("long"), h - 1) == 1)
-    each = F.flatten(F.transform(chosen, lambda h: F.transform(places, lambda p: F.struct((center * h * (1 + p * spread)).alias("at"), (bandwidth * h / count).alias("wide"), attenuation.alias("attenuation")))))
-    return F.filter(each, lambda n: (n["at"] > n["wide"] / 2) & (n["at"] < rate / 2))
+    full = F.pow(F.lit(10.0), -attenuation / 40)
 
+    def of(h: Column, place: Column) -> Column:
+        own, wide = center * h, bandwidth * h / count
+        amp = F.when(own < least, 1 + (full - 1) * (own - 0.25 * least) / (0.75 * least)).otherwise(full)
+        inside = (own > wide / 2) & (own < rate / 2) & (own >= 0.25 * least)
+        return F.when(inside, F.struct((F.greatest(own, least) * (1 + place * spread)).alias("at"), wide.alias("wide"), amp.alias("amp")))
+
+    return F.filter(F.flatten(F.transform(chosen, lambda h: F.transform(places, lambda place: of(h, place)))), lambda n: n.isNotNull())
 
-def chain_curve(freqs: Column, rate: Column, cutoff: Column | None, notches: Column | None) -> Column:
-    """Array of (freq, magnitude_db, phase_deg) of a low-pass (none where the cutoff is null) and all notches of a row together. Their complex product
-    is a sum of logarithms and of phases, taken inside the row: nothing is exploded or shuffled.
-    """
 
-    def at(freq: Column) -> Column:
-        log_size, phase = F.lit(0.0), F.lit(0.0)
-        if cutoff is not None:
-            low_size, low_phase = biquad_gain(*lowpass(cutoff, rate), freq, rate)
-            log_size, phase = F.coalesce(low_size, log_size), F.coalesce(low_phase, phase)
-        if notches is not None:
+def held(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once a row however often, or in whatever loop, ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
 
-            def add(sums: Column, n: Column) -> Column:
-                size, turn = biquad_gain(*notch(n["at"], n["wide"], n["attenuation"], rate), freq, rate)
-                return F.struct((sums["g"] + size).alias("g"), (sums["p"] + turn).alias("p"))
 
-            sums = F.aggregate(notches, F.struct(F.lit(0.0).alias("g"), F.lit(0.0).alias("p")), add)
-            log_size, phase = log_size + sums["g"], phase + sums["p"]
-        return F.struct(freq.alias("freq"), (20 / math.log(10) * F.greatest(log_size, F.lit(math.log(1e-12)))).alias("magnitude_db"), F.degrees(phase).alias("phase_deg"))
+def section(b: tuple[Column, Column, Column], a: tuple[Column, Column, Column]) -> Column:
+    return F.struct(*(c.cast("double").alias(n) for n, c in zip(("b0", "b1", "b2", "a0", "a1", "a2"), (*b, *a), strict=True)))
 
-    return F.transform(freqs, at)
+
+def chain_curve(freqs: Column, rate: Column, cutoff: Column | None, notches: Column | None) -> Column:
+    """Array of (freq, magnitude_db, phase_deg) of a low-pass (none where the cutoff is null) and all notches of a row together. Their complex product
+    is a sum of logarithms and of phases, taken inside the row: nothing is exploded or shuffled, and coefficients are found once.
+    """
+    sections = []
+    if cutoff is not None:
+        sections.append(F.filter(F.array(F.when(cutoff.isNotNull(), section(*lowpass(cutoff, rate)))), lambda x: x.isNotNull()))
+    if notches is not None:
+        sections.append(F.transform(notches, lambda n: section(*notch(n["at"], n["wide"], n["amp"], rate))))
+
+    def point(freq: Column, own: Column) -> Column:
+        w = 2 * math.pi * freq / rate
+
+        def product(t: Column) -> Column:
+            def add(sums: Column, x: Column) -> Column:
+                real = lambda k: x[f"{k}0"] + x[f"{k}1"] * t["c1"] + x[f"{k}2"] * t["c2"]
+                imag = lambda k: -(x[f"{k}1"] * t["s1"] + x[f"{k}2"] * t["s2"])
+                size = lambda k: 0.5 * F.log(F.greatest(real(k) * real(k) + imag(k) * imag(k), F.lit(1e-300)))
+                turn = F.atan2(imag("b"), real("b")) - F.atan2(imag("a"), real("a"))
+                return F.struct((sums["g"] + size("b") - size("a")).alias("g"), (sums["p"] + turn).alias("p"))
+
+            return F.aggregate(own, F.struct(F.lit(0.0).alias("g"), F.lit(0.0).alias("p")), add)
+
+        turns = F.struct(F.cos(w).alias("c1"), F.cos(2 * w).alias("c2"), F.sin(w).alias("s1"), F.sin(2 * w).alias("s2"))
+        sums = lambda x: F.struct(freq.alias("freq"), (20 / math.log(10) * F.greatest(x["g"], F.lit(math.log(1e-12)))).alias("magnitude_db"), F.degrees(x["p"]).alias("phase_deg"))
+        return held(held(turns, product), sums)
+
+    return held(F.concat(*sections), lambda own: F.transform(freqs, lambda freq: point(freq, own)))
 
 
 def unwrapped(curve: Column) -> Column:

@@ -24,9 +24,8 @@ def sample_rate(samples: DataFrame, keys: Keys, dt: str = "dt", shortest: float
 
 def rate_consistency(samples: DataFrame, keys: Keys, dt: str = "dt", late: float = 1.5) -> DataFrame:
     """median_dt, jitter_pct (population deviation over the median), drops (gaps over ``late`` medians) and their rate."""
-    gaps = samples.where(F.col(dt) > 0)
-    middle = gaps.groupBy(*keys).agg(F.median(dt).alias("median_dt"), F.stddev_pop(dt).alias("spread"))
-    counted = gaps.join(middle, list(keys)).groupBy(*keys, "median_dt", "spread").agg(F.count("*").alias("n_dt"), F.count_if(F.col(dt) > late * F.col("median_dt")).alias("drops"))
+    gaps = samples.where(F.col(dt) > 0).withColumn("_m", F.median(dt).over(Window.partitionBy(*keys)))
+    counted = gaps.groupBy(*keys).agg(F.count("*").alias("n_dt"), F.first("_m").alias("median_dt"), F.stddev_pop(dt).alias("spread"), F.count_if(F.col(dt) > late * F.col("_m")).alias("drops"))
     return counted.select(*keys, "n_dt", "median_dt", (100 * F.col("spread") / F.col("median_dt")).alias("jitter_pct"), "drops", (F.col("drops") / F.col("n_dt")).alias("drop_rate"))
 
 

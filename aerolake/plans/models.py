@@ -155,8 +155,10 @@ def key_frequencies(t: Tables) -> DataFrame:
 @query("""with f as (select p_partkey, 40.0::double + p_size as center, 10.0::double + p_size / 2.0::double as bandwidth, 30.0::double as attenuation, 1 + p_partkey % 7 as harmonics, 1 + p_partkey % 3 as notches, 1000.0::double as rate from part),
     h as (select *, unnest(range(1, 17)) as h from f),
     s as (select *, unnest(case notches when 3 then [-1.0, 0.0, 1.0] when 2 then [-1.0, 1.0] else [0.0] end)::double as place from h where (harmonics >> (h - 1)::bigint) & 1 = 1),
-    n as (select *, center * h * (1 + place * bandwidth / (32 * center)) as at_hz, bandwidth * h / notches as wide from s),
-    q as (select *, pow(10, -attenuation / 40) as amp, 2 * log2(at_hz / (at_hz - wide / 2)) as oct, 2 * pi() * at_hz / rate as w from n where at_hz > wide / 2 and at_hz < rate / 2),
+    n as (select *, center * h as own, greatest(center * h, 70) * (1 + place * bandwidth / (32 * center)) as at_hz, bandwidth * h / notches as wide from s),
+    q as (
+        select *, case when own < 70 then 1 + (pow(10, -attenuation / 40) - 1) * (own - 17.5) / 52.5 else pow(10, -attenuation / 40) end as amp, 2 * log2(at_hz / (at_hz - wide / 2)) as oct, 2 * pi() * at_hz / rate as w
+        from n where own > wide / 2 and own < rate / 2 and own >= 17.5),
     a as (select *, sin(w) / (2 * case when oct > 0 then sqrt(pow(2, oct)) / (pow(2, oct) - 1) else 10 end) as alpha from q),
     g as (select *, unnest(range(1, 41)) * 5.0::double as freq from a),
     z as (
@@ -166,7 +168,7 @@ def key_frequencies(t: Tables) -> DataFrame:
     select p_partkey, freq, round(sum(10 * log10(greatest(br * br + bi * bi, 1e-300) / greatest(ar * ar + ai * ai, 1e-300))), 4) as magnitude_db, round(degrees(sum(atan2(bi, br) - atan2(ai, ar))), 4) as phase_deg from r group by p_partkey, freq""")
 def harmonic_notch_bode(t: Tables) -> DataFrame:
     key = F.col("p_partkey")
-    notches = filters.spread_notches(40.0 + F.col("p_size"), 10.0 + F.col("p_size") / 2.0, F.lit(30.0), 1 + key % 7, 1 + key % 3, F.lit(1000.0))
+    notches = filters.spread_notches(40.0 + F.col("p_size"), 10.0 + F.col("p_size") / 2.0, F.lit(30.0), 1 + key % 7, 1 + key % 3, F.lit(1000.0), F.lit(70.0))
     rows = t.part.select("p_partkey", notches.alias("notches")).where(F.size("notches") > 0)
     rows = rows.select("p_partkey", F.inline(filters.chain_curve(filters.grid(STEP, POINTS), F.lit(1000.0), None, F.col("notches"))))
     return rows.select("p_partkey", "freq", F.round("magnitude_db", 4).alias("magnitude_db"), F.round("phase_deg", 4).alias("phase_deg"))

@@ -61,14 +61,21 @@ PENALTY = {"required": 20, "optional": 5, "very_short": 30, "short": 10, "no_ste
 def score_quality(signals: DataFrame, required: list[str], optional: list[str], first: str, shortest: float = 30.0, short: float = 120.0) -> DataFrame:
     """user_id, duration, n_steps, score, rating: 100 less penalties for missing series, short logs, few steps, an uneven clock."""
     has = lambda c: F.bool_or(F.col("channel") == c)
-    base = signals.groupBy("user_id").agg(((F.max("us") - F.min("us")) / 1e6).alias("duration"), sum((F.when(has(c), 0).otherwise(n) for cs, n in ((required, PENALTY["required"]), (optional, PENALTY["optional"])) for c in cs), F.lit(0)).alias("missing"))
-    w = Window.partitionBy("user_id", "channel").orderBy("idx")
-    by_channel = signals.where(F.col("channel").isin(required)).withColumns({"pos": F.row_number().over(w).cast("long") - 1, "gap": (F.col("us") - F.lag("us").over(w)) / 1e6})
     keys = ["user_id", "channel"]
-    found = series.keep_spaced(series.step_candidates(by_channel, keys, idx="pos", share=SHARE), keys, SPACING).groupBy(*keys).agg(F.count("*").alias("steps"))
-    steps = by_channel.select(*keys).distinct().join(found, keys, "left").groupBy("user_id").agg(F.sum(F.coalesce("steps", F.lit(0))).alias("n_steps"), F.min(F.coalesce("steps", F.lit(0))).alias("fewest"))
-    clock = series.rate_consistency(by_channel.where(F.col("channel") == first), ["user_id"], dt="gap").select("user_id", "jitter_pct", "drop_rate")
-    rows = base.join(steps, "user_id", "left").join(clock, "user_id", "left").withColumn("n_steps", F.coalesce("n_steps", F.lit(0)).cast("long"))
+    w = Window.partitionBy(*keys).orderBy("idx")
+    gap = (F.col("us") - F.lag("us").over(w)) / 1e6
+    by_channel = signals.withColumns({"pos": F.row_number().over(w).cast("long") - 1, "gap": gap})
+    # One pass for all but the steps: windows and the aggregate keep the signals' partitions.
+    late = F.when((F.col("channel") == first) & (F.col("gap") > 0), F.col("gap"))
+    timed = by_channel.withColumn("late", late).withColumn("middle", F.median("late").over(Window.partitionBy("user_id")))
+    facts = timed.groupBy("user_id").agg(
+        ((F.max("us") - F.min("us")) / 1e6).alias("duration"), sum((F.when(has(c), 0).otherwise(n) for cs, n in ((required, PENALTY["required"]), (optional, PENALTY["optional"])) for c in cs), F.lit(0)).alias("missing"),
+        sum((has(c).cast("int") for c in required), F.lit(0)).alias("present"), (100 * F.stddev_pop("late") / F.first("middle")).alias("jitter_pct"), (F.count_if(F.col("late") > 1.5 * F.col("middle")) / F.nullif(F.count("late"), F.lit(0))).alias("drop_rate"),
+    )
+    found = series.keep_spaced(series.step_candidates(by_channel.where(F.col("channel").isin(required)), keys, idx="pos", share=SHARE), keys, SPACING).groupBy(*keys).agg(F.count("*").alias("steps"))
+    steps = found.groupBy("user_id").agg(F.sum("steps").alias("n_steps"), F.min("steps").alias("least"), F.count("*").alias("stepped"))
+    rows = facts.join(steps, "user_id", "left").withColumn("n_steps", F.coalesce("n_steps", F.lit(0)).cast("long"))
+    rows = rows.withColumn("fewest", F.when(F.col("stepped") == F.col("present"), F.col("least")).when(F.col("present") > 0, 0))
     penalty = (
         F.col("missing")
         + F.when(F.col("duration") < shortest, PENALTY["very_short"]).when(F.col("duration") < short, PENALTY["short"]).otherwise(0)

@@ -232,6 +232,40 @@ def hardware(flights: Flights) -> DataFrame:
     return report.join(power, "flight_id", "left")
 
 
+def feed_forward(flights: Flights) -> DataFrame:
+    """flight_id, axis, steps, overshoots, tracking_rms, ff_percent, overshoot_detected, factor, assessment of Betaflight logs."""
+    parts = {c: F.abs(F.coalesce(c, F.lit(0.0))) for c in ("p", "i", "d", "ff")}
+    total = sum(parts.values(), F.lit(0.0))
+    rows = flights.pid.withColumn("ff_share", F.when(total > 1e-6, 100 * parts["ff"] / total))
+    return diagnosis.feed_forward(rows, KEYS, "desired", "actual", "ff_share")
+
+
+def rpm_filter(flights: Flights, rate_hz: float) -> DataFrame:
+    """flight_id, rpm_filter (in use), above_floor (the largest motor peak), residual, assessment, lowpass (a cutoff to try, null: keep)."""
+    bins = gyro_spectrum(flights, rate_hz)
+    floor = spectral.noise_floor(bins, ["flight_id"]).select("flight_id", "floor")
+    peaks = spectral.local_peaks(bins, ["flight_id"], 10.0, 80.0, 400.0, 5).join(floor, "flight_id").groupBy("flight_id").agg(F.max(F.col("magnitude") - F.col("floor")).alias("above_floor"))
+    wide = diagnosis.parameters_wide(flights.params, ["flight_id"], {"rpm_filter": 0, "dshot_bidir": 0, "gyro_lowpass_hz": 200})
+    used = wide.select("flight_id", ((F.col("rpm_filter") > 0) & (F.col("dshot_bidir") > 0)).alias("rpm_filter"), F.col("gyro_lowpass_hz").alias("current"))
+    rows = used.join(floor, "flight_id").drop("floor").join(peaks, "flight_id", "left")
+    above, on = F.col("above_floor"), F.col("rpm_filter")
+    return rows.select("flight_id", "rpm_filter", "above_floor", diagnosis.motor_noise(above, on).alias("assessment"), diagnosis.gyro_lowpass(above, on, F.col("current")).alias("lowpass"))
+
+
+def d_term(flights: Flights, rate_hz: float) -> DataFrame:
+    """flight_id, axis, d_to_p (of their RMS), high_share (of the D term's energy, from an eighth of the rate on), d_min_active_percent, assessment, factor."""
+    rms = lambda c: F.sqrt(F.avg(F.col(c) * F.col(c)))
+    ratio = flights.pid.groupBy(*KEYS).agg((rms("d") / F.nullif(rms("p"), F.lit(0.0))).alias("d_to_p"))
+    middle = flights.pid.withColumn("_m", F.median(F.abs("d")).over(Window.partitionBy(*KEYS)))
+    active = middle.groupBy(*KEYS).agg((100 * F.count_if(F.abs("d") < 0.6 * F.col("_m")) / F.count("*")).alias("d_min_active_percent"))
+    size = spectral.window_size(rate_hz, 1 << 30)
+    bins = spectral.averaged_spectrum(flights.pid, KEYS, size, 0.5, rate_hz, value="d")
+    power = F.col("magnitude") * F.col("magnitude")
+    high = bins.groupBy(*KEYS).agg((F.sum(F.when(F.col("freq") >= rate_hz / 8, power)) / F.nullif(F.sum(power), F.lit(0.0))).alias("high_share"))
+    level, factor = diagnosis.d_term(F.col("d_to_p"), F.coalesce("high_share", F.lit(0.0)))
+    return ratio.join(active, KEYS).join(high, KEYS, "left").withColumns({"assessment": level, "factor": factor})
+
+
 def validated(recommendations: DataFrame, definitions: DataFrame, name: str = "param", value: str = "suggested") -> DataFrame:
     """Recommendations with the catalog's verdict on what they suggest; nothing unknown passes."""
     entries = recommendations.withColumns({"entry": F.col(name), "value": F.col(value)})
@@ -288,6 +322,9 @@ def analyze(flights: Flights, rate_hz: float, modules: Sequence[str] | None = No
     if unknown:
         raise ValueError(f"no such modules: {', '.join(sorted(unknown))}")
     wanted = {m: run[m] for m in CAPABILITIES[flights.platform] if (modules is None or m in modules) and needs[m] is not None}
+    if flights.platform == "betaflight" and modules is None:
+        wanted |= {"feed_forward": feed_forward, "d_term": lambda f: d_term(f, rate_hz)} if flights.pid is not None and {"p", "d", "ff"} <= set(flights.pid.columns) else {}
+        wanted |= {"rpm_filter": lambda f: rpm_filter(f, rate_hz)} if flights.imu is not None and flights.params is not None else {}
     wanted |= {n: f for n, f in flights.extra.items() if modules is None or n in modules}
     results, failures = {}, []
     for name, make in wanted.items():

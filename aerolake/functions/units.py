@@ -84,10 +84,12 @@ def active_channels(rows: DataFrame, keys: Sequence[str], channel: str, value: s
     return rows.withColumn("_m", F.max(value).over(Window.partitionBy(*keys, channel))).where(F.col("_m") > above).drop("_m")
 
 
-def throttle_share(rows: DataFrame, keys: Sequence[str], current: str) -> DataFrame:
-    """``throttle``: the absolute current over its largest, 0 for a flight without current."""
-    top = F.max(F.abs(current)).over(Window.partitionBy(*keys))
-    return rows.withColumn("throttle", F.coalesce(F.try_divide(F.abs(current), top), F.lit(0.0)))
+def throttle_share(rows: DataFrame, keys: Sequence[str], current: str, sticks: Sequence[str] = ()) -> DataFrame:
+    """``throttle``: the absolute current over its largest; of a flight without current the summed absolute stick inputs over their largest; without either 0."""
+    whole = Window.partitionBy(*keys)
+    share = lambda x: F.try_divide(x, F.nullif(F.max(x).over(whole), F.lit(0.0)))
+    moved = sum((F.coalesce(F.abs(s), F.lit(0.0)) for s in sticks), F.lit(0.0))
+    return rows.withColumn("throttle", F.coalesce(share(F.abs(current)), share(moved), F.lit(0.0)))
 
 
 def change_percent(old: Column, new: Column) -> Column:

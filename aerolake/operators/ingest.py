@@ -56,9 +56,13 @@ def telemetry_messages(messages: DataFrame) -> DataFrame:
 
 
 def telemetry_imu(messages: DataFrame) -> DataFrame:
-    """imu_samples from RAW_IMU: milli-g to m/s2, milliradians to degrees per second."""
-    rows = telemetry_messages(messages).where("mtype = 'RAW_IMU'")
-    return rows.select(flight(), "idx", "t", *(units.rate_from_mrad(value(f"{c}gyro")).alias(f"g{c}") for c in "xyz"), *(units.acceleration_from_mg(value(f"{c}acc")).alias(f"a{c}") for c in "xyz"))
+    """imu_samples from RAW_IMU, else SCALED_IMU, else the body rates of ATTITUDE alone: milli-g to m/s2, milliradians (there radians) to degrees per second."""
+    rank = F.when(F.col("mtype") == "RAW_IMU", 0).when(F.col("mtype") == "SCALED_IMU", 1).otherwise(2)
+    rows = telemetry_messages(messages).where("mtype in ('RAW_IMU', 'SCALED_IMU', 'ATTITUDE')").withColumn("_rank", rank)
+    rows = series.by_priority(rows, ["path"], F.col("_rank"))
+    body = F.col("mtype") == "ATTITUDE"
+    gyro = {f"g{c}": F.when(body, F.degrees(value(f"{a}speed"))).otherwise(units.rate_from_mrad(value(f"{c}gyro"))) for c, a in (("x", "roll"), ("y", "pitch"), ("z", "yaw"))}
+    return rows.select(flight(), "idx", "t", *(c.alias(n) for n, c in gyro.items()), *(units.acceleration_from_mg(value(f"{c}acc")).alias(f"a{c}") for c in "xyz"))
 
 
 def telemetry_battery(messages: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from aerolake.operators import align, attitude, ingest, series
 from aerolake.operators.ingest import flight, seconds, value
 
 #: Flight modes of copters by number, by their generic names; fixed values.
-COPTER_MODES = {0: "stabilize", 1: "acro", 2: "althold", 3: "auto", 4: "guided", 5: "loiter", 6: "rtl", 7: "circle", 9: "land", 11: "drift", 13: "sport", 14: "flip", 15: "autotune", 16: "poshold", 17: "brake", 18: "throw"}
+COPTER_MODES = {0: "stabilize", 1: "acro", 2: "althold", 3: "auto", 4: "guided", 5: "loiter", 6: "rtl", 7: "circle", 9: "land", 11: "drift", 13: "sport", 14: "flip", 15: "autotune", 16: "poshold", 17: "brake", 18: "throw", 20: "guided_nogps", 21: "smart_rtl", 23: "follow"}
 #: Types of vehicles whose mode numbers are those of copters; fixed values.
 COPTER_TYPES = (2, 3, 4, 13, 14, 15, 29)
 #: Generic names of gains and filters by their native ones; fixed values.

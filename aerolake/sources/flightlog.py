@@ -30,14 +30,20 @@ ULOG_KINDS = {"int8_t": "b", "uint8_t": "B", "int16_t": "h", "uint16_t": "H", "i
 TELEMETRY = {
     0: ("HEARTBEAT", "IBBBBB", "custom_mode type autopilot base_mode system_status mavlink_version"),
     1: ("SYS_STATUS", "IIIHHhHHHHHHb", "present enabled health load voltage_battery current_battery drop_rate_comm errors_comm errors_count1 errors_count2 errors_count3 errors_count4 battery_remaining"),
+    2: ("SYSTEM_TIME", "QI", "time_unix_usec time_boot_ms"),
     22: ("PARAM_VALUE", "fHH16sB", "param_value param_count param_index param_id param_type"),
     24: ("GPS_RAW_INT", "QiiiHHHHBB", "time_usec lat lon alt eph epv vel cog fix_type satellites_visible"),
+    26: ("SCALED_IMU", "Ihhhhhhhhh", "time_boot_ms xacc yacc zacc xgyro ygyro zgyro xmag ymag zmag"),
     27: ("RAW_IMU", "Qhhhhhhhhh", "time_usec xacc yacc zacc xgyro ygyro zgyro xmag ymag zmag"),
     30: ("ATTITUDE", "Iffffff", "time_boot_ms roll pitch yaw rollspeed pitchspeed yawspeed"),
+    33: ("GLOBAL_POSITION_INT", "IiiiihhhH", "time_boot_ms lat lon alt relative_alt vx vy vz hdg"),
     36: ("SERVO_OUTPUT_RAW", "IHHHHHHHHB", "time_usec servo1_raw servo2_raw servo3_raw servo4_raw servo5_raw servo6_raw servo7_raw servo8_raw port"),
     74: ("VFR_HUD", "ffffhH", "airspeed groundspeed alt climb heading throttle"),
     83: ("ATTITUDE_TARGET", "I4fffffB", "time_boot_ms q1 q2 q3 q4 body_roll_rate body_pitch_rate body_yaw_rate thrust type_mask"),
     116: ("SCALED_IMU2", "Ihhhhhhhhh", "time_boot_ms xacc yacc zacc xgyro ygyro zgyro xmag ymag zmag"),
+    129: ("SCALED_IMU3", "Ihhhhhhhhh", "time_boot_ms xacc yacc zacc xgyro ygyro zgyro xmag ymag zmag"),
+    148: ("AUTOPILOT_VERSION", "QQIIIIHH8s8s8s", "capabilities uid flight_sw_version middleware_sw_version os_sw_version board_version vendor_id product_id flight_custom middleware_custom os_custom"),
+    178: ("AHRS2", "ffffii", "roll pitch yaw altitude lat lng"),
     253: ("STATUSTEXT", "B50s", "severity text"),
 }
 

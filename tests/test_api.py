@@ -250,3 +250,32 @@ def test_quality_and_hardware_of_a_flight(spark):
     report = api.hardware(flights).first()
     assert [i["gyro_id"] for i in report["imus"]] == [2752259.0] and [c["offset"] for c in report["compasses"]] == [[0.0, 12.0, 0.0]]
     assert report["gains"][0]["p"] == 0.135 and report["filters"] == ["low-pass 40 Hz"] and len(report["devices"]) == 2
+
+
+def test_betaflight_flight(spark):
+    """Terms, a motor tone and parameters of five seconds at 1 kHz."""
+    rate, n = 1000.0, 5000
+    rng = np.random.default_rng(3)
+    u = np.repeat([0, 200, 0, 200, 0], n // 5).astype(float)
+    y = second_order(u, rate, omega=60.0, zeta=0.6)
+    rows = [pd.DataFrame({"flight_id": "b", "axis": a, "idx": range(n), "t": np.arange(n) / rate, "desired": u, "actual": y, "p": 45 * (u - y) / 100, "i": 1.0, "d": noise * rng.normal(size=n), "ff": 0.0}) for a, noise in (("roll", 1.0), ("yaw", 80.0))]
+    params = spark.createDataFrame([("b", "gyro_lpf1_static_hz", 150.0), ("b", "gyro_lowpass_hz", 150.0), ("b", "rpm_filter", 0.0)], "flight_id string, name string, value double")
+    flights = api.Flights("betaflight", pid=spark.createDataFrame(pd.concat(rows)), imu=imu_of(spark, {"gx": 150.0, "gy": 150.0, "gz": 150.0}, name="b"), params=params)
+    found = api.analyze(flights, rate)
+    assert not found.failures and {"pid", "fft", "filter", "quality", "hardware", "feed_forward", "d_term", "rpm_filter"} == set(found.results)
+    terms = {r["axis"]: r for r in found.results["d_term"].collect()}
+    assert terms["yaw"]["assessment"] == "POOR" and terms["yaw"]["high_share"] > 0.5 and terms["yaw"]["d_to_p"] > terms["roll"]["d_to_p"]
+    forward = {r["axis"]: r for r in found.results["feed_forward"].collect()}
+    assert forward["roll"]["steps"] == 4 and forward["roll"]["ff_percent"] == 0.0 and forward["roll"]["factor"] == 1.2
+    motor = found.results["rpm_filter"].first()
+    assert not motor["rpm_filter"] and motor["above_floor"] > 20 and motor["assessment"] == "MARGINAL" and abs(motor["lowpass"] - 105) < 1e-9
+    assert found.results["filter"].first()["cutoff_3db_hz"] is not None and any(abs(p["freq"] - 150) < 2 for p in found.results["fft"].first()["peaks"])
+
+
+def test_telemetry_without_raw_sensors(spark):
+    rows = [("HEARTBEAT", 0, None, {"type": 2.0, "custom_mode": 0.0}, None)] + [("ATTITUDE", 0, 1_000_000 + i * 100_000, {"rollspeed": 0.1, "pitchspeed": 0.0, "yawspeed": 0.0, "roll": 0.0, "pitch": 0.0, "yaw": 0.0}, None) for i in range(12)]
+    imu = ingest.telemetry_imu(messages(spark, rows))
+    assert imu.count() == 12 and abs(imu.first()["gx"] - math.degrees(0.1)) < 1e-9 and imu.first()["ax"] is None
+    scaled = [("SCALED_IMU", 0, 1_000_000 + i * 100_000, {"xgyro": 100.0, "ygyro": 0.0, "zgyro": 0.0, "xacc": 0.0, "yacc": 0.0, "zacc": 1000.0}, None) for i in range(5)]
+    both = ingest.telemetry_imu(messages(spark, rows + scaled))
+    assert both.count() == 5 and abs(both.first()["az"] - 9.80665) < 1e-9

@@ -143,7 +143,32 @@ def array_summary(t: Tables) -> DataFrame:
     return rows.select("vec_id", "n", F.round(F.array_min("e"), 6).alias("lowest"), F.round(F.array_max("e"), 6).alias("highest"), F.round("m", 6).alias("mean"), F.round("deviation", 6).alias("deviation"))
 
 
-@query(None)
+@query(f"""with {SIGNALS},
+    xy as (select user_id, idx, value as d, 0.7::double * value + 0.3::double * coalesce(lag(value) over (partition by user_id order by idx), 0) as a from signals),
+    c as (select user_id, count(*) as n, greatest(64, least(128, count(*) // 2)) as size from xy group by user_id),
+    cuts as (select size, greatest(1, 2 * ceil(size / 4)::bigint - 2) as length from (select distinct size from c) x),
+    bell as (select size, j, exp(-0.5::double * ((j - ceil(length / 2)) / (length / 6)) ** 2) as b from (select *, unnest(range(2 * ceil(length / 2)::bigint + 1)) as j from cuts) x),
+    rise as (select size, j, sum(b) over (partition by size order by j) / sum(b) over (partition by size) as r from bell),
+    noise as (
+        select k.size, k.k, 1 / (10 * (1 - coalesce(r, 1) + 1e-9)) as z, case when k.k = 0 or (k.size % 2 = 0 and k.k = k.size // 2) then 1 else 2 end / k.size as scale
+        from (select size, unnest(range(size // 2 + 1)) as k from cuts) k left join rise on rise.size = k.size and rise.j = k.k),
+    win as (select user_id, size, unnest(range(0, n - size + 1, greatest(1, round_even(size / 16, 0)::bigint))) as at_idx from c where n >= size),
+    taken as (
+        select w.user_id, w.at_idx, w.size, x.idx - w.at_idx as i, d, a, 0.5 - 0.5 * cos(2 * pi() * (x.idx - w.at_idx) / (w.size - 1)) as h
+        from win w join xy x on x.user_id = w.user_id and x.idx >= w.at_idx and x.idx < w.at_idx + w.size),
+    gate as (select user_id, at_idx from taken group by 1, 2 having max(abs(d * h)) >= 20 and max(abs(a)) <= 1500 and max(abs(a)) <= 4 * max(abs(d)) + 1e-9 and stddev_pop(d) >= 5),
+    ft as (
+        select t.user_id, t.at_idx, t.size, k, z, sum(d * h * cos(2 * pi() * k * i / t.size)) * scale as xr, -sum(d * h * sin(2 * pi() * k * i / t.size)) * scale as xi,
+            sum(a * h * cos(2 * pi() * k * i / t.size)) * scale as yr, -sum(a * h * sin(2 * pi() * k * i / t.size)) * scale as yi
+        from taken t join gate g on g.user_id = t.user_id and g.at_idx = t.at_idx join noise n on n.size = t.size group by t.user_id, t.at_idx, t.size, k, z, scale),
+    hh as (select user_id, at_idx, size, k, (yr * xr + yi * xi) / (xr * xr + xi * xi + z) as hr, (yi * xr - yr * xi) / (xr * xr + xi * xi + z) as hi from ft),
+    impulse as (
+        select user_id, at_idx, i, sum(case when k = 0 or (size % 2 = 0 and k = size // 2) then hr * cos(2 * pi() * k * i / size) else 2 * (hr * cos(2 * pi() * k * i / size) - hi * sin(2 * pi() * k * i / size)) end) / any_value(size) as v
+        from (select *, unnest(range(50)) as i from hh) x group by 1, 2, 3),
+    resp as (select user_id, at_idx, i, sum(v) over (partition by user_id, at_idx order by i) as r from impulse),
+    good as (select user_id, at_idx from resp group by 1, 2 having max(r) <= 4),
+    mean as (select r.user_id, i, avg(r) as r, count(*) as n from resp r join good g on g.user_id = r.user_id and g.at_idx = r.at_idx group by 1, 2)
+    select c.user_id, l.i / 100 as lag_s, round(m.r, 6) as response, coalesce(m.n, 0)::bigint as windows from c cross join range(50) l(i) left join mean m on m.user_id = c.user_id and m.i = l.i""")
 def wiener_step(t: Tables) -> DataFrame:
     lag = F.coalesce(F.lag("value").over(series.along(["user_id"], "idx")), F.lit(0.0))
     rows = t.signals.withColumns({"desired": F.col("value"), "actual": 0.7 * F.col("value") + 0.3 * lag})

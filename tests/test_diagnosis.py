@@ -14,9 +14,10 @@ def test_notes(spark):
     rows = spark.range(1).select(
         diagnosis.field_notes(a(500.0, 0.0, 0.0), a(1.0, 1.3, 1.0), a(0.0, 0.06, 0.0), a(0.0, 0.0, 31.0), F.lit(False)).alias("bad"),
         diagnosis.field_notes(a(10.0, 0.0, 0.0), a(1.0, 1.05, 1.0), a(0.0, 0.01, 0.0), a(0.0, 0.0, 1.0), F.lit(True)).alias("good"),
-        diagnosis.telemetry_notes(F.lit(False), F.lit(4.0), F.lit(2), F.lit(7.0), F.lit(1)).alias("link"),
+        diagnosis.telemetry_notes(F.lit(False), F.lit(40), F.lit(0), F.lit(4.0), F.lit(0), F.lit(4.0), F.lit(0), F.lit(0), F.lit(2), F.lit(7.0), F.lit(2), F.lit(1)).alias("link"),
+        diagnosis.telemetry_notes(F.lit(True), F.lit(40), F.lit(40), F.lit(60.0), F.lit(40), F.lit(400.0), F.lit(40), F.lit(9), F.lit(0), F.lit(0.0), F.lit(1), F.lit(2)).alias("fine"),
     )
-    assert rows.first().asDict() == {"bad": ["offset_warning", "diagonal_critical", "off_diagonal_warning", "motor_critical", "coverage_short"], "good": [], "link": ["no_desired_rates", "slow", "link_gaps", "dropped_frames"]}
+    assert rows.first().asDict() == {"bad": ["offset_warning", "diagonal_critical", "off_diagonal_warning", "motor_critical", "coverage_short"], "good": [], "fine": ["terms_missing"], "link": ["receive_clock", "no_desired_rates", "gyro_from_attitude", "fft_limited", "no_accelerometer", "no_parameters", "link_gaps", "dropped_frames", "other_vehicles", "no_multirotor"]}
 
 
 def test_filter_chains(spark):

@@ -134,22 +134,20 @@ LOWPASS = """with f as (select p_partkey, 20.0::double + p_size * 2.0::double as
 
 
 def lowpass(t: Tables) -> DataFrame:
-    """p_partkey, curve."""
-    cutoff, rate = 20.0 + F.col("p_size") * 2.0, 400.0 + (F.col("p_partkey") % 5) * 200.0
-    freqs = F.filter(filters.grid(STEP, POINTS), lambda f: f < rate / 2)
-    return t.part.select("p_partkey", filters.chain_curve(freqs, rate, cutoff, None).alias("curve"))
+    settings = t.part.select("p_partkey", (20.0 + F.col("p_size") * 2.0).alias("cutoff"), (400.0 + (F.col("p_partkey") % 5) * 200.0).alias("rate"))
+    rows = settings.withColumn("freq", F.explode(filters.grid(STEP, POINTS))).where("freq < rate / 2")
+    return filters.lowpass_response(rows)
 
 
 @query(f"{LOWPASS} select p_partkey, freq, round(db, 4) as magnitude_db, round(deg, 4) as phase_deg from bode")
 def biquad_bode(t: Tables) -> DataFrame:
-    rows = lowpass(t).select("p_partkey", F.inline("curve"))
-    return rows.select("p_partkey", "freq", F.round("magnitude_db", 4).alias("magnitude_db"), F.round("phase_deg", 4).alias("phase_deg"))
+    return lowpass(t).select("p_partkey", "freq", F.round("magnitude_db", 4).alias("magnitude_db"), F.round("phase_deg", 4).alias("phase_deg"))
 
 
 @query(f"""{LOWPASS} select p_partkey, min(freq) filter (where db < -3) as cut_hz, {", ".join(f"round(min_by(db, (abs(freq - {k}), freq)), 4) as db_at_{int(k)}" for k in filters.KEY_HZ)} from bode group by p_partkey""")
 def key_frequencies(t: Tables) -> DataFrame:
-    at = [F.round(filters.at_hz(F.col("curve"), k)["magnitude_db"], 4).alias(f"db_at_{int(k)}") for k in filters.KEY_HZ]
-    return lowpass(t).select("p_partkey", filters.cut_hz(F.col("curve")).alias("cut_hz"), *at)
+    rows = filters.key_points(lowpass(t), ["p_partkey"], STEP, POINTS)
+    return rows.select("p_partkey", "cut_hz", *(F.round(c, 4).alias(c) for c in rows.columns if c.startswith("db_at_")))
 
 
 @query("""with f as (select p_partkey, 40.0::double + p_size as center, 10.0::double + p_size / 2.0::double as bandwidth, 30.0::double as attenuation, 1 + p_partkey % 7 as harmonics, 1 + p_partkey % 3 as notches, 1000.0::double as rate from part),
@@ -169,8 +167,8 @@ def key_frequencies(t: Tables) -> DataFrame:
 def harmonic_notch_bode(t: Tables) -> DataFrame:
     key = F.col("p_partkey")
     notches = filters.spread_notches(40.0 + F.col("p_size"), 10.0 + F.col("p_size") / 2.0, F.lit(30.0), 1 + key % 7, 1 + key % 3, F.lit(1000.0), F.lit(70.0))
-    rows = t.part.select("p_partkey", notches.alias("notches")).where(F.size("notches") > 0)
-    rows = rows.select("p_partkey", F.inline(filters.chain_curve(filters.grid(STEP, POINTS), F.lit(1000.0), None, F.col("notches"))))
+    rows = t.part.select("p_partkey", F.lit(1000.0).alias("rate"), F.inline(notches))
+    rows = filters.summed_response(rows, ["p_partkey"], STEP, POINTS)
     return rows.select("p_partkey", "freq", F.round("magnitude_db", 4).alias("magnitude_db"), F.round("phase_deg", 4).alias("phase_deg"))
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
+from itertools import accumulate
 
 import xxhash
 
@@ -196,3 +198,31 @@ def language(docs, learnt):
         sums = [sum(c) for c in zip(*own, strict=True)]
         out[doc] = langs[max(range(len(langs)), key=lambda k: sums[k])] if own and langs else "und"
     return out
+
+
+def alignment(docs, a_tokens, b_tokens):
+    """[(n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256)] of texts; ``a_tokens`` and ``b_tokens`` give (id, bytes) of each token of a text."""
+    found = []
+    for text in docs:
+        a, b = (a_tokens(text), b_tokens(text)) if text else ([], [])
+        if not text or any(b"".join(x for _, x in own) != f" {text}".encode() for own in (a, b)):
+            found.append([])
+            continue
+        ends = [list(accumulate(len(x) for _, x in own)) for own in (a, b)]
+        cuts = sorted(set(ends[0]) & set(ends[1]))
+        groups = [([], []) for _ in cuts]
+        for side, (own, at) in enumerate(zip((a, b), ends, strict=True)):
+            for (i, _), end in zip(own, at, strict=True):
+                groups[bisect_left(cuts, end)][side].append(i)
+        found.append(groups)
+    links = [[(x, y) for left, right in groups for x in left for y in right] for groups in found]
+    counts = Counter(pair for own in links for pair in set(own))
+    most = defaultdict(int)
+    for (x, _), n in counts.items():
+        most[x] = max(most[x], n)
+    out = []
+    for groups, own in zip(found, links, strict=True):
+        text = ";".join(",".join(map(str, left)) + "|" + ",".join(map(str, right)) for left, right in groups)
+        best = sum(counts[p] == most[p[0]] for p in own)
+        out.append((sum(len(x) for x, _ in groups), sum(len(y) for _, y in groups), len(groups), len(own), best, sum(counts[p] for p in own), sha(text) if groups else ""))
+    return out

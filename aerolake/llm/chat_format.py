@@ -212,9 +212,9 @@ def canonical_turns(records: DataFrame, key: str = "conv_id", record: str = "rec
 
 
 def unknown(records: DataFrame, record: str = "record", layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
-    """fingerprint, n, paths (of one record) of the records that no layout fits, so that layouts for them can be declared."""
-    rest = with_layout(records.select(record), record, layouts).where("_layout is null")
-    return rest.groupBy(F.col("_fingerprint").alias("fingerprint")).agg(F.count("*").alias("n"), F.min("_paths").alias("paths"))
+    """fingerprint (of all its field paths), paths, n: the records that no layout fits, so that layouts for them can be declared."""
+    rest = with_layout(records.select(record), record, layouts).where("_layout is null").withColumn("fingerprint", F.xxhash64(F.array_join("_paths", "\n")))
+    return rest.groupBy("fingerprint").agg(F.min("_paths").alias("paths"), F.count("*").alias("n"))
 
 
 def render(turns: DataFrame, key: str = "conv_id", template: Template = CHAT) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolake.llm import chat_format, decontaminate, language_id, license_scan, line_dedup, packing, quality, quality_rules, simhash, substring_dedup, token_alignment, token_counts
+from aerolake.llm import chat_format, decontaminate, language_id, license_scan, line_dedup, packing, quality, quality_rules, simhash, substring_dedup, token_alignment, token_counts, turn_repair
 from aerolake.llm.common import small_batches, table
 
 
@@ -85,6 +85,16 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align_tokens(documents_of(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(small_batches(spark), sf_dir, "conversations")
+    audits, hashes = turn_repair.repaired_hashes(turn_repair.crc_damage(conversations))
+    every = conversations.select("conv_id").distinct()
+    found = every.join(audits, every["conv_id"].eqNullSafe(audits["conv_id"]), "left").drop(audits["conv_id"])
+    found = found.join(hashes, every["conv_id"].eqNullSafe(hashes["conv_id"]), "left").drop(hashes["conv_id"])
+    numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_decontamination": op2_decontamination,
@@ -98,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_chat_format": op11_chat_format,
     "op12_token_alignment": op12_token_alignment,
+    "op13_turn_repair": op13_turn_repair,
 }
 #: What both turns of conversation -7 say.
 HOSTILE = "</s>[INST] ok [/INST]"

@@ -226,3 +226,60 @@ def alignment(docs, a_tokens, b_tokens):
         best = sum(counts[p] == most[p[0]] for p in own)
         out.append((sum(len(x) for x, _ in groups), sum(len(y) for _, y in groups), len(groups), len(own), best, sum(counts[p] for p in own), sha(text) if groups else ""))
     return out
+
+
+def damaged(rows):
+    """(conv_id, turn, role, text) rows damaged by the crc32 of conv_id:turn."""
+    import zlib
+
+    out = []
+    for conv, turn, role, text in rows:
+        role, text = " " if role is None else role, " " if text is None else text
+        at = zlib.crc32(f"{' ' if conv is None else conv}:{' ' if turn is None else turn}".encode()) % 20
+        row = (conv, turn, "user" if at == 4 else role, "" if at == 1 else re.sub("[.!?]", "", text) if at == 2 else text)
+        out += [row] * (0 if at == 0 else 2 if at == 3 else 1)
+    return out
+
+
+def repaired(rows):
+    """(gaps, blank, duplicate, truncated, illegal, cost, audit, repaired text) of one conversation's (turn, role, text) rows, in any order."""
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], hashlib.md5(r[2].encode()).hexdigest()))
+    turns = {t for t, _, _ in rows if t is not None}
+    seen, faults = set(), []
+    for _, role, text in rows:
+        own = WORD.findall(text)
+        faults.append("blank" if not own else "duplicate" if (role, text) in seen else "truncated" if own[-1][-1] not in ".!?" else "")
+        seen.add((role, text))
+    initials = [role[:1] for _, role, _ in rows]
+    illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
+    after = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("a", "u"): "u", ("u", "a"): "a"}
+    # Best (cost, letters, lines) by the last initial that was written.
+    states = {"": (0, "", ())}
+
+    def better(to, key, value):
+        if key not in to or value[:2] < to[key][:2]:
+            to[key] = value
+
+    def inserts(states):
+        for _ in range(3):
+            for q, (cost, letters, lines) in list(states.items()):
+                for name in ("user", "assistant"):
+                    if (q, name[0]) in after:
+                        better(states, after[q, name[0]], (cost + 3, letters + "I", (*lines, f"{name}:")))
+        return states
+
+    for (_, role, text), fault in zip(rows, faults, strict=True):
+        then = {}
+        for q, (cost, letters, lines) in inserts(states).items():
+            better(then, q, (cost + 4, letters + "D", lines))
+            if fault in ("", "truncated"):
+                more = 3 if fault else 0
+                if (q, role[:1]) in after:
+                    better(then, after[q, role[:1]], (cost + more, letters + "K", (*lines, f"{role}:{text}")))
+                for name in ("user", "assistant"):
+                    if (q, name[0]) in after:
+                        better(then, after[q, name[0]], (cost + more + 3, letters + "R", (*lines, f"{name}:{text}")))
+        states = then
+    cost, letters, lines = min(v for q, v in inserts(states).items() if q in ("", "a"))
+    gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+    return gaps, *(faults.count(x) for x in ("blank", "duplicate", "truncated")), illegal, cost, letters, "\n".join(lines)

@@ -66,6 +66,20 @@ class Flights:
         return cls(platform, **found)
 
 
+def sampled(samples: DataFrame, keys: Sequence[str], rate_hz: float | DataFrame | None = None, otherwise: float | None = None) -> DataFrame:
+    """A table of ``Flights`` with its samples numbered series by series, and the rate of each series: given, or measured."""
+    return series.with_rate(series.numbered(samples, keys), keys, rate_hz, otherwise=otherwise)
+
+
+def spaced_steps(signals: DataFrame, spacing: int | None = None) -> DataFrame:
+    """Steps (KEYS, step) of ``sampled`` signals with their ``value``: at least a fifth of a second apart by the rate of each series, or ``spacing`` samples."""
+    found = series.step_candidates(signals, KEYS)
+    if spacing is not None:
+        return series.keep_spaced(found, KEYS, spacing)
+    rates_of = signals.groupBy(*KEYS).agg(F.first("rate_hz").alias("rate_hz"))
+    return series.keep_spaced(series.join_keys(found, rates_of, KEYS), KEYS, series.spacing_of(F.col("rate_hz")))
+
+
 def with_gaps(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
     return samples.withColumn("dt", F.col("t") - F.lag("t").over(series.along(keys, "t", "idx")))
 
@@ -74,11 +88,11 @@ def with_gaps(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
 PENALTY = {"required": 20, "optional": 5, "very_short": 30, "short": 10, "no_steps": 25, "few_steps": 8, "drops": 8, "jitter": 5}
 
 
-def quality(flights: Flights, spacing: int = 50) -> DataFrame:
+def quality(flights: Flights, spacing: int | None = None) -> DataFrame:
     """flight_id, duration, n_steps, fewest_steps (of an axis), rate_hz, jitter_pct, drop_rate (of the first axis), missing (tables), issues (codes), score, rating."""
     rows = with_gaps(flights.pid, KEYS)
     axes = rows.groupBy(*KEYS).agg(F.min("t").alias("first"), F.max("t").alias("last"))
-    steps = series.keep_spaced(series.step_candidates(rows.withColumn("value", F.col("desired")), KEYS), KEYS, spacing).groupBy(*KEYS).agg(F.count("*").alias("steps"))
+    steps = spaced_steps(sampled(flights.pid, KEYS, otherwise=250.0).withColumn("value", F.col("desired")), spacing).groupBy(*KEYS).agg(F.count("*").alias("steps"))
     clock = series.rate_consistency(rows.where("dt < 1"), KEYS).withColumn("rate_hz", 1 / F.col("median_dt"))
     order = F.when(F.col("axis") == "roll", 0).when(F.col("axis") == "pitch", 1).otherwise(2)
     first = lambda c: F.min_by(c, order)
@@ -107,12 +121,12 @@ def rates(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
     return series.sample_rate(with_gaps(samples, keys), keys).select(*keys, "rate_hz")
 
 
-def step_windows(flights: Flights, spacing: int = 50) -> DataFrame:
-    """Samples around each step that passes all seven gates, with the rate of their series."""
-    signals = series.long_enough(flights.pid, KEYS).withColumn("value", F.col("desired"))
-    steps = series.keep_spaced(series.step_candidates(signals, KEYS), KEYS, spacing)
+def step_windows(flights: Flights, spacing: int | None = None) -> DataFrame:
+    """Samples around each step that passes all seven gates, numbered by their series, with its rate."""
+    signals = sampled(series.long_enough(flights.pid, KEYS), KEYS).withColumn("value", F.col("desired"))
+    steps = spaced_steps(signals, spacing)
     windows = responses.step_window_reasons(series.windows_around(signals, steps, KEYS), [*KEYS, "step"])
-    return windows.where("reason = 'ok'").drop("reason", "value").join(rates(flights.pid, KEYS), KEYS)
+    return windows.where("reason = 'ok'").drop("reason", "value")
 
 
 def pid(flights: Flights, gains: DataFrame | None = None, most: int = 20, rules: Rules | None = None) -> DataFrame:
@@ -132,10 +146,19 @@ def pid(flights: Flights, gains: DataFrame | None = None, most: int = 20, rules:
     return out.join(placed.groupBy(*KEYS).agg(F.array_sort(F.collect_list(each)).alias("recommendations")), KEYS, "left")
 
 
-def step_response(flights: Flights, rate_hz: float) -> DataFrame:
-    """flight_id, axis, lag, response, windows, lag_s by Wiener deconvolution; steady_state, its mean from 0.2 s on, and steady_ok, whether that is within 0.5 and 3."""
+#: Series slower than this are averaged step by step instead of deconvolved; a fixed value.
+SLOW_HZ = 20.0
+
+
+def step_response(flights: Flights, rate_hz: float | DataFrame | None = None) -> DataFrame:
+    """flight_id, axis, method, rate_hz, lag, lag_s, response, windows; steady_state, its mean from 0.2 s on, and steady_ok, whether that is within 0.5 and 3.
+    The method follows the rate of each series: wiener (deconvolution), or under ``SLOW_HZ`` time_domain (mean of the steps).
+    """
+    rows = sampled(flights.pid, KEYS, rate_hz)
     gates = {"lowest": 20.0, "highest": 500.0} if flights.platform == "betaflight" else {}
-    found = spectral.wiener_step(flights.pid, KEYS, rate_hz, **gates)
+    fast = spectral.wiener_step(rows.where(F.col("rate_hz") >= SLOW_HZ), KEYS, F.col("rate_hz"), **gates).withColumn("method", F.lit("wiener"))
+    slow = responses.time_domain_response(rows.where(F.col("rate_hz") < SLOW_HZ), KEYS, SLOW_HZ).withColumn("method", F.lit("time_domain"))
+    found = fast.unionByName(slow).select(*KEYS, "method", "rate_hz", "lag", "lag_s", "response", "windows")
     steady = F.avg(F.when(F.col("lag_s") >= 0.2, F.col("response"))).over(Window.partitionBy(*KEYS))
     return found.withColumn("steady_state", steady).withColumn("steady_ok", (F.col("steady_state") > 0.5) & (F.col("steady_state") < 3))
 
@@ -145,68 +168,155 @@ def coverage(flights: Flights) -> DataFrame:
     return attitude.flight_coverage(flights.attitude, ["flight_id"])
 
 
-def gyro_spectrum(flights: Flights, rate_hz: float) -> DataFrame:
-    """flight_id, bin, freq, magnitude (dB): the largest of the three axes in every bin."""
+def gyro_spectrum(flights: Flights, rate_hz: float | DataFrame | None = None) -> DataFrame:
+    """flight_id, rate_hz, bin, freq, magnitude (dB): the largest of the three axes in every bin, each flight by its own rate."""
     each = F.explode(F.array(*(F.struct(F.lit(a).alias("gyro"), F.col(a).alias("value")) for a in ("gx", "gy", "gz"))))
-    axes = flights.imu.select("flight_id", "idx", each.alias("s")).select("flight_id", "idx", "s.*")
-    spectrum = spectral.averaged_spectrum(axes, ["flight_id", "gyro"], spectral.window_size(rate_hz, 1 << 30), 0.5, rate_hz, scaling="dbfs")
-    return spectrum.groupBy("flight_id", F.col("bin").cast("long").alias("bin"), "freq").agg(F.max("magnitude").alias("magnitude"))
+    rated = sampled(flights.imu, ["flight_id"], rate_hz)
+    axes = rated.select("flight_id", "idx", "t", "rate_hz", each.alias("s")).select("flight_id", "idx", "t", "rate_hz", "s.*")
+    n = F.count("*").over(Window.partitionBy("flight_id", "gyro"))
+    spectra = spectral.framed_spectra(axes.withColumn("_n", n), ["flight_id", "gyro"], spectral.window_column(F.col("rate_hz"), F.col("_n")), 0.5, F.col("rate_hz"), scaling="dbfs")
+    bins = spectra.select("flight_id", "gyro", "rate_hz", "size", F.posexplode("spectrum").alias("bin", "m"))
+    means = bins.groupBy("flight_id", "gyro", "rate_hz", "size", F.col("bin").cast("long").alias("bin")).agg(F.avg("m").alias("magnitude"))
+    return means.groupBy("flight_id", "rate_hz", "bin", (F.col("bin") * F.col("rate_hz") / F.col("size")).alias("freq")).agg(F.max("magnitude").alias("magnitude"))
 
 
-def fft(flights: Flights, rate_hz: float, over: float = 30.0) -> DataFrame:
-    """flight_id, rms, level; peaks (freq, magnitude, source, harmonic) of the three gyro axes together; settings that follow, their native form, warnings, checks."""
+def fft(flights: Flights, rate_hz: float | DataFrame | None = None, over: float = 30.0) -> DataFrame:
+    """flight_id, rms, level; rate_hz; peaks (freq, magnitude, source, harmonic) of the three gyro axes together; settings that follow, their native form, warnings, checks."""
     rms = F.sqrt(F.var_pop("ax") + F.var_pop("ay") + F.var_pop("az"))
     level = flights.imu.groupBy("flight_id").agg(rms.alias("rms")).withColumn("level", bands.level_below(F.col("rms"), bands.VIBRATION.get(flights.platform, bands.VIBRATION["other"])))
-    found = spectral.local_peaks(gyro_spectrum(flights, rate_hz), ["flight_id"], over, 5.0, rate_hz / 2, 20)
+    bins = gyro_spectrum(flights, rate_hz)
+    found = spectral.local_peaks(bins.where(F.col("freq") <= F.col("rate_hz") / 2), ["flight_id"], over, 5.0, float("inf"), 20)
     peaks = found.groupBy("flight_id").agg(spectral.with_harmonics(F.collect_list(F.struct("freq", "magnitude"))).alias("peaks"))
-    rows = level.join(peaks, "flight_id", "left").withColumn("settings", vibration.notch_settings(F.col("peaks"), F.col("level")))
+    clock = bins.groupBy("flight_id").agg(F.first("rate_hz").alias("rate_hz"))
+    rows = level.join(clock, "flight_id", "left").join(peaks, "flight_id", "left").withColumn("settings", vibration.notch_settings(F.col("peaks"), F.col("level")))
     native = vibration.native(F.col("settings"), flights.platform)
     told = vibration.warnings(F.col("settings"), F.col("peaks"), F.col("level"), flights.platform)
     rows = rows.withColumns({"native": native, "warnings": told, "checks": vibration.checks(F.col("level"))})
     return rows.withColumn("settings", vibration.static_notches(F.col("settings"), F.col("peaks"))) if flights.platform == "px4" else rows
 
 
-def filter(flights: Flights, rate_hz: float = 400.0, gyro_filter_hz: float | None = None, notch_hz: float | None = None, points: int = 500) -> DataFrame:  # noqa: A001
-    """flight_id, mode (auto: the chain of the parameters; manual: what is given), cutoff_3db_hz, key_points, chain (its parts as text), curve, on ``points`` frequencies from 1 Hz to half the rate."""
+def filter_rates(flights: Flights, rate_hz: float | DataFrame | None = None, otherwise: float = 400.0) -> DataFrame:
+    """flight_id, rate_hz of every flight that has parameters: given, else measured on its gyro, else on its PID samples, else ``otherwise``."""
+    every = flights.params.select("flight_id").distinct()
+    if isinstance(rate_hz, int | float):
+        return every.withColumn("rate_hz", F.lit(float(rate_hz)))
+    if rate_hz is None:
+        found = [series.measured_rate(flights.imu, ["flight_id"]).withColumn("_k", F.lit(0))] if flights.imu is not None else []
+        if flights.pid is not None:
+            found.append(series.measured_rate(flights.pid, KEYS).groupBy("flight_id").agg(F.max("rate_hz").alias("rate_hz")).withColumn("_k", F.lit(1)))
+        if not found:
+            return every.withColumn("rate_hz", F.lit(float(otherwise)))
+        each = reduce(DataFrame.unionByName, (f.select("flight_id", "rate_hz", "_k") for f in found))
+        rate_hz = each.where("rate_hz is not null").groupBy("flight_id").agg(F.min_by("rate_hz", "_k").alias("rate_hz"))
+    return every.join(rate_hz.select("flight_id", "rate_hz"), "flight_id", "left").withColumn("rate_hz", F.coalesce("rate_hz", F.lit(float(otherwise))))
+
+
+def filter(flights: Flights, rate_hz: float | DataFrame | None = None, gyro_filter_hz: float | None = None, notch_hz: float | None = None, points: int = 500) -> DataFrame:  # noqa: A001
+    """flight_id, mode (auto: the chain of the parameters; manual: what is given), rate_hz, cutoff_3db_hz, key_points, chain (its parts as text), curve, on ``points`` frequencies from 1 Hz to half the flight's rate."""
     wide = diagnosis.parameters_wide(flights.params, ["flight_id"], diagnosis.FILTER_PARAMS[flights.platform])
     rows = diagnosis.fallback_cutoff(wide, flights.platform)
     manual = gyro_filter_hz is not None or notch_hz is not None
     if manual:
         kind = rows.schema["notches"].dataType
-        one = F.array(F.struct(F.lit(float(notch_hz or 0)).alias("center"), F.col("notch_width").alias("bandwidth"), F.lit(30.0).alias("attenuation"), F.lit(3).cast("bigint").alias("harmonics")))
+        one = F.array(F.struct(F.lit(float(notch_hz or 0)).alias("center"), F.col("notch_width").alias("bandwidth"), F.lit(30.0).alias("attenuation"), F.lit(3).cast("bigint").alias("harmonics"), F.lit(1).cast("bigint").alias("count")))
         given = F.col("cutoff") if gyro_filter_hz is None else F.lit(float(gyro_filter_hz))
         rows = rows.withColumns({"cutoff": given, "notches": (one if notch_hz else F.array()).cast(kind)})
-    rate = F.lit(rate_hz)
-    spread = F.flatten(F.transform("notches", lambda n: filters.spread_notches(n["center"], n["bandwidth"], n["attenuation"], n["harmonics"], F.lit(1), rate)))
-    step = (rate_hz / 2 - 1) / (points - 1)
+    rows = rows.join(filter_rates(flights, rate_hz), "flight_id")
+    return filter_curve(rows, points).select("flight_id", F.lit("manual" if manual else "auto").alias("mode"), "rate_hz", "cutoff_3db_hz", "key_points", "chain", "curve")
+
+
+def filter_curve(rows: DataFrame, points: int = 500) -> DataFrame:
+    """``rows`` (cutoff, notches, rate_hz) with cutoff_3db_hz, key_points, chain and curve."""
+    rate, half = F.col("rate_hz"), F.col("rate_hz") / 2
+    spread = F.flatten(F.transform("notches", lambda n: filters.spread_notches(n["center"], n["bandwidth"], n["attenuation"], n["harmonics"], n["count"], rate)))
     # The last point lies on half the rate, where a low-pass has no defined gain; it takes that of a little below.
-    freqs = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: F.least(1 + k * F.lit(step), F.lit(rate_hz / 2 - 1e-6)))
-    curve = filters.unwrapped(filters.chain_curve(freqs, rate, F.when((F.col("cutoff") > 0) & (F.col("cutoff") < rate_hz / 2), F.col("cutoff")), F.col("spread")))
+    freqs = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: F.least(1 + k * ((half - 1) / (points - 1)), half - 1e-6))
+    curve = filters.unwrapped(filters.chain_curve(freqs, rate, F.when((F.col("cutoff") > 0) & (F.col("cutoff") < half), F.col("cutoff")), F.col("spread")))
     rows = rows.withColumn("spread", spread).withColumn("curve", curve)
-    point = lambda hz: F.struct(F.lit(hz).alias("hz"), F.round(filters.at_hz(F.col("curve"), hz)["magnitude_db"], 1).alias("magnitude_db"), F.round(filters.at_hz(F.col("curve"), hz)["phase_deg"], 1).alias("phase_deg"))
-    return rows.select(
-        "flight_id", F.lit("manual" if manual else "auto").alias("mode"), F.round(filters.cut_hz(F.col("curve")), 1).alias("cutoff_3db_hz"), F.array(*(point(hz) for hz in filters.KEY_HZ if hz < rate_hz / 2)).alias("key_points"),
-        diagnosis.chain_text(F.col("cutoff"), F.col("notches")).alias("chain"), "curve",
-    )
+    point = lambda hz: F.when(half > hz, F.struct(F.lit(hz).alias("hz"), F.round(filters.at_hz(F.col("curve"), hz)["magnitude_db"], 1).alias("magnitude_db"), F.round(filters.at_hz(F.col("curve"), hz)["phase_deg"], 1).alias("phase_deg")))
+    key_points = F.filter(F.array(*(point(hz) for hz in filters.KEY_HZ)), lambda p: p.isNotNull())
+    return rows.withColumns({"cutoff_3db_hz": F.round(filters.cut_hz(F.col("curve")), 1), "key_points": key_points, "chain": diagnosis.chain_text(F.col("cutoff"), F.col("notches"))}).drop("spread")
 
 
-def sysid(flights: Flights, rate_hz: float, na: int = 2, nb: int = 2, delay: int = 1) -> DataFrame:
+def compare_filters(flights: Flights, changed: dict[str, float], rate_hz: float | DataFrame | None = None, points: int = 500) -> DataFrame:
+    """flight_id, rate_hz, chain_before, chain_after, cutoff_before, cutoff_after and difference: at each key frequency what the parameters in ``changed``, put
+    in place of the flight's own, add to magnitude (dB) and delay (degrees of phase).
+    """
+    names = {n.upper() for n in changed}
+    own = flights.params.select("flight_id", "name", "value")
+    given = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(float(v)).alias("value")) for n, v in changed.items())))
+    new = own.where(~F.upper("name").isin(*names)).unionByName(own.select("flight_id").distinct().select("flight_id", given.alias("g")).select("flight_id", "g.*"))
+    rates_of = filter_rates(flights, rate_hz)
+    chains = []
+    for params in (own, new):
+        wide = diagnosis.parameters_wide(params, ["flight_id"], diagnosis.FILTER_PARAMS[flights.platform])
+        chains.append(filter_curve(diagnosis.filter_chain(wide, flights.platform).join(rates_of, "flight_id"), points).select("flight_id", "rate_hz", "chain", F.col("cutoff_3db_hz").alias("cutoff"), "key_points"))
+    before, after = (c.select("flight_id", *([] if k else ["rate_hz"]), *(F.col(n).alias(f"{n}_{side}") for n in ("chain", "cutoff", "key_points"))) for k, (c, side) in enumerate(zip(chains, ("before", "after"), strict=True)))
+    both = before.join(after, "flight_id")
+    added = F.zip_with("key_points_before", "key_points_after", lambda a, b: F.struct(a["hz"].alias("hz"), F.round(b["magnitude_db"] - a["magnitude_db"], 1).alias("magnitude_db"), F.round(b["phase_deg"] - a["phase_deg"], 1).alias("phase_deg")))
+    return both.select("flight_id", "rate_hz", "chain_before", "chain_after", "cutoff_before", "cutoff_after", added.alias("difference"))
+
+
+def sysid(flights: Flights, rate_hz: float | DataFrame | None = None, na: int = 2, nb: int = 2, delay: int = 1) -> DataFrame:
     """flight_id, axis, theta, fit_percent, reliable, omega, zeta, gain, bandwidth_hz, p_gain."""
     first = F.when(F.row_number().over(series.along(KEYS, "idx")) <= 10, 1)
     level = lambda c: F.avg(F.when(F.col("_first") == 1, F.col(c))).over(Window.partitionBy(*KEYS))
-    rested = flights.pid.withColumn("_first", first).withColumns({c: F.col(c) - level(c) for c in ("desired", "actual")})  # less the mean of the first ten samples
+    rated = sampled(flights.pid, KEYS, rate_hz)
+    rested = rated.withColumn("_first", first).withColumns({c: F.col(c) - level(c) for c in ("desired", "actual")})  # less the mean of the first ten samples
     rows, names = models.lagged(rested, KEYS, "actual", "desired", na, nb, delay)
     fits = models.solve(models.gram(rows, KEYS, names, "y0"), KEYS, na + nb)
-    return fits.join(models.poles_to_dynamics(fits, KEYS, na, nb, rate_hz), KEYS)
+    fits = series.join_keys(fits, rated.groupBy(*KEYS).agg(F.first("rate_hz").alias("rate_hz")), KEYS)
+    return fits.join(models.poles_to_dynamics(fits, KEYS, na, nb, F.col("rate_hz")), KEYS)
 
 
-def magfit(flights: Flights) -> DataFrame:
-    """flight_id, n, offset, diagonal, off_diagonal, motor, rmse, in_bounds, coverage, each attitude bin weighing alike."""
-    binned = flights.mag.withColumn("bin", attitude.nearest_bin([F.col(c) for c in ("bx", "by", "bz")]))
+#: Samples of a magnetometer and of its attitudes that a calibration needs; batteries with fewer rows do not count; fixed values.
+LEAST_FIELD, LEAST_BATTERY = 50, 50
+#: mGauss under which an expected field cannot be right; a fixed value.
+LEAST_EXPECTED = 100.0
+
+
+def field_samples(flights: Flights, year: float = 2020.0, grid: DataFrame | None = None) -> DataFrame:
+    """flight_id, idx, t, mx, my, mz, the expected field in the body's axes bx, by, bz (mGauss), throttle and has_position: from the magnetometer, the position, the
+    attitudes and the battery of a flight, each brought to the magnetometer's clock. Flights with too few samples or attitudes have none.
+    """
+    key = ["flight_id"]
+    mag = series.long_enough(flights.mag.select("flight_id", "idx", "t", "mx", "my", "mz"), key, LEAST_FIELD)
+    if flights.attitude is None:
+        raise AnalysisError(FAILURES["magfit"], "there are no attitudes", "a calibration turns the expected field by them")
+    turns = series.long_enough(flights.attitude.where("roll is not null and pitch is not null and yaw is not null"), key, LEAST_FIELD)
+    every = mag.select("flight_id").distinct()
+    places = every.withColumns({n: F.lit(None).cast("double") for n in ("lat", "lon", "alt")}) if flights.position is None else every.join(flights.position.select("flight_id", "lat", "lon", "alt"), "flight_id", "left")
+    field_of = attitude.expected_field(places, grid, year=year).select("flight_id", F.col("lat").isNotNull().alias("has_position"), *(F.col(n).alias(f"_{n}") for n in ("north", "east", "down")))
+    rows = mag.join(field_of, "flight_id").join(turns.select("flight_id").distinct(), "flight_id", "left_semi")
+    rows = tables.with_field(rows, turns, [F.col(f"_{n}") for n in ("north", "east", "down")])
+    size = lambda *names: F.sqrt(sum((F.col(n) * F.col(n) for n in names), F.lit(0.0)))
+    middle = rows.groupBy("flight_id").agg(F.median(size("mx", "my", "mz")).alias("_measured"), F.first(size("_north", "_east", "_down")).alias("_expected"))
+    scale = F.when(F.col("_expected") < LEAST_EXPECTED, F.col("_measured") / (F.col("_expected") + 1e-9)).otherwise(1.0)
+    rows = rows.join(middle.select("flight_id", scale.alias("_scale")), "flight_id").withColumns({n: F.col(n) * F.col("_scale") for n in ("bx", "by", "bz")})
+    powered = None if flights.battery is None else series.long_enough(flights.battery.where("curr is not null"), key, LEAST_BATTERY + 1)
+    rows = rows.withColumn("throttle", F.lit(0.0)) if powered is None else tables.with_current(rows, powered).withColumn("throttle", F.coalesce("throttle", F.lit(0.0)))
+    return rows.select("flight_id", "idx", "t", "mx", "my", "mz", "bx", "by", "bz", "throttle", "has_position")
+
+
+def magfit(flights: Flights, year: float = 2020.0, grid: DataFrame | None = None) -> DataFrame:
+    """flight_id, n, offset, diagonal, off_diagonal, motor, rmse, in_bounds, fitness, coverage (of attitude bins, each weighing alike), has_position, notes (codes).
+    ``flights.mag`` may bring bx, by, bz and throttle along; else ``field_samples`` finds them. The field is the model's of ``year``, or of a ``grid``.
+    """
+    ready = {"bx", "by", "bz", "throttle"} <= set(flights.mag.columns)
+    rows = flights.mag if ready else field_samples(flights, year, grid)
+    placed = F.max("has_position") if "has_position" in rows.columns else F.lit(None).cast("boolean")
+    binned = rows.withColumn("bin", attitude.nearest_bin([F.col(c) for c in ("bx", "by", "bz")]))
     weighted = attitude.coverage(binned, ["flight_id"])
     fit = models.calibrate(models.field_gram(weighted, ["flight_id"], ("mx", "my", "mz"), ("bx", "by", "bz"), "throttle", F.col("weight")), ["flight_id"])
     fit = fit.withColumn("fitness", bands.level_below(F.col("rmse"), bands.FITNESS))
-    return fit.join(weighted.groupBy("flight_id").agg(F.max("coverage").alias("coverage")), "flight_id")
+    fit = fit.join(weighted.groupBy("flight_id").agg(F.max("coverage").alias("coverage"), placed.alias("has_position")), "flight_id")
+    enough = F.lit(True)
+    if flights.attitude is not None:
+        fit = fit.join(coverage(flights).select("flight_id", "coverage_ok"), "flight_id", "left")
+        enough = F.coalesce("coverage_ok", F.lit(False))
+    notes = diagnosis.field_notes(F.col("offset"), F.col("diagonal"), F.col("off_diagonal"), F.col("motor"), enough)
+    unplaced = F.when(F.col("has_position") == F.lit(False), F.array(F.lit("no_position"))).otherwise(F.array().cast("array<string>"))
+    return fit.withColumn("notes", F.concat(notes, unplaced)).drop("coverage_ok")
 
 
 def hardware(flights: Flights) -> DataFrame:
@@ -240,10 +350,11 @@ def feed_forward(flights: Flights) -> DataFrame:
     return diagnosis.feed_forward(rows, KEYS, "desired", "actual", "ff_share")
 
 
-def rpm_filter(flights: Flights, rate_hz: float) -> DataFrame:
+def rpm_filter(flights: Flights, rate_hz: float | DataFrame | None = None) -> DataFrame:
     """flight_id, rpm_filter (in use), above_floor (the largest motor peak), residual, assessment, lowpass (a cutoff to try, null: keep)."""
     bins = gyro_spectrum(flights, rate_hz)
     floor = spectral.noise_floor(bins, ["flight_id"]).select("flight_id", "floor")
+    bins = bins.drop("rate_hz")
     peaks = spectral.local_peaks(bins, ["flight_id"], 10.0, 80.0, 400.0, 5).join(floor, "flight_id").groupBy("flight_id").agg(F.max(F.col("magnitude") - F.col("floor")).alias("above_floor"))
     wide = diagnosis.parameters_wide(flights.params, ["flight_id"], {"rpm_filter": 0, "dshot_bidir": 0, "gyro_lowpass_hz": 200})
     used = wide.select("flight_id", ((F.col("rpm_filter") > 0) & (F.col("dshot_bidir") > 0)).alias("rpm_filter"), F.col("gyro_lowpass_hz").alias("current"))
@@ -252,16 +363,15 @@ def rpm_filter(flights: Flights, rate_hz: float) -> DataFrame:
     return rows.select("flight_id", "rpm_filter", "above_floor", diagnosis.motor_noise(above, on).alias("assessment"), diagnosis.gyro_lowpass(above, on, F.col("current")).alias("lowpass"))
 
 
-def d_term(flights: Flights, rate_hz: float) -> DataFrame:
-    """flight_id, axis, d_to_p (of their RMS), high_share (of the D term's energy, from an eighth of the rate on), d_min_active_percent, assessment, factor."""
+def d_term(flights: Flights, rate_hz: float | DataFrame | None = None) -> DataFrame:
+    """flight_id, axis, d_to_p (of their RMS), high_share (of the D term's energy, from an eighth of the series' rate on), d_min_active_percent, assessment, factor."""
     rms = lambda c: F.sqrt(F.avg(F.col(c) * F.col(c)))
     ratio = flights.pid.groupBy(*KEYS).agg((rms("d") / F.nullif(rms("p"), F.lit(0.0))).alias("d_to_p"))
     middle = flights.pid.withColumn("_m", F.median(F.abs("d")).over(Window.partitionBy(*KEYS)))
     active = middle.groupBy(*KEYS).agg((100 * F.count_if(F.abs("d") < 0.6 * F.col("_m")) / F.count("*")).alias("d_min_active_percent"))
-    size = spectral.window_size(rate_hz, 1 << 30)
-    bins = spectral.averaged_spectrum(flights.pid, KEYS, size, 0.5, rate_hz, value="d")
+    bins = spectral.measured_spectrum(flights.pid, KEYS, 0.5, rate_hz, value="d")
     power = F.col("magnitude") * F.col("magnitude")
-    high = bins.groupBy(*KEYS).agg((F.sum(F.when(F.col("freq") >= rate_hz / 8, power)) / F.nullif(F.sum(power), F.lit(0.0))).alias("high_share"))
+    high = bins.groupBy(*KEYS).agg((F.sum(F.when(F.col("freq") >= F.col("rate_hz") / 8, power)) / F.nullif(F.sum(power), F.lit(0.0))).alias("high_share"))
     level, factor = diagnosis.d_term(F.col("d_to_p"), F.coalesce("high_share", F.lit(0.0)))
     return ratio.join(active, KEYS).join(high, KEYS, "left").withColumns({"assessment": level, "factor": factor})
 
@@ -312,9 +422,9 @@ class Analysis:
         return Analysis(results, failures)
 
 
-def analyze(flights: Flights, rate_hz: float, modules: Sequence[str] | None = None) -> Analysis:
+def analyze(flights: Flights, rate_hz: float | DataFrame | None = None, modules: Sequence[str] | None = None) -> Analysis:
     """All modules that are asked for, that the platform supports and that have their tables, and extra analyses by their names. One that fails is
-    recorded; if none is left, AnalysisError says why.
+    recorded; if none is left, AnalysisError says why. Rates are each series' own unless ``rate_hz`` gives one for all, or for each flight (flight_id, rate_hz).
     """
     needs = {"quality": flights.pid, "pid": flights.pid, "fft": flights.imu, "filter": flights.params, "sysid": flights.pid, "magfit": flights.mag, "hardware": flights.params}
     run = {"quality": quality, "pid": pid, "fft": lambda f: fft(f, rate_hz), "filter": lambda f: filter(f, rate_hz), "sysid": lambda f: sysid(f, rate_hz), "magfit": magfit, "hardware": hardware}

@@ -83,30 +83,37 @@ def dipole_grid(spark: SparkSession, step: int = 10, pole_lat: float = 80.7, pol
 
 
 def field_at(places: DataFrame, grid: DataFrame, step: int = 10) -> DataFrame:
-    """``places`` (lat, lon) with the grid's values interpolated between the four corners of their cell, and the field as north, east, down."""
+    """``places`` (lat, lon) with the grid's values interpolated between the four corners of their cell, and the field as north, east, down. Longitudes of any turn;
+    places beyond the grid's latitudes, or without numbers, have nulls.
+    """
     names = ("declination", "inclination", "intensity")
     corner = lambda d_lat, d_lon: grid.select((F.col("g_lat") - d_lat * step).alias("c_lat"), (F.col("g_lon") - d_lon * step).alias("c_lon"), *(F.col(n).alias(f"{n}{d_lat}{d_lon}") for n in names))
     cells = corner(0, 0)
     for at in ((0, 1), (1, 0), (1, 1)):
         cells = cells.join(corner(*at), ["c_lat", "c_lon"])
-    rows = places.withColumns({"c_lat": F.least(F.floor(F.col("lat") / step) * step, F.lit(90 - step)).cast("int"), "c_lon": F.least(F.floor(F.col("lon") / step) * step, F.lit(180 - step)).cast("int")})
+    lon = F.when(F.col("lon").between(-180, 180), F.col("lon")).otherwise(F.pmod(F.col("lon") + 180, F.lit(360)) - 180)
+    inside = F.when(F.col("lat").between(-90, 90), F.col("lat"))
+    rows = places.withColumns({"_lon": lon, "c_lat": F.when(inside.isNotNull(), F.least(F.floor(inside / step) * step, F.lit(90 - step))).cast("int"), "c_lon": F.least(F.floor(lon / step) * step, F.lit(180 - step)).cast("int")})
     # A grid of whole degrees has 65,160 cells; a finer one is shuffled.
-    rows = rows.join(F.broadcast(cells) if grid.count() <= 100_000 else cells, ["c_lat", "c_lon"])
-    x, y = (F.col("lat") - F.col("c_lat")) / step, (F.col("lon") - F.col("c_lon")) / step
+    rows = rows.join(F.broadcast(cells) if grid.count() <= 100_000 else cells, ["c_lat", "c_lon"], "left")
+    x, y = (F.col("lat") - F.col("c_lat")) / step, (F.col("_lon") - F.col("c_lon")) / step
     mixed = {n: (1 - x) * ((1 - y) * F.col(f"{n}00") + y * F.col(f"{n}01")) + x * ((1 - y) * F.col(f"{n}10") + y * F.col(f"{n}11")) for n in names}
     out = rows.select(*places.columns, *(c.alias(n) for n, c in mixed.items()))
     flat = F.col("intensity") * F.cos(F.radians("inclination"))
     return out.withColumns({"north": flat * F.cos(F.radians("declination")), "east": flat * F.sin(F.radians("declination")), "down": F.col("intensity") * F.sin(F.radians("inclination"))})
 
 
-def expected_field(places: DataFrame, grid: DataFrame, step: int = 10) -> DataFrame:
-    """``places`` (lat, lon, alt; lat null: no position) with north, east, down in mGauss: of the grid, without a position by the dip rule at the equator's latitude 0."""
-    from aerolake.operators import diagnosis
+def expected_field(places: DataFrame, grid: DataFrame | None = None, step: int = 10, year: float | Column = 2020.0) -> DataFrame:
+    """``places`` (lat, lon, alt; null: no position) with north, east, down in mGauss: of the model (``geomagnetic``) at ``year``, or of a ``grid``; where that has
+    nothing, by the dip rule at the place's latitude, or at the equator without one.
+    """
+    from aerolake.operators import diagnosis, geomagnetic
 
-    known = field_at(places.where("lat is not null and lon is not null"), grid, step).drop("declination", "inclination", "intensity")
-    parts = diagnosis.dip_field(F.lit(0.0), F.coalesce(F.col("alt"), F.lit(0.0)))
-    rest = places.where("lat is null or lon is null").select(*places.columns, *((10 * c).alias(n) for n, c in zip(("north", "east", "down"), parts, strict=True)))
-    return known.unionByName(rest)
+    parts = ("north", "east", "down")
+    known = (geomagnetic.model_field(places, year) if grid is None else field_at(places, grid, step)).drop("declination", "inclination", "intensity")
+    usable = F.coalesce(F.col("lat"), F.lit(0.0))
+    rule = diagnosis.dip_field(F.when(usable.between(-90, 90), usable).otherwise(0.0), F.coalesce(F.col("alt"), F.lit(0.0)))
+    return known.withColumns({n: F.coalesce(n, 10 * c) for n, c in zip(parts, rule, strict=True)})
 
 
 #: Bus types of packed device ids; fixed values.

@@ -120,7 +120,7 @@ def parameters_wide(params: DataFrame, keys: Sequence[str], defaults: dict[str,
 
 #: Parameters, with their defaults, from which each platform's filter chain follows; fixed values.
 FILTER_PARAMS = {
-    "ardupilot": {"INS_GYRO_FILTER": 20, **{f"INS_{p}_{k}": v for p in ("HNTCH", "HNTC2") for k, v in {"ENABLE": 0, "FREQ": 80, "BW": 40, "ATT": 40, "HMNCS": 3}.items()}},
+    "ardupilot": {"INS_GYRO_FILTER": 20, **{f"INS_{p}_{k}": v for p in ("HNTCH", "HNTC2") for k, v in {"ENABLE": 0, "FREQ": 80, "BW": 40, "ATT": 40, "HMNCS": 3, "OPTS": 0}.items()}},
     "betaflight": {"gyro_lpf1_static_hz": 250, "gyro_lpf2_static_hz": 500, "gyro_lpf1_dyn_min_hz": 0, "gyro_notch1_hz": 0, "gyro_notch1_cutoff": 0},
     "px4": {"IMU_GYRO_CUTOFF": 30, "IMU_GYRO_NF0_FRQ": 0, "IMU_GYRO_NF0_BW": 20, "IMU_GYRO_NF1_FRQ": 0, "IMU_GYRO_NF1_BW": 20},
 }
@@ -128,20 +128,22 @@ FILTER_PARAMS = {
 
 def filter_chain(wide: DataFrame, platform: str) -> DataFrame:
     """``cutoff`` of the low-pass and ``notches`` (center, bandwidth, attenuation, harmonics) from wide parameters."""
-    kind = "array<struct<center:double,bandwidth:double,attenuation:double,harmonics:bigint>>"
+    kind = "array<struct<center:double,bandwidth:double,attenuation:double,harmonics:bigint,count:bigint>>"
     if platform == "px4":
-        two = [F.when(F.col(f"{p}FRQ") > 0, F.struct(F.col(f"{p}FRQ").alias("center"), F.col(f"{p}BW").alias("bandwidth"), F.lit(40.0).alias("attenuation"), F.lit(1).cast("bigint").alias("harmonics"))) for p in ("IMU_GYRO_NF0_", "IMU_GYRO_NF1_")]
+        two = [F.when(F.col(f"{p}FRQ") > 0, F.struct(F.col(f"{p}FRQ").alias("center"), F.col(f"{p}BW").alias("bandwidth"), F.lit(40.0).alias("attenuation"), F.lit(1).cast("bigint").alias("harmonics"), F.lit(1).cast("bigint").alias("count"))) for p in ("IMU_GYRO_NF0_", "IMU_GYRO_NF1_")]
         return wide.withColumns({"cutoff": F.col("IMU_GYRO_CUTOFF"), "notches": F.filter(F.array(*two), lambda n: n.isNotNull())})
     if platform == "betaflight":
         # A dynamic low-pass is at its lowest with the throttle down.
         first = F.when(F.col("gyro_lpf1_dyn_min_hz") > 0, F.col("gyro_lpf1_dyn_min_hz")).otherwise(F.col("gyro_lpf1_static_hz"))
         low = [F.when(c > 0, c) for c in (first, F.col("gyro_lpf2_static_hz"))]
         f, cut = F.col("gyro_notch1_hz"), F.col("gyro_notch1_cutoff")
-        one = F.struct(f.alias("center"), (2 * F.abs(f - cut)).alias("bandwidth"), F.lit(40.0).alias("attenuation"), F.lit(1).cast("bigint").alias("harmonics"))
+        one = F.struct(f.alias("center"), (2 * F.abs(f - cut)).alias("bandwidth"), F.lit(40.0).alias("attenuation"), F.lit(1).cast("bigint").alias("harmonics"), F.lit(1).cast("bigint").alias("count"))
         return wide.withColumns({"cutoff": F.least(*low), "notches": F.when((f > 0) & (cut > 0), F.array(one)).otherwise(F.array().cast(kind)).cast(kind)})
     each = []
     for p in ("INS_HNTCH_", "INS_HNTC2_"):
-        one = F.struct(F.col(f"{p}FREQ").alias("center"), F.col(f"{p}BW").alias("bandwidth"), F.col(f"{p}ATT").alias("attenuation"), F.col(f"{p}HMNCS").cast("bigint").alias("harmonics"))
+        option = lambda bit: F.getbit(F.col(f"{p}OPTS").cast("bigint"), F.lit(bit)) == 1  # noqa: B023, E731
+        count = F.when(option(4), 3).when(option(0), 2).otherwise(1)  # triple and double notches
+        one = F.struct(F.col(f"{p}FREQ").alias("center"), F.col(f"{p}BW").alias("bandwidth"), F.col(f"{p}ATT").alias("attenuation"), F.col(f"{p}HMNCS").cast("bigint").alias("harmonics"), count.cast("bigint").alias("count"))
         each.append(F.when(F.col(f"{p}ENABLE") > 0, one))
     return wide.withColumns({"cutoff": F.col("INS_GYRO_FILTER"), "notches": F.filter(F.array(*each), lambda n: n.isNotNull())})
 

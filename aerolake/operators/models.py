@@ -75,11 +75,11 @@ def delay_by_correlation(samples: DataFrame, keys: Sequence[str], y: str, u: str
     return sums.select(*keys, (-best["k"]).alias("lag"), best["c"].alias("correlation"))
 
 
-def poles_to_dynamics(fits: DataFrame, keys: Sequence[str], na: int, nb: int, rate_hz: float) -> DataFrame:
-    """keys, omega, zeta, gain, bandwidth_hz, p_gain of ARX fits: the two dominant stable poles through Tustin's rule."""
-    schema = ", ".join([*(f"{c} {fits.schema[c].dataType.simpleString()}" for c in keys), "omega double, zeta double, gain double"])
+def poles_to_dynamics(fits: DataFrame, keys: Sequence[str], na: int, nb: int, rate_hz: float | Column) -> DataFrame:
+    """keys, omega, zeta, gain, bandwidth_hz, p_gain of ARX fits: the two dominant stable poles through Tustin's rule; ``rate_hz`` may be a column of ``fits``."""
+    schema = ", ".join([*(f"{c} {fits.schema[c].dataType.simpleString()}" for c in keys), "_rate double, omega double, zeta double, gain double"])
 
-    def dynamics(theta: list[float]) -> tuple[float, float, float]:
+    def dynamics(theta: list[float], rate_hz: float) -> tuple[float, float, float]:
         a, b = theta[:na], theta[na:]
         total = 1 + sum(a)
         gain = sum(b) / total if abs(total) > 1e-12 else 0.0
@@ -99,15 +99,16 @@ def poles_to_dynamics(fits: DataFrame, keys: Sequence[str], na: int, nb: int, ra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if found := [dynamics(t) for t in batch["theta"].to_pylist()]:
-                yield pa.RecordBatch.from_arrays([*(batch[c] for c in keys), *(pa.array(x, pa.float64()) for x in zip(*found, strict=True))], [*keys, "omega", "zeta", "gain"])
+            if found := [dynamics(t, rate) for t, rate in zip(batch["theta"].to_pylist(), batch["_rate"].to_pylist(), strict=True)]:
+                yield pa.RecordBatch.from_arrays([*(batch[c] for c in keys), batch["_rate"], *(pa.array(x, pa.float64()) for x in zip(*found, strict=True))], [*keys, "_rate", "omega", "zeta", "gain"])
 
     zeta = F.col("zeta")
     share = F.when(zeta < 0.5, 0.3).when(zeta < 0.8, 0.5).otherwise(0.7)
-    rows = fits.select(*keys, "theta").mapInArrow(run, schema)
+    rate = rate_hz if isinstance(rate_hz, Column) else F.lit(float(rate_hz))
+    rows = fits.select(*keys, "theta", rate.cast("double").alias("_rate")).mapInArrow(run, schema)
     rows = rows.withColumns({"omega": F.nanvl("omega", F.lit(None)), "zeta": F.nanvl("zeta", F.lit(None))})
-    bandwidth = F.least(share * F.col("omega") / (2 * F.pi()), F.lit(rate_hz / 10))
-    rows = rows.withColumn("bandwidth_hz", F.when(F.col("omega").isNotNull(), bandwidth))
+    bandwidth = F.least(share * F.col("omega") / (2 * F.pi()), F.col("_rate") / 10)
+    rows = rows.withColumn("bandwidth_hz", F.when(F.col("omega").isNotNull(), bandwidth)).drop("_rate")
     return rows.withColumn("p_gain", F.least(F.greatest(2 * F.pi() * F.col("bandwidth_hz") / 10, F.lit(0.01)), F.lit(0.5)))
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aerolake.operators import series
+
 METRICS = ("rise_time_ms", "overshoot_percent", "settling_time_ms", "oscillation_count", "ss_error_percent")
 #: axis: (min, max, ideal) of each of METRICS; fixed values.
 LIMITS = {
@@ -166,3 +168,39 @@ def step_window_reasons(rows: DataFrame, keys: Sequence[str], before: int = 5) -
 def time_domain_reason(n: Column, expected: int, holes: Column, top: Column, spread: Column, amplitude: Column) -> Column:
     """Why a window is left out of a mean step response, or ok."""
     return first_reason([(n < expected, "length"), (holes, "not_finite"), (top > 1500, "extreme_value"), (spread < 3, "flat"), (F.abs(amplitude) < 5, "small_step")])
+
+
+#: Of a mean step response: seconds before and after a step, samples that a series needs; fixed values.
+BEFORE_S, AFTER_S, LEAST_SAMPLES = 0.1, 1.5, 20
+
+
+def time_domain_response(samples: DataFrame, keys: Sequence[str], most_hz: float = 20.0, desired: str = "desired", actual: str = "actual") -> DataFrame:
+    """keys, rate_hz, lag, lag_s, response, windows: the mean of the responses to all usable steps, each from its baseline and in units of its step, for series
+    (idx from 0, ``rate_hz`` up to ``most_hz``) too slow for a deconvolution. A window is one short array: it holds at most ``AFTER_S`` and ``BEFORE_S`` of samples.
+    """
+    before, after = (F.greatest(F.lit(least), F.floor(seconds * F.col("rate_hz"))) for least, seconds in ((2, BEFORE_S), (5, AFTER_S)))
+    rows = samples.select(*keys, "idx", "rate_hz", F.col(desired).alias("desired"), F.col(actual).alias("actual"), before.alias("_before"), after.alias("_after"))
+    rows = series.long_enough(rows, keys, LEAST_SAMPLES)
+    rates = rows.groupBy(*keys).agg(F.first("rate_hz").alias("rate_hz"))
+    steps = series.time_domain_steps(rows.withColumn("value", F.col("desired")), keys, rates)
+    near = series.windows_around(rows, steps, keys, max(2, int(BEFORE_S * most_hz)), max(5, int(AFTER_S * most_hz)))
+    near = near.where((F.col("idx") >= F.col("step") - F.col("_before")) & (F.col("idx") < F.col("step") + F.col("_after")))
+    windows = near.groupBy(*keys, "rate_hz", "step", "_before", "_after").agg(F.array_sort(F.collect_list(F.struct("idx", "desired", "actual"))).alias("w"))
+    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda total, v: total + v) / F.size(x)
+    few = F.greatest(F.lit(2), F.floor(F.col("_before") / 2))
+    first = F.col("step") - F.col("w")[0]["idx"]  # place of the step in its window
+    head = F.least(first, few)
+    windows = windows.withColumns({"d": F.col("w.desired"), "a": F.col("w.actual"), "_head": head.cast("int"), "_first": first.cast("int"), "_few": few.cast("int")})
+    windows = windows.withColumn("_mean", mean(F.col("a")))
+    spread = F.sqrt(mean(F.transform("a", lambda v: (v - F.col("_mean")) * (v - F.col("_mean")))))
+    lost = F.exists(F.concat("a", "d"), lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    late = F.slice("d", F.col("_first") + 2, F.col("_few"))
+    usable = (F.size("w") >= F.col("_before") + 5) & ~lost & (F.col("_head") >= 1) & (F.size(late) > 0)
+    windows = windows.where(usable).withColumns({"_jump": mean(late) - mean(F.slice("d", F.lit(1), F.col("_head"))), "_base": mean(F.slice("a", F.lit(1), F.col("_head"))), "_spread": spread})
+    windows = windows.where((F.array_max(F.transform("a", F.abs)) <= 1500) & (F.col("_spread") >= 3) & (F.abs("_jump") >= 5))
+    own = F.transform("a", lambda v: F.least(F.greatest((v - F.col("_base")) / F.col("_jump"), F.lit(-0.5)), F.lit(2.0)))
+    windows = windows.withColumn("_own", F.slice(own, F.lit(1), F.col("_after").cast("int")))
+    filled = F.concat("_own", F.array_repeat(F.element_at("_own", -1), F.col("_after").cast("int") - F.size("_own")))
+    each = windows.select(*keys, "rate_hz", F.posexplode(filled).alias("lag", "v"))
+    found = each.groupBy(*keys, "rate_hz", F.col("lag").cast("long").alias("lag")).agg(F.avg("v").alias("response"), F.count("*").alias("windows"))
+    return found.withColumn("lag_s", F.col("lag") / F.col("rate_hz"))

@@ -22,6 +22,30 @@ def sample_rate(samples: DataFrame, keys: Keys, dt: str = "dt", shortest: float
     return gaps.groupBy(*keys).agg(F.count("*").alias("n_dt"), F.median(dt).alias("median_dt")).withColumn("rate_hz", 1 / F.col("median_dt"))
 
 
+def numbered(samples: DataFrame, keys: Keys, idx: str = "idx") -> DataFrame:
+    """``samples`` with ``idx`` counted anew from 0 within each series: messages of a log are numbered across all its series, samples are not."""
+    return samples.withColumn(idx, F.row_number().over(along(keys, idx)).cast("long") - 1)
+
+
+def measured_rate(samples: DataFrame, keys: Keys, t: str = "t", idx: str = "idx", longest: float = 1.0) -> DataFrame:
+    """keys, n (samples) and rate_hz (of the median gap under ``longest`` seconds, null without any) of each series."""
+    gap = F.col(t) - F.lag(t).over(along(keys, idx))
+    gaps = samples.select(*keys, gap.alias("_gap"))
+    usable = F.when((F.col("_gap") > 0) & (F.col("_gap") < longest), F.col("_gap"))
+    return gaps.groupBy(*keys).agg(F.count("*").alias("n"), (1 / F.median(usable)).alias("rate_hz"))
+
+
+def with_rate(samples: DataFrame, keys: Keys, rate: float | DataFrame | None = None, t: str = "t", idx: str = "idx", otherwise: float | None = None) -> DataFrame:
+    """``samples`` with ``rate_hz``: a given one, one for each series (keys, rate_hz), or what is measured; without any, ``otherwise``; series left without one go."""
+    if isinstance(rate, int | float):
+        return samples.withColumn("rate_hz", F.lit(float(rate)))
+    found = (measured_rate(samples, keys, t, idx) if rate is None else rate).select(*keys, "rate_hz")
+    joined = join_keys(samples, found, keys)
+    if otherwise is not None:
+        joined = joined.withColumn("rate_hz", F.coalesce("rate_hz", F.lit(float(otherwise))))
+    return joined.where("rate_hz > 0")
+
+
 def rate_consistency(samples: DataFrame, keys: Keys, dt: str = "dt", late: float = 1.5) -> DataFrame:
     """median_dt, jitter_pct (population deviation over the median), drops (gaps over ``late`` medians) and their rate."""
     gaps = samples.where(F.col(dt) > 0).withColumn("_m", F.median(dt).over(Window.partitionBy(*keys)))
@@ -41,31 +65,32 @@ def step_candidates(samples: DataFrame, keys: Keys, value: str = "value", idx: s
     return jumps.where(F.abs("jump") >= step_threshold(F.col("largest"), share, floor)).select(*keys, "step", "jump")
 
 
-def keep_spaced(candidates: DataFrame, keys: Keys, spacing: int, step: str = "step", block: int = 1 << 13) -> DataFrame:
-    """Of the candidates in order, each that is at least ``spacing`` after the last kept one. What a block of ``block`` indexes keeps hangs only
+def keep_spaced(candidates: DataFrame, keys: Keys, spacing: int | Column, step: str = "step", block: int = 1 << 13) -> DataFrame:
+    """Of the candidates in order, each that is at least ``spacing`` (a column: the series' own) after the last kept one. What a block of indexes keeps hangs only
     on the first index that may be kept in it, one of ``spacing``: so blocks are mapped from it to the next one's apart, a scan of these maps
     gives each block its own, and blocks are read again from there. A task holds a block, or a map of at most ``spacing`` numbers for each block of a series.
     """
-    block = max(block, 64 * spacing)
     kinds = ", ".join(f"{k} {candidates.schema[k].dataType.simpleString()}" for k in keys)
     at = F.col(step).cast("long")
-    blocks = candidates.where(at.isNotNull()).groupBy(*keys, F.floor(at / block).alias("_block")).agg(F.array_sort(F.collect_set(at)).alias("_steps"))
+    own = F.greatest(spacing.cast("long") if isinstance(spacing, Column) else F.lit(spacing).cast("long"), F.lit(1).cast("long"))
+    rows = candidates.select(*keys, at.alias("_at"), own.alias("_spacing"), F.greatest(F.lit(block).cast("long"), 64 * own).alias("_long")).where("_at is not null")
+    blocks = rows.groupBy(*keys, F.floor(F.col("_at") / F.col("_long")).alias("_block")).agg(F.array_sort(F.collect_set("_at")).alias("_steps"), F.first("_spacing").alias("_spacing"), F.first("_long").alias("_long"))
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for number, steps in zip(batch["_block"].to_pylist(), batch["_steps"], strict=True):
+            for number, steps, spacing, long in zip(batch["_block"].to_pylist(), batch["_steps"], batch["_spacing"].to_pylist(), batch["_long"].to_pylist(), strict=True):
                 steps = steps.values.to_numpy()
                 after = np.searchsorted(steps, steps + spacing)
                 end = np.append(steps + spacing, 0)
                 for i in range(len(steps) - 1, -1, -1):
                     if after[i] < len(steps):
                         end[i] = end[after[i]]
-                starts = number * block + np.arange(spacing)
+                starts = number * long + np.arange(spacing)
                 found = np.searchsorted(steps, starts)
                 own = np.where(found < len(steps), end[found], starts)
                 out.append(own[:1] if (own == own[0]).all() else own)
-            yield pa.RecordBatch.from_arrays([*(batch[k] for k in keys), batch["_block"], pa.array(out, pa.list_(pa.int64()))], [*keys, "_block", "_ends"])
+            yield pa.RecordBatch.from_arrays([*(batch[k] for k in keys), batch["_block"], batch["_long"], pa.array(out, pa.list_(pa.int64()))], [*keys, "_block", "_long", "_ends"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,7 +98,7 @@ def keep_spaced(candidates: DataFrame, keys: Keys, spacing: int, step: str = "st
             for row, maps in enumerate(batch["_maps"].to_pylist()):
                 start = None
                 for m in maps:
-                    first = m["_block"] * block
+                    first = m["_block"] * m["_long"]
                     start = first if start is None else max(first, start)
                     rows.append(row)
                     numbers.append(m["_block"])
@@ -84,7 +109,7 @@ def keep_spaced(candidates: DataFrame, keys: Keys, spacing: int, step: str = "st
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, kept = [], []
-            for row, (start, steps) in enumerate(zip(batch["_start"].to_pylist(), batch["_steps"].to_pylist(), strict=True)):
+            for row, (start, steps, spacing) in enumerate(zip(batch["_start"].to_pylist(), batch["_steps"].to_pylist(), batch["_spacing"].to_pylist(), strict=True)):
                 for i in steps:
                     if i >= start:
                         rows.append(row)
@@ -92,15 +117,23 @@ def keep_spaced(candidates: DataFrame, keys: Keys, spacing: int, step: str = "st
                         start = i + spacing
             yield pa.RecordBatch.from_arrays([*(batch[k].take(pa.array(rows, pa.int64())) for k in keys), pa.array(kept, pa.int64())], [*keys, step])
 
-    mapped = blocks.mapInArrow(ends, f"{kinds}, _block long, _ends array<long>")
-    maps = mapped.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_block", "_ends"))).alias("_maps"))
+    mapped = blocks.mapInArrow(ends, f"{kinds}, _block long, _long long, _ends array<long>")
+    maps = mapped.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_block", "_long", "_ends"))).alias("_maps"))
     starts = maps.mapInArrow(scan, f"{kinds}, _block long, _start long")
     return join_keys(blocks, starts, [*keys, "_block"]).mapInArrow(keep, f"{kinds}, {step} long")
 
 
-def time_domain_steps(samples: DataFrame, keys: Keys, rate_hz: float, value: str = "value", idx: str = "idx") -> DataFrame:
-    """Steps of a mean step response: at least half a second apart, and jumps of 5 or more where a signal is flat."""
-    return keep_spaced(step_candidates(samples, keys, value, idx, floor=5.0), keys, max(1, int(0.5 * rate_hz)))
+def spacing_of(rate_hz: Column, milliseconds: float = 200.0) -> Column:
+    """Samples that ``milliseconds`` hold at a rate, one at least."""
+    return F.greatest(F.bround(rate_hz * milliseconds / 1000).cast("long"), F.lit(1).cast("long"))
+
+
+def time_domain_steps(samples: DataFrame, keys: Keys, rate_hz: float | DataFrame, value: str = "value", idx: str = "idx") -> DataFrame:
+    """Steps of a mean step response: at least half a second apart by the rate of all series, or of each (keys, rate_hz); jumps of 5 or more where a signal is flat."""
+    found = step_candidates(samples, keys, value, idx, floor=5.0)
+    if isinstance(rate_hz, DataFrame):
+        return keep_spaced(join_keys(found, rate_hz.select(*keys, "rate_hz"), keys), keys, F.floor(0.5 * F.col("rate_hz")))
+    return keep_spaced(found, keys, max(1, int(0.5 * rate_hz)))
 
 
 def join_keys(left: DataFrame, right: DataFrame, keys: Keys) -> DataFrame:

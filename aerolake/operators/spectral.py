@@ -57,30 +57,56 @@ def frame_spectra(rows: DataFrame, keys: Sequence[str], samples: str, rate_hz: f
     return rows.select(*keys, samples).mapInArrow(run, schema)
 
 
-def series_spectra(samples: DataFrame, keys: Sequence[str], size: int, overlap: float, rate_hz: float, value: str = "value", scaling: str = "linear", order: str = "idx", segment: int = 1 << 16) -> DataFrame:
-    """keys, frame, spectrum: of the complete overlapping frames of each series. A task holds ``segment`` samples and those that frames starting
-    in them need from the next ones, and cuts its frames there: samples move about once, however much the frames overlap.
+def window_column(rate_hz: Column, samples: Column) -> Column:
+    """``window_size`` of each row."""
+    second = F.greatest(F.floor(rate_hz), F.lit(64))
+    return F.least(F.pow(F.lit(2), F.ceil(F.log2(second))).cast("long"), samples.cast("long"))
+
+
+def framed_spectra(samples: DataFrame, keys: Sequence[str], size: Column, overlap: float, rate_hz: Column, value: str = "value", scaling: str = "linear", order: str = "idx", segment: int = 1 << 16) -> DataFrame:
+    """keys, size, rate_hz, frame, spectrum: of the complete overlapping frames of each series; ``size`` and ``rate_hz`` are the same in all rows of a series.
+    A task holds ``segment`` samples and those that frames starting in them need from the next ones, and cuts its frames there: samples move
+    about once, however much the frames overlap.
     """
-    hop = max(1, int(size * (1 - overlap)))
-    segment = max(1, segment // hop) * hop
     kinds = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys)
-    at = F.col("_at")
-    rows = samples.select(*keys, F.col(order).cast("long").alias("_at"), F.col(value).cast("double").alias("_v"))
-    parts = rows.withColumn("_segment", F.explode(F.sequence(F.greatest(F.lit(0), F.floor((at - size + 1) / segment)), F.floor(at / segment))))
+    rows = samples.select(*keys, F.col(order).cast("long").alias("_at"), F.col(value).cast("double").alias("_v"), size.cast("long").alias("_size"), rate_hz.cast("double").alias("_rate")).where("_size > 0")
+    hop = F.greatest(F.lit(1).cast("long"), F.floor(F.col("_size") * F.lit(1 - overlap)))
+    rows = rows.withColumn("_hop", hop).withColumn("_long", F.greatest(F.lit(1).cast("long"), F.floor(F.lit(segment) / F.col("_hop"))) * F.col("_hop"))
+    first = F.greatest(F.lit(0).cast("long"), F.floor((F.col("_at") - F.col("_size") + 1) / F.col("_long")))
+    parts = rows.withColumn("_segment", F.explode(F.sequence(first, F.floor(F.col("_at") / F.col("_long")))))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("_at")
+        size, hop, long, rate = (table[c][0].as_py() for c in ("_size", "_hop", "_long", "_rate"))
         at, values = table["_at"].to_numpy(), np.nan_to_num(table["_v"].to_numpy(zero_copy_only=False).astype(float))
-        first = table["_segment"][0].as_py() * segment
-        starts = np.arange(first, min(first + segment, int(at[-1]) - size + 2), hop)
+        first = table["_segment"][0].as_py() * long
+        starts = np.arange(first, min(first + long, int(at[-1]) - size + 2), hop)
         places = np.searchsorted(at, starts)
         whole = (places + size <= len(at)) & (at[np.minimum(places, len(at) - 1)] == starts) & (at[np.minimum(places + size, len(at)) - 1] == starts + size - 1)
         starts, places = starts[whole], places[whole]
-        spectra = amplitude_spectra(values[places[:, None] + np.arange(size)], rate_hz, scaling) if len(starts) else np.zeros((0, size // 2 + 1))
+        spectra = amplitude_spectra(values[places[:, None] + np.arange(size)], rate, scaling) if len(starts) else np.zeros((0, size // 2 + 1))
         bins = pa.ListArray.from_arrays(pa.array(np.arange(0, spectra.size + 1, size // 2 + 1), pa.int32()), pa.array(spectra.ravel()))
-        return pa.table({**{k: pa.array([table[k][0].as_py()] * len(starts), table.schema.field(k).type) for k in keys}, "frame": pa.array(starts // hop, pa.int64()), "spectrum": bins})
+        n = len(starts)
+        return pa.table({**{k: pa.array([table[k][0].as_py()] * n, table.schema.field(k).type) for k in keys}, "size": np.full(n, size, np.int64), "rate_hz": np.full(n, rate, np.float64), "frame": pa.array(starts // hop, pa.int64()), "spectrum": bins})
+
+    return parts.groupBy(*keys, "_segment").applyInArrow(run, f"{kinds}, size long, rate_hz double, frame long, spectrum array<double>")
 
-    return parts.groupBy(*keys, "_segment").applyInArrow(run, f"{kinds}, frame long, spectrum array<double>")
+
+def series_spectra(samples: DataFrame, keys: Sequence[str], size: int, overlap: float, rate_hz: float, value: str = "value", scaling: str = "linear", order: str = "idx", segment: int = 1 << 16) -> DataFrame:
+    """keys, frame, spectrum of the frames of each series, all of one size and rate."""
+    return framed_spectra(samples, keys, F.lit(size), overlap, F.lit(rate_hz), value, scaling, order, segment).drop("size", "rate_hz")
+
+
+def measured_spectrum(samples: DataFrame, keys: Sequence[str], overlap: float = 0.5, rate_hz: float | DataFrame | None = None, value: str = "value", scaling: str = "linear", t: str = "t") -> DataFrame:
+    """keys, rate_hz, size, bin, freq, magnitude, frames: the mean spectrum of each series by its own rate (``series.with_rate``), in frames that hold about a second
+    of it, whatever numbers its samples have. Series of all rates are in one plan.
+    """
+    rows = series.with_rate(series.numbered(samples.select(*keys, "idx", t, value), keys), keys, rate_hz, t)
+    n = F.count("*").over(Window.partitionBy(*keys))
+    found = framed_spectra(rows.withColumn("_n", n), keys, window_column(F.col("rate_hz"), F.col("_n")), overlap, F.col("rate_hz"), value, scaling)
+    bins = found.select(*keys, "rate_hz", "size", F.posexplode("spectrum").alias("bin", "m"))
+    means = bins.groupBy(*keys, "rate_hz", "size", F.col("bin").cast("long").alias("bin")).agg(F.avg("m").alias("magnitude"), F.count("*").alias("frames"))
+    return means.withColumn("freq", F.col("bin") * F.col("rate_hz") / F.col("size"))
 
 
 def spectrogram(samples: DataFrame, keys: Sequence[str], size: int, overlap: float, rate_hz: float, value: str = "value") -> DataFrame:
@@ -245,23 +271,25 @@ def step_response(
     return total / max(1, counted), counted
 
 
-def wiener_step(samples: DataFrame, keys: Sequence[str], rate_hz: float, desired: str = "desired", actual: str = "actual", order: str = "idx", segment: int = 1 << 16, **gates: float) -> DataFrame:
-    """keys, lag_s, response, windows of each series. A task holds ``segment`` samples, with those that windows starting in them need from
-    the next ones; window size and hop grid are the whole series', so segments change nothing and no kernel holds a whole flight.
+def wiener_step(samples: DataFrame, keys: Sequence[str], rate_hz: float | Column, desired: str = "desired", actual: str = "actual", order: str = "idx", segment: int = 1 << 16, **gates: float) -> DataFrame:
+    """keys, rate_hz, lag, lag_s, response, windows of each series; ``rate_hz`` may be a column, the same in all rows of a series. A task holds ``segment`` samples, with
+    those that windows starting in them need from the next ones; window size and hop grid are the whole series', so segments change nothing and no kernel holds a whole flight.
     """
     kinds = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys)
     n, at = F.count("*").over(Window.partitionBy(*keys)), F.row_number().over(series.along(keys, order)) - 1
-    size = F.greatest(F.lit(64), F.least(F.lit(response_window(rate_hz)), F.floor(F.col("_n") / 2)))
-    rows = samples.select(*keys, desired, actual, n.alias("_n"), at.cast("long").alias("_at"))
+    rate = rate_hz if isinstance(rate_hz, Column) else F.lit(float(rate_hz))
+    second = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.floor("_rate"), F.lit(1))))).cast("long")
+    size = F.greatest(F.lit(64), F.least(second, F.floor(F.col("_n") / 2)))
+    rows = samples.select(*keys, desired, actual, n.alias("_n"), at.cast("long").alias("_at"), rate.cast("double").alias("_rate"))
     parts = rows.withColumn("_segment", F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("_at") - size + 1) / segment)), F.floor(F.col("_at") / segment))))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("_at")
-        offset = table["_segment"][0].as_py() * segment
-        response, windows = step_response(table[desired].to_numpy().astype(float), table[actual].to_numpy().astype(float), rate_hz, whole=table["_n"][0].as_py(), offset=offset, past=segment, **gates)
+        offset, rate = table["_segment"][0].as_py() * segment, table["_rate"][0].as_py()
+        response, windows = step_response(table[desired].to_numpy().astype(float), table[actual].to_numpy().astype(float), rate, whole=table["_n"][0].as_py(), offset=offset, past=segment, **gates)
         n = len(response)
-        return pa.table({**{k: pa.array([table[k][0].as_py()] * n, table.schema.field(k).type) for k in keys}, "lag": np.arange(n), "response": response, "windows": np.full(n, windows)})
+        return pa.table({**{k: pa.array([table[k][0].as_py()] * n, table.schema.field(k).type) for k in keys}, "rate_hz": np.full(n, rate), "lag": np.arange(n), "response": response, "windows": np.full(n, windows)})
 
-    found = parts.groupBy(*keys, "_segment").applyInArrow(run, f"{kinds}, lag long, response double, windows long")
+    found = parts.groupBy(*keys, "_segment").applyInArrow(run, f"{kinds}, rate_hz double, lag long, response double, windows long")
     weighted = F.try_divide(F.sum(F.col("response") * F.col("windows")), F.sum("windows"))
-    return found.groupBy(*keys, "lag").agg(weighted.alias("response"), F.sum("windows").alias("windows")).withColumn("lag_s", F.col("lag") / rate_hz)
+    return found.groupBy(*keys, "rate_hz", "lag").agg(weighted.alias("response"), F.sum("windows").alias("windows")).withColumn("lag_s", F.col("lag") / F.col("rate_hz"))

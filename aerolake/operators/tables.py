@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolake.functions import units
@@ -90,9 +90,32 @@ def dataflash_modes(messages: DataFrame) -> DataFrame:
 
 
 def dataflash_position(messages: DataFrame) -> DataFrame:
-    """flight_id, lat, lon, alt of the middle fix (status 3 or better) of a flight."""
-    rows = numbers(seconds(messages.where("mtype = 'GPS'")), {"lat": value("Lat"), "lon": value("Lng"), "alt": value("Alt"), "status": value("Status")})
-    return middle_fix(rows.where("coalesce(status, 3) >= 3").drop("status"))
+    """flight_id, lat, lon, alt: of the middle fix (status 3 or better) of a flight; without one of its last origin, else of its middle AHR2 estimate."""
+    rows = seconds(messages.where(F.col("mtype").isin("GPS", "ORGN", "AHR2")))
+    degrees = lambda c: F.when(F.abs(c) > 1000, c * 1e-7).otherwise(c)
+    found = numbers(rows, {"lat": degrees(value("Lat")), "lon": degrees(value("Lng")), "alt": value("Alt"), "status": value("Status"), "kind": F.col("mtype")})
+    usable = (F.col("kind") != "GPS") | (F.coalesce("status", F.lit(3.0)) >= 3)
+    placed = found.where(usable & ((F.col("lat") != 0) | (F.col("lon") != 0))).drop("status")
+    rank = F.when(F.col("kind") == "GPS", 0).when(F.col("kind") == "ORGN", 1).otherwise(2)
+    best = series.by_priority(placed, ["flight_id"], rank)
+    last = F.max("idx").over(Window.partitionBy("flight_id"))
+    return middle_fix(best.withColumn("_last", last).where("kind <> 'ORGN' or idx = _last").drop("kind", "_last"))
+
+
+def dataflash_versions(messages: DataFrame) -> DataFrame:
+    """flight_id, firmware (text of the last VER message), board, idx, t."""
+    rows = seconds(messages.where("mtype = 'VER'")).select(flight(), "idx", "t", F.col("text").alias("firmware"), value("APJ").cast("long").alias("board"))
+    return rows.withColumn("_last", F.max("idx").over(Window.partitionBy("flight_id"))).where("idx = _last").drop("_last")
+
+
+def dataflash_texts(messages: DataFrame) -> DataFrame:
+    """flight_id, idx, t, text of what the vehicle said (MSG)."""
+    return seconds(messages.where("mtype = 'MSG'")).select(flight(), "idx", "t", "text").where("text is not null")
+
+
+def dataflash_autotune(messages: DataFrame) -> DataFrame:
+    """flight_id, idx, t, axis, p, i, d of ATUN messages."""
+    return numbers(seconds(messages.where("mtype = 'ATUN'")), {"axis": value("Axis"), "p": value("P", "RP"), "i": value("I"), "d": value("D", "RD")})
 
 
 # ULog

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolake.operators import attitude, filters, models
+from aerolake.operators import attitude, filters, geomagnetic, models
 from aerolake.plans.registry import SIGNALS, Tables, query
 
 USER = ["user_id"]
@@ -247,6 +249,43 @@ def wmm_bilinear(t: Tables) -> DataFrame:
     return rows.select("c_custkey", *(F.round(c, 4).alias(c) for c in ("declination", "inclination", "intensity")))
 
 
+def harmonic_twin() -> str:
+    """CTEs over places (id, lat, lon, alt) to field (id, north, east, down in nT): each degree's functions from those of the two before it."""
+    model = geomagnetic.terms()
+    top = max(n for n, *_ in model)
+    squeeze = geomagnetic.FLATTENING * (2 - geomagnetic.FLATTENING)
+    ctes = [f"""bent as (select *, radians(lat) as phi, radians(lon) as lam, {geomagnetic.AXIS_KM} / sqrt(1 - {squeeze!r} * sin(radians(lat)) ** 2) as bend from places),
+        seen as (select *, (bend + alt / 1000) * cos(phi) as flat, (bend * (1 - {squeeze!r}) + alt / 1000) * sin(phi) as up from bent),
+        d0 as (select *, sqrt(flat * flat + up * up) as r, asin(up / sqrt(flat * flat + up * up)) as gc, up / sqrt(flat * flat + up * up) as c, greatest(cos(asin(up / sqrt(flat * flat + up * up))), 1e-9) as s, 1::double as p0_0, 0::double as q0_0 from seen)"""]
+    for n in range(1, top + 1):
+        own = []
+        for m in range(n + 1):
+            if m == n:
+                k = math.sqrt((2 * n - 1) / (2 * n)) if n > 1 else 1.0
+                own += [f"{k!r} * s * p{n - 1}_{m - 1} as p{n}_{m}", f"{k!r} * (s * q{n - 1}_{m - 1} + c * p{n - 1}_{m - 1}) as q{n}_{m}"]
+            else:
+                root = math.sqrt(n * n - m * m)
+                less = lambda f, n=n, m=m: f" - {math.sqrt((n - 1) ** 2 - m * m)!r} * {f}{n - 2}_{m}" if m < n - 1 else ""
+                own += [f"({2 * n - 1} * c * p{n - 1}_{m}{less('p')}) / {root!r} as p{n}_{m}", f"({2 * n - 1} * (c * q{n - 1}_{m} - s * p{n - 1}_{m}){less('q')}) / {root!r} as q{n}_{m}"]
+        ctes.append(f"d{n} as (select *, {', '.join(own)} from d{n - 1})")
+    part = lambda g, h, m: f"({g!r} * cos({m} * lam) + {h!r} * sin({m} * lam))"
+    scale = lambda n: f"({geomagnetic.RADIUS_KM} / r) ** {n + 2}"
+    x = " + ".join(f"{scale(n)} * {part(g, h, m)} * q{n}_{m}" for n, m, g, h, *_ in model)
+    y = " + ".join(f"{scale(n)} * {m} * {part(-h, g, m)} * p{n}_{m} / s" for n, m, g, h, *_ in model)
+    z = " - ".join(["0", *(f"{scale(n)} * {n + 1} * {part(g, h, m)} * p{n}_{m}" for n, m, g, h, *_ in model)])
+    return f"{', '.join(ctes)}, sums as (select id, gc - phi as lean, {x} as x, {y} as y, {z} as z from d{top}), field as (select id, x * cos(lean) - z * sin(lean) as north, y as east, x * sin(lean) + z * cos(lean) as down from sums)"
+
+
+@query(f"""with places as (select c_custkey as id, (c_custkey * 37 % 1780) / 10.0::double - 89 as lat, (c_custkey * 91 % 7200) / 10.0::double - 360 as lon, (c_custkey * 7 % 9000)::double as alt from customer),
+    {harmonic_twin()}
+    select id as c_custkey, round(north / 100, 4) as north, round(east / 100, 4) as east, round(down / 100, 4) as down, round(degrees(atan2(east, north)), 4) as declination,
+        round(degrees(atan2(down, sqrt(north ** 2 + east ** 2))), 4) as inclination, round(sqrt(north ** 2 + east ** 2 + down ** 2) / 100, 4) as intensity from field""")
+def field_model(t: Tables) -> DataFrame:
+    key = F.col("c_custkey")
+    places = t.customer.select("c_custkey", ((key * 37 % 1780) / 10.0 - 89).alias("lat"), ((key * 91 % 7200) / 10.0 - 360).alias("lon"), (key * 7 % 9000).cast("double").alias("alt"))
+    return geomagnetic.model_field(places).select("c_custkey", *(F.round(c, 4).alias(c) for c in geomagnetic.FIELD))
+
+
 @query(f"""with d as (select o_orderkey, o_orderkey * 2654435 % 16777216 as id from orders)
     select o_orderkey, id & 7 as bus_type, (id >> 3) & 31 as bus, (id >> 8) & 255 as address, (id >> 16) & 255 as device, case id & 7 {" ".join(f"when {k} then '{v}'" for k, v in attitude.BUSES.items())} else 'unknown' end as bus_name from d""")
 def devid_decode(t: Tables) -> DataFrame:

@@ -145,8 +145,8 @@ def phase_sync(t: Tables) -> DataFrame:
 @query("""with x as (select user_id, list(value order by ts, event_id) as v from events group by user_id)
     select user_id, least(len(v), 90)::bigint as own, round(list_sum(list_resize(v[1:90], 90, v[least(len(v), 90)])), 4) as total from x""")
 def pad_last(t: Tables) -> DataFrame:
-    values = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda s: s["value"])
-    rows = t.events.groupBy("user_id").agg(values.alias("v"))
+    first = t.events.withColumn("k", F.row_number().over(series.along(["user_id"], "ts", "event_id"))).where("k <= 90")
+    rows = first.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda s: s["value"]).alias("v"))
     padded = responses.padded(F.col("v"), 90)
     return rows.select("user_id", F.least(F.size("v"), F.lit(90)).cast("long").alias("own"), F.round(F.aggregate(padded, F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 

@@ -53,18 +53,32 @@ class Flights:
     motors: DataFrame | None = None
     modes: DataFrame | None = None
     position: DataFrame | None = None
+    versions: DataFrame | None = None
+    texts: DataFrame | None = None
+    autotune: DataFrame | None = None
     extra: dict[str, Callable[[Flights], DataFrame]] = field(default_factory=dict)
 
     @classmethod
     def from_messages(cls, messages: DataFrame, kind: str) -> Flights:
         """All tables that messages of dataflash, ulog or telemetry logs hold."""
         own = lambda name: getattr(tables, f"{kind}_{name}", None) or getattr(ingest, f"{kind}_{name}", None)
-        found = {name: make(messages) for name in ("pid", "imu", "mag", "params", "attitude", "battery", "motors", "modes", "position") if (make := own(name))}
+        found = {name: make(messages) for name in TABLES if (make := own(name))}
         platform = "px4" if kind == "ulog" else "ardupilot"
         if "params" in found:
             found["params"] = tables.mirrored(found["params"], platform, overwrite=platform == "px4")
         return cls(platform, **found)
 
+    @classmethod
+    def from_blackbox(cls, frames: DataFrame, headers: DataFrame) -> Flights:
+        """All tables that decoded blackbox logs hold; every segment of a file is a flight."""
+        found = {name: make(frames, headers) for name in TABLES if (make := getattr(ingest, f"blackbox_{name}", None))}
+        found["params"] = tables.mirrored(found["params"], "betaflight")
+        return cls("betaflight", **found)
+
+
+#: Tables of ``Flights`` that a log format can fill.
+TABLES = ("pid", "imu", "mag", "params", "attitude", "battery", "motors", "modes", "position", "versions", "texts", "autotune")
+
 
 def sampled(samples: DataFrame, keys: Sequence[str], rate_hz: float | DataFrame | None = None, otherwise: float | None = None) -> DataFrame:
     """A table of ``Flights`` with its samples numbered series by series, and the rate of each series: given, or measured."""

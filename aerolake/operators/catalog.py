@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 NUMBERED = r"^([A-Z]+)[0-9]+_"
 PLACEHOLDER = "@[A-Z_]+@"
-NAME_SHAPE = "^[A-Z][A-Z0-9_]*$"
+NAME_SHAPE = "^[A-Za-z0-9][A-Za-z0-9_]*$"
 
 
 def lookup(catalog: DataFrame, name: str) -> DataFrame:
@@ -97,7 +97,7 @@ def lint(catalog: DataFrame, many: int = 20) -> DataFrame:
     members = F.coalesce(F.map_keys("members"), F.array().cast("array<string>"))
     digit = F.col("name").rlike("^[0-9]")
     by_row = [
-        (~F.col("name").rlike(NAME_SHAPE) & ~digit, "name_shape", "error"),
+        (~F.col("name").rlike(NAME_SHAPE), "name_shape", "error"),
         (digit, "digit_leading_name", "warn"),
         (F.col("description").rlike(PLACEHOLDER), "placeholder_leak", "error"),
         (empty, "empty_description", "warn"),

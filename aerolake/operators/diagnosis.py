@@ -83,7 +83,7 @@ def own_system(frames: DataFrame, keys: Sequence[str], system: str, is_vehicle:
     return rows.where(F.col("_lock").isNull() | (F.col("_at") < F.col("_lock.at")) | (F.col(system) == F.col("_lock.s"))).drop("_at", "_hit", "_lock")
 
 
-def categorize(name: Column, rules: Sequence[tuple[str, str]], otherwise: str = "other") -> Column:
+def categorize(name: Column, rules: Sequence[tuple[str, str]], otherwise: str | Column = "other") -> Column:
     """Category of the first pattern that a name matches."""
     out = F.lit(otherwise)
     for pattern, category in reversed(rules):

@@ -92,9 +92,84 @@ def blackbox_pid(frames: DataFrame, headers: DataFrame) -> DataFrame:
     every = F.when(F.contains(interval, F.lit("/")), denominator / F.greatest(numerator, F.lit(1.0))).otherwise(numerator)
     head = headers.select("path", "segment", (1e6 / (number("looptime", 250) * every)).alias("rate_hz"), (number("blackbox_high_resolution", 0) > 0).alias("fine"))
     rows = frames.where("kind in ('I', 'P')").join(head, ["path", "segment"])
+    rows = rows.withColumn("idx", F.col("idx").cast("long"))
     of = lambda name: F.try_element_at("values", F.lit(name)).cast("double")
     axes = ("roll", "pitch", "yaw")
     each = F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), units.tenths("setpoint", of(f"setpoint[{k}]"), F.col("fine")).alias("desired"), units.tenths("gyroADC", of(f"gyroADC[{k}]"), F.col("fine")).alias("actual"), of(f"axisP[{k}]").alias("p"), of(f"axisI[{k}]").alias("i"), of(f"axisD[{k}]").alias("d"), of(f"axisF[{k}]").alias("ff")) for k, a in enumerate(axes))))
     own = F.concat(F.col("path"), F.lit("#"), F.col("segment").cast("string")).alias("flight_id")
     out = rows.select(own, "segment", "idx", (F.col("idx") / F.col("rate_hz")).alias("t"), each.alias("r")).select("flight_id", "segment", "r.axis", "idx", "t", *(f"r.{c}" for c in ("desired", "actual", "p", "i", "d", "ff")))
-    return out.where("actual is not null")
+    repaired = series.repair_outliers(out.where("actual is not null"), ["flight_id", "axis"], MOST_RATE, "actual")
+    return repaired.withColumn("actual", F.col("repaired")).drop("repaired")
+
+
+#: Degrees a second beyond which a decoded rate is a lost frame's; throttle pulses of a log without them; fixed values.
+MOST_RATE, LOW_PULSE, HIGH_PULSE = 2000.0, 1070.0, 2000.0
+
+
+def blackbox_rows(frames: DataFrame, headers: DataFrame, kinds: str = "'I', 'P'") -> DataFrame:
+    """flight_id, idx, t, kind, values, properties, fine of the frames of every segment, on the clock of ``blackbox_pid``."""
+    of = lambda name, default: F.coalesce(F.try_element_at("properties", F.lit(name)).cast("double"), F.lit(float(default)))
+    interval = F.coalesce(F.try_element_at("properties", F.lit("P interval")), F.lit("1/1"))
+    parts = F.transform(F.split(interval, "/"), lambda x: F.greatest(F.coalesce(x.try_cast("double"), F.lit(1.0)), F.lit(1.0)))
+    every = F.when(F.size(parts) > 1, parts[1] / parts[0]).otherwise(parts[0])
+    head = headers.select("path", "segment", "properties", (1e6 / (of("looptime", 250) * every)).alias("rate_hz"), (of("blackbox_high_resolution", 0) > 0).alias("fine"))
+    rows = frames.where(f"kind in ({kinds})").join(head, ["path", "segment"])
+    own = F.concat("path", F.lit("#"), F.col("segment").cast("string"))
+    return rows.select(own.alias("flight_id"), F.col("idx").cast("long").alias("idx"), (F.col("idx") / F.col("rate_hz")).alias("t"), "kind", "values", "properties", "fine")
+
+
+def frame_value(*names: str) -> Column:
+    """The first of these fields that a frame has."""
+    return F.coalesce(*(F.try_element_at("values", F.lit(n)).cast("double") for n in names))
+
+
+def property_value(name: str, default: float) -> Column:
+    return F.coalesce(F.try_element_at("properties", F.lit(name)).try_cast("double"), F.lit(float(default)))
+
+
+def blackbox_imu(frames: DataFrame, headers: DataFrame, unfiltered: bool = False) -> DataFrame:
+    """imu_samples: gyro in deg/s, values that lost frames make repaired; acceleration in m/s2 (null without it). ``unfiltered``: the gyro before its filters, where it is logged."""
+    rows = blackbox_rows(frames, headers)
+    gyro = {f"g{a}": units.tenths("gyroADC", frame_value(*([f"gyroUnfilt[{k}]"] if unfiltered else [f"gyroADC[{k}]", f"gyroData[{k}]"])), F.col("fine")) for k, a in enumerate("xyz")}
+    acc = {f"a{a}": units.acceleration_from_adc(frame_value(f"accSmooth[{k}]", f"accData[{k}]"), property_value("acc_1G", 256)) for k, a in enumerate("xyz")}
+    out = rows.select("flight_id", "idx", "t", *(c.alias(n) for n, c in {**gyro, **acc}.items())).where("gx is not null")
+    for n in gyro:
+        out = series.repair_outliers(out, ["flight_id"], MOST_RATE, n).withColumn(n, F.col("repaired")).drop("repaired")
+    return out
+
+
+def blackbox_motors(frames: DataFrame, headers: DataFrame, channels: int = 8) -> DataFrame:
+    """flight_id, idx, t, channel, output (share of the throttle range that the header gives)."""
+    rows = blackbox_rows(frames, headers)
+    low, high = property_value("minthrottle", LOW_PULSE), property_value("maxthrottle", HIGH_PULSE)
+    raw = lambda k: frame_value(f"motor[{k}]")
+    each = F.explode(F.array(*(F.struct(F.lit(k + 1).alias("channel"), F.when(raw(k).isNotNull() & (high > low), units.motor_share(raw(k), low, high)).otherwise(raw(k)).alias("output")) for k in range(channels))))
+    return rows.select("flight_id", "idx", "t", each.alias("c")).select("flight_id", "idx", "t", "c.*").where("output is not null")
+
+
+def blackbox_battery(frames: DataFrame, headers: DataFrame) -> DataFrame:
+    """flight_id, idx, t, volt, curr of logs that hold them, in hundredths."""
+    rows = blackbox_rows(frames, headers)
+    return rows.select("flight_id", "idx", "t", (frame_value("vbatLatest") / 100).alias("volt"), units.drawn_current(frame_value("amperageLatest") / 100).alias("curr")).where("volt is not null")
+
+
+#: Number of the event that holds flight mode flags; a fixed value.
+MODE_EVENT = 30
+
+
+def blackbox_modes(frames: DataFrame, headers: DataFrame) -> DataFrame:
+    """flight_id, idx, t, mode_number (flags), mode_name at each change, from the slow fields and from mode events."""
+    from aerolake.operators import tables
+
+    rows = blackbox_rows(frames, headers, "'I', 'P', 'E'")
+    flags = F.when(F.col("kind") == "E", F.when(frame_value("event") == MODE_EVENT, frame_value("value0"))).otherwise(frame_value("flightModeFlags"))
+    known = rows.select("flight_id", "idx", "t", F.when(F.col("kind") == "E", 0).otherwise(1).alias("_late"), flags.alias("mode_number")).where("mode_number is not null")
+    changed = series.changes(known, ["flight_id"], "mode_number", "idx", "_late")
+    return changed.select("flight_id", "idx", "t", "mode_number", tables.betaflight_mode(F.col("mode_number")).alias("mode_name"))
+
+
+def blackbox_params(frames: DataFrame, headers: DataFrame) -> DataFrame:
+    """params: the numbers among the header properties of every segment."""
+    own = F.concat("path", F.lit("#"), F.col("segment").cast("string"))
+    rows = headers.select(own.alias("flight_id"), F.explode("properties").alias("name", "value"))
+    return rows.select("flight_id", "name", F.col("value").try_cast("double").alias("value")).where("value is not null")

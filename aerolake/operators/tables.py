@@ -26,7 +26,7 @@ GENERIC = {
         "INS_HNTCH_ENABLE": "filter.notch1.enable", "INS_HNTCH_FREQ": "filter.notch1.freq", "INS_HNTCH_BW": "filter.notch1.bw", "INS_GYRO_FILTER": "filter.gyro_lpf", "INS_ACCEL_FILTER": "filter.accel_lpf",
         "COMPASS_OFS_X": "mag.ofs.x", "COMPASS_OFS_Y": "mag.ofs.y", "COMPASS_OFS_Z": "mag.ofs.z",
     },
-    "betaflight": {**{f"pid_{n}_{g}": f"pid.{n}.{'ff' if g == 'f' else g}" for n in ("roll", "pitch", "yaw") for g in "pidf"}, "gyro_lowpass_hz": "filter.gyro_lpf", "gyro_lowpass2_hz": "filter.gyro_lpf2", "dterm_lowpass_hz": "filter.dterm_lpf"},
+    "betaflight": {**{f"{g}_{n}": f"pid.{n}.{'ff' if g == 'f' else g}" for n in ("roll", "pitch", "yaw") for g in "pidf"}, "gyro_lpf1_static_hz": "filter.gyro_lpf", "gyro_lpf2_static_hz": "filter.gyro_lpf2", "dterm_lpf1_static_hz": "filter.dterm_lpf", **{f"pid_{n}_{g}": f"pid.{n}.{'ff' if g == 'f' else g}" for n in ("roll", "pitch", "yaw") for g in "pidf"}, "gyro_lowpass_hz": "filter.gyro_lpf", "gyro_lowpass2_hz": "filter.gyro_lpf2", "dterm_lowpass_hz": "filter.dterm_lpf"},
     "px4": {**{f"MC_{n}RATE_{g}": f"pid.{m}.{g.lower()}" for n, m in (("ROLL", "roll"), ("PITCH", "pitch"), ("YAW", "yaw")) for g in ("P", "I", "D", "FF")}, "IMU_GYRO_CUTOFF": "filter.gyro_lpf"},
 }
 

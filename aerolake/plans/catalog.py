@@ -99,7 +99,7 @@ def param_collapse(t: Tables) -> DataFrame:
     found as (
         select name, 'duplicate_name' as "check", 'error' as severity from (select name, row_number() over (partition by upper(name) order by pos) as k from catalog) x where k > 1
         union all select '', 'constant_default', 'error' from tbl where n > 20 and d = 1
-        union all select name, 'name_shape', 'error' from catalog where not regexp_matches(name, '^[A-Z][A-Z0-9_]*$') and not regexp_matches(name, '^[0-9]')
+        union all select name, 'name_shape', 'error' from catalog where not regexp_matches(name, '^[A-Za-z0-9][A-Za-z0-9_]*$')
         union all select name, 'digit_leading_name', 'warn' from catalog where regexp_matches(name, '^[0-9]')
         union all select name, 'suffix_collision', 'warn' from catalog where name in (select name from suf)
         union all select name, 'placeholder_leak', 'error' from catalog where regexp_matches(description, '@[A-Z_]+@')

@@ -17,6 +17,10 @@ from aerolake.sources import detect
 ERRORS = {"unsafe_path": "E1001", "too_large": "E1002", "not_readable": "E1003", "unknown_format": "E1004", "no_data": "E1005"}
 
 
+class UnknownFormat(ValueError):
+    """No adapter recognises a file."""
+
+
 def local_path(path: str) -> str | None:
     """The plain path of a file on this machine's disk, None for other file systems."""
     parsed = urlparse(path)
@@ -42,9 +46,9 @@ def listed(spark: SparkSession, pattern: str | Sequence[str], roots: Sequence[st
     return files.withColumn("problem", problem)
 
 
-def decoded(files: DataFrame, decode: Callable[[bytes], Iterator[tuple]], schema: StructType, rows: int = 2000) -> DataFrame:
+def decoded(files: DataFrame, decode: Callable[..., Iterator[tuple]], schema: StructType, rows: int = 2000, with_path: bool = False) -> DataFrame:
     """Rows (path, those of ``decode``, error) of every file: a file with a problem, or that cannot be decoded, gives one row with nulls and an error
-    'code: reason'; what was decoded before is kept. ``schema`` names the columns of ``decode``.
+    'code: reason'; what was decoded before is kept. ``schema`` names the columns of ``decode``, which takes a file's bytes, or its path and its bytes.
     """
     names = [f.name for f in schema.fields]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
@@ -70,12 +74,15 @@ def decoded(files: DataFrame, decode: Callable[[bytes], Iterator[tuple]], schema
                 lot: list[tuple] = []
                 error, any_rows = None, False
                 try:
-                    for row in decode(content.as_py() or b""):
+                    data = content.as_py() or b""
+                    for row in decode(path, data) if with_path else decode(data):
                         lot.append(row)
                         any_rows = True
                         if len(lot) == rows:
                             yield batch_of(path, lot, None, types)
                             lot = []
+                except UnknownFormat:
+                    error = f"{ERRORS['unknown_format']}: unknown_format"
                 except Exception as e:  # one bad file must not end the job
                     error = f"{ERRORS['not_readable']}: {type(e).__name__}: {e}"
                 if error is None and not any_rows:

@@ -83,6 +83,86 @@ def read_dataflash(data: bytes) -> Iterator[Row]:
         at += length
 
 
+#: Letters of DataFlash columns that hold text; fixed values.
+TEXT_LETTERS = "".join(c for c, (_, scale) in DATAFLASH_KINDS.items() if scale is None)
+
+
+def read_dataflash_text(data: bytes) -> Iterator[Row]:
+    """The text form of a DataFlash log: lines of a type and its values, in their units; FMT lines declare columns. For logs that fit a task; ``read_text_logs`` splits them."""
+    formats: dict[str, tuple[str, list[str]]] = {}
+    for line in data.decode("utf-8", "replace").splitlines():
+        name, *values = (v.strip() for v in line.split(","))
+        if name == "FMT" and len(values) >= 5:
+            formats[values[2]] = (values[3], values[4:])
+            continue
+        if name not in formats:
+            continue
+        letters, columns = formats[name]
+        if not columns or len(values) < len(columns):
+            continue
+        values[len(columns) - 1 :] = [", ".join(values[len(columns) - 1 :])]
+        fields, texts = {}, []
+        for letter, column, value in zip(letters, columns, values, strict=False):
+            if letter in TEXT_LETTERS:
+                texts.append(value)
+            elif (number := number_of(value)) is not None:
+                fields[column] = number
+        time = fields.get("TimeUS", fields["TimeMS"] * 1000 if "TimeMS" in fields else None)
+        yield name, int(fields.get("I", fields.get("Instance", 0))), None if time is None else int(time), None, None, None, None, fields, " ".join(t for t in texts if t) or None
+
+
+def number_of(text: str) -> float | None:
+    try:
+        return float(text)
+    except ValueError:
+        return None
+
+
+def read_text_logs(spark, pattern):
+    """Messages of text DataFlash logs of any size: their lines are split among tasks, FMT lines are gathered as a small table (file, type, letters, columns), which is broadcast
+    if a count finds it small, and every other line is read by its own file's. ``idx`` follows the lines of a file: the byte at which a split begins, and the line in it.
+    """
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    raw = spark.read.text(pattern).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
+
+    def number(batches):
+        last, k = None, 0
+        for batch in batches:
+            places = []
+            for at in zip(batch["path"].to_pylist(), batch["start"].to_pylist(), strict=True):
+                k = k + 1 if at == last else 0
+                last = at
+                places.append(at[1] + k)
+            yield pa.RecordBatch.from_arrays([batch["path"], pa.array(places, pa.int64()), batch["value"]], ["path", "idx", "line"])
+
+    lines = raw.mapInArrow(number, "path string, idx long, line string").withColumn("v", F.transform(F.split("line", ",", -1), lambda x: F.trim(x))).drop("line")
+    lines = lines.withColumn("mtype", F.get("v", F.lit(0)))
+    declared = lines.where("mtype = 'FMT' and size(v) >= 6")
+    formats = declared.groupBy("path", F.get("v", F.lit(3)).alias("mtype")).agg(F.max_by(F.struct(F.get("v", F.lit(4)).alias("letters"), F.slice("v", F.lit(6), F.size("v")).alias("columns")), "idx").alias("f"))
+    formats = formats.select("path", "mtype", "f.*")
+    # Some hundred rows a file.
+    small = formats.count() <= 200_000
+    rows = lines.where("mtype <> 'FMT'").join(F.broadcast(formats) if small else formats, ["path", "mtype"])
+    n = F.size("columns")
+    rows = rows.where((n > 0) & (F.size("v") > n))
+    rest = F.array_join(F.slice("v", n + 1, F.size("v")), ", ")
+    values = F.concat(F.slice("v", F.lit(2), n - 1), F.array(rest))
+    cell = F.transform(F.arrays_zip(F.col("columns").alias("name"), values.alias("value")), lambda x, k: F.struct(x["name"].alias("name"), x["value"].alias("value"), F.substr("letters", k + 1, F.lit(1)).alias("letter")))
+    rows = rows.withColumn("cells", cell)
+    text = lambda x: F.contains(F.lit(TEXT_LETTERS), x["letter"]) & (x["letter"] != "")
+    numeric = F.filter(F.transform(F.filter("cells", lambda x: ~text(x)), lambda x: F.struct(x["name"].alias("name"), x["value"].try_cast("double").alias("value"))), lambda x: x["value"].isNotNull())
+    texts = F.array_join(F.filter(F.transform(F.filter("cells", text), lambda x: x["value"]), lambda x: x != ""), " ")
+    rows = rows.withColumns({"fields": F.map_from_entries(numeric), "text": F.nullif(texts, F.lit(""))})
+    of = lambda name: F.try_element_at("fields", F.lit(name))
+    nothing = lambda kind: F.lit(None).cast(kind)
+    return rows.select(
+        "path", "idx", "mtype", F.coalesce(of("I"), of("Instance"), F.lit(0.0)).cast("int").alias("instance"), F.coalesce(of("TimeUS"), of("TimeMS") * 1000).cast("long").alias("time_us"), nothing("bigint").alias("wall_us"),
+        nothing("int").alias("sysid"), nothing("int").alias("compid"), nothing("int").alias("seq"), "fields", "text",
+    )
+
+
 @dataclass
 class Layout:
     """Flat struct of a ULog format: names of its values; texts as one value each."""
@@ -249,7 +329,7 @@ class TelemetrySource(DataFlashSource):
 
 
 #: Decoders by the format that ``detect`` names.
-DECODERS = {"dataflash": read_dataflash, "ulog": read_ulog, "telemetry": read_telemetry}
+DECODERS = {"dataflash": read_dataflash, "dataflash_text": read_dataflash_text, "ulog": read_ulog, "telemetry": read_telemetry}
 
 
 def read_logs(spark, pattern, kind: str, roots=None, most_bytes: int = MOST_BYTES):

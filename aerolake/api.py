@@ -283,6 +283,24 @@ def sysid(flights: Flights, rate_hz: float | DataFrame | None = None, na: int =
     return fits.join(models.poles_to_dynamics(fits, KEYS, na, nb, F.col("rate_hz")), KEYS)
 
 
+def model_step(flights: Flights, rate_hz: float | DataFrame | None = None, seconds: float = 2.0, oversample: int = 10, na: int = 2, nb: int = 2, delay: int = 1) -> DataFrame:
+    """flight_id, axis, rate_hz, t, response: what the fitted model of each series does after a unit step, for ``seconds`` at its own rate and at most half its samples, with
+    ``oversample`` values a sample by a cubic spline. Series whose fit is not reliable have none.
+    """
+    fits = sysid(flights, rate_hz, na, nb, delay).where("reliable")
+    steps = F.least(F.floor(seconds * F.col("rate_hz")), F.floor(F.col("n") / 2))
+    fine = models.smoothed(models.step_responses(fits, KEYS, na, nb, delay, steps), KEYS, oversample)
+    rated = series.join_keys(fine, fits.select(*KEYS, "rate_hz", steps.alias("_steps")), KEYS)
+    each = rated.select(*KEYS, "rate_hz", "_steps", F.posexplode("response").alias("_k", "response"))
+    place = F.col("_k") * (F.col("_steps") - 1) / F.greatest(F.col("_steps") * oversample - 1, F.lit(1))
+    return each.select(*KEYS, "rate_hz", (place / F.col("rate_hz")).alias("t"), "response")
+
+
+def spectrogram(flights: Flights, size: int = 256, overlap: float = 0.5, gyro: str = "gx", rate_hz: float | DataFrame | None = None) -> DataFrame:
+    """flight_id, frame, t, bin, freq, magnitude_db of one gyro axis, its frames over both ends of the flight."""
+    return spectral.padded_spectrogram(sampled(flights.imu, ["flight_id"], rate_hz), ["flight_id"], size, overlap, F.col("rate_hz"), gyro)
+
+
 #: Samples of a magnetometer and of its attitudes that a calibration needs; batteries with fewer rows do not count; fixed values.
 LEAST_FIELD, LEAST_BATTERY = 50, 50
 #: mGauss under which an expected field cannot be right; a fixed value.

@@ -123,16 +123,64 @@ def arx_response(theta: list[float], na: int, nb: int, delay: int, steps: int) -
     return np.clip(y / gain, -0.5, 2.0) if abs(gain) > 1e-9 and np.isfinite(y).all() else y
 
 
-def step_responses(fits: DataFrame, keys: Sequence[str], na: int, nb: int, delay: int, steps: int) -> DataFrame:
-    """keys, response (array of ``steps`` values) of each fitted model."""
+def step_responses(fits: DataFrame, keys: Sequence[str], na: int, nb: int, delay: int, steps: int | Column) -> DataFrame:
+    """keys, response (array of ``steps`` values; a column: the model's own) of each fitted model."""
     schema = ", ".join([*(f"{c} {fits.schema[c].dataType.simpleString()}" for c in keys), "response array<double>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [arx_response(t, na, nb, delay, steps).tolist() for t in batch["theta"].to_pylist()]
+            found = [arx_response(t, na, nb, delay, n).tolist() for t, n in zip(batch["theta"].to_pylist(), batch["_steps"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in keys), pa.array(found, pa.list_(pa.float64()))], [*keys, "response"])
 
-    return fits.select(*keys, "theta").mapInArrow(run, schema)
+    count = steps if isinstance(steps, Column) else F.lit(steps)
+    return fits.select(*keys, "theta", count.cast("int").alias("_steps")).mapInArrow(run, schema)
+
+
+def cubic_spline(y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Rows of ``y``, values at 0, 1, 2, ..., interpolated at the places ``at`` by cubic splines without knots at the second and the last but one value. The systems
+    of all rows are solved together: on an even grid their coefficients are the same.
+    """
+    n = y.shape[1]
+    bend = np.zeros_like(y)  # second derivatives
+    if n == 3:
+        bend[:] = (y[:, 2] - 2 * y[:, 1] + y[:, 0])[:, None]
+    elif n > 3:
+        right = 6 * (y[:, 2:] - 2 * y[:, 1:-1] + y[:, :-2])
+        bend[:, 1], bend[:, -2] = right[:, 0] / 6, right[:, -1] / 6
+        over, held = np.zeros(n), np.zeros_like(y)
+        held[:, 1] = bend[:, 1]
+        for k in range(2, n - 2):
+            over[k] = 1 / (4 - over[k - 1])
+            held[:, k] = (right[:, k - 1] - held[:, k - 1]) * over[k]
+        for k in range(n - 3, 1, -1):
+            bend[:, k] = held[:, k] - over[k] * bend[:, k + 1]
+        bend[:, 0], bend[:, -1] = 2 * bend[:, 1] - bend[:, 2], 2 * bend[:, -2] - bend[:, -3]
+    if n == 1:
+        return np.repeat(y, len(at), axis=1)
+    i = np.clip(np.floor(at).astype(np.int64), 0, n - 2)
+    t = at - i
+    slope = y[:, i + 1] - y[:, i] - (2 * bend[:, i] + bend[:, i + 1]) / 6
+    return y[:, i] + t * slope + t**2 * bend[:, i] / 2 + t**3 * (bend[:, i + 1] - bend[:, i]) / 6
+
+
+def smoothed(responses: DataFrame, keys: Sequence[str], oversample: int, value: str = "response") -> DataFrame:
+    """keys, response: each response (an array) with ``oversample`` values for one, by a cubic spline from its first to its last, within -0.5 and 2. Rows of a batch
+    with as many values are solved together; empty arrays stay empty, and what is no number makes its whole response none.
+    """
+    schema = ", ".join([*(f"{c} {responses.schema[c].dataType.simpleString()}" for c in keys), f"{value} array<double>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arrays = [np.array(x, float) if x is not None else None for x in batch[value].to_pylist()]
+            found: list = [None if a is None else [] for a in arrays]
+            for n in {len(a) for a in arrays if a is not None} - {0}:
+                at = [k for k, a in enumerate(arrays) if a is not None and len(a) == n]
+                fine = cubic_spline(np.stack([arrays[k] for k in at]), np.linspace(0, n - 1, n * oversample))
+                for k, row in zip(at, np.clip(fine, -0.5, 2.0), strict=True):
+                    found[k] = row.tolist()
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keys), pa.array(found, pa.list_(pa.float64()))], [*keys, value])
+
+    return responses.select(*keys, value).mapInArrow(run, schema)
 
 
 def recursion(a: list[float], forced: np.ndarray, before: list[float], most: float) -> tuple[np.ndarray, list[float]]:

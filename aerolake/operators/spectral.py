@@ -116,6 +116,39 @@ def spectrogram(samples: DataFrame, keys: Sequence[str], size: int, overlap: flo
     return bins.select(*keys, "frame", ((F.col("frame") * hop + size / 2) / rate_hz).alias("t"), F.col("bin").cast("long").alias("bin"), (F.col("bin") * rate_hz / size).alias("freq"), (20 * F.log10(F.col("m") + 1e-9)).alias("magnitude_db"))
 
 
+def padded_spectrogram(samples: DataFrame, keys: Sequence[str], size: int, overlap: float, rate_hz: float | Column, value: str = "value", order: str = "idx", segment: int = 1 << 16) -> DataFrame:
+    """keys, frame, t, bin, freq, magnitude_db of frames that also cover both ends: half a frame of zeros stands before the series (numbered from 0) and after it, and as many
+    more as fill the last hop. The window is periodic and of unit gain. Segments know the whole number of frames, so the first and last of a series hold its edges.
+    """
+    hop, half = max(1, int(size * (1 - overlap))), size // 2
+    long = max(1, segment // hop) * hop
+    rate = rate_hz if isinstance(rate_hz, Column) else F.lit(float(rate_hz))
+    kinds = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys)
+    n = F.count("*").over(Window.partitionBy(*keys))
+    rows = samples.select(*keys, (F.col(order).cast("long") + half).alias("_at"), F.col(value).cast("double").alias("_v"), rate.cast("double").alias("_rate"), n.alias("_n"))
+    whole = F.col("_n") + 2 * half
+    rows = rows.withColumn("_frames", F.greatest(F.ceil((whole - size) / hop), F.lit(0).cast("long")) + 1)
+    last = F.when(F.col("_at") == F.col("_n") + half - 1, F.floor((F.col("_frames") - 1) * hop / long)).otherwise(F.lit(0))
+    parts = rows.withColumn("_segment", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.floor((F.col("_at") - size + 1) / long)), F.greatest(F.floor(F.col("_at") / long), last.cast("long")))))
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
+
+    def run(table: pa.Table) -> pa.Table:
+        first, frames = table["_segment"][0].as_py() * long, table["_frames"][0].as_py()
+        dense = np.zeros(long + size)
+        at = table["_at"].to_numpy() - first
+        inside = (at >= 0) & (at < len(dense))
+        dense[at[inside]] = np.nan_to_num(table["_v"].to_numpy(zero_copy_only=False).astype(float))[inside]
+        starts = np.arange(0, min(long, frames * hop - first), hop)
+        spectra = np.abs(np.fft.rfft(dense[starts[:, None] + np.arange(size)] * window, axis=1)) / window.sum()
+        n = len(starts)
+        bins = pa.ListArray.from_arrays(pa.array(np.arange(0, spectra.size + 1, size // 2 + 1), pa.int32()), pa.array(spectra.ravel()))
+        return pa.table({**{k: pa.array([table[k][0].as_py()] * n, table.schema.field(k).type) for k in keys}, "frame": pa.array((first + starts) // hop, pa.int64()), "_rate": np.full(n, table["_rate"][0].as_py(), np.float64), "spectrum": bins})
+
+    found = parts.groupBy(*keys, "_segment").applyInArrow(run, f"{kinds}, frame long, _rate double, spectrum array<double>")
+    bins = found.select(*keys, "frame", "_rate", F.posexplode("spectrum").alias("bin", "m"))
+    return bins.select(*keys, "frame", (F.col("frame") * hop / F.col("_rate")).alias("t"), F.col("bin").cast("long").alias("bin"), (F.col("bin") * F.col("_rate") / size).alias("freq"), (20 * F.log10(F.col("m") + 1e-9)).alias("magnitude_db"))
+
+
 def averaged_spectrum(samples: DataFrame, keys: Sequence[str], size: int, overlap: float, rate_hz: float, value: str = "value", scaling: str = "linear") -> DataFrame:
     """keys, bin, freq, magnitude, frames: mean over the frames of a series."""
     bins = series_spectra(samples, keys, size, overlap, rate_hz, value, scaling).select(*keys, F.posexplode("spectrum").alias("bin", "m"))

@@ -96,6 +96,39 @@ def arx_step(t: Tables) -> DataFrame:
     return rows.select("user_id", F.posexplode("response").alias("k", "response")).withColumn("response", F.round("response", 4))
 
 
+SMOOTH, OVER = 50, 4
+
+
+@query(f"""with recursive {FITTED},
+    r as (
+        select user_id, 0 as k, a1, a2, b1, 0.0::double as y, 0.0::double as y_1 from fits
+        union all
+        select user_id, k + 1, a1, a2, b1, b1 - a1 * y - a2 * y_1, y from r where k < {SMOOTH - 1}),
+    v as (select user_id, k, case when abs(1 + a1 + a2) > 1e-9 and abs(b1 / (1 + a1 + a2)) > 1e-9 then least(greatest(y * (1 + a1 + a2) / b1, -0.5), 2) else y end as y from r),
+    curve as (select user_id, k, y, lead(y) over w as y1, 6 * (lead(y) over w - 2 * y + lag(y) over w) as rhs from v window w as (partition by user_id order by k)),
+    ends as (select user_id, max(rhs) filter (where k = 1) / 6 as first, max(rhs) filter (where k = {SMOOTH - 2}) / 6 as last from curve group by user_id),
+    down as (
+        select user_id, 1 as k, 0.0::double as c, first as h from ends
+        union all
+        select t.user_id, t.k + 1, 1 / (4 - c), (curve.rhs - h) / (4 - c) from down t join curve on curve.user_id = t.user_id and curve.k = t.k + 1 where t.k < {SMOOTH - 3}),
+    up as (
+        select user_id, {SMOOTH - 2} as k, last as m from ends
+        union all
+        select u.user_id, u.k - 1, t.h - t.c * u.m from up u join down t on t.user_id = u.user_id and t.k = u.k - 1 where u.k > 2),
+    inner_m as (select user_id, k, m from up union all select user_id, 1, first from ends),
+    bend as (
+        select user_id, k, m from inner_m union all
+        select a.user_id, 0, 2 * a.m - b.m from inner_m a join inner_m b on b.user_id = a.user_id and b.k = 2 where a.k = 1 union all
+        select a.user_id, {SMOOTH - 1}, 2 * a.m - b.m from inner_m a join inner_m b on b.user_id = a.user_id and b.k = {SMOOTH - 3} where a.k = {SMOOTH - 2}),
+    spans as (select d.user_id, d.k, d.y, d.y1, a.m as m0, b.m as m1 from curve d join bend a on a.user_id = d.user_id and a.k = d.k join bend b on b.user_id = d.user_id and b.k = d.k + 1 where d.k < {SMOOTH - 1}),
+    places as (select j, {SMOOTH - 1}::double * j / ({SMOOTH * OVER - 1}) as x from range({SMOOTH * OVER}) r(j)),
+    cut as (select j, least(floor(x)::int, {SMOOTH - 2}) as k, x - least(floor(x)::int, {SMOOTH - 2}) as t from places)
+    select user_id, j as k, round(least(greatest(y + t * (y1 - y - (2 * m0 + m1) / 6) + t * t * m0 / 2 + t * t * t * (m1 - m0) / 6, -0.5), 2), 4) as response from cut join spans using (k)""")
+def arx_step_smooth(t: Tables) -> DataFrame:
+    rows = models.smoothed(models.step_responses(fits(t), USER, NA, NB, DELAY, SMOOTH), USER, OVER)
+    return rows.select("user_id", F.posexplode("response").alias("k", "response")).withColumns({"k": F.col("k").cast("long"), "response": F.round("response", 4)})
+
+
 @query(f"""with recursive {LAGGED}, sim as (
         select user_id, idx, u, 0.0::double as s from xy where idx = 0
         union all

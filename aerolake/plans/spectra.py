@@ -195,3 +195,12 @@ def averaged_spectrum(t: Tables) -> DataFrame:
 def spectrogram(t: Tables) -> DataFrame:
     # Bins that hold rounding errors alone are as low as the floor.
     return spectral.spectrogram(t.signals, ["user_id"], 16, 0.5, 100.0).withColumn("magnitude_db", F.round(F.greatest("magnitude_db", F.lit(-120.0)), 4))
+
+
+@query(f"""with {SIGNALS}, counted as (select user_id, count(*) as n from signals group by user_id),
+    f as (select user_id, unnest(range(0, 1 + ceil((n + 16 - 16) / 8)::bigint)) as frame from counted),
+    tapered as (select f.user_id, f.frame, s.idx + 8 - f.frame * 8 as i, s.value * (0.5 - 0.5 * cos(2 * pi() * (s.idx + 8 - f.frame * 8) / 16)) as h from f left join signals s on s.user_id = f.user_id and s.idx + 8 >= f.frame * 8 and s.idx + 8 < f.frame * 8 + 16),
+    bins as (select user_id, frame, k as bin, coalesce(sqrt(sum(h * cos(2 * pi() * k * i / 16)) ** 2 + sum(h * sin(2 * pi() * k * i / 16)) ** 2) / 8, 0) as m from tapered cross join range(9) r(k) group by user_id, frame, k)
+    select user_id, frame, frame * 8 / 100 as t, bin, bin * 6.25::double as freq, round(greatest(20 * log10(m + 1e-9), -120), 4) as magnitude_db from bins""")
+def spectrogram_padded(t: Tables) -> DataFrame:
+    return spectral.padded_spectrogram(t.signals, ["user_id"], 16, 0.5, 100.0).withColumn("magnitude_db", F.round(F.greatest("magnitude_db", F.lit(-120.0)), 4))

@@ -240,6 +240,93 @@ def read_ulog(data: bytes) -> Iterator[Row]:
             yield "logged_text", 0, time, None, None, None, None, {"level": float(level)}, body[9:].decode("utf-8", "replace")
 
 
+@dataclass
+class Piece:
+    """A stretch of a log that decodes by itself behind ``head``, the declarations before it; ``first``: how many rows come before its own."""
+
+    head: bytes
+    begin: int
+    end: int
+    first: int
+
+
+def dataflash_pieces(data: bytes, size: int) -> Iterator[Piece]:
+    """Pieces of about ``size`` bytes, cut where the decoder itself steps from one message to the next: it is followed by lengths alone, without decoding."""
+    lengths: dict[int, int] = {}
+    head, begin, declared, first, n, at = bytearray(), 0, 0, 0, 0, 0
+    while (at := data.find(DATAFLASH_MAGIC, at)) >= 0 and at + 3 <= len(data):
+        if at - begin >= size:
+            yield Piece(bytes(head[:declared]), begin, at, first)
+            begin, declared, first = at, len(head), n
+        kind = data[at + 2]
+        if kind == FORMAT_TYPE and at + FORMAT_LENGTH <= len(data):
+            number, length, _, letters, columns = struct.unpack_from("<BB4s16s64s", data, at + 3)
+            letters = text_of(letters)
+            if number != FORMAT_TYPE and all(c in DATAFLASH_KINDS for c in letters) and len(text_of(columns).split(",")) == len(letters) and struct.calcsize("<" + "".join(DATAFLASH_KINDS[c][0] for c in letters)) + 3 == length:
+                lengths[number] = length
+                head += data[at : at + FORMAT_LENGTH]
+            at += FORMAT_LENGTH
+        elif (length := lengths.get(kind)) is None or at + length > len(data):
+            at += 1
+        else:
+            n += 1
+            at += length
+    yield Piece(bytes(head[:declared]), begin, len(data), first)
+
+
+def ulog_pieces(data: bytes, size: int) -> Iterator[Piece]:
+    """Pieces of about ``size`` bytes, cut between messages; formats and subscriptions before a piece are its head."""
+    if not data.startswith(ULOG_MAGIC):
+        return
+    head, begin, declared, first, n, at = bytearray(data[:16]), 16, 16, 0, 0, 16
+    topics: set[int] = set()
+    formats: set[str] = set()
+    while at + 3 <= len(data):
+        length, kind = struct.unpack_from("<HB", data, at)
+        end, kind = at + 3 + length, chr(kind)
+        if end > len(data):
+            break
+        if at - begin >= size:
+            yield Piece(bytes(head[:declared]), begin, at, first)
+            begin, declared, first = at, len(head), n
+        if kind == "F":
+            formats.add(data[at + 3 : end].partition(b":")[0].decode("latin-1"))
+            head += data[at:end]
+        elif kind == "A":
+            if data[at + 6 : end].decode("latin-1") in formats:
+                topics.add(struct.unpack_from("<H", data, at + 4)[0])
+            head += data[at:end]
+        n += kind == "D" and length >= 2 and struct.unpack_from("<H", data, at + 3)[0] in topics or kind == "P" and length > 0 or kind == "L" and length >= 9
+        at = end
+    yield Piece(bytes(head[:declared]), begin, len(data), first)
+
+
+def telemetry_pieces(data: bytes, size: int) -> Iterator[Piece]:
+    """Pieces of about ``size`` bytes, cut between frames, which declare nothing."""
+    begin, first, n, at = 0, 0, 0, 0
+    while at + 16 <= len(data):
+        if at - begin >= size:
+            yield Piece(b"", begin, at, first)
+            begin, first = at, n
+        mark, length = data[at + 8], data[at + 9]
+        if mark == 0xFE:
+            end = at + 14 + length + 2
+        elif mark == 0xFD and at + 18 <= len(data):
+            end = at + 18 + length + 2 + (13 if data[at + 10] & 1 else 0)
+        else:
+            at += 1
+            continue
+        if end > len(data):
+            break
+        n, at = n + 1, end
+    yield Piece(b"", begin, len(data), first)
+
+
+#: Ways to cut a log into pieces, by its format.
+PIECES = {"dataflash": dataflash_pieces, "ulog": ulog_pieces, "telemetry": telemetry_pieces}
+PIECE_BYTES = 16 << 20
+
+
 def read_telemetry(data: bytes) -> Iterator[Row]:
     """An eight-byte clock (microseconds since 1970, most significant byte first) before every frame of either version."""
     at = 0
@@ -332,8 +419,12 @@ class TelemetrySource(DataFlashSource):
 DECODERS = {"dataflash": read_dataflash, "dataflash_text": read_dataflash_text, "ulog": read_ulog, "telemetry": read_telemetry}
 
 
-def read_logs(spark, pattern, kind: str, roots=None, most_bytes: int = MOST_BYTES):
-    """Messages of the logs of a pattern on any file system Spark reads, with ``error``: unsafe, too large and unreadable files give a row with nothing else."""
+def read_logs(spark, pattern, kind: str, roots=None, most_bytes: int = MOST_BYTES, piece_bytes: int | None = None):
+    """Messages of the logs of a pattern on any file system Spark reads, with ``error``: unsafe, too large and unreadable files give a row with nothing else. With
+    ``piece_bytes`` files are cut first (by a walk over message lengths) and their pieces decoded by as many tasks; the rows are the same.
+    """
+    if piece_bytes is not None:
+        return read_pieces(spark, pattern, kind, roots, most_bytes, piece_bytes)
     from pyspark.sql.types import StructType
 
     from aerolake.sources import files
@@ -343,6 +434,55 @@ def read_logs(spark, pattern, kind: str, roots=None, most_bytes: int = MOST_BYTE
     return files.decoded(files.listed(spark, pattern, roots, most_bytes=most_bytes), lambda data: ((idx, *row) for idx, row in enumerate(decode(data))), fields)
 
 
+def read_pieces(spark, pattern, kind: str, roots, most_bytes: int, piece_bytes: int):
+    """``read_logs`` with files cut into pieces, which are dealt out to tasks before they are decoded."""
+    import pyarrow as pa
+    from pyspark.sql.types import StructType
+
+    from aerolake.sources import files
+
+    cut, decode = PIECES[kind], DECODERS[kind]
+    parts = StructType.fromDDL("first bigint, data binary")
+
+    def pieces(data: bytes) -> Iterator[tuple]:
+        for p in cut(data, piece_bytes):
+            yield p.first, p.head + data[p.begin : p.end]
+
+    listed = files.decoded(files.listed(spark, pattern, roots, most_bytes=most_bytes), pieces, parts, rows=1)
+    fields = StructType.fromDDL(SCHEMA.split(", ", 1)[1])
+    names = [f.name for f in fields.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        types = to_arrow_schema(fields)
+        for batch in batches:
+            for path, first, data, error in zip(*(batch[c].to_pylist() for c in ("path", "first", "data", "error")), strict=True):
+                rows: list[tuple] = []
+
+                def out(path=path, rows=rows, error=None) -> pa.RecordBatch:
+                    n = len(rows)
+                    columns = [pa.array(c, types.field(k).type) for c, k in zip(zip(*rows, strict=True), names, strict=True)]
+                    return pa.RecordBatch.from_arrays([pa.array([path] * n), *columns, pa.array([error] * n, pa.string())], ["path", *names, "error"])
+
+                if error is None:
+                    try:
+                        for k, row in enumerate(decode(data)):
+                            rows.append((first + k, *row))
+                            if len(rows) == 2000:
+                                yield out()
+                                rows.clear()
+                    except Exception as e:  # one broken piece must not end the job
+                        error = f"{files.ERRORS['not_readable']}: {type(e).__name__}: {e}"
+                if rows:
+                    yield out()
+                if error is not None:
+                    rows[:] = [(None,) * len(names)]
+                    yield out(error=error)
+
+    return listed.repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, f"path string, {SCHEMA.split(', ', 1)[1]}, error string")
+
+
 def register(spark) -> None:
     for source in (DataFlashSource, ULogSource, TelemetrySource):
         spark.dataSource.register(source)

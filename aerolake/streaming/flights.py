@@ -8,6 +8,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -66,3 +67,52 @@ def carry_forward(frames: DataFrame, key: str, *fields: str) -> DataFrame:
     schema = frames.select(key, "idx", *fields)
     kinds = ", ".join([f"{key} {schema.schema[key].dataType.simpleString()}", "idx long", *(f"{f} double" for f in fields)])
     return schema.groupBy(key).applyInPandasWithState(_carried(fields), kinds, ", ".join(f"{f} double" for f in fields), "append", GroupStateTimeout.NoTimeout)
+
+
+class LinkWatch(StatefulProcessor):
+    """Ends a link when the watermark passes its last message by ``gap_ms``: a timer does, so no further message of the link is needed. A link's state is three numbers,
+    which its timer clears at the latest; in event time a state takes no other term.
+    """
+
+    def __init__(self, gap_ms: int):
+        self.gap_ms = gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.link = handle.getValueState("link", "first long, last long, n long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        first, last, n = self.link.get() if self.link.exists() else (None, None, 0)
+        ended = []
+        for batch in rows:
+            for at in sorted(batch["ms"].astype("int64").tolist()):
+                if last is not None and at - last > self.gap_ms:
+                    ended.append((key[0], first, last, n, "gap"))
+                    first, last, n = None, None, 0
+                first, last, n = at if first is None else min(first, at), at if last is None else max(last, at), n + 1
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if last is not None:
+            self.link.update((first, last, n))
+            self.handle.registerTimer(last + self.gap_ms)
+        yield ended_links(ended)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        ended = [(key[0], *self.link.get(), "silent")] if self.link.exists() else []
+        self.link.clear()
+        yield ended_links(ended)
+
+    def close(self) -> None:
+        pass
+
+
+def ended_links(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["link", "first_ms", "last_ms", "n", "reason"]).astype({"first_ms": "int64", "last_ms": "int64", "n": "int64"})
+
+
+def live_links(messages: DataFrame, time: str = "ts", key: str = "user_id", gap_ms: int = 3000, late: str = "10 seconds") -> DataFrame:
+    """link, first_ms, last_ms, n, reason of each stretch of messages once it is over: ``gap`` when a message comes too late after the last, ``silent`` when none comes at all and
+    the stream's watermark has passed. Needs the RocksDB state store.
+    """
+    rows = messages.withWatermark(time, late).select(F.col(key).cast("string").alias("link"), F.unix_millis(time).alias("ms"), time)
+    return rows.groupBy("link").transformWithStateInPandas(LinkWatch(gap_ms), "link string, first_ms long, last_ms long, n long, reason string", "append", "eventtime")

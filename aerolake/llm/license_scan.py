@@ -1,4 +1,9 @@
-"""Operator 9: licence scan, a sparse word n-gram logistic regression over windows of words.
+"""Operator 9: licence scan, a sparse word n-gram logistic regression over windows of words, whose predictions templates confirm.
+
+A block is first classified, in windows of ``WINDOW`` words around its learned n-grams; only families that the regression gives at least ``LOOSE`` of what it gives unknown in one
+of them are looked for in it, and a bound on the sums of weights rules most blocks out before. What is confirmed is reported by its family: a notice or a statement by its nearest
+template, a name behind other words that state a licence (``CUES``), a line that is a name and little else (a heading, 'License: X'). A family that a window has with
+``CONFIDENCE`` and nothing confirms is listed as unconfirmed. Statements that are denied ('not licensed under') are not reported.
 
 Every non-empty line is a paragraph; lines up to one without words (also an empty comment line) form a block, in which notices may be
 wrapped. Templates are ``NOTICES`` and all statements that ``FRAMES`` make of ``NAMES``; their word bigrams and trigrams (of
@@ -41,6 +46,23 @@ SLACK = 8
 #: The bound on what the class unknown learns from the corpus: windows, and words in each.
 NEGATIVES, NEGATIVE_WORDS = 1000, 60
 UNKNOWN = "unknown"
+#: Words of a window that is classified, the share against unknown from which a family is looked for, words of a line that may be a heading.
+WINDOW, LOOSE, HEADING_WORDS = 40, 0.02, 14
+#: Marks of a heading's borders among its words; no text holds them.
+FIRST, LAST = b"^", b"$"
+#: How else a text states its licence, up to its name.
+CUES = ("is under the ", "are made under the ", "covered by the ", "governed by the ", "subject to the terms of the ", "subject to the ", "licenses this under the ", "used under the terms of the ", "dual licensed under the ")
+#: What stands before a name, behind articles and 'terms of': the last words of cues.
+CUE_ENDS = {(b"under",), (b"covered", b"by"), (b"governed", b"by"), (b"subject", b"to"), (b"licensed", b"as")}
+ARTICLES = {b"the", b"a", b"an"}
+DENIALS = {b"not", b"never", b"cannot", b"neither", b"nor"}
+#: Words between a denial and what it denies.
+FILLERS = {b"be", b"been", b"being", b"currently", b"yet", b"longer", b"itself", b"also", b"t"}
+DENIED_STARTS = {b"isn", b"aren", b"wasn", b"weren", b"no"}
+STATING = {b"licensed", b"released", b"distributed", b"available", b"published", b"licenses", b"made", b"is", b"are", b"used", b"provided", b"offered", b"covered", b"governed"}
+#: Words that a heading may hold besides a name.
+TAIL = {w.encode() for w in "license licence licenses type name osi approved version v the a of copyright c full text terms and conditions later or any only january february march april may june july august september october november december".split()}
+LABEL = re.compile(rb"^\W*(?:project )?licen[cs]es?(?: type| name| identifier)?\s*[:=]+\s*([^\n]*)", re.IGNORECASE)
 VERBS = ("licensed", "released", "distributed", "available", "published")
 #: How a text states its licence.
 FRAMES = tuple(f"{verb} under {link}" for verb in VERBS for link in ("", "the ", "a ", "the terms of the "))
@@ -121,6 +143,8 @@ SPDX: dict[str, list[str]] = {
 FAMILY_OF = {i.lower(): family for family, ids in SPDX.items() for i in ids}
 TAG = re.compile(rb"spdx-license-identifier:[ \t]*([^\n]*)", re.IGNORECASE)
 IDENTIFIER = re.compile(rb"[a-z0-9.+-]+", re.IGNORECASE)
+#: What may follow the name in a heading.
+HEADING_TAILS = ("", "version 2.0", "Version 3, 29 June 2007", "Version 2.0, January 2004", "Copyright (c) 2020")
 #: Prose that names a licence without stating it; seeds of the class unknown.
 MENTIONS = ("the {} is one of many that courts have read", "a talk about the {} and its history", "why we left the {} behind", "{} compliance training for managers", "compare the {} with others")
 WORDS = re.compile(rb"[a-z0-9\x80-\xff]+")
@@ -190,6 +214,11 @@ class Model:
         for family, names in NAMES.items():
             for words in map(words_of, map(str.encode, names)):
                 self.names[words[0]].append((words, family))
+        unknown = self.families.index(UNKNOWN)
+        lead = (self.weights - self.weights[:, [unknown]])[:, [k for k in range(len(self.families)) if k != unknown]].max(axis=1) / self.temperature
+        #: The most that an n-gram adds to any family against unknown; and what their sum must reach for a family to be looked for.
+        self.most = {g: float(lead[k]) for g, k in self.grams.items() if lead[k] > 0}
+        self.reach = math.log(LOOSE) - float(lead[-1])
         self.holders: dict[tuple[bytes, bytes], list[int]] = defaultdict(list)
         self.rare: dict[tuple[bytes, bytes], list[int]] = defaultdict(list)
         for k, t in enumerate(self.templates):
@@ -206,6 +235,51 @@ class Model:
         best = int(p.argmax())
         return (self.families[best], float(p[best])) if p[best] >= CONFIDENCE else (UNKNOWN, float(p[self.families.index(UNKNOWN)]))
 
+    def probabilities(self, words: list[bytes]) -> np.ndarray:
+        found = sorted({self.grams[g] for g in grams_of(words) if g in self.grams})
+        return softmax((self.weights[[*found, -1]].sum(axis=0) / self.temperature)[None])[0]
+
+    def predicted(self, words: list[bytes]) -> dict[str, float]:
+        """Families that have ``LOOSE`` of unknown's share, or more, in a window of a block, and the most that a window gives them; several notices of a window do not hide each other."""
+        best: dict[str, float] = {}
+        for at in range(0, max(1, len(words) - WINDOW // 2), WINDOW // 2):
+            own = words[at : at + WINDOW]
+            if sum(self.most[g] for g in {*grams_of(own)} if g in self.most) < self.reach:
+                continue
+            shares = self.probabilities(own).tolist()
+            least = LOOSE * shares[self.families.index(UNKNOWN)]
+            for family, p in zip(self.families, shares, strict=True):
+                if p >= least and family != UNKNOWN:
+                    best[family] = max(p, best.get(family, 0.0))
+        return best
+
+    def named(self, words: list[bytes], at: int, wanted: dict[str, float]) -> tuple[list[bytes], str] | None:
+        """The longest name, of the wanted families, at a place."""
+        found = [(len(n), n, family) for n, family in self.names.get(words[at], ()) if family in wanted and words[at : at + len(n)] == n]
+        return max(found)[1:] if found else None
+
+    def cued(self, words: list[bytes], wanted: dict[str, float]) -> list[tuple[int, str, float]]:
+        """First word, family and probability of each name behind words that state a licence."""
+        found = []
+        for at in range(1, len(words)):
+            if (name := self.named(words, at, wanted)) is None or (begin := cue_before(words, at)) is None or denied(words, begin):
+                continue
+            judged = self.classify(words[max(0, begin - 2) : at + len(name[0])])
+            if judged[0] == name[1]:
+                found.append((begin, *judged))
+        return found
+
+    def heading(self, words: list[bytes]) -> tuple[str, float] | None:
+        """Family and probability of a line that the regression takes for a heading and that is a name and little else."""
+        judged = self.classify([FIRST, *words, LAST])
+        if judged[0] == UNKNOWN:
+            return None
+        for at in range(len(words)):
+            if (name := self.named(words, at, {judged[0]: 1.0})) is not None:
+                rest = words[:at] + words[at + len(name[0]) :]
+                return judged if all(w in TAIL or w.strip(b"v").isdigit() for w in rest) else None
+        return None
+
     def identifiers(self, tag: bytes) -> list[tuple[str, float]]:
         """Family and probability of each confirmed identifier of an expression."""
         found = []
@@ -233,10 +307,10 @@ class Model:
             at = first + size
         return found
 
-    def candidates(self, pairs: list[tuple[bytes, bytes]]) -> dict[int, list[int]]:
-        """Templates of which a block holds enough, and where in it their bigrams are."""
+    def candidates(self, pairs: list[tuple[bytes, bytes]], wanted: dict[str, float]) -> dict[int, list[int]]:
+        """Templates of the wanted families of which a block holds enough, and where in it their bigrams are."""
         present = set(pairs)
-        own = {k for p in present & self.rare.keys() for k in self.rare[p]}
+        own = {k for p in present & self.rare.keys() for k in self.rare[p] if self.templates[k].family in wanted}
         own = {k for k in own if self.templates[k].held_by(self.templates[k].pairs & present)}
         places: dict[int, list[int]] = {k: [] for k in own}
         if own:
@@ -246,10 +320,10 @@ class Model:
                         places[k].append(i)
         return places
 
-    def notices(self, words: list[bytes], begins: list[int]) -> list[tuple[int, str, float]]:
+    def notices(self, words: list[bytes], begins: list[int], wanted: dict[str, float]) -> list[tuple[int, str, float]]:
         """First word, family and probability of each confirmed window of a block, whose lines begin at the words ``begins``."""
         pairs = pairs_of(words)
-        places = self.candidates(pairs)
+        places = self.candidates(pairs, wanted)
         judged: dict[tuple[bytes, ...], tuple[str, float]] = {}
 
         def window(k: int, at: int, past: int) -> tuple | None:
@@ -297,12 +371,38 @@ class Model:
             clash = taken.find(1, first, end + 1)
             if clash < 0:
                 taken[first : end + 1] = b"\1" * (end + 1 - first)
-                found += [(first, self.templates[k].family, p), *self.alternatives(words, end + 2)]
+                if not (self.templates[k].frame and denied(words, first)):
+                    found += [(first, self.templates[k].family, p), *self.alternatives(words, end + 2)]
             elif (w := window(k, at, clash)) is not None:
                 heapq.heappush(heap, w)
         return sorted(found)
 
 
+def denied(words: list[bytes], at: int) -> bool:
+    """Whether the words before a place deny what begins there."""
+    k = at
+    while k > 0 and words[k - 1] in STATING:
+        k -= 1
+    while k > 0 and words[k - 1] in FILLERS:
+        k -= 1
+    return k > 0 and (words[k - 1] in DENIALS or words[k - 1] in DENIED_STARTS and k < at)
+
+
+def cue_before(words: list[bytes], at: int) -> int | None:
+    """Where the words begin that state the licence named at a place."""
+    k = at
+    while k > 0 and words[k - 1] in ARTICLES:
+        k -= 1
+    if words[max(0, k - 2) : k] == [b"terms", b"of"]:
+        k -= 2
+        while k > 0 and words[k - 1] in ARTICLES:
+            k -= 1
+    for n in (1, 2):
+        if k >= n and tuple(words[k - n : k]) in CUE_ENDS:
+            return k - n
+    return None
+
+
 def holds(spans: list[tuple[int, int]], first: int, end: int) -> bool:
     """Whether one of the sorted spans lies within these bounds."""
     return any(b <= end for _, b in spans[bisect_left(spans, (first, 0)) : bisect_left(spans, (end + 1, 0))])
@@ -341,6 +441,14 @@ def examples(listed: list[Template], negatives: list[list[bytes]], seed: int = 7
         for _ in range(1 if t.frame else copies):
             kept = t.words if t.frame else [w for w in t.words if rng.random() > 0.06]
             out.append(([*around(), *kept, *around()], t.family, t.variant))
+    for family, names in NAMES.items():
+        for k, name in enumerate(names):
+            for j, cue in enumerate(CUES):
+                if (j + k) % 3 == 0:
+                    own = words_of((cue + name).encode())
+                    out += [(own, family, None), ([*around(), *own, *around()], family, None)]
+            for tail in HEADING_TAILS:
+                out.append(([FIRST, *words_of(f"{name} {tail}".encode()), LAST], family, None))
     for family, ids in SPDX.items():
         out += [(words_of(f"spdx license identifier {i}".encode()), family, None) for i in ids for _ in range(copies)]
     unknown = [*negatives, []]
@@ -349,6 +457,10 @@ def examples(listed: list[Template], negatives: list[list[bytes]], seed: int = 7
         name = "".join(syllables[i] for i in rng.integers(len(syllables), size=rng.integers(2, 4)))
         kind = ("{} License", "{} Public License", "{} License, Version 2.0", "{} General Public License", "{} Software License 1.0", "{}")[k % 6].format(name)
         unknown.append(words_of((FRAMES[k % len(FRAMES)] + kind).encode()))
+        unknown.append([FIRST, *words_of(f"{kind} {HEADING_TAILS[k % len(HEADING_TAILS)]}".encode()), LAST])
+        unknown.append(words_of((CUES[k % len(CUES)] + kind).encode()))
+    unknown += [[FIRST, *w[:12], LAST] for w in negatives[:300]]
+    unknown += [[FIRST, *words_of(m.format(name).encode()), LAST] for names in NAMES.values() for name in names[:2] for m in MENTIONS]
     unknown += [words_of(f"spdx license identifier {a}{b}-2.0".encode()) for a in syllables[:10] for b in syllables[:3]]
     unknown += [words_of(m.format(name).encode()) for names in NAMES.values() for name in names for m in MENTIONS]
     # Fragments of a template name no family: single bigrams are unknown.
@@ -390,9 +502,16 @@ def regress(rows: list[list[int]], y: np.ndarray, n: int, steps: int = 100, rate
 
 def train(negatives: list[list[bytes]]) -> Model:
     listed = templates()
-    clean = [w for w in negatives if not any(t.held_by(t.pairs & set(pairs_of(w))) for t in listed)] if negatives else []
+    by_rare: dict[tuple[bytes, bytes], list[Template]] = defaultdict(list)
+    for t in listed:
+        for p in t.rare:
+            by_rare[p].append(t)
+    seen = [(w, set(pairs_of(w))) for w in negatives]
+    clean = [w for w, own in seen if not any(t.held_by(t.pairs & own) for p in own & by_rare.keys() for t in by_rare[p])]
     families = [*sorted(NAMES), UNKNOWN]
-    grams = {g: k for k, g in enumerate(sorted({g for t in listed for g in grams_of(t.words)} | {g for ids in SPDX.values() for i in ids for g in grams_of(words_of(f"spdx license identifier {i}".encode()))}))}
+    said = [words_of((cue + name).encode()) for names in NAMES.values() for name in names for cue in CUES]
+    said += [[FIRST, *words_of(f"{name} {tail}".encode()), LAST] for names in NAMES.values() for name in names for tail in HEADING_TAILS]
+    grams = {g: k for k, g in enumerate(sorted({g for t in listed for g in grams_of(t.words)} | {g for w in said for g in grams_of(w)} | {g for ids in SPDX.values() for i in ids for g in grams_of(words_of(f"spdx license identifier {i}".encode()))}))}
     data = examples(listed, clean)
     rows = [[*sorted({grams[g] for g in grams_of(words) if g in grams}), len(grams)] for words, _, _ in data]
     y = np.eye(len(families))[[families.index(f) for _, f, _ in data]]
@@ -430,12 +549,18 @@ def some_windows(documents: DataFrame, most: int = NEGATIVES, words: int = NEGAT
     return [w for r in rows if (w := bytes(r["window"]).split())]
 
 
-OUT = "doc_id long, n_paragraphs long, n_license long, licenses array<string>, score double, paragraphs array<int>"
+OUT = "doc_id long, n_paragraphs long, n_license long, licenses array<string>, score double, paragraphs array<int>, unconfirmed array<string>"
 
 
 def notices_of(model: Model, text: bytes) -> tuple[int, list[tuple[int, str, float]]]:
     """Paragraphs of a text, and of each confirmed notice its paragraph, family and probability."""
-    lines, found = text.split(b"\n"), []
+    n, found, _ = scanned(model, text)
+    return n, found
+
+
+def scanned(model: Model, text: bytes) -> tuple[int, list[tuple[int, str, float]], set[str]]:
+    """``notices_of``, and the families that a window has with ``CONFIDENCE`` and nothing confirms."""
+    lines, found, likely = text.split(b"\n"), [], set()
     if b"spdx" in text.lower():
         number = 0
         for k, line in enumerate(lines):
@@ -444,14 +569,35 @@ def notices_of(model: Model, text: bytes) -> tuple[int, list[tuple[int, str, flo
                 # A space ends no block, and neither do the words before the tag.
                 lines[k] = line[: tag.start()] + b" tag"
             number += bool(line.strip())
+    labels = {}
+    if b"icen" in text:
+        number = 0
+        for line in lines:
+            if (label := LABEL.match(line)) and len(label[1]) <= 200:
+                labels[number] = label[1]
+            number += bool(line.strip())
+    open_end = False  # whether the block before ends amid a sentence, which no heading follows
     for words, begins, numbers in blocks_of(lines):
-        if not model.rare.keys().isdisjoint(zip(words, words[1:], strict=False)):
-            found += [(numbers[bisect_right(begins, i) - 1], family, p) for i, family, p in model.notices(words, begins)]
-    return sum(1 for x in lines if x.strip()), found
+        for k, (number, first) in enumerate(zip(numbers, begins, strict=True)):
+            own = words[first : begins[k + 1] if k + 1 < len(begins) else len(words)]
+            if number in labels:
+                found += [(number, *judged) for judged in model.identifiers(labels[number])]
+            if not open_end and len(own) <= HEADING_WORDS and any(w in model.names for w in own) and (judged := model.heading(own)):
+                found.append((number, *judged))
+        if not model.most.keys().isdisjoint(zip(words, words[1:], strict=False)) and (wanted := model.predicted(words)):
+            stated = model.notices(words, begins, wanted)
+            # A name inside a longer notice of its family adds nothing.
+            stated += [x for x in model.cued(words, wanted) if not any(f == x[1] and i <= x[0] <= i + WINDOW for i, f, _ in stated)]
+            places = {(numbers[bisect_right(begins, i) - 1], family): p for i, family, p in stated}
+            found += [(number, family, p) for (number, family), p in places.items()]
+            likely |= {family for family, p in wanted.items() if p >= CONFIDENCE}
+        open_end = words[-1] in ARTICLES or (words[-1],) in CUE_ENDS
+    found = [(number, family, p) for (number, family), p in {(number, family): p for number, family, p in found}.items()]
+    return sum(1 for x in lines if x.strip()), found, likely - {family for _, family, _ in found}
 
 
 def scan_licenses(documents: DataFrame, model: Model | None = None) -> DataFrame:
-    """Of every row: doc_id, n_paragraphs, n_license (those in which a confirmed notice begins), licenses, score (of the surest, 0 without), paragraphs (their numbers)."""
+    """Of every row: doc_id, n_paragraphs, n_license (those in which a confirmed notice begins), licenses, score (of the surest, 0 without), paragraphs (their numbers), unconfirmed (families)."""
     shared = documents.sparkSession.sparkContext.broadcast(model or train(some_windows(documents)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -459,11 +605,11 @@ def scan_licenses(documents: DataFrame, model: Model | None = None) -> DataFrame
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), strict=True):
-                n, found = notices_of(model, text or b"")
+                n, found, likely = scanned(model, text or b"")
                 at = sorted({k for k, _, _ in found})
-                rows.append((doc_id, n, len(at), sorted({f for _, f, _ in found}), max((p for _, _, p in found), default=0.0), at))
+                rows.append((doc_id, n, len(at), sorted({f for _, f, _ in found}), max((p for _, _, p in found), default=0.0), at, sorted(likely)))
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.float64(), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_paragraphs", "n_license", "licenses", "score", "paragraphs"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in OUT.split(", ")])
 
     return documents.select("doc_id", "text").mapInArrow(run, OUT)

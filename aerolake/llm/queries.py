@@ -59,7 +59,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.scan_licenses(documents_of(spark, sf_dir))
-    return found.select("doc_id", "n_paragraphs", "n_license", F.array_join("licenses", ",").alias("licenses"), "score")
+    return found.select("doc_id", "n_paragraphs", "n_license", F.array_join("licenses", ",").alias("licenses"), "score", F.array_join("unconfirmed", ",").alias("unconfirmed"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

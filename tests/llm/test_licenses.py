@@ -127,3 +127,52 @@ def test_two_templates_alike_give_one_family(model):
     n, found = license_scan.notices_of(model, text)
     assert (n, [(k, f) for k, f, _ in found]) == (1, [(0, "gpl")])
     assert [(k, f) for k, f, _ in license_scan.notices_of(model, text + b"\n" + text)[1]] == [(0, "gpl"), (1, "gpl")]
+
+
+#: Statements that follow none of the frames, and headings, as texts of many kinds have them.
+OTHER_STATED = [
+    ("mit", "This file is under the MIT license"), ("epl", "The author licenses this under the Eclipse Public License v2.0"), ("mit", "MIT License"), ("mit", "The MIT License"), ("mit", "License: MIT"), ("mit", "# License\n\nMIT License"),
+    ("gpl", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007"), ("gpl", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"), ("apache-2.0", "Apache License Version 2.0, January 2004"), ("apache-2.0", "Apache License, Version 2.0"),
+    ("mit", "Use is subject to the terms of the MIT license"), ("gpl", "Covered by the GNU General Public License"), ("gpl", "This module is covered by the GPL version 3"), ("apache-2.0,mit", "License: MIT OR Apache-2.0"), ("bsd", "The code is under the BSD 3-Clause License"),
+    ("bsd", "BSD 2-Clause License"), ("bsd", "BSD 3-Clause License\n\nCopyright (c) 2019"), ("isc", "ISC License"), ("isc", "License: ISC"), ("lgpl", "GNU LESSER GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007"), ("agpl-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE\n Version 3, 19 November 2007"),
+    ("mpl-2.0", "Mozilla Public License, Version 2.0"), ("mpl-2.0", "Mozilla Public License Version 2.0"), ("epl", "Eclipse Public License 2.0"), ("cc0", "CC0 1.0 Universal"), ("unlicense", "License: Unlicense"), ("zlib", "zlib License"), ("boost", "Boost Software License, Version 1.0"),
+    ("boost", "Boost Software License - Version 1.0"), ("artistic", "Artistic License 2.0"), ("artistic", "The library is governed by the Artistic License"), ("apache-2.0", "It is made available to you under the Apache License 2.0"), ("lgpl", "The runtime is under the LGPL, the tools are not."),
+    ("agpl-3.0", "All server code is under the GNU Affero General Public License"), ("mpl-2.0", "These files are governed by the Mozilla Public License 2.0"), ("cc-by-sa", "Our articles are under the Creative Commons Attribution-ShareAlike License"), ("cc-by", "Figures are under a Creative Commons Attribution 4.0 International License"),
+    ("ofl", "SIL OPEN FONT LICENSE Version 1.1"), ("ofl", "All glyphs are under the SIL Open Font License, Version 1.1"), ("cddl", "The file is subject to the terms of the Common Development and Distribution License"), ("eupl", "Der Code steht under the European Union Public Licence"), ("gfdl", "This manual is under the GNU Free Documentation License"),
+    ("mit", "license = MIT"), ("bsd", "License: BSD-3-Clause"), ("gpl", "license: GPL-3.0-or-later"), ("mit", "License :: OSI Approved :: MIT License"), ("apache-2.0", "The samples are governed by the Apache License, Version 2.0"), ("psf", "Parts are under the Python Software Foundation License"),
+    ("odbl", "The data set is under the Open Database License"), ("lgpl", "You may link it under the terms of the GNU Lesser General Public License"), ("wtfpl", "License: WTFPL"), ("mit", "Every example here is used under the terms of the MIT License"),
+]
+OTHER_MISSES = [
+    "This is not licensed under the MIT License", "It was never released under the GNU General Public License", "The code is not under the MIT license", "The build isn't licensed under the Apache License, Version 2.0", "The engine is no longer distributed under the GNU General Public License",
+    "Licensed under the Apache License, Version 3.0", "License: Proprietary", "License: see the file COPYING", "License: none", "MIT Press", "MIT License plates are sold here", "Apache", "Public License", "General License", "Version 2.0, January 2004", "GNU",
+    "The MIT Licensing Office opened in 1945", "Why the MIT License won", "MIT License versus Apache License, Version 2.0: a comparison of both texts", "GNU General Public License explained in ten short chapters", "A licence to kill", "Driving license", "License and registration, please",
+    "Fishing License, Version 2.0", "License: valid until June 2007", "the terms of the loan", "under the general public", "under the license plate", "covered by the insurance", "governed by the council", "subject to the terms of the lease", "Foo Public License Version 2.0", "Foo License",
+    "SPDX is a list of names.", "Common Development of land", "European Union Public Procurement", "Creative Commons", "Boost your software", "Artistic freedom", "Free Documentation for all", "Open Database conference, version 1.1", "Eclipse of the sun, public viewing", "Mozilla Public talk",
+    "the isc is a council", "zlib is a library", "Unlicensed spectrum", "The bsd daemon", "We compared the Eclipse Public License 2.0 with others.", "Contributors asked about the CC0 waiver.", "The GPL FAQ answers questions.",
+]
+
+
+def test_other_forms_and_headings(model):
+    assert len(STATED) + len(OTHER_STATED) + len(NEAR_MISSES) + len(OTHER_MISSES) >= 160
+    found = [(want, families(model, t), t) for want, t in OTHER_STATED]
+    lost = [(w, g, t) for w, g, t in found if g != w]
+    assert [(w, g, t) for w, g, t in lost if set(g.split(",")) - {""} - set(w.split(","))] == []
+    assert len(lost) <= 0.1 * len(OTHER_STATED), lost
+
+
+def test_other_near_misses(model):
+    assert [(families(model, t), t) for t in OTHER_MISSES if families(model, t)] == []
+
+
+def test_likely_families_without_a_template_are_told(model):
+    *_, likely = license_scan.scanned(model, b"Licensed under the Apache License, Version 3.0")
+    assert likely == {"apache-2.0"}
+    assert license_scan.scanned(model, b"The weather is fine under the sun.")[2] == set()
+
+
+def test_windows_that_are_ruled_out_have_no_family(model):
+    for text in [t for _, t in STATED + OTHER_STATED] + NEAR_MISSES + OTHER_MISSES:
+        words = license_scan.words_of(text.encode())[: license_scan.WINDOW]
+        p = dict(zip(model.families, model.probabilities(words), strict=True))
+        least = license_scan.LOOSE * p.pop(license_scan.UNKNOWN)
+        assert model.predicted(words) == {f: v for f, v in p.items() if v >= least}

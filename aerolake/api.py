@@ -56,6 +56,7 @@ class Flights:
     versions: DataFrame | None = None
     texts: DataFrame | None = None
     autotune: DataFrame | None = None
+    health: DataFrame | None = None
     extra: dict[str, Callable[[Flights], DataFrame]] = field(default_factory=dict)
 
     @classmethod
@@ -77,7 +78,7 @@ class Flights:
 
 
 #: Tables of ``Flights`` that a log format can fill.
-TABLES = ("pid", "imu", "mag", "params", "attitude", "battery", "motors", "modes", "position", "versions", "texts", "autotune")
+TABLES = ("pid", "imu", "mag", "params", "attitude", "battery", "motors", "modes", "position", "versions", "texts", "autotune", "health")
 
 
 def sampled(samples: DataFrame, keys: Sequence[str], rate_hz: float | DataFrame | None = None, otherwise: float | None = None) -> DataFrame:
@@ -126,7 +127,11 @@ def quality(flights: Flights, spacing: int | None = None) -> DataFrame:
         (F.col("drop_rate") > 0.05, "drops", PENALTY["drops"]), (F.col("jitter_pct") > 20, "jitter", PENALTY["jitter"]),
     ]
     lost = sum((F.when(holds, points).otherwise(0) for holds, _, points in found), F.lit(0))
-    out = whole.withColumns({"issues": diagnosis.codes(*((holds, code) for holds, code, _ in found)), "score": F.greatest(F.lit(0), F.least(F.lit(100), 100 - lost)).cast("double")})
+    issues = diagnosis.codes(*((holds, code) for holds, code, _ in found))
+    if flights.health is not None:  # a recorded link says how far it can be trusted
+        whole = whole.join(flights.health.select("flight_id", F.col("notes").alias("_notes"), F.col("penalty").alias("_penalty")), "flight_id", "left")
+        lost, issues = lost + F.coalesce("_penalty", F.lit(0)), F.concat(issues, F.coalesce("_notes", F.array().cast("array<string>")))
+    out = whole.withColumns({"issues": issues, "score": F.greatest(F.lit(0), F.least(F.lit(100), 100 - lost)).cast("double")}).drop("_notes", "_penalty")
     return out.drop(*(f"_{name}" for name in parts)).withColumn("rating", bands.level_from(F.col("score"), bands.RATINGS))
 
 
@@ -368,12 +373,41 @@ def hardware(flights: Flights) -> DataFrame:
     report = named.select("flight_id", used(imus, "gyro_id", "accel_id").alias("imus"), used(compasses, "dev_id").alias("compasses"), F.array(*gains).alias("gains"))
     wide = diagnosis.filter_chain(diagnosis.parameters_wide(flights.params, ["flight_id"], diagnosis.FILTER_PARAMS[flights.platform]), flights.platform)
     report = report.join(wide.select("flight_id", diagnosis.chain_text(F.col("cutoff"), F.col("notches")).alias("filters")), "flight_id").join(devices, "flight_id", "left")
+    report = report.join(platform_settings(flights.params, flights.platform), "flight_id")
+    if flights.versions is not None:
+        said = [c for c in ("firmware", "kind", "board", "craft") if c in flights.versions.columns]
+        report = report.join(flights.versions.select("flight_id", *(F.col(c).cast("string").alias(c) for c in said)), "flight_id", "left")
+    if flights.pid is not None or flights.imu is not None:
+        report = report.join(validation(flights).select("flight_id", "issues"), "flight_id", "left")
     if flights.battery is None:
         return report
     power = flights.battery.groupBy("flight_id").agg(F.min("volt").alias("volt_min"), F.max("volt").alias("volt_max"), F.avg("volt").alias("volt_mean"), F.max("curr").alias("curr_max"))
     return report.join(power, "flight_id", "left")
 
 
+#: Filter settings that a report lists, by platform; fixed values.
+FILTER_SETTINGS = {
+    "ardupilot": ("INS_GYRO_FILTER", "INS_ACCEL_FILTER", "INS_HNTCH_ENABLE", "INS_HNTCH_FREQ", "INS_HNTCH_BW", "INS_HNTC2_ENABLE", "INS_HNTC2_FREQ", "INS_HNTC2_BW"),
+    "betaflight": ("gyro_lowpass_hz", "gyro_lowpass2_hz", "dterm_lowpass_hz", "dterm_lowpass2_hz", "gyro_lpf1_static_hz", "gyro_lpf2_static_hz", "dterm_lpf1_static_hz", "dterm_lpf2_static_hz", "gyro_notch1_hz", "gyro_notch1_cutoff", "gyro_notch2_hz", "gyro_notch2_cutoff", "rpm_filter_min_hz"),
+    "px4": ("IMU_GYRO_CUTOFF", "IMU_DGYRO_CUTOFF", "IMU_GYRO_NF0_FRQ", "IMU_GYRO_NF0_BW", "IMU_GYRO_NF1_FRQ", "IMU_GYRO_NF1_BW"),
+}
+
+
+def platform_settings(params: DataFrame, platform: str) -> DataFrame:
+    """flight_id, total_params, loop_rate_hz and pid_rate_hz (null where the platform's parameters do not say), filter_settings (a map of those that are in use)."""
+    last = params.groupBy("flight_id", "name").agg(F.max("value").alias("value"))
+    get = lambda *names: F.coalesce(*(F.max(F.when(F.col("name") == n, F.col("value"))) for n in names))
+    own = F.col("name").isin(*FILTER_SETTINGS[platform]) & (F.col("value") > 0)
+    # Generic names stand for native ones, which are counted already.
+    native = F.count_if(~F.col("name").rlike(r"^(pid|filter|mag)\.")).alias("total_params")
+    loop, every = {"betaflight": (get("looptime"), get("pid_process_denom", "P interval")), "ardupilot": (get("SCHED_LOOP_RATE"), F.lit(None).cast("double")), "px4": (get("IMU_GYRO_RATEMAX"), F.lit(None).cast("double"))}[platform]
+    rows = last.groupBy("flight_id").agg(native, loop.alias("_loop"), every.alias("_every"), F.map_from_entries(F.array_sort(F.collect_list(F.when(own, F.struct("name", "value"))))).alias("filter_settings"))
+    # A loop time in microseconds; small numbers are rates already.
+    rate = F.round(F.when(F.col("_loop") > 100, 1e6 / F.col("_loop")).otherwise(F.col("_loop"))) if platform == "betaflight" else F.col("_loop")
+    pid_rate = F.when(rate > 0, F.round(rate / F.greatest(F.coalesce("_every", F.lit(1.0)), F.lit(1.0)))) if platform == "betaflight" else F.lit(None).cast("double")
+    return rows.select("flight_id", "total_params", F.when(rate > 0, rate).alias("loop_rate_hz"), pid_rate.alias("pid_rate_hz"), "filter_settings")
+
+
 def feed_forward(flights: Flights) -> DataFrame:
     """flight_id, axis, steps, overshoots, tracking_rms, ff_percent, overshoot_detected, factor, assessment of Betaflight logs."""
     parts = {c: F.abs(F.coalesce(c, F.lit(0.0))) for c in ("p", "i", "d", "ff")}
@@ -460,10 +494,13 @@ def analyze(flights: Flights, rate_hz: float | DataFrame | None = None, modules:
     """
     needs = {"quality": flights.pid, "pid": flights.pid, "fft": flights.imu, "filter": flights.params, "sysid": flights.pid, "magfit": flights.mag, "hardware": flights.params}
     run = {"quality": quality, "pid": pid, "fft": lambda f: fft(f, rate_hz), "filter": lambda f: filter(f, rate_hz), "sysid": lambda f: sysid(f, rate_hz), "magfit": magfit, "hardware": hardware}
-    unknown = set(modules or ()) - set(run) - set(flights.extra)
+    # On any platform, for those who name them.
+    named = {"validation": (validation, flights.pid if flights.imu is None else flights.imu), "coverage": (coverage, flights.attitude), "notes": (lambda f: f.health, flights.health), "step_response": (lambda f: step_response(f, rate_hz), flights.pid), "model_step": (lambda f: model_step(f, rate_hz), flights.pid)}
+    unknown = set(modules or ()) - set(run) - set(named) - set(flights.extra)
     if unknown:
         raise ValueError(f"no such modules: {', '.join(sorted(unknown))}")
     wanted = {m: run[m] for m in CAPABILITIES[flights.platform] if (modules is None or m in modules) and needs[m] is not None}
+    wanted |= {m: make for m, (make, table) in named.items() if m in (modules or ()) and table is not None}
     if flights.platform == "betaflight" and modules is None:
         wanted |= {"feed_forward": feed_forward, "d_term": lambda f: d_term(f, rate_hz)} if flights.pid is not None and {"p", "d", "ff"} <= set(flights.pid.columns) else {}
         wanted |= {"rpm_filter": lambda f: rpm_filter(f, rate_hz)} if flights.imu is not None and flights.params is not None else {}

@@ -42,6 +42,17 @@ def groups(catalog: DataFrame) -> DataFrame:
     return rows.groupBy("group").agg(F.count("*").alias("n"), F.min_by("category", "pos").alias("category"), F.transform(first_three, lambda s: s["name"]).alias("samples"))
 
 
+def categories(catalog: DataFrame, *keys: str) -> DataFrame:
+    """keys, categories: the distinct categories, in order."""
+    return catalog.groupBy(*keys).agg(F.array_sort(F.collect_set("category")).alias("categories"))
+
+
+def lookup_all(catalog: DataFrame, asked: DataFrame, name: str) -> DataFrame:
+    """Definitions of all asked names, whatever their case, by one join; names asked twice count once, unknown ones not at all."""
+    wanted = asked.select(F.upper(F.trim(name)).alias("_asked")).distinct()
+    return catalog.join(wanted, F.upper("name") == F.col("_asked")).drop("_asked")
+
+
 def in_group(catalog: DataFrame, group: str) -> DataFrame:
     """Parameters of a group, its trailing underscore optional; only if there is none, those whose name begins with it."""
     wanted = group.upper().rstrip("_")

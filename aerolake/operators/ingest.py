@@ -168,6 +168,13 @@ def blackbox_modes(frames: DataFrame, headers: DataFrame) -> DataFrame:
     return changed.select("flight_id", "idx", "t", "mode_number", tables.betaflight_mode(F.col("mode_number")).alias("mode_name"))
 
 
+def blackbox_versions(frames: DataFrame, headers: DataFrame) -> DataFrame:
+    """flight_id, firmware, kind, board, craft of every segment, as its header names them."""
+    own = F.concat("path", F.lit("#"), F.col("segment").cast("string")).alias("flight_id")
+    named = {"firmware": "Firmware revision", "kind": "Firmware type", "board": "Board information", "craft": "Craft name"}
+    return headers.select(own, *(F.try_element_at("properties", F.lit(v)).alias(k) for k, v in named.items()))
+
+
 def blackbox_params(frames: DataFrame, headers: DataFrame) -> DataFrame:
     """params: the numbers among the header properties of every segment."""
     own = F.concat("path", F.lit("#"), F.col("segment").cast("string"))

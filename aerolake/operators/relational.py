@@ -29,6 +29,13 @@ def merge_layers(layers: Sequence[DataFrame]) -> DataFrame:
     return rows.groupBy("path").agg(F.max_by("value", "layer").alias("value"), F.max("layer").alias("layer"))
 
 
+def merged_maps(base: Column, over: Column) -> Column:
+    """Entries of both maps, those of ``over`` where both have a key; a missing map is an empty one."""
+    empty = lambda m, other: F.when(m.isNull() & other.isNotNull(), F.map_filter(other, lambda k, v: F.lit(False))).otherwise(m)
+    a, b = empty(base, over), empty(over, base)
+    return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
+
+
 def membership(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """``rows`` with ``member``: whether their key is known, by one join."""
     flag = known.select(key).distinct().withColumn("member", F.lit(True))

@@ -211,6 +211,37 @@ def telemetry_position(messages: DataFrame) -> DataFrame:
     return middle_fix(numbers(rows, {"lat": value("lat") * 1e-7, "lon": value("lon") * 1e-7, "alt": value("alt") * 1e-3, "fix": value("fix_type")}).where("fix >= 3").drop("fix"))
 
 
+#: Seconds without a message of the vehicle after which its link counts as lost; a fixed value.
+LINK_GAP = 3.0
+
+
+def telemetry_health(messages: DataFrame) -> DataFrame:
+    """flight_id, notes (codes) and penalty (of the quality score) of logs recorded over a radio link: from counts of their messages, rates, losses and systems."""
+    from aerolake.operators import diagnosis
+
+    own = ingest.telemetry_messages(messages)
+    count = lambda *kinds: F.count_if(F.col("mtype").isin(*kinds))
+    moved = (F.abs(value("xacc")) + F.abs(value("yacc")) + F.abs(value("zacc"))) > 0
+    counts = own.groupBy("path").agg(
+        F.bool_or(F.col("time_us").isNotNull()).alias("clocked"), count("ATTITUDE").alias("attitudes"), count("ATTITUDE_TARGET").alias("targets"), count("RAW_IMU", "SCALED_IMU").alias("raw_imu"),
+        F.count_if(F.col("mtype").isin("RAW_IMU", "SCALED_IMU") & moved).alias("accel"), count("PARAM_VALUE").alias("params"), F.max(F.when(F.col("mtype") == "HEARTBEAT", value("type"))).cast("int").alias("vehicle"),
+    )
+    of = lambda name, *kinds: series.measured_rate(own.where(F.col("mtype").isin(*kinds)), ["path"]).select("path", F.col("rate_hz").alias(name))
+    waited = own.select("path", (F.col("wall") - F.lag("wall").over(series.along(["path"], "wall", "idx"))).alias("dt"))
+    gaps = series.long_gaps(waited, ["path"], LINK_GAP).select("path", "gaps")
+    counted = own.where("seq is not null")
+    lost = series.sequence_drops(counted, ["path", "sysid", "compid"], "seq", "idx").groupBy("path").agg((100 * F.sum("dropped") / (F.sum("frames") + F.sum("dropped"))).alias("dropped"))
+    systems = messages.where((F.col("mtype") == "HEARTBEAT") & (value("type") != 6)).groupBy("path").agg(F.countDistinct("sysid").alias("systems"))
+    rows = counts
+    for other in (of("attitude_hz", "ATTITUDE"), of("gyro_hz", "RAW_IMU", "SCALED_IMU"), gaps, lost, systems):
+        rows = rows.join(other, "path", "left")
+    known = lambda c, otherwise: F.coalesce(c, F.lit(otherwise))
+    notes = diagnosis.telemetry_notes(
+        F.col("clocked"), F.col("attitudes"), F.col("targets"), known("attitude_hz", 0.0), F.col("raw_imu"), known("gyro_hz", 0.0), F.col("accel"), F.col("params"), known("gaps", 0), known("dropped", 0.0), known("systems", 0), known("vehicle", 2),
+    )
+    return rows.select(flight(), notes.alias("notes"), diagnosis.telemetry_penalty(F.col("targets")).alias("penalty"))
+
+
 # All of them
 
 

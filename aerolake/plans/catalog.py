@@ -53,6 +53,18 @@ def param_groups(t: Tables) -> DataFrame:
     return catalog.groups(definitions(t)).withColumn("samples", F.array_join("samples", ","))
 
 
+@query(f"""with {CATALOG} select grp as "group", array_to_string(list_sort(list_distinct(list(category))), ',') as categories, count(distinct category) as n from catalog group by grp""")
+def param_categories(t: Tables) -> DataFrame:
+    found = catalog.categories(definitions(t), "group")
+    return found.select("group", F.array_join("categories", ",").alias("categories"), F.size("categories").cast("long").alias("n"))
+
+
+@query(f"""with {CATALOG} select pos, name, type, preset as "default" from catalog where upper(name) in (select upper(replace(p_name, ' ', '_')) || '_' || p_partkey::varchar from part where p_partkey % 3 = 0)""")
+def param_lookup(t: Tables) -> DataFrame:
+    asked = t.part.where("p_partkey % 3 = 0").select(F.lower(F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.col("p_partkey").cast("string"))).alias("asked"))
+    return catalog.lookup_all(definitions(t), asked, "asked").select("pos", "name", "type", "default")
+
+
 @query(f"""with {CATALOG} select pos, name, 'exact' as asked from catalog where rtrim(upper(grp), '_') = 'BRAND#13'
     union all select pos, name, 'prefix' from catalog where starts_with(upper(name), 'COLD_') and not exists (select 1 from catalog where rtrim(upper(grp), '_') = 'COLD')""")
 def param_by_group(t: Tables) -> DataFrame:

@@ -68,3 +68,15 @@ def msg_alert_scan(t: Tables) -> DataFrame:
 def json_props(t: Tables) -> DataFrame:
     k = F.from_json("props", "k bigint")["k"]
     return t.events.select("event_type", k.alias("k")).groupBy("event_type").agg(F.count("*").alias("n"), F.count("k").alias("parsed"), F.sum("k").alias("total"), F.max("k").alias("most"), F.round(F.avg("k"), 6).alias("mean"))
+
+
+@query("""with own as (select user_id, event_type as k, max(value) as v from events where event_id % 3 > 0 group by 1, 2), late as (select user_id, event_type as k, min(value) as v from events where event_id % 3 = 0 group by 1, 2),
+    u as (select coalesce(l.user_id, o.user_id) as user_id, coalesce(l.k, o.k) as k, coalesce(l.v, o.v) as v from own o full join late l on l.user_id = o.user_id and l.k = o.k)
+    select user_id, count(*) as n, array_to_string(list(k || '=' || round(v, 4)::varchar order by k), ',') as entries from u group by user_id""")
+def map_union(t: Tables) -> DataFrame:
+    """Maps of two sources for each key, the second one's entries over the first one's."""
+    entries = lambda rows, pick: rows.groupBy("user_id", "event_type").agg(pick("value").alias("v")).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "v"))).alias("m"))
+    own, late = entries(t.events.where("event_id % 3 > 0"), F.max), entries(t.events.where("event_id % 3 = 0"), F.min)
+    both = own.withColumnRenamed("m", "a").join(late.withColumnRenamed("m", "b"), "user_id", "full").withColumn("m", relational.merged_maps(F.col("a"), F.col("b")))
+    text = F.transform(F.array_sort(F.map_entries("m")), lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"], 4).cast("string")))
+    return both.select("user_id", F.size("m").cast("long").alias("n"), F.array_join(text, ",").alias("entries"))

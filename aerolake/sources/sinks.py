@@ -45,6 +45,22 @@ def markdown(rows: DataFrame, keys: Sequence[str], title: str, columns: Sequence
     return rows.groupBy(*keys).agg(F.concat(F.lit(f"## {title}\n\n{head}\n"), body).alias("report"))
 
 
+def module_report(results: dict[str, DataFrame], key: str = "flight_id", columns: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """key, report: one Markdown text for each flight with a section for every module that found something for it, in the order of ``results``; ``columns`` names those of a
+    module that are shown (otherwise all plain ones). Sections are made module by module and meet by flight.
+    """
+    if not results:
+        raise ValueError("there are no results to report")
+    sections = None
+    for place, (module, rows) in enumerate(results.items()):
+        plain = [f.name for f in rows.schema.fields if f.name != key and not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+        shown = list((columns or {}).get(module, plain)) or [key]
+        own = markdown(rows, [key], module, shown, shown[0]).select(key, F.lit(place).alias("place"), "report")
+        sections = own if sections is None else sections.unionByName(own)
+    held = F.array_sort(F.collect_list(F.struct("place", "report")))
+    return sections.groupBy(key).agg(F.concat(F.lit("# Flight report\n\n"), F.array_join(F.transform(held, lambda x: x["report"]), "\n\n")).alias("report"))
+
+
 def capped(rows: DataFrame, keys: Sequence[str], order: Sequence[str], most: int) -> DataFrame:
     """The first ``most`` rows of each key in order, with ``returned`` and ``truncated``; 0 keeps all."""
     from pyspark.sql import Window

@@ -198,3 +198,35 @@ def test_calibration_without_a_place(spark):
     assert found["has_position"] is False and "no_position" in found["notes"] and found["n"] == 1200
     flights.attitude = None
     assert [(m, c) for m, c, _ in api.analyze(flights, modules=["magfit", "hardware"]).failures] == [("magfit", "E5030")]
+
+
+def test_a_recorded_link_is_judged(spark):
+    rows = [("HEARTBEAT", 0, 1_000_000, {"type": 2.0, "custom_mode": 0.0}, None)]
+    for i in range(60):
+        us = 1_000_000 + 100_000 * i + (9_000_000 if i >= 30 else 0)
+        rows += [("ATTITUDE", 0, us, {"roll": 0.0, "pitch": 0.0, "yaw": 0.0, "rollspeed": 0.1, "pitchspeed": 0.0, "yawspeed": 0.0}, None), ("ATTITUDE_TARGET", 0, us + 5, {"body_roll_rate": 0.1 * (i % 9), "body_pitch_rate": 0.0, "body_yaw_rate": 0.0}, None)]
+    flights = api.Flights.from_messages(log_of(spark, "a", rows), "telemetry")
+    health = flights.health.first()
+    assert {"terms_missing", "telemetry_rate", "gyro_from_attitude", "no_accelerometer", "no_parameters", "link_gaps"} <= set(health["notes"]) and "dropped_frames" not in health["notes"] and health["penalty"] == 15
+    judged, plain = api.quality(flights).first(), None
+    flights.health = None
+    plain = api.quality(flights).first()
+    assert judged["score"] == max(0, plain["score"] - 15) and set(judged["issues"]) == set(plain["issues"]) | set(health["notes"])
+
+
+def test_reports_of_every_platform(spark):
+    from aerolake.sources import sinks
+
+    named = {"betaflight": [("looptime", 125.0), ("pid_process_denom", 2.0), ("gyro_lpf1_static_hz", 250.0), ("gyro_notch1_hz", 0.0), ("p_roll", 45.0)], "px4": [("IMU_GYRO_CUTOFF", 40.0), ("MC_ROLLRATE_P", 0.15)], "ardupilot": [("SCHED_LOOP_RATE", 400.0), ("INS_GYRO_FILTER", 20.0), ("ATC_RAT_RLL_P", 0.135)]}
+    want = {"betaflight": (8000.0, 4000.0, {"gyro_lpf1_static_hz": 250.0}, 45.0, 5), "px4": (None, None, {"IMU_GYRO_CUTOFF": 40.0}, 0.15, 2), "ardupilot": (400.0, None, {"INS_GYRO_FILTER": 20.0}, 0.135, 3)}
+    from aerolake.operators import tables
+
+    for platform, values in named.items():
+        params = tables.mirrored(spark.createDataFrame([("a", *v) for v in values], "flight_id string, name string, value double"), platform)
+        flights = api.Flights(platform, params=params, pid=flight(spark, 250.0))
+        found = api.hardware(flights).first()
+        assert (found["loop_rate_hz"], found["pid_rate_hz"], found["filter_settings"], found["gains"][0]["p"], found["total_params"]) == want[platform] and found["issues"] == ["gyro_short", "accel_short"]
+    more = api.analyze(flights, modules=["validation", "hardware", "filter"]).results
+    assert set(more) == {"validation", "hardware", "filter"}
+    report = sinks.module_report({"hardware": more["hardware"], "filter": more["filter"]}).first()["report"]
+    assert report.startswith("# Flight report") and report.index("## hardware") < report.index("## filter") and "loop_rate_hz" in report

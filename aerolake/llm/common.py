@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,12 +44,28 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_collectors: list[list[DataFrame]] = []
+
+
+@contextmanager
+def written_tables() -> Iterator[list[DataFrame]]:
+    """A list that gets every table that is materialized inside, so that a caller can ``release`` those it does not need."""
+    own: list[DataFrame] = []
+    _collectors.append(own)
+    try:
+        yield own
+    finally:
+        _collectors.remove(own)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the shared folder: lineage ends here, so a lost executor costs no recomputation."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     written = df.sparkSession.read.schema(df.schema).parquet(path)
     written.written_to = path
+    for own in _collectors:
+        own.append(written)
     return written
 
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
@@ -32,6 +33,8 @@ from aerolake.llm.common import join_small, materialize, release, texts_as_bytes
 
 MIN_CHARS = 40
 MIN_DOCS = 5
+#: Ranges of hashes whose jobs run at the same time: so many filters are on the driver, and in tasks, at once.
+AT_ONCE = 4
 #: Confirmed keys up to which they are broadcast (24 MB).
 BROADCAST_KEYS = 1_000_000
 
@@ -64,12 +67,14 @@ def long_lines(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return documents.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "low long, key binary, doc_id long").sortWithinPartitions("low")
 
 
-def suspects(lines: DataFrame, most_bits: int = bloom.MOST_BITS) -> list[DataFrame]:
-    """(key, doc_id) of the lines whose key a twice-seen filter holds, a written table for each range of hashes."""
-    context, found = lines.sparkSession.sparkContext, []
+def suspects(lines: DataFrame, most_bits: int = bloom.MOST_BITS, at_once: int = AT_ONCE) -> list[DataFrame]:
+    """(key, doc_id) of the lines whose key a twice-seen filter holds, a written table for each range of hashes; ``at_once`` ranges are worked on side by side."""
+    context = lines.sparkSession.sparkContext
     n = lines.count()
     parts = bloom.ranges(n, most_bits)
-    for first, last in parts:
+
+    def of_range(bounds: tuple[int, int]) -> DataFrame:
+        first, last = bounds
         own = lines.where(F.col("low").between(first, last)) if len(parts) > 1 else lines
         hashes_of = lambda batch: batch["low"].to_numpy().view(np.uint64)
         twice = context.broadcast(bloom.build(own.select("low"), hashes_of, bloom.bits_for(n / len(parts), most_bits), twice=True))
@@ -78,9 +83,12 @@ def suspects(lines: DataFrame, most_bits: int = bloom.MOST_BITS) -> list[DataFra
             for batch in batches:
                 yield batch.filter(pa.array(bloom.contains(twice.value, hashes_of(batch)))).select(["key", "doc_id"])
 
-        found.append(materialize(own.mapInArrow(run, "key binary, doc_id long")))
+        written = materialize(own.mapInArrow(run, "key binary, doc_id long"))
         twice.unpersist()
-    return found
+        return written
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(of_range, parts))
 
 
 def find_common(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, most_bits: int = bloom.MOST_BITS) -> tuple[DataFrame, DataFrame]:
@@ -155,7 +163,10 @@ def dedupe_lines(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
         rewritten = lambda batch: without_common(texts_as_bytes(batch["text"]), batch["doc_id"].to_pylist(), shared.value, min_chars)
     else:
         drops = join_small(suspected, confirmed, "key", "inner", rows=n_keys).where("doc_id <> keeper").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-        joined = source.withColumnRenamed("keys", "_own_keys").join(materialize(drops), "doc_id", "left")
+        renamed = source.withColumnRenamed("keys", "_own_keys")
+        # Rows without an id drop nothing, and are not sent to one place to find that out.
+        joined = renamed.where("doc_id is not null").join(materialize(drops), "doc_id", "left")
+        joined = joined.unionByName(renamed.where("doc_id is null").withColumn("keys", F.lit(None).cast("array<binary>")))
         rewritten = lambda batch: [without(text or b"", set(keys or ()), min_chars) for text, keys in zip(texts_as_bytes(batch["text"]), batch["keys"].to_pylist(), strict=True)]
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -289,3 +289,53 @@ def test_pipeline_by_hand(spark, data_dir):
     want = {i: len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in rows.items()}
     packed = corpus_pipeline.run(spark, data_dir).groupBy("doc_id").agg(F.sum("length").alias("n"))
     assert {r["doc_id"]: r["n"] for r in packed.collect()} == want
+
+
+@pytest.mark.parametrize("ranges", [1, 64])
+def test_ranges_of_hashes_side_by_side_change_nothing(odd, monkeypatch, ranges):
+    step = (1 << 64) // ranges
+    monkeypatch.setattr(line_dedup.bloom, "ranges", lambda *_: [(k * step - (1 << 63), (k + 1) * step - 1 - (1 << 63)) for k in range(ranges)])
+    want = brute.lines(with_ids())
+    assert by_id(line_dedup.dedupe_lines(odd), "n_lines", "n_dropped", "text") == want
+
+
+def test_both_encoders_agree_at_the_borders_of_their_alphabet():
+    import random
+
+    rng = random.Random(11)
+    encode = packing.Encoder(tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    borders = "ÀÖØöøſΑΡΣΩαωАяаё ~!09AZaz\t\n\r"
+    texts = [f"a{c * n}b" for n in (498, 499, 500, 501) for c in (" ", "\n", "\t ", " \n")]
+    texts += ["".join(rng.choice(borders) for _ in range(rng.randrange(1, 60))) for _ in range(3000)]
+    fast = 0
+    for text in texts:
+        want = encode.exact.encode(text, add_special_tokens=False).ids
+        assert encode(text).tolist() == want, text
+        fast += packing.PLAIN.search(text) is None
+    assert fast > 1000
+
+
+@pytest.mark.parametrize(("good", "bad", "fails", "share"), [(0.9, 0.5, 0.3, 0.7), (0.97, 0.7, 0.1, 0.9)])
+def test_the_verdicts_survive_another_start(spark, data_dir, monkeypatch, good, bad, fails, share):
+    docs = spark.read.parquet(f"{data_dir}/documents.parquet")
+    before = by_id(quality_rules.apply_rules(docs), "kept")
+    for name, value in (("GOOD", good), ("BAD", bad), ("FAILS", fails), ("SHARE", share)):
+        monkeypatch.setattr(quality_rules, f"START_{name}", value)
+    after = by_id(quality_rules.apply_rules(docs), "kept")
+    # The start counts for ten votes a rule, which a corpus of 200 texts still feels.
+    assert sum(before[i] != after[i] for i in before) <= 0.02 * len(before)
+
+
+def test_a_pipeline_leaves_its_last_table_alone(spark, data_dir):
+    import os
+
+    docs = spark.read.parquet(f"{data_dir}/documents.parquet").limit(40)
+    from aerolake.llm.common import materialize, release, shared_folder, written_tables
+
+    where = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(where))
+    with written_tables() as own:
+        last = materialize(simhash.keep_one(docs))
+    assert len(own) > 2 and len(set(os.listdir(where)) - before) >= 2
+    release(*(t for t in own if t is not last))
+    assert len(set(os.listdir(where)) - before) == 1 and last.count() > 0

@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages, each over all that the one before it kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as Parquet and reads again for the next one.
-All but the last return the columns of ``docs``, whatever others it has; the last returns the placed pieces. SQL can express
+All but the last return the columns of ``docs``, whatever others it has and whatever they are called; the last returns the placed pieces. Texts of any length are
+read whole, in batches that memory bounds. SQL can express
 neither the quality discriminant nor the tokenizer, so there is no ORACLE_SQL. An empty table passes every stage as one.
 """
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolake.llm import decontaminate, line_dedup, packing, quality, simhash
-from aerolake.llm.common import materialize, small_batches, table
+from aerolake.llm.common import materialize, release, small_batches, table, written_tables
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +74,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage wrote on its way, and the table that it read, are deleted once its own is there."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+        with written_tables() as own:
+            done = materialize(stage(spark, docs, sf_dir))
+        release(*(t for t in own if t is not done), docs)
+        docs = done
     return docs

@@ -233,5 +233,8 @@ def keep_one(documents: DataFrame, most: int = MAX_BITS) -> DataFrame:
     repeated = row_keys(prints.where("rows > 1"), "hash")
     if repeated.isEmpty():
         return kept
-    own = by_row(kept, repeated, "left_semi").withColumn("_same_text", text_key())
-    return by_row(kept, repeated, "left_anti").unionByName(own.dropDuplicates(["doc_id", "_same_text"]).drop("_same_text"))
+    same = "_same_text"
+    while same in documents.columns:
+        same += "_"
+    own = by_row(kept, repeated, "left_semi").withColumn(same, text_key())
+    return by_row(kept, repeated, "left_anti").unionByName(own.dropDuplicates(["doc_id", same]).drop(same))

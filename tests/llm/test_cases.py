@@ -339,3 +339,12 @@ def test_a_pipeline_leaves_its_last_table_alone(spark, data_dir):
     assert len(own) > 2 and len(set(os.listdir(where)) - before) >= 2
     release(*(t for t in own if t is not last))
     assert len(set(os.listdir(where)) - before) == 1 and last.count() > 0
+
+
+def test_stages_keep_columns_whose_names_clash(spark, odd, data_dir):
+    extra = {"n_lines": 7, "n_dropped": 8, "_same_text": 9, "_row_id": 10, "_row_key": 11, "keys": 12, "marked": 13, "hash": 14, "score": 15}
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars").withColumns({c: F.lit(v) for c, v in extra.items()})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, data_dir)
+        assert kept.columns == docs.columns, name
+        assert [tuple(r) for r in kept.select(*extra).distinct().collect()] in ([tuple(extra.values())], []), name

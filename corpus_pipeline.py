@@ -31,7 +31,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     The largest id keeps a line, in all rows that repeat this id. Rows without an id stay as they are; null texts become empty ones.
     """
     small_batches(spark)
-    rewritten = line_dedup.dedupe_lines(docs)
+    clashing = {c: f"_own_{c}" for c in ("n_lines", "n_dropped") if c in docs.columns}
+    rewritten = line_dedup.dedupe_lines(docs.withColumnsRenamed(clashing)).drop("n_lines", "n_dropped")
+    rewritten = rewritten.withColumnsRenamed({own: c for c, own in clashing.items()})
     return rewritten.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

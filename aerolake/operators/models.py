@@ -62,17 +62,40 @@ def solve(grams: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
     return grams.select(*keys, "n", "xx", "xy", "yy", "y_sum").mapInArrow(run, schema)
 
 
-def delay_by_correlation(samples: DataFrame, keys: Sequence[str], y: str, u: str, longest: int = 20, order: str = "idx") -> DataFrame:
-    """keys, lag, correlation: the lag of 0..longest at which y follows u best, both less their means; the smallest of equals."""
-    w = series.along(keys, order)
-    lags = range(longest + 1)
-    rows = samples.select(*keys, F.col(y).alias("y"), F.col(u).alias("u"), *((F.lag(u, k).over(w) if k else F.col(u)).alias(f"u{k}") for k in lags))
-    both = lambda k: F.col("y").isNotNull() & F.col(f"u{k}").isNotNull()
-    parts = [c for k in lags for c in (F.sum(F.col("y") * F.col(f"u{k}")).alias(f"yu{k}"), F.sum(F.when(both(k), F.col("y"))).alias(f"y{k}"), F.sum(F.when(both(k), F.col(f"u{k}"))).alias(f"u{k}"), F.count_if(both(k)).alias(f"n{k}"))]
-    sums = rows.groupBy(*keys).agg(F.avg("y").alias("y_mean"), F.avg("u").alias("u_mean"), *parts)
-    centred = lambda k: F.coalesce(F.col(f"yu{k}") - F.col("y_mean") * F.col(f"u{k}") - F.col("u_mean") * F.col(f"y{k}") + F.col(f"n{k}") * F.col("y_mean") * F.col("u_mean"), F.lit(0.0))
-    best = F.array_max(F.array(*(F.struct(centred(k).alias("c"), F.lit(-k).cast("long").alias("k")) for k in lags)))
-    return sums.select(*keys, (-best["k"]).alias("lag"), best["c"].alias("correlation"))
+def delay_by_correlation(samples: DataFrame, keys: Sequence[str], y: str, u: str, longest: int = 20, order: str = "idx", block: int = 1 << 15) -> DataFrame:
+    """keys, lag, correlation: the lag of 0..longest at which y follows u best, both less their means; the smallest of equals. A task holds a block of samples and
+    the ``longest`` before it; its sums of products, one row a lag, are added up by series.
+    """
+    kinds = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys)
+    at = F.row_number().over(series.along(keys, order)).cast("long") - 1
+    rows = samples.select(*keys, at.alias("_at"), F.col(y).cast("double").alias("_y"), F.col(u).cast("double").alias("_u"))
+    parts = rows.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_at") / block), F.floor((F.col("_at") + longest) / block))))
+
+    def run(table: pa.Table) -> pa.Table:
+        first = table["_block"][0].as_py() * block
+        place = table["_at"].to_numpy() - first + longest
+        size = max(int(place.max()), longest) + 1  # short series do not fill a block
+        ys, us = np.full(size, np.nan), np.full(size, np.nan)
+        for name, dense in (("_y", ys), ("_u", us)):
+            dense[place] = table[name].to_numpy(zero_copy_only=False).astype(float)
+        own, found = ys[longest:], []
+        for k in range(longest + 1):
+            late = us[longest - k : len(us) - k]
+            both = np.isfinite(own) & np.isfinite(late)
+            found.append((float(own[both] @ late[both]), float(own[both].sum()), float(late[both].sum()), int(both.sum())))
+        for dense in (own, us[longest:]):  # the sums of all, for the means
+            known = np.isfinite(dense)
+            found.append((float(dense[known].sum()), 0.0, 0.0, int(known.sum())))
+        columns = dict(zip(("_yu", "_ys", "_us", "_n"), map(pa.array, zip(*found, strict=True)), strict=True))
+        return pa.table({**{k: pa.array([table[k][0].as_py()] * len(found), table.schema.field(k).type) for k in keys}, "_lag": np.arange(len(found)), **columns})
+
+    sums = parts.groupBy(*keys, "_block").applyInArrow(run, f"{kinds}, _lag long, _yu double, _ys double, _us double, _n long")
+    sums = sums.groupBy(*keys, "_lag").agg(*(F.sum(c).alias(c) for c in ("_yu", "_ys", "_us", "_n")))
+    mean = lambda row: F.max(F.when(F.col("_lag") == row, F.try_divide(F.col("_yu"), F.col("_n")))).over(Window.partitionBy(*keys))
+    means = sums.withColumns({"_ym": mean(longest + 1), "_um": mean(longest + 2)}).where(F.col("_lag") <= longest)
+    centred = F.coalesce(F.col("_yu") - F.col("_ym") * F.col("_us") - F.col("_um") * F.col("_ys") + F.col("_n") * F.col("_ym") * F.col("_um"), F.lit(0.0))
+    best = means.groupBy(*keys).agg(F.max(F.struct(centred.alias("c"), (-F.col("_lag")).alias("k"))).alias("b"))
+    return best.select(*keys, (-F.col("b.k")).alias("lag"), F.col("b.c").alias("correlation"))
 
 
 def poles_to_dynamics(fits: DataFrame, keys: Sequence[str], na: int, nb: int, rate_hz: float | Column) -> DataFrame:

@@ -106,7 +106,7 @@ def param_collapse(t: Tables) -> DataFrame:
     return catalog.fold_numbered(names).withColumn("instances", F.array_join("instances", ","))
 
 
-@query(f"""with {CATALOG}, tbl as (select count(*) as n, count(distinct coalesce(preset, '<none>')) as d, count(*) filter (where trim(coalesce(description, '')) = '') as e from catalog),
+FOUND = f"""{CATALOG}, tbl as (select count(*) as n, count(distinct coalesce(preset, '<none>')) as d, count(*) filter (where trim(coalesce(description, '')) = '') as e from catalog),
     parts as (select string_split(name, '_') as p from catalog), suf as (select distinct array_to_string(p[i:], '_') as name from (select p, unnest(range(2, len(p) + 1)) as i from parts) x),
     found as (
         select name, 'duplicate_name' as "check", 'error' as severity from (select name, row_number() over (partition by upper(name) order by pos) as k from catalog) x where k > 1
@@ -118,8 +118,10 @@ def param_collapse(t: Tables) -> DataFrame:
         union all select '', 'empty_description', 'warn' from tbl where 2 * e > n
         union all select name, 'empty_description', 'warn' from catalog, tbl where trim(coalesce(description, '')) = '' and not (2 * e > n)
         union all select name, 'discrete_without_members', 'warn' from catalog where type in ('enum', 'bitmask') and len(keys) = 0
-        union all select name, 'range_inverted', 'error' from catalog where low > high)
-    select * from found""")
+        union all select name, 'range_inverted', 'error' from catalog where low > high)"""
+
+
+@query(f"with {FOUND} select * from found")
 def param_lint(t: Tables) -> DataFrame:
     return catalog.lint(definitions(t))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from aerolake.operators import attitude, catalog, diagnosis, responses, series, spectral, vibration
 from aerolake.plans import spectra
-from aerolake.plans.catalog import CATALOG, definitions
+from aerolake.plans.catalog import CATALOG, FOUND, definitions
 from aerolake.plans.registry import SIGNALS, Tables, query
 
 LEVELS = ("EXCELLENT", "GOOD", "MARGINAL", "POOR", "UNUSABLE")
@@ -119,10 +119,9 @@ def slim_entries(t: Tables) -> DataFrame:
     return catalog.slim(definitions(t), 20, "pos")
 
 
-@query(f"""with {CATALOG} select "check", severity, count(*) as n from (select name, 'range_inverted' as "check", 'error' as severity from catalog where low > high
-        union all select name, 'placeholder_leak', 'error' from catalog where regexp_matches(description, '@[A-Z_]+@') union all select name, 'digit_leading_name', 'warn' from catalog where regexp_matches(name, '^[0-9]')) x group by 1, 2""")
+@query(f"""with {FOUND} select "check", severity, count(*) as n from found group by 1, 2""")
 def lint_counts(t: Tables) -> DataFrame:
-    return catalog.lint_counts(catalog.lint(definitions(t))).where(F.col("check").isin("range_inverted", "placeholder_leak", "digit_leading_name"))
+    return catalog.lint_counts(catalog.lint(definitions(t)))
 
 
 @query("""with c as (select user_id, event_type, count(*) as n from events group by 1, 2),

@@ -9,7 +9,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aerolake.operators import attitude, bands, catalog, diagnosis, filters, ingest, models, responses, series, spectral, tables, vibration
+from aerolake.functions import errors
+from aerolake.operators import align, attitude, bands, catalog, diagnosis, filters, ingest, models, responses, series, spectral, tables, vibration
 from aerolake.sources.rules import Rules
 
 #: Modules that a platform's logs can support; fixed values.
@@ -165,15 +166,33 @@ def pid(flights: Flights, gains: DataFrame | None = None, most: int = 20, rules:
     return out.join(placed.groupBy(*KEYS).agg(F.array_sort(F.collect_list(each)).alias("recommendations")), KEYS, "left")
 
 
+def on_imu_grid(flights: Flights, rate_hz: float | DataFrame | None = None) -> DataFrame:
+    """flight_id, axis, idx, t, desired, actual on an even grid at each flight's own IMU rate: the wanted rates and the gyro's measured ones, both interpolated to it, from
+    where both begin to where both end. For logs whose PID messages are slower than the gyro.
+    """
+    rated = sampled(flights.imu, ["flight_id"], rate_hz)
+    spans = rated.groupBy("flight_id").agg(F.first("rate_hz").alias("rate_hz"), F.min("t").alias("a0"), F.max("t").alias("a1"))
+    asked = flights.pid.groupBy(*KEYS).agg(F.min("t").alias("b0"), F.max("t").alias("b1"))
+    both = asked.join(spans, "flight_id").withColumns({"t0": F.greatest("a0", "b0"), "t1": F.least("a1", "b1")}).where("t1 > t0")
+    steps = F.floor((F.col("t1") - F.col("t0")) * F.col("rate_hz") + 1e-6)
+    grid = both.select(*KEYS, "t0", "rate_hz", F.explode(F.sequence(F.lit(0).cast("long"), steps)).alias("idx"))
+    grid = grid.select(*KEYS, "idx", (F.col("t0") + F.col("idx") / F.col("rate_hz")).alias("t"))
+    met = align.interpolate_at(grid, flights.pid.select(*KEYS, "t", "desired").where("desired is not null"), KEYS, "t", ["desired"], "idx")
+    each = F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), F.col(g).alias("actual")) for a, g in (("roll", "gx"), ("pitch", "gy"), ("yaw", "gz")))))
+    gyro = flights.imu.select("flight_id", "t", each.alias("s")).select("flight_id", "t", "s.*").where("actual is not null")
+    return align.interpolate_at(met, gyro, KEYS, "t", ["actual"], "idx").where("desired is not null and actual is not null")
+
+
 #: Series slower than this are averaged step by step instead of deconvolved; a fixed value.
 SLOW_HZ = 20.0
 
 
-def step_response(flights: Flights, rate_hz: float | DataFrame | None = None) -> DataFrame:
+def step_response(flights: Flights, rate_hz: float | DataFrame | None = None, prefer_imu: bool = False) -> DataFrame:
     """flight_id, axis, method, rate_hz, lag, lag_s, response, windows; steady_state, its mean from 0.2 s on, and steady_ok, whether that is within 0.5 and 3.
-    The method follows the rate of each series: wiener (deconvolution), or under ``SLOW_HZ`` time_domain (mean of the steps).
+    The method follows the rate of each series: wiener (deconvolution), or under ``SLOW_HZ`` time_domain (mean of the steps). ``prefer_imu`` takes
+    the gyro's measured rates on its own even grid instead of those among the PID samples.
     """
-    rows = sampled(flights.pid, KEYS, rate_hz)
+    rows = sampled(on_imu_grid(flights) if prefer_imu else flights.pid, KEYS, rate_hz)
     gates = {"lowest": 20.0, "highest": 500.0} if flights.platform == "betaflight" else {}
     fast = spectral.wiener_step(rows.where(F.col("rate_hz") >= SLOW_HZ), KEYS, F.col("rate_hz"), **gates).withColumn("method", F.lit("wiener"))
     slow = responses.time_domain_response(rows.where(F.col("rate_hz") < SLOW_HZ), KEYS, SLOW_HZ).withColumn("method", F.lit("time_domain"))
@@ -505,7 +524,9 @@ def analyze(flights: Flights, rate_hz: float | DataFrame | None = None, modules:
         wanted |= {"feed_forward": feed_forward, "d_term": lambda f: d_term(f, rate_hz)} if flights.pid is not None and {"p", "d", "ff"} <= set(flights.pid.columns) else {}
         wanted |= {"rpm_filter": lambda f: rpm_filter(f, rate_hz)} if flights.imu is not None and flights.params is not None else {}
     wanted |= {n: f for n, f in flights.extra.items() if modules is None or n in modules}
-    results, failures = {}, []
+    results = {}
+    # Modules that were asked for by name and whose table is missing are told, not passed over.
+    failures = [(m, errors.MISSING[m], f"the flights have no table for {m}") for m in modules or () if m in errors.MISSING and m not in wanted and (needs.get(m) is None and m in needs or m in named and named[m][1] is None)]
     for name, make in wanted.items():
         try:
             results[name] = make(flights)

@@ -230,3 +230,29 @@ def test_reports_of_every_platform(spark):
     assert set(more) == {"validation", "hardware", "filter"}
     report = sinks.module_report({"hardware": more["hardware"], "filter": more["filter"]}).first()["report"]
     assert report.startswith("# Flight report") and report.index("## hardware") < report.index("## filter") and "loop_rate_hz" in report
+
+
+def test_steps_on_the_gyros_grid(spark):
+    slow = flight(spark, 100.0)
+    fast = flight(spark, 1000.0).where("axis = 'roll'")
+    imu = fast.select("flight_id", "idx", "t", F.col("actual").alias("gx"), F.lit(0.0).alias("gy"), F.lit(0.0).alias("gz"), F.lit(0.0).alias("ax"), F.lit(0.0).alias("ay"), F.lit(9.81).alias("az"))
+    flights = api.Flights("ardupilot", pid=slow, imu=imu)
+    grid = api.on_imu_grid(flights).where("axis = 'roll'")
+    got = {r["idx"]: r for r in grid.collect()}
+    assert len(got) == 9991 and abs(got[5]["t"] - 0.005) < 1e-9
+    own = {r["idx"]: r["actual"] for r in fast.where("idx < 9000").collect()}
+    assert max(abs(got[i]["actual"] - v) for i, v in own.items()) < 1e-6
+    found = api.step_response(flights, prefer_imu=True).where("axis = 'roll'").select("rate_hz", "method").distinct().collect()
+    assert [(round(r["rate_hz"]), r["method"]) for r in found] == [(1000, "wiener")]
+
+
+def test_errors_are_explained(spark):
+    from aerolake.functions import errors
+
+    rows = spark.createDataFrame([("E1004: unknown_format",), ("E5030: AnalysisError: no",), ("odd",), (None,)], "error string")
+    got = [r["error"] for r in errors.with_errors(rows).collect()]
+    assert got[0]["family"] == "log_file" and got[0]["name"] == "unknown_format" and got[0]["hint"] and got[1]["message"] == "AnalysisError: no" and got[2]["code"] is None and got[2]["message"] == "odd" and got[3] is None
+    assert errors.table(spark).where("family = 'analysis'").count() == 9
+    only = api.Flights("ardupilot", pid=flight(spark, 250.0))
+    told = api.analyze(only, modules=["pid", "magfit", "fft", "coverage"])
+    assert set(told.results) == {"pid"} and {(m, c) for m, c, _ in told.failures} == {("magfit", "E3004"), ("fft", "E3001"), ("coverage", "E3005")}

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("series", "responses", "spectra", "fleet", "models", "catalog", "relational", "diagnosis", "settings")
+MODULES = ("series", "responses", "spectra", "fleet", "models", "catalog", "relational", "diagnosis", "settings", "conversions")
 
 
 def query(sql: str | None = None) -> Callable:

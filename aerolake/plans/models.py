@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolake.operators import attitude, filters, geomagnetic, models
+from aerolake.operators import attitude, filters, geomagnetic, models, series
 from aerolake.plans.registry import SIGNALS, Tables, query
 
 USER = ["user_id"]
@@ -96,6 +96,20 @@ def arx_step(t: Tables) -> DataFrame:
     return rows.select("user_id", F.posexplode("response").alias("k", "response")).withColumn("response", F.round("response", 4))
 
 
+@query("""with s as (select user_id, event_type as channel, value as u, row_number() over (partition by user_id, event_type order by ts, event_id) - 1 as idx from events where event_id % 3 = 0),
+    xy as (select *, 0.6 * u + 0.4 * coalesce(lag(u) over (partition by user_id, channel order by idx), 0) as y from s),
+    l as (select user_id, channel, lag(y, 2) over w as y2, lag(u, 1) over w as u0 from xy window w as (partition by user_id, channel order by idx))
+    select user_id, channel, count(*) as n, count(*) > 3 as reliable from l where y2 is not null and u0 is not null group by 1, 2""")
+def arx_flagged(t: Tables) -> DataFrame:
+    """Fits of short series: those with no more rows than unknowns are flagged, not dropped."""
+    keys = ["user_id", "channel"]
+    rows = t.events.where("event_id % 3 = 0").select("user_id", F.col("event_type").alias("channel"), F.col("value").alias("u"), F.struct(F.col("ts").cast("timestamp"), "event_id").alias("at"))
+    rows = rows.withColumn("idx", F.row_number().over(series.along(keys, "at")).cast("long") - 1).drop("at")
+    rows = rows.withColumn("y", 0.6 * F.col("u") + 0.4 * F.coalesce(F.lag("u").over(series.along(keys, "idx")), F.lit(0.0)))
+    lagged, names = models.lagged(rows, keys, "y", "u", NA, NB, DELAY)
+    return models.solve(models.gram(lagged, keys, names, "y0"), keys, NA + NB).select(*keys, "n", "reliable")
+
+
 SMOOTH, OVER = 50, 4
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -174,6 +176,20 @@ def time_domain_reason(n: Column, expected: int, holes: Column, top: Column, spr
 BEFORE_S, AFTER_S, LEAST_SAMPLES = 0.1, 1.5, 20
 
 
+def window_response(desired: list[float | None], actual: list[float | None], place: int, before: int, after: int) -> np.ndarray | None:
+    """``after`` values of the response to a step, from its baseline and in units of the step, which is ``place`` samples into its window; None if the window is not usable."""
+    d, a = (np.array([np.nan if v is None else v for v in x], float) for x in (desired, actual))
+    few = max(2, before // 2)
+    head, late = min(place, few), d[place + 1 : place + 1 + few]
+    if len(a) < before + 5 or head < 1 or not len(late) or not (np.isfinite(a).all() and np.isfinite(d).all()):
+        return None
+    jump, base = late.mean() - d[:head].mean(), a[:head].mean()
+    if np.abs(a).max() > 1500 or a.std() < 3 or abs(jump) < 5:
+        return None
+    own = np.clip((a - base) / jump, -0.5, 2.0)[:after]
+    return np.concatenate([own, np.full(after - len(own), own[-1])])
+
+
 def time_domain_response(samples: DataFrame, keys: Sequence[str], most_hz: float = 20.0, desired: str = "desired", actual: str = "actual") -> DataFrame:
     """keys, rate_hz, lag, lag_s, response, windows: the mean of the responses to all usable steps, each from its baseline and in units of its step, for series
     (idx from 0, ``rate_hz`` up to ``most_hz``) too slow for a deconvolution. A window is one short array: it holds at most ``AFTER_S`` and ``BEFORE_S`` of samples.
@@ -185,22 +201,20 @@ def time_domain_response(samples: DataFrame, keys: Sequence[str], most_hz: float
     steps = series.time_domain_steps(rows.withColumn("value", F.col("desired")), keys, rates)
     near = series.windows_around(rows, steps, keys, max(2, int(BEFORE_S * most_hz)), max(5, int(AFTER_S * most_hz)))
     near = near.where((F.col("idx") >= F.col("step") - F.col("_before")) & (F.col("idx") < F.col("step") + F.col("_after")))
-    windows = near.groupBy(*keys, "rate_hz", "step", "_before", "_after").agg(F.array_sort(F.collect_list(F.struct("idx", "desired", "actual"))).alias("w"))
-    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda total, v: total + v) / F.size(x)
-    few = F.greatest(F.lit(2), F.floor(F.col("_before") / 2))
-    first = F.col("step") - F.col("w")[0]["idx"]  # place of the step in its window
-    head = F.least(first, few)
-    windows = windows.withColumns({"d": F.col("w.desired"), "a": F.col("w.actual"), "_head": head.cast("int"), "_first": first.cast("int"), "_few": few.cast("int")})
-    windows = windows.withColumn("_mean", mean(F.col("a")))
-    spread = F.sqrt(mean(F.transform("a", lambda v: (v - F.col("_mean")) * (v - F.col("_mean")))))
-    lost = F.exists(F.concat("a", "d"), lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    late = F.slice("d", F.col("_first") + 2, F.col("_few"))
-    usable = (F.size("w") >= F.col("_before") + 5) & ~lost & (F.col("_head") >= 1) & (F.size(late) > 0)
-    windows = windows.where(usable).withColumns({"_jump": mean(late) - mean(F.slice("d", F.lit(1), F.col("_head"))), "_base": mean(F.slice("a", F.lit(1), F.col("_head"))), "_spread": spread})
-    windows = windows.where((F.array_max(F.transform("a", F.abs)) <= 1500) & (F.col("_spread") >= 3) & (F.abs("_jump") >= 5))
-    own = F.transform("a", lambda v: F.least(F.greatest((v - F.col("_base")) / F.col("_jump"), F.lit(-0.5)), F.lit(2.0)))
-    windows = windows.withColumn("_own", F.slice(own, F.lit(1), F.col("_after").cast("int")))
-    filled = F.concat("_own", F.array_repeat(F.element_at("_own", -1), F.col("_after").cast("int") - F.size("_own")))
-    each = windows.select(*keys, "rate_hz", F.posexplode(filled).alias("lag", "v"))
+    held = F.array_sort(F.collect_list(F.struct("idx", "desired", "actual")))
+    windows = near.groupBy(*keys, "rate_hz", "step", "_before", "_after").agg(held.alias("w"))
+    windows = windows.select(*keys, "rate_hz", (F.col("step") - F.col("w")[0]["idx"]).alias("_place"), "_before", "_after", F.col("w.desired").alias("_d"), F.col("w.actual").alias("_a"))
+    kinds = ", ".join(f"{k} {windows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, found = [], []
+            for row, window in enumerate(zip(*(batch[c].to_pylist() for c in ("_d", "_a", "_place", "_before", "_after")), strict=True)):
+                if (response := window_response(*window)) is not None:
+                    rows.append(row)
+                    found.append(response)
+            yield pa.RecordBatch.from_arrays([*(batch[k].take(pa.array(rows, pa.int64())) for k in (*keys, "rate_hz")), pa.array(found, pa.list_(pa.float64()))], [*keys, "rate_hz", "_own"])
+
+    each = windows.mapInArrow(run, f"{kinds}, rate_hz double, _own array<double>").select(*keys, "rate_hz", F.posexplode("_own").alias("lag", "v"))
     found = each.groupBy(*keys, "rate_hz", F.col("lag").cast("long").alias("lag")).agg(F.avg("v").alias("response"), F.count("*").alias("windows"))
     return found.withColumn("lag_s", F.col("lag") / F.col("rate_hz"))

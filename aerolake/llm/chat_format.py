@@ -12,7 +12,8 @@ r"""Operator 11: chat formatting, with DataFrame functions alone.
 Turns of one conversation are ordered by turn, nulls first, then role and text, nulls as empty ones. Repeated rows are turns of
 their own. Null texts and roles are empty; a record that is no object, or whose fingerprint no layout has, gives no turns (``unknown``
 counts those by fingerprint). Extra fields beside those that layouts name change nothing. Rows without a key are one conversation. A
-conversation is one value of the result, so its turns meet in one row; everything before that works turn by turn.
+conversation is one value of the result, so its turns meet in one row; everything before that works turn by turn. A record may hold
+128 MB, as much as a VARIANT does; a longer one ends the job with Spark's error.
 """
 
 from __future__ import annotations

@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 import math
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -11,8 +12,10 @@ from pyspark.sql import functions as F
 from aerolake import api
 from aerolake.functions import units
 from aerolake.operators import attitude, catalog, filters, models, spectral
+from aerolake.plans import registry
 from aerolake.sources import params, sinks
 from aerolake.streaming import flights as live
+from tests.oracle import same_rows
 
 
 def one(df):
@@ -170,6 +173,25 @@ def test_fold_keeps_order_and_orphans(spark):
     assert got == {"BATT_MONITOR": (0, ["BATT2_MONITOR", "BATT_MONITOR", "BATT9_MONITOR"]), "GPS2_RATE": (2, None)}
 
 
+def test_lint_of_a_catalog_in_capitals(spark, data_dir, tmp_path):
+    names = ["A_B", "a_B", "Ab", "3D_X", "3d_x", "9-X", "A-B", "_A", "", "A\n", "\u00c9", None]
+    rows = spark.createDataFrame(list(enumerate(names)), "pos long, name string").selectExpr(
+        "*", "'t' as description", "'float' as type", "'1' as default", "0D as min", "1D as max", "cast(null as map<string,string>) as members"
+    )
+    odd = lambda **k: {r["name"] for r in catalog.lint(rows, **k).where("check = 'name_shape'").collect()}
+    assert odd() == {"9-X", "A-B", "_A", "", "\u00c9"} and odd(shape=catalog.CAPITALS) == odd() | {"a_B", "Ab", "A\n"}
+
+    shapes = lambda path: sorted(r["name"] for r in registry.QUERIES["param_lint"](spark, path).where("check = 'name_shape'").collect())
+    lower = [f"lower_{r['p_name']}".replace(" ", "_") for r in spark.read.parquet(f"{data_dir}/part.parquet").where("p_partkey % 50 = 7").collect()]
+    assert shapes(data_dir) == sorted(lower) != []
+    parts = [(50 * i + j, p, "BRAND", "TYPE", i, 1.0) for i, p in enumerate(["red rose", "RED", "9 x", "red-rose", "", "red\n", "\u00e9t\u00e9", None]) for j in (0, 7, 8, 9)]
+    spark.createDataFrame(parts, spark.read.parquet(f"{data_dir}/part.parquet").schema).write.parquet(str(tmp_path / "part.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    same_rows(registry.QUERIES["param_lint"](spark, str(tmp_path)), con, registry.ORACLES["param_lint"])
+    assert len(shapes(str(tmp_path))) == 11
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(1, float("nan"), [1.0, float("inf")], "x"), (2, 0.5, [], "y")], "id int, v double, a array<double>, status string")
     got = [json.loads(r["value"]) for r in sinks.envelopes(rows, "test").orderBy("value").collect()]

@@ -48,13 +48,14 @@ def window_metrics(rows: DataFrame, keys: Sequence[str], after_step: Column, val
     mean = lambda where: F.avg(F.when(where, x)).over(whole)
     known = numbered.withColumns({"base": mean(F.col("pos") < edge), "final": mean(F.col("pos") >= F.col("n") - tail), "size": F.abs(mean(F.col("late")) - mean(~F.col("late")))})
     span = F.col("final") - F.col("base")
-    shifted = known.withColumns({
+    # Windows without a step of their own go before anything is divided by its size: by zero, that is an error.
+    shifted = known.where("size >= 1e-6").withColumns({
         "norm": F.least(F.greatest((x - F.col("base")) / F.col("size"), F.lit(-0.5)), F.lit(2.0)),
         "out": F.abs(x - (F.col("base") + F.when(span >= 0, F.col("size")).otherwise(-F.col("size")))) > 0.10 * F.col("size"),
         "side": F.when(F.col("pos") >= edge, F.signum(x - F.col("final"))),
     }).withColumn("crossed", F.col("side") != F.lag("side").over(w))
     first = lambda level: F.min(F.when(F.col("norm") >= level, F.col("pos")))
-    got = shifted.where("size >= 1e-6").groupBy(*keys, "n", "base", "final", "size").agg(
+    got = shifted.groupBy(*keys, "n", "base", "final", "size").agg(
         first(0.9).alias("p90"), first(0.1).alias("p10"), F.max(x).alias("top"), F.min(x).alias("bottom"),
         (F.coalesce(F.max(F.when(F.col("out"), F.col("pos"))), F.lit(-1)) + 1).alias("settled"), F.count_if("crossed").alias("crossings"),
     )

@@ -36,3 +36,8 @@ EVEN = {1: LEVEL, 2: [0.0] * 8 + [10.0, 14.0, 9.0] + [10.0] * 12, 3: [50.0] * 6
 def test_steps_without_size_are_not_assessed(spark, tmp_path):
     found = against_twin(spark, tmp_path, "assess_metrics", EVEN)
     assert 1 not in {r["user_id"] for r in found} and {2, 3} <= {r["user_id"] for r in found}
+
+
+def test_steps_without_size_lead_to_no_recommendation(spark, tmp_path):
+    found = against_twin(spark, tmp_path, "pid_recommend", EVEN)
+    assert 1 not in {r["user_id"] for r in found} and 2 in {r["user_id"] for r in found}

@@ -41,3 +41,8 @@ def test_steps_without_size_are_not_assessed(spark, tmp_path):
 def test_steps_without_size_lead_to_no_recommendation(spark, tmp_path):
     found = against_twin(spark, tmp_path, "pid_recommend", EVEN)
     assert 1 not in {r["user_id"] for r in found} and 2 in {r["user_id"] for r in found}
+
+
+def test_steps_without_size_have_no_metrics(spark, tmp_path):
+    found = {(r["user_id"], r["step"]) for r in against_twin(spark, tmp_path, "rise_settle_metrics", EVEN)}
+    assert not found & {(1, 0), (4, 0)} and {2, 3, 4} == {user for user, _ in found}

@@ -195,7 +195,7 @@ def step_response(flights: Flights, rate_hz: float | DataFrame | None = None, pr
     rows = sampled(on_imu_grid(flights) if prefer_imu else flights.pid, KEYS, rate_hz)
     gates = {"lowest": 20.0, "highest": 500.0} if flights.platform == "betaflight" else {}
     fast = spectral.wiener_step(rows.where(F.col("rate_hz") >= SLOW_HZ), KEYS, F.col("rate_hz"), **gates).withColumn("method", F.lit("wiener"))
-    slow = responses.time_domain_response(rows.where(F.col("rate_hz") < SLOW_HZ), KEYS, SLOW_HZ).withColumn("method", F.lit("time_domain"))
+    slow = responses.time_domain_response(rows.where(F.col("rate_hz") < SLOW_HZ), KEYS).withColumn("method", F.lit("time_domain"))
     found = fast.unionByName(slow).select(*KEYS, "method", "rate_hz", "lag", "lag_s", "response", "windows")
     steady = F.avg(F.when(F.col("lag_s") >= 0.2, F.col("response"))).over(Window.partitionBy(*KEYS))
     return found.withColumn("steady_state", steady).withColumn("steady_ok", (F.col("steady_state") > 0.5) & (F.col("steady_state") < 3))

@@ -177,31 +177,35 @@ def time_domain_reason(n: Column, expected: int, holes: Column, top: Column, spr
 BEFORE_S, AFTER_S, LEAST_SAMPLES = 0.1, 1.5, 20
 
 
-def window_response(desired: list[float | None], actual: list[float | None], place: int, before: int, after: int) -> np.ndarray | None:
+def mean_in_order(x: np.ndarray) -> float:
+    """The mean by one sum from first to last, as SQL adds a list up; pairwise sums differ in the last bits, which puts steps on a threshold to its other side."""
+    return np.add.accumulate(x)[-1] / len(x)
+
+
+def window_response(desired: Sequence[float | None], actual: Sequence[float | None], place: int, before: int, after: int) -> np.ndarray | None:
     """``after`` values of the response to a step, from its baseline and in units of the step, which is ``place`` samples into its window; None if the window is not usable."""
-    d, a = (np.array([np.nan if v is None else v for v in x], float) for x in (desired, actual))
+    d, a = np.array(desired, float), np.array(actual, float)
     few = max(2, before // 2)
     head, late = min(place, few), d[place + 1 : place + 1 + few]
     if len(a) < before + 5 or head < 1 or not len(late) or not (np.isfinite(a).all() and np.isfinite(d).all()):
         return None
-    jump, base = late.mean() - d[:head].mean(), a[:head].mean()
+    jump, base = mean_in_order(late) - mean_in_order(d[:head]), mean_in_order(a[:head])
     if np.abs(a).max() > 1500 or a.std() < 3 or abs(jump) < 5:
         return None
     own = np.clip((a - base) / jump, -0.5, 2.0)[:after]
     return np.concatenate([own, np.full(after - len(own), own[-1])])
 
 
-def time_domain_response(samples: DataFrame, keys: Sequence[str], most_hz: float = 20.0, desired: str = "desired", actual: str = "actual") -> DataFrame:
-    """keys, rate_hz, lag, lag_s, response, windows: the mean of the responses to all usable steps, each from its baseline and in units of its step, for series
-    (idx from 0, ``rate_hz`` up to ``most_hz``) too slow for a deconvolution. A window is one short array: it holds at most ``AFTER_S`` and ``BEFORE_S`` of samples.
+def time_domain_response(samples: DataFrame, keys: Sequence[str], desired: str = "desired", actual: str = "actual") -> DataFrame:
+    """keys, rate_hz, lag, lag_s, response, windows: the mean of the responses to all usable steps, each from its baseline and in units of its step, meant for series
+    (idx from 0, ``rate_hz``) too slow for a deconvolution, right for those of any rate. A window is one array: it holds ``AFTER_S`` and ``BEFORE_S`` of samples.
     """
     before, after = (F.greatest(F.lit(least), F.floor(seconds * F.col("rate_hz"))) for least, seconds in ((2, BEFORE_S), (5, AFTER_S)))
     rows = samples.select(*keys, "idx", "rate_hz", F.col(desired).alias("desired"), F.col(actual).alias("actual"), before.alias("_before"), after.alias("_after"))
     rows = series.long_enough(rows, keys, LEAST_SAMPLES)
-    rates = rows.groupBy(*keys).agg(F.first("rate_hz").alias("rate_hz"))
+    rates = rows.groupBy(*keys).agg(*(F.first(c).alias(c) for c in ("rate_hz", "_before", "_after")))
     steps = series.time_domain_steps(rows.withColumn("value", F.col("desired")), keys, rates)
-    near = series.windows_around(rows, steps, keys, max(2, int(BEFORE_S * most_hz)), max(5, int(AFTER_S * most_hz)))
-    near = near.where((F.col("idx") >= F.col("step") - F.col("_before")) & (F.col("idx") < F.col("step") + F.col("_after")))
+    near = series.windows_around(rows, series.join_keys(steps, rates.drop("rate_hz"), keys), keys, "_before", "_after")
     held = F.array_sort(F.collect_list(F.struct("idx", "desired", "actual")))
     windows = near.groupBy(*keys, "rate_hz", "step", "_before", "_after").agg(held.alias("w"))
     windows = windows.select(*keys, "rate_hz", (F.col("step") - F.col("w")[0]["idx"]).alias("_place"), "_before", "_after", F.col("w.desired").alias("_d"), F.col("w.actual").alias("_a"))
@@ -210,8 +214,8 @@ def time_domain_response(samples: DataFrame, keys: Sequence[str], most_hz: float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, found = [], []
-            for row, window in enumerate(zip(*(batch[c].to_pylist() for c in ("_d", "_a", "_place", "_before", "_after")), strict=True)):
-                if (response := window_response(*window)) is not None:
+            for row, (d, a, *sizes) in enumerate(zip(batch["_d"], batch["_a"], *(batch[c].to_pylist() for c in ("_place", "_before", "_after")), strict=True)):
+                if (response := window_response(d.values.to_numpy(zero_copy_only=False), a.values.to_numpy(zero_copy_only=False), *sizes)) is not None:
                     rows.append(row)
                     found.append(response)
             yield pa.RecordBatch.from_arrays([*(batch[k].take(pa.array(rows, pa.int64())) for k in (*keys, "rate_hz")), pa.array(found, pa.list_(pa.float64()))], [*keys, "rate_hz", "_own"])

@@ -195,13 +195,18 @@ def frames(samples: DataFrame, keys: Keys, size: int, hop: int, idx: str = "idx"
     return rows.withColumn("frame", F.explode(F.sequence("_first", "_last"))).withColumn("place", F.col(idx) - F.col("frame") * hop).drop("_n", "_first", "_last")
 
 
-def windows_around(samples: DataFrame, steps: DataFrame, keys: Keys, before: int = 5, after: int = 200, idx: str = "idx", step: str = "step") -> DataFrame:
-    """Samples of rows [step - before, step + after) of each step, joined by blocks of ``after`` rows rather than by range alone."""
+def windows_around(samples: DataFrame, steps: DataFrame, keys: Keys, before: int | str = 5, after: int | str = 200, idx: str = "idx", step: str = "step") -> DataFrame:
+    """Samples of rows [step - before, step + after) of each step, joined by blocks of a window's rows rather than by range alone. ``before`` and ``after`` may name
+    columns of both tables, each series' own.
+    """
+    own = [c for c in (before, after) if isinstance(c, str)]
+    before, after = (F.col(c) if isinstance(c, str) else F.lit(c) for c in (before, after))
     block = before + after
-    blocks = steps.withColumn("_block", F.explode(F.sequence(F.floor((F.col(step) - before) / block), F.floor((F.col(step) + after - 1) / block))))
+    ends = steps.withColumns({"_from": F.col(step) - before, "_to": F.col(step) + after})
+    blocks = ends.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_from") / block), F.floor((F.col("_to") - 1) / block)))).drop(*own)
     rows = samples.withColumn("_block", F.floor(F.col(idx) / block))
     joined = rows.join(blocks, [*keys, "_block"])
-    return joined.where((F.col(idx) >= F.col(step) - before) & (F.col(idx) < F.col(step) + after)).drop("_block")
+    return joined.where((F.col(idx) >= F.col("_from")) & (F.col(idx) < F.col("_to"))).drop("_block", "_from", "_to")
 
 
 def by_priority(rows: DataFrame, keys: Keys, priority: Column) -> DataFrame:

@@ -58,9 +58,9 @@ def fleet_spectrum(t: Tables) -> DataFrame:
     lined as (select source, rate_hz, after, unnest(list_resize(list_slice(list_transform(a, lambda v: least(greatest((v - base) / jump, -0.5), 2.0)), 1, after), after, least(greatest((a[least(len(a), after)] - base) / jump, -0.5), 2.0))) as v, unnest(range(after)) as lag from parts where abs(jump) >= 5)
     select source, round(rate_hz, 6) as rate_hz, lag, round(lag / rate_hz, 6) as lag_s, round(avg(v), 6) as response, count(*) as windows from lined group by source, rate_hz, lag""")
 def time_domain_response(t: Tables) -> DataFrame:
-    """Sources slower than 20 Hz: the mean response to their steps."""
+    """The mean response of each source to its steps, at whatever rate it has."""
     rows = series.with_rate(series.numbered(samples(t, 20), KEY), KEY)
     before = F.coalesce(F.lag("value").over(series.along(KEY, "idx")), F.lit(0.0))
     rows = rows.withColumns({"desired": F.col("value"), "actual": 0.7 * F.col("value") + 0.3 * before})
-    found = responses.time_domain_response(rows, KEY, most_hz=100.0)
+    found = responses.time_domain_response(rows, KEY)
     return found.select("source", F.round("rate_hz", 6).alias("rate_hz"), "lag", F.round("lag_s", 6).alias("lag_s"), F.round("response", 6).alias("response"), "windows")
